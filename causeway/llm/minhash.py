@@ -275,8 +275,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     members = materialise(banded.join(shared, "bucket"), "buckets")
     sets = materialise(shingle_sets(docs, members.select("doc_id").distinct(), width, text), "sets")
 
-    stars = estimated(members.where("doc_id != centre").select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).distinct(), reps, least, percent)
-    best = stars.groupBy("u").agg(F.max(F.struct("agree", (-F.col("v")).alias("v"))).alias("b")).select("u", (-F.col("b.v")).alias("v"))
+    met = members.where("doc_id != centre").groupBy(F.col("doc_id").alias("u"), F.col("centre").alias("v")).agg(F.count(F.lit(1)).alias("bands"))
+    best = met.groupBy("u").agg(F.max(F.struct("bands", (-F.col("v")).alias("v"))).alias("b")).select("u", (-F.col("b.v")).alias("v"))
+    best = estimated(best, reps, least, percent).select("u", "v")
     tested = materialise(best, "pairs")
     links = materialise(confirmed(tested, sets, percent), "links")
     merged = components(links, "u", "v")
