@@ -5,6 +5,344 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from causeway.functions.mechanisms import Library, fraction, replacements, totality
+from causeway.operators import assembly, evaluation, reports, validation
+from causeway.operators.diagram import SORTS, Diagram
+from causeway.plans.oracle import SQL
+from causeway.plans.storage import stored
+from causeway.sources import derived, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
+
+#: The variable that interventions on the derived model set.
+TARGET = "V10"
+
+
+def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def under(tables: dict[str, DataFrame], scenarios: list[tuple[str, str | None, int | None]], library: Library, var: Callable[[str], str] = str) -> dict[str, DataFrame]:
+    """Copies of single-instance tables, one for each scenario (name, target variable, value); library gets the constants."""
+    spark = tables["Var"].sparkSession
+    names = F.explode(F.array(*[F.lit(n) for n, _, _ in scenarios]))
+    copies = {s: t.withColumn("inst", names) for s, t in tables.items()}
+    hits = [(n, var(v), f"DO::{v}::{x}") for n, v, x in scenarios if v]
+    return evaluation.intervene(copies, spark.createDataFrame(hits, "inst string, var string, code string")) if hits else copies
+
+
+def do_library(*targets: tuple[str, int]) -> Library:
+    out = Library()
+    for name, value in targets:
+        out = out.with_constants({name: ("bool", value)})
+    return out
+
+
+def running_example(spark: SparkSession) -> DataFrame:
+    """inst (obs, do_y0, do_y1), var, value, mask for the two glued modules."""
+    glued = assembly.assemble(fixtures.diagram(spark, ("F01",)), deduplicate=True)
+    cid = lambda v: f"downstream|{v}" if v in ("UZ", "Y", "Z") else f"upstream|{v}"
+    tables = under(glued.tables, [("obs", None, None), ("do_y0", "Y", 0), ("do_y1", "Y", 1)], do_library(), cid)
+    values = evaluation.evaluate_tables(tables, do_library(("Y", 0), ("Y", 1)))
+    return values.withColumn("name", F.substring_index("var", "|", -1))
+
+
+@query
+def running_example_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = running_example(spark)
+    masks = values.where("value = 1").groupBy("inst").pivot("name", ["UX", "UY", "UZ", "X", "Y", "Z"]).agg(F.first("mask"))
+    a = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    bit = lambda c: F.call_function("getbit", F.col(c), F.col("a")).cast("int").alias(c.lower())
+    return masks.withColumn("a", a).select(F.col("inst").alias("context"), *[bit(c) for c in ("UX", "UY", "UZ", "X", "Y", "Z")])
+
+
+@query
+def running_example_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P(Z = 1) in each context, UX and UY uniform and P(UZ = 1) = 1/5: 20 is the common denominator."""
+    rows = running_example_values(spark, sf_dir).where("z = 1").groupBy("context").agg(F.sum(F.when(F.col("uz") == 1, 1).otherwise(4)).alias("num"))
+    return rows.select("context", fraction(F.col("num"), F.lit(20)).alias("p_z1"))
+
+
+@query
+def truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Library().truth(spark).drop("row")
+
+
+@query
+def library_totality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totality(Library(), spark)
+
+
+@query
+def conflict_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replacements(Library(), spark)
+
+
+def counts(tables: dict[str, DataFrame], *keys: str) -> DataFrame:
+    out = None
+    for s in SORTS:
+        part = tables[s].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.lit(s).alias("sort"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def model_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts(derived.ground(spark, sf_dir), "inst").select("sort", "n")
+
+
+@query
+def module_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts(derived.modules(spark, sf_dir)[0], "module")
+
+
+@query
+def interface_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.diagram(spark, sf_dir).spans.groupBy("iface", "sort").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def supplied_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, headers, their sum and twice the identification pairs of the diagram that is handed in."""
+    whole = derived.diagram(spark, sf_dir)
+    rows = counts(whole.records, "inst").agg(F.sum("n").alias("records"))
+    pairs = whole.spans.agg(F.count(F.lit(1)).alias("pairs"))
+    headers = whole.records["Var"].agg(F.countDistinct("module").alias("modules")).crossJoin(whole.faces.agg(F.count(F.lit(1)).alias("faces")))  # single rows
+    both = rows.crossJoin(pairs).crossJoin(headers)
+    n_rows, n_headers = F.col("records") + F.col("pairs"), F.col("modules") + 3 * F.col("faces")
+    return both.select(n_rows.alias("n_rows"), n_headers.alias("n_headers"), (n_rows + n_headers).alias("n"), (2 * F.col("pairs")).alias("r"))
+
+
+@query
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = derived.ground(spark, sf_dir)
+    ranks = validation.levels(validation.edges(tables, ["inst"]), tables["Var"].select("inst", "rid"), ["inst"])
+    return ranks.groupBy("level").agg(F.count(F.lit(1)).alias("variables"))
+
+
+@query
+def evaluate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every variable's value under all 16 assignments, as bits."""
+    values = evaluation.evaluate_tables(derived.ground(spark, sf_dir), Library())
+    return values.where("value = 1").select("var", F.col("mask").alias("bits"))
+
+
+VARIANTS = (("full_raw", False, False), ("full_dedup", False, True), ("var_raw", True, False), ("var_dedup", True, True))
+
+
+def assembled(spark: SparkSession, sf_dir: str, conflict: bool = False) -> list[tuple[str, Diagram, assembly.Assembly]]:
+    whole = derived.diagram(spark, sf_dir, conflict)
+    out = []
+    for name, var_only, dedup in VARIANTS:
+        if not conflict or name == "var_dedup":
+            used = whole.only(("Var",)) if var_only else whole
+            out.append((name, used, assembly.assemble(used, dedup)))
+    return out
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return validation.union(parts)
+
+
+@query
+def quotient_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return union([assembly.sizes(a.tables).select(F.lit(n).alias("variant"), "sort", "n") for n, _, a in assembled(spark, sf_dir)])
+
+
+@query
+def fibers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [assembly.fibers(a.qmap).groupBy("sort").agg(F.count(F.lit(1)).alias("fibers")).select(F.lit(n).alias("variant"), "sort", "fibers") for n, _, a in assembled(spark, sf_dir)]
+    return union(found)
+
+
+@query
+def assembly_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of the four assemblies and of one whose copies conflict, by kind."""
+    parts = []
+    for conflict in (False, True):
+        for n, _, a in assembled(spark, sf_dir, conflict):
+            found = validation.model_issues(a.tables, Library(), ["inst"], "assembled", closed=True)
+            parts.append(found.groupBy("kind").agg(F.count(F.lit(1)).alias("issues")).select(F.lit(("conflict_" if conflict else "") + n).alias("variant"), "kind", "issues"))
+    return union(parts)
+
+
+@query
+def diagram_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of modules and interfaces: none where copies agree, a code mismatch on each conflicting copy's interface."""
+    parts = []
+    for conflict in (False, True):
+        found = validation.diagram_issues(derived.diagram(spark, sf_dir, conflict), Library())
+        parts.append(found.groupBy("stage", "kind").agg(F.count(F.lit(1)).alias("issues")).withColumn("diagram", F.lit("conflict" if conflict else "derived")))
+    return union(parts).select("diagram", "stage", "kind", "issues")
+
+
+def scenario_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scenarios = [("obs", None, None), ("do0", TARGET, 0), ("do1", TARGET, 1)]
+    tables = under(derived.ground(spark, sf_dir), scenarios, do_library())
+    return evaluation.evaluate_tables(tables, do_library((TARGET, 0), (TARGET, 1)))
+
+
+@query
+def do_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables that an intervention changes, and the sizes that surgery leaves."""
+    values = scenario_values(spark, sf_dir).where("value = 1")
+    before = values.where("inst = 'obs'").select("var", F.col("mask").alias("obs"))
+    both = values.where("inst != 'obs'").join(before, "var")
+    return both.groupBy(F.col("inst").alias("scenario")).agg(F.sum((F.col("mask") != F.col("obs")).cast("long")).alias("changed"), F.count(F.lit(1)).alias("variables"))
+
+
+@query
+def surgery_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = under(derived.ground(spark, sf_dir), [("obs", None, None), ("do1", TARGET, 1)], do_library())
+    return counts(tables, "inst").withColumnRenamed("inst", "scenario")
+
+
+@query
+def law_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.laws(spark)
+
+
+@query
+def pushforward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P(var = 1) of every variable under each law, exact."""
+    values = evaluation.evaluate_tables(derived.ground(spark, sf_dir), Library()).where("value = 1")
+    return evaluation.masses(values, evaluation.laws(spark)).select("law", "var", "num", "den", fraction(F.col("num"), F.col("den")).alias("p"))
+
+
+def atoms_under_laws(atoms: DataFrame, spark: SparkSession) -> DataFrame:
+    return atoms.join(F.broadcast(evaluation.laws(spark)), "u_mask")  # 48 rows
+
+
+@query
+def total_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distance of laws over all variables: ground against assembled (none), observed against intervened."""
+    values = stored(scenario_values(spark, sf_dir), "values")
+    glued = assembly.assemble(derived.diagram(spark, sf_dir), deduplicate=True)
+    tables = {s: t.withColumn("inst", F.lit("assembled")) for s, t in glued.tables.items()}
+    whole = evaluation.evaluate_tables(tables, Library()).withColumn("var", F.regexp_replace("var", r"^m\d+\|m\d+_", ""))
+    atoms = stored(atoms_under_laws(evaluation.assignment_atoms(values.unionByName(whole)), spark), "atoms")
+    obs = atoms.where("inst = 'obs'")
+    parts = [evaluation.total_variation(obs, atoms.where(F.col("inst") == other)).select(F.lit(f"obs_{other}").alias("pair"), "law", "tv") for other in ("assembled", "do0", "do1")]
+    return union(parts)
+
+
+@query
+def local_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each module evaluated from the global values of its free variables, against the pull-back; conflicting copies differ."""
+    glued = assembly.assemble(derived.diagram(spark, sf_dir), deduplicate=True)
+    values = stored(evaluation.evaluate_tables(glued.tables, Library()), "values")
+    parts = []
+    for conflict in (False, True):
+        records = derived.modules(spark, sf_dir, conflict)[0]
+        qmap = glued.qmap.where("sort = 'Var'").select("module", F.col("rid").alias("var"), F.col("cid"))
+        pulled = stored(qmap.join(values.select(F.col("var").alias("cid"), "value", "mask"), "cid").select(F.col("module").alias("inst"), "var", "value", "mask"), "pulled")
+        free = records["Var"].where("role = 'exo' OR is_boundary").select(F.col("module").alias("inst"), F.col("rid").alias("var"))
+        start = pulled.join(free, ["inst", "var"]).withColumn("everything", F.lit(65535).cast("long"))
+        own = {s: t.drop("inst").withColumnRenamed("module", "inst") for s, t in records.items()}
+        local = evaluation.evaluate(own["Mech"], own["Input"], start, Library())
+        both = pulled.where("value = 1").join(local.where("value = 1").select("inst", "var", F.col("mask").alias("own")), ["inst", "var"], "left")
+        parts.append(both.groupBy(F.col("inst").alias("module")).agg(F.count(F.lit(1)).alias("variables"), F.sum((~F.col("mask").eqNullSafe(F.col("own"))).cast("long")).alias("mismatches")).withColumn("copies", F.lit("conflict" if conflict else "identical")))
+    return union(parts).select("copies", "module", "variables", "mismatches")
+
+
+def diagnostic_rows(spark: SparkSession) -> DataFrame:
+    """fixture, mode, valid, stages, kinds, fibers for the fixtures, raw and deduplicated."""
+    library = fixtures.library()
+    whole = fixtures.diagram(spark)
+    early = stored(validation.diagram_issues(whole, library), "issues")
+    bad = early.select("inst").distinct()
+    sound = Diagram({s: t.join(bad, "inst", "left_anti") for s, t in whole.records.items()}, whole.faces.join(bad, "inst", "left_anti"), whole.spans.join(bad, "inst", "left_anti"), {s: t.join(bad, "inst", "left_anti") for s, t in whole.overlaps.items()})
+    parts = []
+    for mode in ("raw", "deduplicated"):
+        glued = assembly.assemble(sound, mode == "deduplicated")
+        late = validation.model_issues(glued.tables, library, ["inst"], "assembled", closed=True)
+        issues = early.unionByName(late).groupBy("inst").agg(*[F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"{c}s") for c in ("stage", "kind")])
+        wide = assembly.fibers(glued.qmap).groupBy("inst").agg(F.count(F.lit(1)).alias("fibers"))
+        size = assembly.sizes(glued.tables).groupBy("inst").pivot("sort", list(SORTS)).agg(F.first("n"))
+        sizes = F.concat_ws("/", *[F.coalesce(s, F.lit(0)).cast("string") for s in SORTS])
+        rows = fixtures.expected(spark).select(F.col("fid").alias("inst")).join(issues, "inst", "left").join(wide, "inst", "left").join(size.withColumn("sizes", sizes), "inst", "left")
+        parts.append(rows.select(F.col("inst").alias("fixture"), F.lit(mode).alias("mode"), F.col("kinds").isNull().alias("valid"), F.coalesce("stages", F.lit("")).alias("stages"), F.coalesce("kinds", F.lit("")).alias("kinds"), F.coalesce("fibers", F.lit(0)).alias("fibers"), F.coalesce("sizes", F.lit("")).alias("sizes")))
+    return union(parts)
+
+
+@query
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostic_rows(spark)
+
+
+@query
+def diagnostic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validity by fixture and mode beside what is expected."""
+    wide = diagnostic_rows(spark).groupBy("fixture").pivot("mode", ["raw", "deduplicated"]).agg(F.first("valid"))
+    both = wide.join(fixtures.expected(spark).select(F.col("fid").alias("fixture"), F.col("raw").alias("want_raw"), F.col("deduplicated").alias("want_dedup")), "fixture")
+    met = (F.col("raw") == F.col("want_raw")) & (F.col("deduplicated") == F.col("want_dedup"))
+    return both.select("fixture", "raw", "deduplicated", met.alias("as_expected"), F.when(F.substring("fixture", 2, 2).cast("int") <= 15, "primary").otherwise("supporting").alias("scope"))
+
+
+@query
+def corrupted_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural issues of a ground model that was damaged by rule."""
+    tables = reports.damaged(derived.ground(spark, sf_dir))
+    return validation.structural_issues(tables, Library(), ["inst"], "local_module").groupBy("kind").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query
+def corrupted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model issues after some mechanisms are dropped, repeated, or lose an argument, and some arguments are repeated."""
+    tables = reports.mutilated(derived.ground(spark, sf_dir))
+    found = validation.model_issues(tables, Library(), ["inst"], "assembled", closed=True)
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query
+def certificate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of each part of the certificate, for the assembly and for one whose class map was falsified by rule."""
+    whole = derived.diagram(spark, sf_dir)
+    glued = assembly.assemble(whole, deduplicate=True)
+    false_map = glued.qmap.withColumn("cid", F.when((F.col("sort") == "Var") & (F.col("module") == "m1") & (F.regexp_extract("rid", r"_V(\d+)$", 1).try_cast("int") % 12 == 0), F.col("tag")).otherwise(F.col("cid")))
+    parts = [reports.certificate(whole, glued, m).withColumn("certificate", F.lit(n)) for n, m in (("true", glued.qmap), ("false", stored(false_map, "false")))]
+    return union(parts).select("certificate", "check", "violations")
+
+
+@query
+def reconstruction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether classes and ground records correspond one to one; variable-only gluing leaves copies apart."""
+    grounds = union([t.withColumn("sort", F.lit(s)) for s, t in derived.modules(spark, sf_dir)[1].items()])
+    target = union([t.select(F.lit(s).alias("sort"), F.col("rid").alias("ground")) for s, t in derived.ground(spark, sf_dir).items()])
+    return union([reports.reconstruction(a.qmap, grounds, target).select(F.lit(n).alias("variant"), "sort", "classes", "ambiguous", "doubled", "missing") for n, _, a in assembled(spark, sf_dir) if n != "full_dedup"])
+
+
+@query
+def commutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surgery after gluing against surgery on every copy before gluing: variables compared and values that differ."""
+    whole = derived.diagram(spark, sf_dir)
+    glued = assembly.assemble(whole, deduplicate=True)
+    library = do_library((TARGET, 1))
+    code = F.lit(f"DO::{TARGET}::1").alias("code")
+    is_target = F.substring_index("rid", "_", -1) == TARGET
+    after = evaluation.intervene(glued.tables, glued.tables["Var"].where(is_target).select("inst", F.col("rid").alias("var"), code))
+    before = reports.surgery_on_diagram(whole, whole.records["Var"].where(is_target).select("inst", F.col("rid").alias("var"), code))
+    again = assembly.assemble(before, deduplicate=True)
+    x = evaluation.evaluate_tables(after, library).where("value = 1").select("var", "mask")
+    y = evaluation.evaluate_tables(again.tables, library).where("value = 1").select("var", F.col("mask").alias("other"))
+    both = x.join(y, "var", "full_outer")
+    return both.agg(F.count(F.lit(1)).alias("variables"), F.sum((~F.col("mask").eqNullSafe(F.col("other"))).cast("long")).alias("mismatches"))
+
+
+@query
+def exact_checks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.exact_checks(reports.small_grid(spark))
+
+
+@query
+def grid_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.small_grid(spark).select("inst", F.sha2("inst", 256).alias("sha256"))
+
+
+@query
+def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.spread(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))
