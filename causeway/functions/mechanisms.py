@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.plans.storage import literal
+
 # The two domains.
 DOMAINS = {"bool": (0, 1), "tri": (0, 1, 2)}
 # Code, argument types, output type, function. Codes differ by name, not by table (ID and ID_ALIAS).
@@ -56,16 +58,16 @@ class Library:
 
     def codes_table(self, spark: SparkSession) -> DataFrame:
         """code, arity, output_type."""
-        return spark.createDataFrame([(c, len(s), o) for c, (s, o, _) in self.codes.items()], "code string, arity int, output_type string")
+        return literal(spark, [(c, len(s), o) for c, (s, o, _) in self.codes.items()], "code string, arity int, output_type string")
 
     def signatures(self, spark: SparkSession) -> DataFrame:
         """code, pos (from 1), type."""
-        return spark.createDataFrame([(c, i, t) for c, (s, _, _) in self.codes.items() for i, t in enumerate(s, 1)], "code string, pos int, type string")
+        return literal(spark, [(c, i, t) for c, (s, _, _) in self.codes.items() for i, t in enumerate(s, 1)], "code string, pos int, type string")
 
     def truth(self, spark: SparkSession) -> DataFrame:
         """code, row, a1, a2, a3 (null beyond the arity), value."""
         rows = [(c, i, *[*args, None, None, None][:3], v) for c, (_, _, t) in self.codes.items() for i, (args, v) in enumerate(t.items())]
-        return spark.createDataFrame(rows, "code string, row int, a1 int, a2 int, a3 int, value int")
+        return literal(spark, rows, "code string, row int, a1 int, a2 int, a3 int, value int")
 
     def truth_slots(self, spark: SparkSession) -> DataFrame:
         """code, row, pos, required: truth rows by argument."""
@@ -74,7 +76,7 @@ class Library:
 
 
 def domain_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, v) for t, vs in DOMAINS.items() for v in vs], "type string, value int")
+    return literal(spark, [(t, v) for t, vs in DOMAINS.items() for v in vs], "type string, value int")
 
 
 def totality(library: Library, spark: SparkSession) -> DataFrame:
@@ -97,9 +99,10 @@ def replacements(library: Library, spark: SparkSession) -> DataFrame:
 
 def fraction(num: F.Column, den: F.Column) -> F.Column:
     """A reduced fraction as text, by Euclid's algorithm; whole numbers have no denominator."""
-    start = F.struct(F.abs(num).alias("a"), den.alias("b"))
+    num, den = num.cast("long"), den.cast("long")
+    start = F.struct(F.abs(num).alias("a"), F.coalesce(den, F.lit(1).cast("long")).alias("b"))
     steps = F.sequence(F.lit(1), F.lit(64))
-    last = F.aggregate(steps, start, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b"))))
+    last = F.aggregate(steps, start, lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.coalesce(F.try_mod(s["a"], s["b"]), F.lit(0)).cast("long").alias("b")))
     g = F.when(last["a"] == 0, 1).otherwise(last["a"])
     top, bottom = (num / g).cast("long"), (den / g).cast("long")
     return F.when(bottom == 1, top.cast("string")).otherwise(F.concat_ws("/", top.cast("string"), bottom.cast("string")))

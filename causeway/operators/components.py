@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.plans.storage import stored
+from causeway.plans.storage import stored_with
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,16 +17,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a table in the shared folder; of it only a count and a checksum reach the driver.
     """
     pairs = edges.where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
-    stars = stored(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = None
+    stars, seen = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), None
     while True:
-        mark = stars.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if (mark["n"], mark["x"]) == seen or not mark["n"]:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
-        seen = (mark["n"], mark["x"])
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = stored(small.union(least).distinct(), "stars")
+        stars, mark = stored_with(small.union(least).distinct(), "stars", F.expr("bit_xor(xxhash64(u, v))"))
+        if mark == seen or not mark[0]:
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+        seen = mark

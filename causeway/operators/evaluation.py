@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.mechanisms import Library, domain_table, fraction
-from causeway.plans.storage import stored
+from causeway.plans.storage import stored, stored_with
 
 
 def assignments(free: DataFrame) -> DataFrame:
@@ -38,28 +38,31 @@ def evaluate(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Libra
     """
     spark = mech.sparkSession
     # The library has a few rows for each declared code.
-    codes, rows, needs = (F.broadcast(t) for t in (library.codes_table(spark), library.truth(spark).select("code", "row", "value"), library.truth_slots(spark)))
-    everything = stored(start.select("inst", "everything").distinct(), "everything")
-    mech = stored(mech.join(codes, "code").join(everything, "inst", "left").withColumn("everything", F.coalesce("everything", F.lit(1).cast("long"))), "mech")
+    tables = (library.codes_table(spark), library.truth(spark).select("code", "row", "value"), library.truth_slots(spark), domain_table(spark))
+    codes, rows, needs, domains = map(F.broadcast, tables)
+    everything = start.select("inst", "everything").distinct()
     slots = stored(slots.select("inst", "mech", "pos", "var"), "slots")
+    mech = mech.join(codes, "code").join(everything, "inst", "left").withColumn("everything", F.coalesce("everything", F.lit(1).cast("long")))
+    mech = stored(mech, "mech")
     values = stored(start.select("inst", "var", "value", "mask", F.lit(0).alias("level")), "values")
     level = 0
     while True:
         level += 1
         known = values.select("inst", "var").distinct()
         pending = mech.join(known.withColumnRenamed("var", "output"), ["inst", "output"], "left_anti")
-        have = slots.join(known, ["inst", "var"], "left_semi").groupBy("inst", F.col("mech").alias("rid")).agg(F.count(F.lit(1)).alias("have"))
-        ready = stored(pending.join(have, ["inst", "rid"], "left").where(F.coalesce("have", F.lit(0)) == F.col("arity")), "ready")
-        if not ready.head(1):
-            return values
+        have = slots.join(known, ["inst", "var"]).groupBy("inst", F.col("mech").alias("rid")).agg(F.count(F.lit(1)).alias("have"))
+        ready = pending.join(have, ["inst", "rid"], "left").where(F.coalesce("have", F.lit(0)) == F.col("arity"))
         asked = ready.select("inst", F.col("rid").alias("mech"), "code").join(slots, ["inst", "mech"]).join(needs, ["code", "pos"])
         met = asked.join(values.select("inst", "var", F.col("value").alias("required"), "mask"), ["inst", "var", "required"])
         met = met.groupBy("inst", F.col("mech").alias("rid"), "row").agg(F.bit_and("mask").alias("mask"))
         held = ready.join(rows, "code").join(met, ["inst", "rid", "row"], "left").withColumn("mask", F.coalesce("mask", "everything"))
-        held = held.groupBy("inst", "output", "value").agg(F.bit_or("mask").alias("mask"))
-        all_values = ready.select("inst", "output", F.col("output_type").alias("type")).distinct().join(F.broadcast(domain_table(spark)), "type")  # five rows
-        new = all_values.join(held, ["inst", "output", "value"], "left").select("inst", F.col("output").alias("var"), "value", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"), F.lit(level).alias("level"))
-        values = stored(values.unionByName(new), "values")
+        held = held.groupBy("inst", "output", "output_type").agg(F.collect_list(F.struct("value", "mask")).alias("held"))
+        both = held.join(domains, F.col("output_type") == F.col("type"))
+        mask = F.aggregate(F.filter("held", lambda x: x["value"] == F.col("value")), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["mask"]))
+        new, (count,) = stored_with(both.select("inst", F.col("output").alias("var"), "value", mask.alias("mask"), F.lit(level).alias("level")), "values")
+        if not count:
+            return values
+        values = values.unionByName(new)
 
 
 def free_variables(tables: dict[str, DataFrame], closed: bool) -> DataFrame:

@@ -11,6 +11,7 @@ from causeway.operators import evaluation
 from causeway.operators.assembly import Assembly, arrows_to_classes, classes, tags
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram, overlaps_from_left
 from causeway.operators.validation import edges, levels, union
+from causeway.plans.storage import literal
 
 
 def small_grid(spark: SparkSession) -> DataFrame:
@@ -81,7 +82,7 @@ def certificate(diagram: Diagram, glued: Assembly, qmap: DataFrame) -> DataFrame
         ordered = ordered.join(ranks.select("inst", F.col("rid").alias(column), F.col("level").alias(f"{column}_rank")), ["inst", column], "left")
     back = ordered.where("NOT coalesce(cause_rank < effect_rank, false)").select(F.lit("ranks_ascend").alias("check"))
     found = union([total, differ, torn, *descend, back]).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
-    names = diagram.faces.sparkSession.createDataFrame([(c,) for c in ("tags_total", "pairs_generate", "interfaces_respected", "rows_descend", "ranks_ascend")], "check string")
+    names = literal(diagram.faces.sparkSession, [(c,) for c in ("tags_total", "pairs_generate", "interfaces_respected", "rows_descend", "ranks_ascend")], "check string")
     return names.join(found, "check", "left").select("check", F.coalesce("n", F.lit(0)).alias("violations"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.mechanisms import DOMAINS, Library
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram
-from causeway.plans.storage import stored
+from causeway.plans.storage import literal, stored, stored_with
 
 
 def issue(rows: DataFrame, stage: str, kind: str, record: str | F.Column) -> DataFrame:
@@ -25,7 +25,7 @@ def structural_issues(tables: dict[str, DataFrame], library: Library, scope: lis
     """Broken arrows, missing or illegal attributes, unknown codes and positions; scope names the columns that bound ids (inst, module)."""
     spark = tables["Var"].sparkSession
     if set(tables) != set(SORTS):
-        return spark.createDataFrame([("", stage, "entity_tables", ",".join(sorted(tables)))], "inst string, stage string, kind string, record string")
+        return literal(spark, [("", stage, "entity_tables", ",".join(sorted(tables)))], "inst string, stage string, kind string, record string")
     parts = []
     for sort in SORTS:
         rows = tables[sort]
@@ -86,15 +86,15 @@ def levels(found: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:
     One round a level; each works on the nodes that are left.
     """
     found = stored(found, "edges")
-    left = stored(nodes.distinct(), "nodes")
+    nodes = stored(nodes.distinct(), "nodes")
     done, level = None, 0
     while True:
-        blocked = found.join(left.withColumnRenamed("rid", "cause"), [*scope, "cause"], "left_semi").select(*scope, F.col("effect").alias("rid")).distinct()
-        free = stored(left.join(blocked, [*scope, "rid"], "left_anti").withColumn("level", F.lit(level)), "level")
-        if not free.head(1):
+        left = nodes if done is None else nodes.join(done, [*scope, "rid"], "left_anti")
+        blocked = found.join(left.withColumnRenamed("rid", "cause"), [*scope, "cause"], "left_semi").select(*scope, F.col("effect").alias("rid"))
+        free, (count,) = stored_with(left.join(blocked, [*scope, "rid"], "left_anti").withColumn("level", F.lit(level)), "level")
+        if not count:
             return free if done is None else done
         done = free if done is None else done.unionByName(free)
-        left = stored(left.join(free, [*scope, "rid"], "left_anti"), "nodes")
         level += 1
 
 

@@ -56,7 +56,7 @@ full_vals AS (SELECT *, xor(y, uz) AS z FROM vals)"""
 SQL: dict[str, str] = {
     "running_example_values": f"WITH {EXAMPLE} SELECT context, ux, uy, uz, x, y, z FROM full_vals",
     "running_example_response": f"WITH {EXAMPLE}, s AS (SELECT context, CAST(sum(CASE WHEN z = 1 THEN CASE WHEN uz = 1 THEN 1 ELSE 4 END ELSE 0 END) AS BIGINT) AS n FROM full_vals GROUP BY context) SELECT context, {fraction('n', '20')} AS p_z1 FROM s",
-    "truth_table": f"WITH {TRUTH} SELECT code, a1, a2, a3, CAST(value AS INT) AS value FROM truth",
+    "truth_table": f"WITH {TRUTH} SELECT code, coalesce(a1, -1) AS a1, coalesce(a2, -1) AS a2, coalesce(a3, -1) AS a3, CAST(value AS INT) AS value FROM truth",
     "library_totality": f"WITH {TRUTH}, c AS (SELECT code, sig, count(*) AS rows FROM truth GROUP BY code, sig), e AS (SELECT code, CAST(CASE WHEN sig = '' THEN 0 ELSE len(string_split(sig, ',')) END AS INT) AS arity, rows, CASE sig WHEN '' THEN 1 WHEN 'bool' THEN 2 WHEN 'tri' THEN 3 WHEN 'bool,bool' THEN 4 ELSE 8 END AS expected FROM c) SELECT code, arity, rows, CAST(expected AS BIGINT) AS expected, rows = expected AS total FROM e",
     "conflict_codes": f"WITH {TRUTH}, t AS (SELECT code, sig, out, string_agg(value, '' ORDER BY a1, a2, a3) AS tab FROM truth GROUP BY ALL) SELECT a.code, min(b.code) AS replacement FROM t a JOIN t b ON a.sig = b.sig AND a.out = b.out AND a.tab <> b.tab AND b.code NOT LIKE '%\\_ALIAS' ESCAPE '\\' GROUP BY a.code",
     "model_sizes": f"WITH {EQ} SELECT 'Var' AS sort, 4 + count(*) AS n FROM eq UNION ALL SELECT 'Mech', count(*) FROM eq UNION ALL SELECT 'Input', count(*) FROM slot UNION ALL SELECT 'Dep', count(*) FROM slot",

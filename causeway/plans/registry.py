@@ -11,7 +11,7 @@ from causeway.functions.mechanisms import Library, fraction, replacements, total
 from causeway.operators import assembly, evaluation, reports, validation
 from causeway.operators.diagram import SORTS, Diagram
 from causeway.plans.oracle import SQL
-from causeway.plans.storage import stored
+from causeway.plans.storage import literal, stored
 from causeway.sources import derived, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +32,7 @@ def under(tables: dict[str, DataFrame], scenarios: list[tuple[str, str | None, i
     names = F.explode(F.array(*[F.lit(n) for n, _, _ in scenarios]))
     copies = {s: t.withColumn("inst", names) for s, t in tables.items()}
     hits = [(n, var(v), f"DO::{v}::{x}") for n, v, x in scenarios if v]
-    return evaluation.intervene(copies, spark.createDataFrame(hits, "inst string, var string, code string")) if hits else copies
+    return evaluation.intervene(copies, literal(spark, hits, "inst string, var string, code string")) if hits else copies
 
 
 def do_library(*targets: tuple[str, int]) -> Library:
@@ -69,7 +69,8 @@ def running_example_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Library().truth(spark).drop("row")
+    """Arguments beyond the arity are -1."""
+    return Library().truth(spark).drop("row").fillna(-1, ["a1", "a2", "a3"])
 
 
 @query

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table given in the code, as a local relation of the plan."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = to_arrow_schema(spark.createDataFrame(pa.table({"x": pa.array([], pa.int32())})).select(*[F.lit(None).cast(c.split(" ", 1)[1]).alias(n) for c, n in zip(schema.split(", "), names)]).schema)
+    columns = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(list(c), kinds.field(n).type) for c, n in zip(columns, names)], names=names))
+
+
+def stored_with(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, tuple]:
+    """stored(), and aggregates of its rows from the same job: their count, then metrics."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(metrics)]), label)
+    got = seen.get
+    return out, (got["n"], *(got[f"m{i}"] for i in range(len(metrics))))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as a table and read back: cuts the lineage of loops and survives lost executors."""
     spark = df.sparkSession

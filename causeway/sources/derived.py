@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators.diagram import SORTS, Diagram, from_equations, overlaps_from_left
+from causeway.plans.storage import literal, stored
 
 # The code by p_size % 10, and its arity.
 CODES = ("ZERO", "ONE", "ID", "NOT", "AND", "OR", "XOR", "AND_NOT", "XOR3", "MAJ3")
@@ -42,7 +43,7 @@ def ground(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     exo = spark.range(4).select(F.concat(F.lit("U"), "id").alias("rid"), F.lit("exo").alias("role"))
     var = exo.union(eq.select(F.col("output").alias("rid"), F.lit("endo").alias("role")))
     variables = var.select(F.lit("ground").alias("inst"), F.lit("g").alias("module"), "rid", F.lit("bool").alias("type"), "role", F.lit(False).alias("is_boundary"))
-    return {s: t.drop("module") for s, t in from_equations(variables, rows).items()}
+    return {s: stored(t.drop("module"), s) for s, t in from_equations(variables, rows).items()}
 
 
 def modules(spark: SparkSession, sf_dir: str, conflict: bool = False) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -71,6 +72,8 @@ def modules(spark: SparkSession, sf_dir: str, conflict: bool = False) -> tuple[d
 def diagram(spark: SparkSession, sf_dir: str, conflict: bool = False) -> Diagram:
     """The four modules with an interface for each pair, on every record they share."""
     records, grounds = modules(spark, sf_dir, conflict)
+    records = {s: stored(t, s) for s, t in records.items()}
+    grounds = {s: records[s].select("inst", "module", "rid", F.regexp_replace("rid", "m[0-9]+_", "").alias("ground")) for s in SORTS}
     spans = None
     for s in SORTS:
         left, right = grounds[s].select("inst", F.col("module").alias("left"), F.col("rid").alias("left_rid"), "ground"), grounds[s].select("inst", F.col("module").alias("right"), F.col("rid").alias("right_rid"), "ground")
@@ -78,5 +81,6 @@ def diagram(spark: SparkSession, sf_dir: str, conflict: bool = False) -> Diagram
         part = both.select("inst", F.concat_ws("-", "left", "right").alias("iface"), F.lit(s).alias("sort"), F.concat(F.lit(f"o:{s}:"), "ground").alias("rid"), "left_rid", "right_rid")
         spans = part if spans is None else spans.unionByName(part)
     names = [(f"m{i}", f"m{j}") for i in range(4) for j in range(i + 1, 4)]
-    faces = spark.createDataFrame([("conflict" if conflict else "derived", f"{a}-{b}", a, b) for a, b in names], "inst string, iface string, left string, right string")
+    faces = literal(spark, [("conflict" if conflict else "derived", f"{a}-{b}", a, b) for a, b in names], "inst string, iface string, left string, right string")
+    spans = stored(spans, "spans")
     return Diagram(records, faces, spans, overlaps_from_left(records, faces, spans))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from causeway.functions.mechanisms import Library
 from causeway.operators.diagram import Diagram, common_spans, from_equations, overlaps_from_left
+from causeway.plans.storage import literal, stored
 
 ALL = ("Var", "Mech", "Input", "Dep")
 
@@ -49,7 +50,7 @@ def library() -> Library:
 
 def expected(spark: SparkSession) -> DataFrame:
     """fid, raw, deduplicated."""
-    return spark.createDataFrame([(f, raw, dedup) for f, (_, _, raw, dedup) in SPECS.items()], "fid string, raw boolean, deduplicated boolean")
+    return literal(spark, [(f, raw, dedup) for f, (_, _, raw, dedup) in SPECS.items()], "fid string, raw boolean, deduplicated boolean")
 
 
 def diagram(spark: SparkSession, only: tuple[str, ...] | None = None) -> Diagram:
@@ -67,10 +68,12 @@ def diagram(spark: SparkSession, only: tuple[str, ...] | None = None) -> Diagram
             allowed += [(fid, f"i{k}", s) for s in sorts]
             given += [(fid, f"i{k}", s, f"o:{s}:{a}", a, b) for s, ps in pairs.items() for a, b in ps]
     records = from_equations(
-        spark.createDataFrame(variables, "inst string, module string, rid string, type string, role string, is_boundary boolean"),
-        spark.createDataFrame(equations, "inst string, module string, output string, code string, args array<string>"),
+        literal(spark, variables, "inst string, module string, rid string, type string, role string, is_boundary boolean"),
+        literal(spark, equations, "inst string, module string, output string, code string, args array<string>"),
     )
-    face_table = spark.createDataFrame(faces, "inst string, iface string, left string, right string")
-    spans = common_spans(records, face_table, spark.createDataFrame(allowed, "inst string, iface string, sort string"))
-    spans = spans.unionByName(spark.createDataFrame(given, "inst string, iface string, sort string, rid string, left_rid string, right_rid string"))
+    records = {s: stored(t, s) for s, t in records.items()}
+    face_table = literal(spark, faces, "inst string, iface string, left string, right string")
+    spans = common_spans(records, face_table, literal(spark, allowed, "inst string, iface string, sort string"))
+    spans = spans.unionByName(literal(spark, given, "inst string, iface string, sort string, rid string, left_rid string, right_rid string"))
+    spans = stored(spans, "spans")
     return Diagram(records, face_table, spans, overlaps_from_left(records, face_table, spans))
