@@ -54,6 +54,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat[order], who[order]
 
 
+def gram_lists(words: list[str], step: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, one word after the other, and where each word begins; made in parts to keep memory low."""
+    flat, sizes = [np.zeros(0, "i4")], [np.zeros(0, "i8")]
+    for at in range(0, len(words), step):
+        part = words[at : at + step]
+        ids, who = features(part)
+        flat.append(ids)
+        sizes.append(np.bincount(who, minlength=len(part)))
+    return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 @dataclass
 class Model:
     """vectors: BUCKETS x DIMENSIONS; weights: DIMENSIONS x 2; bias: 2."""
@@ -91,8 +102,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64,
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return model
-    flat, who = features(list(number))
-    first = np.searchsorted(who, np.arange(len(number) + 1))
+    flat, first = gram_lists(list(number))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     past_v, past_w, past_b = np.full(vectors.shape, 1e-5, "f4"), np.full(weights.shape, 1e-3, "f4"), np.full(2, 1e-3, "f4")
     for _ in range(epochs):
@@ -167,7 +177,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", most: int = 5000, most_chars: int = 40_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", most: int = 2500, most_chars: int = 16_000_000) -> Model:
     """Fits a model on labelled rows that aren't held out.
 
     At most `most` rows of each label, in the order of a hash of doc_id, and most_chars characters in all, so the driver
@@ -187,7 +197,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         if r["__room"] <= room:
             rows.append((r["doc_id"], r["__text"], r["__y"]))
             room -= r["__room"]
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    texts, labels = [r[1] for r in rows], [r[2] for r in rows]
+    del rows
+    return train(texts, labels)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
