@@ -25,7 +25,7 @@ from causeway.llm.common import bound_batches, small_batches
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Distinct words kept with their ids in a Python worker; beyond it, the cache starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -41,7 +41,7 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Splits batches so that the texts of each have about limit bytes; a longer text stands alone, whole."""
     for batch in batches:
         start, held = 0, 0

@@ -33,7 +33,7 @@ NO, YES, IF_LAST = range(3)
 #: Characters a chunk of the splitter.
 CHUNK = 256
 #: Compiled states of the counter in a Python worker; beyond it, compilation starts anew.
-COMPILED_STATES = 160_000
+COMPILED_STATES = 120_000
 
 
 def _compile_splitter() -> tuple[np.ndarray, np.ndarray]:

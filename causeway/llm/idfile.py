@@ -25,7 +25,7 @@ from causeway.llm.common import bound_batches, materialise, shared_dir, small_ba
 #: Ids a block aims at; a longer document makes a longer block.
 BLOCK_IDS = 65_536
 #: Distinct chunks kept with their ids in a Python worker; beyond it, the cache starts anew.
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
 #: Lengths of the four ranks that a control byte describes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype("u1") + 1
 

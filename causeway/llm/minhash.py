@@ -1,11 +1,11 @@
 """Near-duplicate documents: universal hash minima, banding, verification on full sets, components.
 
 Documents with equal shingle sets are one class first; its smallest doc_id stands for it. Minima are banded, and what
-shares a bucket is compared in three rounds, each of which adds links confirmed on full shingle sets and merges
-components: (1) every member with its best bucket centre; (2) in each bucket of several components, a maximum spanning
-forest of estimated similarities; (3) whatever pairs of different components are left. Pairs inside a component are
-never formed, so a large group of copies costs a star. Buckets are cut into blocks of bounded size, compared block by
-block.
+shares a bucket is compared in three rounds, each of which confirms links on full shingle sets and merges components:
+(1) every member with the bucket centre it meets most often; (2) the members of a block of each document's largest
+bucket; (3) all pairs of different components that share a bucket, block by block. In a block, pairs are taken by
+falling estimate and need no look once confirmed links join them, so a block gives fewer links than it has members, and
+a large group of copies costs stars. Pairs inside a component are never formed.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ DEVIATIONS = 4.0
 BLOCK = 256
 #: Ids broadcast at most (16 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
-CACHED_WORDS, CACHED_SETS = 500_000, 20_000
+CACHED_WORDS, CACHED_SETS = 200_000, 10_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -171,8 +171,8 @@ def estimated(pairs: DataFrame, reps: DataFrame, least: float, percent: int) ->
     return near.select("u", "v", "bytes_u", "bytes_v").mapInArrow(run, "u long, v long, agree int")
 
 
-def cells(members: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
-    """cell, kind, doc_id, component, n, bytes: the blocks of buckets with several components.
+def cells(members: DataFrame, classes: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, x, y, rest, doc_id, component, n, bytes, bands, set: the blocks of buckets with several components.
 
     The component of a bucket's centre is its main one, the others are the rest. A block of main members meets each
     block of the rest, and blocks of the rest meet each other.
@@ -188,71 +188,92 @@ def cells(members: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
     rest_cells = F.transform(rests, lambda j: F.struct((-1 - F.least(F.col("block"), j)).alias("x"), F.greatest(F.col("block"), j).alias("y")))
     main_cells = F.transform(rests, lambda j: F.struct(F.col("block").alias("x"), j.alias("y")))
     spread = placed.withColumn("at", F.explode(F.when(F.col("rest"), F.concat(mixed_cells, rest_cells)).otherwise(main_cells)))
-    return spread.join(reps.select("doc_id", "n", "bytes"), "doc_id").select("bucket", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "rest", "doc_id", "component", "n", "bytes")
+    return spread.select("bucket", "at.x", "at.y", "rest", "doc_id", "component").join(reps, "doc_id").join(sets, "doc_id")
 
 
-def cell_pairs(spread: DataFrame, least: float, percent: int, spanning: bool) -> DataFrame:
-    """u, v: promising pairs of different components, in each cell those of a maximum spanning forest or all."""
+def own_cells(members: DataFrame, classes: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """As cells(), but each document of a bucket with several components is in one block of its largest such bucket alone."""
+    named = members.join(classes.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    largest = named.join(sizes, "bucket").groupBy("doc_id", "component").agg(F.max(F.struct("size", "bucket")).alias("b"))
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("b.size") / BLOCK)).cast("int")
+    return largest.select(F.col("b.bucket").alias("bucket"), (-1 - block).alias("x"), block.alias("y"), F.lit(True).alias("rest"), "doc_id", "component").join(reps, "doc_id").join(sets, "doc_id")
+
+
+def cell_links(spread: DataFrame, least: float, percent: int, everywhere: bool) -> DataFrame:
+    """u, v: links confirmed on full sets that join components inside each cell.
+
+    A cell's promising pairs of different components are taken by falling estimate, and passed over only if confirmed
+    links of the cell join them already. Where a pair shares several buckets, all but the first band are spared
+    (everywhere).
+    """
 
-    def pairs(rest: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, data: np.ndarray, apart: bool) -> list[tuple[int, int]]:
+    def links(bucket: int, rest: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, data: np.ndarray, bands: np.ndarray, sets: list[bytes], apart: bool) -> list[tuple[int, int]]:
         found: list[tuple[int, int, int]] = []
+        band = int(np.argmax(bands[0] == bucket))
         for i in np.flatnonzero(rest):
             ok = (component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             ok &= ~rest if apart else ids > ids[i]
             at = np.flatnonzero(ok)
+            if everywhere and band and len(at):
+                at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
             if len(at):
                 agree = (data[at] == data[i]).sum(axis=1)
                 found += [(int(s), int(i), int(j)) for s, j in zip(agree, at) if s >= least]
-        if spanning:
-            top: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while top.setdefault(x, x) != x:
-                    top[x] = x = top[top[x]]
-                return x
-
-            kept = []
-            for s, i, j in sorted(found, reverse=True):
-                x, y = root(int(component[i])), root(int(component[j]))
-                if x != y:
-                    top[x] = y
-                    kept.append((s, i, j))
-            found = kept
-        return [(int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))) for _, i, j in found]
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        out, full = [], {}
+        for _, i, j in sorted(found, reverse=True):
+            x, y = root(int(component[i])), root(int(component[j]))
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in full:
+                    full[k] = np.frombuffer(sets[k], "u8")
+            shared = len(np.intersect1d(full[i], full[j], assume_unique=True))
+            if 100 * shared >= percent * (len(full[i]) + len(full[j]) - shared):
+                top[x] = y
+                out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
-        def done(table: pa.RecordBatch) -> list[tuple[int, int]]:
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(waiting).combine_chunks()
             cell = np.stack([table.column(c).to_numpy() for c in ("bucket", "x", "y")], axis=1)
             cut = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
-            rest = table.column("rest").to_numpy(zero_copy_only=False)
+            rest = table.column("rest").to_numpy()
             ids, component, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "n"))
             data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), "u1").reshape(-1, BANDS * ROWS)
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             out: list[tuple[int, int]] = []
             for a, b in zip([0, *cut], [*cut, len(rest)]):
-                out += pairs(rest[a:b], ids[a:b], component[a:b], n[a:b], data[a:b], bool(cell[a, 1] >= 0))
-            return out
-
-        def emit(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["u", "v"])
+                if b - a > 1:
+                    out += links(int(cell[a, 0]), rest[a:b], ids[a:b], component[a:b], n[a:b], data[a:b], bands[a:b], table.column("set")[a:b].to_pylist(), bool(cell[a, 1] >= 0))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             cell = np.stack([batch.column(c).to_numpy() for c in ("bucket", "x", "y")], axis=1)
-            start = int(np.flatnonzero((cell != cell[-1]).any(axis=1))[-1]) + 1 if (cell != cell[-1]).any() else 0
-            if start or waiting and any(waiting[0].column(c)[-1] != batch.column(c)[0] for c in ("bucket", "x", "y")):
-                whole = pa.Table.from_batches([*waiting, batch.slice(0, start)]).combine_chunks().to_batches()
-                if whole:
-                    yield emit(done(whole[0]))
+            other = np.flatnonzero((cell != cell[-1]).any(axis=1))
+            start = int(other[-1]) + 1 if len(other) else 0
+            if start or waiting and any(waiting[-1].column(c)[-1] != batch.column(c)[0] for c in ("bucket", "x", "y")):
+                waiting.append(batch.slice(0, start))
+                yield done()
                 waiting = []
             waiting.append(batch.slice(start))
         if waiting:
-            yield emit(done(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]))
+            yield done()
 
-    dealt = spread.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    dealt = spread.select("bucket", "x", "y", "rest", "doc_id", "component", "n", "bytes", "bands", "set").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -278,16 +299,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     met = members.where("doc_id != centre").groupBy(F.col("doc_id").alias("u"), F.col("centre").alias("v")).agg(F.count(F.lit(1)).alias("bands"))
     best = met.groupBy("u").agg(F.max(F.struct("bands", (-F.col("v")).alias("v"))).alias("b")).select("u", (-F.col("b.v")).alias("v"))
     best = estimated(best, reps, least, percent).select("u", "v")
-    tested = materialise(best, "pairs")
-    links = materialise(confirmed(tested, sets, percent), "links")
+    links = materialise(confirmed(best, sets, percent), "links")
     merged = components(links, "u", "v")
-    for spanning in (True, False):
-        found = cell_pairs(cells(members, merged, reps), least, percent, spanning)
-        found = materialise(found.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if not found.head(1):
-            break
-        more = confirmed(found, sets, percent)
-        tested = tested.union(found)
+    for cut, everywhere in ((own_cells, False), (cells, True)):
+        more = cell_links(cut(members, merged, reps, sets), least, percent, everywhere)
         links = materialise(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "links")
         merged = components(links, "u", "v")
     named = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))

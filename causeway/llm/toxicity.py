@@ -24,7 +24,7 @@ BUCKETS, DIMENSIONS, NGRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 2
 #: Scores from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Words kept with their scores in a Python worker; beyond it, the cache starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 EDGES = ".,;:!?#%&*$|\"'()[]{}<>-_/\\"
 
 
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(table, bias)
-        for batch in small_batches(batches, "__text", 8_000_000):
+        for batch in small_batches(batches, "__text"):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scorer.scores(batch.column("__text").to_pylist()), pa.float64())], names=[*keep, "score"])
 
     return picked.mapInArrow(run, T.StructType(fields))
