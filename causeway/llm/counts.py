@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from causeway.llm.bpe import CACHED_WORDS, Vocabulary, vocabulary
+from causeway.llm.bpe import Vocabulary, vocabulary
 from causeway.llm.common import bound_batches, small_batches
 
 # Classes of characters. APOS2 and APOS3 are apostrophes that could begin a contraction of 2 or 3 characters.
@@ -32,8 +32,10 @@ FRESH, AFTER_LETTER, AFTER_NUMBER, AFTER_OTHER, AFTER_SPACE, AFTER_WHITE, SKIP1,
 NO, YES, IF_LAST = range(3)
 #: Characters a chunk of the splitter.
 CHUNK = 256
+#: Words kept with their counts in a Python worker; beyond it, the cache starts anew.
+CACHED_WORDS = 1_000_000
 #: Compiled states of the counter in a Python worker; beyond it, compilation starts anew.
-COMPILED_STATES = 120_000
+COMPILED_STATES = 200_000
 
 
 def _compile_splitter() -> tuple[np.ndarray, np.ndarray]:
