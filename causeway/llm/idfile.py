@@ -15,7 +15,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from causeway.llm.common import bound_batches, materialise, shared_dir, small_ba
 #: Ids a block aims at; a longer document makes a longer block.
 BLOCK_IDS = 65_536
 #: Distinct chunks kept with their ids in a Python worker; beyond it, the cache starts anew.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 1_000_000
 #: Lengths of the four ranks that a control byte describes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype("u1") + 1
 
@@ -55,9 +54,6 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class LibraryEncoder:
     """Ids by the tokenizers library. No pre-token of the vocabulary crosses a blank, so blank-separated chunks encode alone and are cached."""
 
-    #: Blanks at which texts are cut before the library sees them; all others it treats itself.
-    BLANKS = regex.compile(r"[\t\n\r]")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -67,7 +63,8 @@ class LibraryEncoder:
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.BLANKS.sub(" ", t).split(" ") if t else [] for t in texts]
+        # Only these blanks cut; all others the library treats itself.
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         distinct: set[str] = set()
         for chunks in split:
             distinct.update(chunks)
