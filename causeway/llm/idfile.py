@@ -25,6 +25,12 @@ from causeway.llm.common import bound_batches, materialise, shared_dir, small_ba
 BLOCK_IDS = 65_536
 #: Distinct chunks kept with their ids in a Python worker; beyond it, the cache starts anew.
 CACHED_CHUNKS = 1_000_000
+#: New chunks that the library gets in one text.
+JOINED = 100
+#: The character between them.
+MARK = "\x01"
+#: Marks behind a word that are encoded apart from it.
+MARKS = ".,;:!?"
 #: Lengths of the four ranks that a control byte describes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype("u1") + 1
 
@@ -52,7 +58,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. No pre-token of the vocabulary crosses a blank, so blank-separated chunks encode alone and are cached."""
+    """Ids by the tokenizers library, for vocabularies of words: none of their pre-tokens crosses a blank or joins a letter or digit to a mark.
+
+    So blank-separated chunks encode alone and are cached, and so are a word and the marks behind it. New chunks go to the
+    library in one text, MARK between them: its id, which no other character gives, tells where a chunk's ids end.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,9 +70,31 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, chunks: list[str]) -> None:
+        """Puts the ids of chunks into the cache; those that hold MARK, and all where it gives other than one id, go alone."""
+        for i in range(0, len(chunks), JOINED):
+            part = chunks[i : i + JOINED]
+            joined = f" {MARK} ".join(part)
+            if len(self.mark) == 1 and joined.count(MARK) == len(part) - 1:
+                ids = self.ids(joined)
+                ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+                if len(ends) == len(part):
+                    raw, at = ids.tobytes(), 0
+                    for c, end in zip(part, (4 * ends).tolist()):
+                        self.cache[c] = raw[at:end]
+                        at = end + 4
+                    continue
+            for c in part:
+                self.cache[c] = self.ids(c).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         # Only these blanks cut; all others the library treats itself.
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         distinct: set[str] = set()
@@ -72,12 +104,20 @@ class LibraryEncoder:
         if len(self.cache) + len(new) > CACHED_CHUNKS:
             self.cache.clear()
             new = list(distinct)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
+        cut, needed = {}, set()
+        for c in new:
+            word = c.rstrip(MARKS)
+            # Lower-casing may end in an accent, which joins marks; beyond Latin letters the library may class characters otherwise.
+            if word and word != c and word[-1] < "\u0250" and word[-1].lower().isalnum():
+                cut[c] = (word, c[len(word) :])
+                needed.update(cut[c])
+            else:
+                needed.add(c)
+        self.learn([c for c in needed if c not in self.cache])
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)), "<u4") for chunks in split]
+        for c, (word, marks) in cut.items():
+            self.cache[c] = get(word) + get(marks)
+        return [b"".join(map(get, chunks)) for chunks in split]
 
 
 @lru_cache(maxsize=2)
@@ -88,22 +128,40 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def binaries(size: np.ndarray, data: bytes | np.ndarray) -> pa.Array:
+    """Binary values of these sizes that lie one behind the other in data."""
+    if memoryview(data).nbytes >= 1 << 31:
+        raise ValueError("a batch's ids take 2 GB or more")
+    ends = np.zeros(len(size) + 1, "<i4")
+    np.cumsum(size, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int, text: str = "text") -> DataFrame:
-    """doc_id, n, control, data: every text's ids and end_id, packed as they are, before ranks are known.
+    """doc_id, n, width, data: every text's ids and end_id before ranks are known, each in width bytes (2 where they fit, else 4).
 
     A null text counts as empty and has end_id alone. Texts are encoded whole; repeated rows are kept.
     """
     bound_batches(docs.sparkSession)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
         for batch in small_batches(batches, "__text"):
-            ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(batch.column("__text").to_pylist())]
-            packed = [pack(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], names=["doc_id", "n", "control", "data"])
+            found = encoder.encode(batch.column("__text").to_pylist())
+            n = np.array([len(x) // 4 + 1 for x in found], "i8")
+            ids = np.frombuffer(b"".join(x + end for x in found), "<u4")
+            width = 2 if ids.max(initial=0) < 1 << 16 else 4
+            data = binaries(n * width, ids.astype(f"<u{width}"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.full(len(n), width, "i4")), data], names=["doc_id", "n", "width", "data"])
+
+    return picked.mapInArrow(run, "doc_id long, n long, width int, data binary")
+
 
-    return picked.mapInArrow(run, "doc_id long, n long, control binary, data binary")
+def widened(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of each row of a batch of tokenised()."""
+    return [np.frombuffer(data, f"<u{width}") for width, data in zip(batch.column("width").to_pylist(), batch.column("data").to_pylist())]
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -112,14 +170,17 @@ def frequencies(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, "i8")
         for batch in batches:
-            for n, control, data in zip(*(batch.column(c).to_pylist() for c in ("n", "control", "data"))):
-                found = np.bincount(unpack(control, data, n), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            rows = widened(batch)
+            for width in (2, 4):
+                same = [x for x in rows if x.itemsize == width]
+                if same:
+                    found = np.bincount(np.concatenate(same), minlength=len(total))
+                    found[: len(total)] += total
+                    total = found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i8")), pa.array(total[at].astype("i8"))], names=["id", "count"])
 
-    return tokens.select("n", "control", "data").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return tokens.select("width", "data").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", to: str | None = None) -> str:
@@ -155,9 +216,9 @@ def write_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", to: s
         arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), *((c, pa.binary()) for c in names[4:])])
         waiting = 0
         for batch in batches:
-            for doc, n, control, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data"))):
-                held.append((doc, unpack(control, data, n)))
-                waiting += n
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), widened(batch)):
+                held.append((doc, ids))
+                waiting += len(ids)
                 if waiting >= BLOCK_IDS:
                     yield block()
                     waiting = 0
@@ -189,9 +250,8 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 size = np.frombuffer(lengths, "<i8")
                 ends = np.cumsum(size)
                 known = np.frombuffer(docs, "?", offset=8 * len(size))
-                raw = ids.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(docs, "<i8", len(size)), mask=~known), pa.array(before[part] + start + ends - size), pa.array(size), pa.array([raw[4 * (e - s) : 4 * e] for s, e in zip(size.tolist(), ends.tolist())], pa.binary())],
+                    [pa.array(np.frombuffer(docs, "<i8", len(size)), mask=~known), pa.array(before[part] + start + ends - size), pa.array(size), binaries(4 * size, ids)],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 

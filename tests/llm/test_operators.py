@@ -62,6 +62,15 @@ def test_token_files(spark):
     assert idfile.read_ids(spark, idfile.write_ids(docs(spark, EMPTY), tokenizer(WORD_BPE), 1)).count() == 0
 
 
+def test_library_encoder_on_odd_characters():
+    rng = random.Random(9)
+    odd = [*"abZ.,;:!?'0-_ \n\t\r\0\x01\x85", "\u0301", "\u0345", "é", "Å", "İ", "ß", "²", "½", "Ⅳ", "ª", "Ω", "中", "\u2028", "\u3000", "\u200b", "\ufeff", "<|endoftext|>"]
+    made = ["".join(rng.choices(odd, k=rng.randint(0, 30))) for _ in range(5000)]
+    encoder = idfile.LibraryEncoder(tokenizer(WORD_BPE))
+    got = [x for i in range(0, len(made), 50) for x in encoder.encode(made[i : i + 50])]
+    assert got == [np.array(ids, "<u4").tobytes() for ids in brute.library_ids(WORD_BPE, made)]
+
+
 def near_rows():
     rng = random.Random(9)
     words = [f"w{i}" for i in range(400)]
