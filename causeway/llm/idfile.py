@@ -24,7 +24,7 @@ from causeway.llm.common import bound_batches, materialise, shared_dir, small_ba
 #: Ids a block aims at; a longer document makes a longer block.
 BLOCK_IDS = 65_536
 #: Distinct chunks kept with their ids in a Python worker; beyond it, the cache starts anew.
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 2_000_000
 #: New chunks that the library gets in one text.
 JOINED = 100
 #: The character between them.
@@ -41,7 +41,7 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     size = 1 + (ranks > 0xFF).astype("u1") + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, "u1")
     codes[: len(ranks)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], "u1")).sum(axis=1).astype("u1")
+    control = codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
     used = np.arange(4) < size[:, None]
     return control.tobytes(), ranks.view("u1").reshape(-1, 4)[used].tobytes()
 
