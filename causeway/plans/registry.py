@@ -12,7 +12,7 @@ from causeway.operators import assembly, evaluation, reports, validation
 from causeway.operators.diagram import SORTS, Diagram
 from causeway.plans.oracle import SQL
 from causeway.plans.storage import literal, stored
-from causeway.sources import derived, fixtures
+from causeway.sources import derived, exchange, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 __all__ = ["QUERIES", "SQL"]
@@ -347,3 +347,12 @@ def grid_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.spread(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))
+
+
+@query
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the derived diagram, and those that differ after it went through a JSON document."""
+    whole = derived.diagram(spark, sf_dir)
+    again = exchange.diagram_of(stored(exchange.documents(whole), "documents"))
+    found = exchange.differing(whole, again)
+    return found.where("startswith(part, 'records_')").select(F.substring_index("part", "_", -1).alias("sort"), "n", "differing")
