@@ -10,8 +10,11 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from causeway.functions.mechanisms import DOMAINS, Library
+from causeway.operators import validation
+from causeway.operators.assembly import Assembly
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram
 
 FIELDS = {s: tuple(sorted((*ATTRIBUTES[s], *ARROWS[s]))) for s in SORTS}
@@ -56,7 +59,7 @@ def descriptions(tables: dict[str, DataFrame], owners: DataFrame, owner: str) ->
 
 
 def documents(diagram: Diagram) -> DataFrame:
-    """inst, document: each diagram as compact JSON with sorted keys."""
+    """inst, document: each diagram as compact JSON with sorted keys. An id that a module or an overlap has twice is an error."""
     owners = None
     for sort in SORTS:
         own = diagram.records[sort].select("inst", "module")
@@ -95,6 +98,34 @@ def diagram_of(rows: DataFrame) -> Diagram:
     return Diagram(records, faces.select("inst", "iface", "left", "right"), spans, {s: described_records(faces, "iface", s) for s in SORTS})
 
 
+def certificates(glued: Assembly, library: Library, mode: str) -> DataFrame:
+    """inst, document: what is needed to check an assembly, as compact JSON with sorted keys.
+
+    classes (tag and class of every record), pairs (that generate the classes), tables (rows of the quotient; members that
+    disagree give several), issues, valid, mode, and rank: each variable's place in an order where causes come first;
+    variables on or after a cycle have none.
+    """
+    out = glued.qmap.select("inst").distinct()
+
+    def add(rows: DataFrame, name: str, *columns: str) -> None:
+        nonlocal out
+        lists = rows.groupBy("inst").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(lists, "inst", "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+
+    add(glued.qmap.withColumn("class", F.col("cid")), "classes", "sort", "tag", "class")
+    add(glued.pairs, "pairs", "sort", "a", "b")
+    for sort in SORTS:
+        add(glued.tables[sort], sort, "rid", *FIELDS[sort])
+    add(validation.model_issues(glued.tables, library, ["inst"], "assembled", closed=True), "issues", "stage", "kind", "record")
+    ranks = validation.levels(validation.edges(glued.tables, ["inst"]), glued.tables["Var"].select("inst", "rid"), ["inst"])
+    place = F.row_number().over(Window.partitionBy("inst").orderBy("level", "rid")) - 1
+    ranked = ranks.withColumn("rank", place).groupBy("inst").agg(entries(F.lit(True), "rid", "rank").alias("rank"))
+    whole = out.join(ranked, "inst", "left").withColumn("rank", F.coalesce("rank", F.create_map().cast("map<string, int>")))
+    tables = F.struct(*sorted(SORTS)).alias("tables")
+    fields = F.struct("classes", "issues", F.lit(mode).alias("mode"), "pairs", "rank", tables, (F.size("issues") == 0).alias("valid"))
+    return whole.select("inst", F.to_json(fields, KEPT_NULLS).alias("document"))
+
+
 def library_document(library: Library) -> str:
     """A library as compact JSON with sorted keys; it has as many rows as its finite tables."""
     codes = {c: {"signature": list(s), "output_type": o, "table": [{"args": list(a), "value": v} for a, v in t.items()]} for c, (s, o, t) in library.codes.items()}

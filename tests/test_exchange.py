@@ -3,6 +3,7 @@
 import json
 
 from causeway.functions.mechanisms import Library
+from causeway.operators import assembly
 from causeway.sources import exchange, fixtures
 
 
@@ -25,6 +26,17 @@ def test_lines_roundtrip(spark, tmp_path):
     assert not any(r["differing"] for r in exchange.differing(whole, exchange.read_lines(spark, str(tmp_path / "d"))).collect())
 
 
+def test_certificates(spark):
+    glued = assembly.assemble(fixtures.diagram(spark, ("F01", "F02", "F05", "F06")), deduplicate=True)
+    one = {r["inst"]: json.loads(r["document"]) for r in exchange.certificates(glued, fixtures.library(), "deduplicated").collect()}
+    assert {i: c["valid"] for i, c in one.items()} == {"F01": True, "F02": False, "F05": False, "F06": False}
+    found = one["F01"]
+    assert sorted(found["rank"].values()) == list(range(6)) and len(found["tables"]["Mech"]) == 3 and len(found["pairs"]) == 1
+    mech = {m["rid"]: m["output"] for m in found["tables"]["Mech"]}
+    assert all(found["rank"][x["var"]] < found["rank"][mech[x["mech"]]] for x in found["tables"]["Input"])
+    assert one["F06"]["rank"] == {} and {x["kind"] for x in one["F06"]["issues"]} == {"cycle"}
+
+
 def test_not_a_document(spark):
     rows = spark.createDataFrame([("a", "no document"), ("b", None), ("c", "{}")], "inst string, document string")
     assert sum(r["n"] for r in exchange.differing(exchange.diagram_of(rows), exchange.diagram_of(rows)).collect()) == 0
