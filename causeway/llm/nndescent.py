@@ -3,8 +3,9 @@
 Random projections deal vectors to small blocks for a first neighbour graph. In each round a vector goes to all its
 neighbours; those that meet there are neighbours of neighbours and are compared. Lists whose last neighbour is still a
 link are saturated and get twice the room. A sample compared with all rows audits the links; if it finds too many
-missing, further projections start another descent. Threshold edges give components, and inside each component blocks
-are compared in full for the number of links.
+missing, further projections start another descent. Threshold edges give components. Then all rows meet in tiles, which
+counts every link and joins the components between which the descent has missed links; this is exact, and its work grows
+with the square of the distinct vectors.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import materialise
+from causeway.llm.common import bound_batches, materialise
 from causeway.llm.components import components
 from causeway.llm.vectors import distinct_vectors, matrix, usable
 
 #: Neighbours a vector, projection tables, rows of a block, rounds of a descent, descents.
 NEIGHBOURS, TABLES, BLOCK, ROUNDS, DESCENTS = 12, 4, 256, 4, 3
+#: Rows and bytes of vectors of a tile, in which all rows meet.
+TILE, TILE_BYTES = 2048, 4 << 20
 #: A round that changes less than this share of the lists is the last.
 SETTLED = 0.02
 #: Vectors audited, and the share of their links that has to be found.
@@ -125,25 +128,66 @@ def descent_round(rows: DataFrame, graph: DataFrame, least: float, round_: int)
     return materialise(shortened(graph.select("u", "v", "s").union(met), rooms.select("u", "room")), "graph")
 
 
-def links_within(rows: DataFrame, merged: DataFrame, least: float) -> DataFrame:
-    """id, n_links of every row of a component: all its blocks meet each other, and only counts leave them."""
-    held = rows.join(merged.withColumnRenamed("node", "id"), "id")
-    sizes = held.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("parts"))
-    placed = held.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least("own", i).alias("x"), F.greatest("own", i).alias("y"))))
-    spread = placed.withColumn("cell", met).select("component", "cell.x", "cell.y", "own", "id", "n", "vector")
+def tiles(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """dim, tile and up to about TILE rows each, packed: ids, components so far, copies and vectors."""
+    held = rows.join(merged.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "dim", "vector")
+    room = F.greatest(F.lit(64), F.least(F.lit(TILE), F.floor(TILE_BYTES / (8 * F.col("dim")))))
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / room).alias("parts"))
+    dealt = held.join(F.broadcast(sizes), "dim").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    packed = pa.schema([("dim", pa.int32()), ("tile", pa.int32()), *((c, pa.binary()) for c in ("ids", "components", "copies", "vectors"))])
 
-    def count(key: tuple, part: pa.Table) -> pa.Table:
-        x, y = key[1].as_py(), key[2].as_py()
-        ids, own, n = (part.column(c).to_numpy() for c in ("id", "own", "n"))
-        near = matrix(part.column("vector"))
-        near = near @ near.T >= least
-        if x != y:
-            near &= own[:, None] != own
-        np.fill_diagonal(near, False)
-        return pa.table({"id": ids, "n_links": near @ n}, schema=pa.schema([("id", pa.int64()), ("n_links", pa.int64())]))
+    def pack(key: tuple, part: pa.Table) -> pa.Table:
+        data = {"dim": [key[0].as_py()], "tile": [key[1].as_py()], "vectors": [matrix(part.column("vector")).tobytes()]}
+        return pa.table(data | {name: [part.column(c).to_numpy().astype("i8").tobytes()] for name, c in (("ids", "id"), ("components", "component"), ("copies", "n"))}, schema=packed)
 
-    return spread.groupBy("component", "x", "y").applyInArrow(count, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+    return dealt.groupBy("dim", "tile").applyInArrow(pack, "dim int, tile int, ids binary, components binary, copies binary, vectors binary")
+
+
+def bridges(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components that join all those of a (rows) and b (columns) between which near has links."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, left, right = np.arange(len(names)), at[: len(a)], at[len(a) :]
+    cross = near & (left[:, None] != right)
+    for i in np.flatnonzero(cross.any(axis=1)):
+        met = np.unique(np.append(label[right[cross[i]]], label[left[i]]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def every_link(rows: DataFrame, merged: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, n_links) of every row that has links, and (u, v): links between the components of merged that join them.
+
+    All rows of a length of vectors meet, tile by tile, whatever the descent has found; only counts and bridges leave a
+    pair of tiles.
+    """
+    bound_batches(rows.sparkSession)
+    packed = materialise(tiles(rows, merged), "tiles")
+    names = ("tile", "ids", "components", "copies", "vectors")
+    left, right = (packed.select("dim" if side == "x" else F.col("dim").alias("dim_y"), *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "xy")
+    pairs = left.join(right.hint("shuffle_replicate_nl"), F.expr("dim = dim_y AND tile_x <= tile_y"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                (ids, a, n, x), (others, b, m, y) = ([np.frombuffer(row[f"{c}_{side}"].as_buffer(), t) for c, t in (("ids", "i8"), ("components", "i8"), ("copies", "i8"), ("vectors", "f8"))] for side in "xy")
+                near = x.reshape(len(ids), -1) @ y.reshape(len(others), -1).T >= least
+                same = row["tile_x"] == row["tile_y"]
+                if same:
+                    np.fill_diagonal(near, False)
+                u, v = bridges(near, a, b)
+                at, links = ids, near @ m
+                if not same:
+                    at, links = np.append(ids, others), np.append(links, n @ near)
+                at, links = at[links > 0], links[links > 0]
+                columns = [pa.array(np.append(at, u)), pa.array(np.append(np.zeros_like(at), v), mask=np.arange(len(at) + len(u)) < len(at)), pa.array(np.append(links, np.zeros_like(u)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "n_links"])
+
+    found = materialise(pairs.mapInArrow(compare, "u long, v long, n_links long"), "links")
+    counts = found.where("v IS NULL").groupBy(F.col("u").alias("id")).agg(F.sum("n_links").alias("n_links"))
+    return counts, found.where("v IS NOT NULL").select("u", "v").distinct()
 
 
 def audit(rows: DataFrame, links: DataFrame, least: float) -> float:
@@ -193,7 +237,8 @@ def near_duplicates(table: DataFrame, least: float = 0.95, id: str = "vec_id", v
             if new <= SETTLED * graph.count():
                 break
         merged = components(graph.where(F.col("s") >= least), "u", "v")
-        links = materialise(links_within(rows, merged, least), "links")
+        links, more = every_link(rows, merged, least)
+        merged = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "u", "v")
         if audit(rows, links, least) >= RECALL:
             break
     named = classes.join(links, "id", "left").join(merged.withColumnRenamed("node", "id"), "id", "left")

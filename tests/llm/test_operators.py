@@ -131,6 +131,21 @@ def test_near_vectors(spark):
     assert nndescent.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_vectors_of_two_lobes(spark):
+    """Lists of 192 hold no link between lobes of 400: each row's own lobe is nearer."""
+    rng = np.random.default_rng(8)
+    centres = np.zeros((2, 32))
+    centres[:, 0], centres[0, 1], centres[1, 1] = np.cos(0.133), np.sin(0.133), -np.sin(0.133)
+    made = np.repeat(centres, 400, axis=0) + rng.normal(size=(800, 32)) * 0.004
+    unit = made / np.linalg.norm(made, axis=1)[:, None]
+    across = unit[:400] @ unit[400:].T
+    assert 0.95 < across.min() and across.max() < min((unit[:400] @ unit[:400].T).min(), (unit[400:] @ unit[400:].T).min())
+    rows = list(enumerate(made.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(table).collect()}
+    assert got == brute.near_vectors(rows, 0.95) == {i: (799, 0) for i in range(800)}
+
+
 def test_nearest_vectors(spark):
     rows = [r for r in vectors() if r[0] != 6]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
