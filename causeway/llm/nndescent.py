@@ -2,10 +2,9 @@
 
 Random projections deal vectors to small blocks for a first neighbour graph. In each round a vector goes to all its
 neighbours; those that meet there are neighbours of neighbours and are compared. Lists whose last neighbour is still a
-link are saturated and get twice the room. A sample compared with all rows audits the links; if it finds too many
-missing, further projections start another descent. Threshold edges give components. Then all rows meet in tiles, which
-counts every link and joins the components between which the descent has missed links; this is exact, and its work grows
-with the square of the distinct vectors.
+link are saturated and get twice the room. Threshold edges give first components. Then all rows meet in tiles, which
+counts every link and joins the components between which the descent has missed links; this is exact, so nothing is
+left to sample, and its work grows with the square of the distinct vectors.
 """
 
 from __future__ import annotations
@@ -21,14 +20,12 @@ from causeway.llm.common import bound_batches, materialise
 from causeway.llm.components import components
 from causeway.llm.vectors import distinct_vectors, matrix, usable
 
-#: Neighbours a vector, projection tables, rows of a block, rounds of a descent, descents.
-NEIGHBOURS, TABLES, BLOCK, ROUNDS, DESCENTS = 12, 4, 256, 4, 3
+#: Neighbours a vector, projection tables, rows of a block, rounds of the descent.
+NEIGHBOURS, TABLES, BLOCK, ROUNDS = 12, 4, 256, 4
 #: Rows and bytes of vectors of a tile, in which all rows meet.
 TILE, TILE_BYTES = 2048, 4 << 20
 #: A round that changes less than this share of the lists is the last.
 SETTLED = 0.02
-#: Vectors audited, and the share of their links that has to be found.
-AUDITED, RECALL = 200, 0.98
 
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())])
 
@@ -190,30 +187,6 @@ def every_link(rows: DataFrame, merged: DataFrame, least: float) -> tuple[DataFr
     return counts, found.where("v IS NOT NULL").select("u", "v").distinct()
 
 
-def audit(rows: DataFrame, links: DataFrame, least: float) -> float:
-    """The share of a sample's links that was found; the sample (AUDITED rows) meets all rows."""
-    sample = rows.orderBy(F.xxhash64("id", F.lit("audit"))).limit(AUDITED).select("id", "vector", "dim").collect()
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for d in {r["dim"] for r in sample}:
-        own = [r for r in sample if r["dim"] == d]
-        by_dim[d] = np.array([r["id"] for r in own]), np.array([r["vector"] for r in own])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for d in set(dims.tolist()) & set(by_dim):
-                at = np.flatnonzero(dims == d)
-                ids, unit = by_dim[d]
-                near = unit @ matrix(batch.column("vector").take(pa.array(at))).T >= least
-                near &= ids[:, None] != batch.column("id").to_numpy()[at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ batch.column("n").to_numpy()[at], pa.int64())], names=["id", "n_links"])
-
-    true = {r["id"]: r["n"] for r in rows.select("id", "dim", "n", "vector").mapInArrow(count, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n")).collect()}
-    found = {r["id"]: r["n_links"] for r in links.where(F.col("id").isin(list(true))).collect()}
-    wanted = sum(true.values())
-    return sum(min(n, found.get(i, 0)) for i, n in true.items()) / wanted if wanted else 1.0
-
-
 def near_duplicates(table: DataFrame, least: float = 0.95, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """<id>, n_links, component_id, kept for every row of table.
 
@@ -227,20 +200,15 @@ def near_duplicates(table: DataFrame, least: float = 0.95, id: str = "vec_id", v
     classes = materialise(classes, "classes")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     rows = materialise(classes.withColumn("norm", norm).select("id", "n", "dim", F.transform("vector", lambda x: x / F.col("norm")).alias("vector")), "units")
-    graph = None
-    for attempt in range(DESCENTS):
-        edges = blocks(rows, 11 + attempt)
-        graph = materialise(shortened(edges if graph is None else graph.select("u", "v", "s").union(edges), None if graph is None else graph.groupBy("u").agg(F.max("room").alias("room"))), "graph")
-        for round_ in range(ROUNDS):
-            before, graph = graph, descent_round(rows, graph, least, round_)
-            new = graph.join(before, ["u", "v"], "left_anti").count()
-            if new <= SETTLED * graph.count():
-                break
-        merged = components(graph.where(F.col("s") >= least), "u", "v")
-        links, more = every_link(rows, merged, least)
-        merged = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "u", "v")
-        if audit(rows, links, least) >= RECALL:
+    graph = materialise(shortened(blocks(rows, 11), None), "graph")
+    for round_ in range(ROUNDS):
+        before, graph = graph, descent_round(rows, graph, least, round_)
+        new = graph.join(before, ["u", "v"], "left_anti").count()
+        if new <= SETTLED * graph.count():
             break
+    merged = components(graph.where(F.col("s") >= least), "u", "v")
+    links, more = every_link(rows, merged, least)
+    merged = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "u", "v")
     named = classes.join(links, "id", "left").join(merged.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("vector", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("c"))
     of = found.join(named, "vector").select(F.col("id").alias("i"), "links", "c")

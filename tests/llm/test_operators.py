@@ -146,6 +146,18 @@ def test_near_vectors_of_two_lobes(spark):
     assert got == brute.near_vectors(rows, 0.95) == {i: (799, 0) for i in range(800)}
 
 
+def test_near_vectors_after_a_poor_descent(spark, monkeypatch):
+    """A descent without any edge loses no link."""
+    first = nndescent.blocks
+    monkeypatch.setattr(nndescent, "blocks", lambda rows, seed: first(rows, seed).where("false"))
+    monkeypatch.setattr(nndescent, "TILE", 64)
+    rng = np.random.default_rng(6)
+    rows = list(enumerate((np.repeat(rng.normal(size=(30, 8)), 20, axis=0) + rng.normal(size=(600, 8)) * 0.1).tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(table).collect()}
+    assert got == brute.near_vectors(rows, 0.95)
+
+
 def test_nearest_vectors(spark):
     rows = [r for r in vectors() if r[0] != 6]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
