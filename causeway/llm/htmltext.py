@@ -3,7 +3,8 @@
 A page becomes a tree of elements. Parts that by tag, role or name are never main text (menus, footers, adverts, forms,
 comments, ...) are cut out. Every block of text passes points for its length and commas to the elements around it, half
 as many at each step up; an element's points are discounted by the share of its text inside links. The element with
-most points is the container; siblings that earn enough, and plain paragraphs beside it, are kept with it.
+most points is the container, or the outermost article or main around it, whose wanted blocks are all kept; siblings
+that earn enough, and plain blocks and text beside it, are kept with it.
 """
 
 from __future__ import annotations
@@ -221,16 +222,26 @@ def main_text(page: str | None) -> str:
 
     candidates = [x for x in nodes.values() if x.tag in CONTAINER or x.tag == "#top"] or list(nodes.values())
     best = max(candidates, key=score)
-    keep = {id(best)}
+    node = best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            best = node
+        node = node.parent
+    keep, beside = {id(best)}, None
     if best.parent is not None and best.tag not in ("body", "html", "#top"):
+        beside = best.parent
         least = max(2.0, score(best) * 0.2)
         for other in best.parent.children:
             if isinstance(other, Node) and other is not best and length.get(id(other)):
                 density = linked[id(other)] / length[id(other)]
-                plain = other.tag in ("p", "h1", "h2", "h3", "pre", "blockquote", "ul", "ol", "table") and density < 0.25
+                plain = (other.tag in BLOCK - CONTAINER or other.tag == best.tag == "section") and density < 0.25
                 if plain or (other.tag in CONTAINER and other.points and score(other) >= least):
                     keep.add(id(other))
-    return "\n".join(text for block, text in found if within(block.owner, keep))
+
+    def loose(block: Block, text: str) -> bool:
+        return block.owner is beside and len(clean_text(block.linked)) < 0.25 * len(text)
+
+    return "\n".join(text for block, text in found if within(block.owner, keep) or loose(block, text))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -227,3 +227,16 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in got.values())
     empty = toxicity.fit(table.limit(0), labels.limit(0))
     assert toxicity.score(table.limit(0), empty).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3, 8, 20, 200])
+def test_html_of_long_articles(k):
+    """However long one part of an article is, its other parts stay."""
+    long = "".join(f"<p>{'word, ' * 3}{'word ' * 76}{i}</p>" for i in range(k))
+    inner = f"<header><h1>Title</h1></header><h4>four</h4><section>{long}</section><section><p>Short part</p></section><figure><figcaption>Figure</figcaption></figure><dl><dt>Term</dt><dd>Meaning</dd></dl><details><summary>More</summary>hidden away</details>"
+    page = "<body><nav><a href=x>m</a></nav>%s<footer>f</footer></body>"
+    want = ["Title", "four", *(f"{'word, ' * 3}{'word ' * 76}{i}" for i in range(k)), "Short part", "Figure", "Term", "Meaning", "More", "hidden away"]
+    assert htmltext.main_text(page % f"<article>{inner}</article>").split("\n") == want
+    assert htmltext.main_text(page % f"<main><div>{inner}</div></main>").split("\n") == want
+    assert htmltext.main_text(page % f"<main><article>{inner}</article><article><p>Next</p></article></main>").split("\n") == [*want, "Next"]
+    assert htmltext.main_text(page % f"<div><h4>four</h4>Loose text<section>{long}</section><section><p>Short part</p></section></div>").split("\n") == ["four", "Loose text", *want[2:-5]]
