@@ -23,10 +23,11 @@ QUERY_BLOCK = 4096
 
 
 class Graph:
-    """Flat neighbour arrays: links[level][node] has node numbers, then -1."""
+    """Flat neighbour arrays: links[level][node] has node numbers, then -1. Vectors are centred, so that rounding of norms doesn't decide in tight groups."""
 
     def __init__(self, vectors: np.ndarray, links: list[np.ndarray] | None = None, entry: int = 0):
-        self.vectors = np.ascontiguousarray(vectors, "f4")
+        self.centre = vectors.mean(axis=0)
+        self.vectors = np.ascontiguousarray(vectors - self.centre, "f8")
         self.norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
         self.links, self.entry = links or [], entry
         self.stamp, self.now = np.zeros(len(vectors), "i4"), 0
@@ -115,8 +116,9 @@ class Graph:
         return self
 
     def ask(self, q: np.ndarray, count: int) -> np.ndarray:
-        q = q.astype("f4")
-        return np.array([n for _, n in self.near(q, self.descend(q, 0), max(ASK_BREADTH, count), 0)[:count]], "i8")
+        """The nodes found by a search, at least count where there are as many; the caller cuts them by exact distances."""
+        q = q - self.centre
+        return np.array([n for _, n in self.near(q, self.descend(q, 0), max(ASK_BREADTH, count), 0)], "i8")
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -158,6 +160,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id"
             for own, q in zip(wanted.column("id").to_pylist(), matrix(wanted.column("vector"))):
                 nodes = graph.ask(q, k + 1)
                 far = np.sqrt(((vectors[nodes] - q) ** 2).sum(axis=1))
+                nearest = far <= np.partition(far, min(k, len(far) - 1))[min(k, len(far) - 1)]  # k + 1 nodes, and ties of the last
+                far, nodes = far[nearest], nodes[nearest]
                 pairs = sorted((d, i) for d, x in zip(far.tolist(), nodes.tolist()) for i in ids[first[x] : first[x] + size[x]].tolist() if i != own)[:k]
                 out["query_id"] += [own] * len(pairs)
                 out["vec_id"] += [i for _, i in pairs]

@@ -171,6 +171,20 @@ def test_nearest_vectors(spark):
     assert ann.search(table.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("jitter", [1e-3, 1e-4, 1e-5])
+def test_nearest_in_tight_groups(jitter):
+    """Rounding in the graph doesn't decide which near copies are found, wherever the group lies."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.full(32, 1.0) + rng.normal(size=(600, 32)) * jitter, rng.normal(size=(300, 32))])
+    graph, hits = ann.Graph(x).build(), 0
+    for i in range(0, 600, 10):
+        exact = ((x - x[i]) ** 2).sum(axis=1)
+        found = graph.ask(x[i], 11)
+        assert len(found) >= ann.ASK_BREADTH
+        hits += len(set(found[np.argsort(exact[found])][:11]) & set(np.argsort(exact)[:11]))
+    assert hits >= 0.97 * 60 * 11
+
+
 def test_mixing(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)) if i % 9 else None, rng.choice(["a", "b", "c", None, "tiny"] if i % 50 == 0 else ["a", "b", "c", None])) for i in range(400)]
