@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("minhash_near_dedup", drop_near_copies), ("source_mixing", mix_sources), ("bpe_encoding", encode)]
 
-#: The stages' learnt scores, minima and ids can't be expressed in SQL; tests hold run() against a brute-force version.
+#: The stages' learnt scores, minima and ids can't be expressed in SQL; no test holds run() against a brute-force version yet.
 ORACLE_SQL = None
 
 
