@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.plans.storage import stored_with
+from causeway.plans.storage import discard, stored, stored_with
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,17 +14,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star hangs the larger neighbours of a node on the smallest one around it; small-star does so with the smaller
     neighbours. Both keep the number of edges in bounds, and after few rounds every component is a star. Minima are
     combined before the shuffle; the join back to a hub's edges is one that adaptive execution can split. Each round is
-    a table in the shared folder; of it only a count and a checksum reach the driver.
+    a table in the shared folder that replaces the last; of it only a count and a checksum reach the driver.
     """
     pairs = edges.where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
-    stars, seen = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), None
+    stars, seen = stored(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "stars"), None
     while True:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = stars
         stars, mark = stored_with(small.union(least).distinct(), "stars", F.expr("bit_xor(xxhash64(u, v))"))
+        discard(before)
         if mark == seen or not mark[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
         seen = mark
