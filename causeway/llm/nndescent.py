@@ -1,10 +1,13 @@
-"""Near-duplicate embeddings by NN-descent over distinct vectors.
-
-Random projections deal vectors to small blocks for a first neighbour graph. In each round a vector goes to all its
-neighbours; those that meet there are neighbours of neighbours and are compared. Lists whose last neighbour is still a
-link are saturated and get twice the room. Threshold edges give first components. Then all rows meet in tiles, which
-counts every link and joins the components between which the descent has missed links; this is exact, so nothing is
-left to sample, and its work grows with the square of the distinct vectors.
+"""Near-duplicate embeddings by NN-descent, with near copies drawn together first and recall audited.
+
+Distinct vectors are gathered around leaders: blocks of equal random projections are searched greedily, pass after
+pass, until leaders stop getting fewer. All members of a leader lie within half of the threshold's angle of it, so they
+are links of each other and a large group of copies costs a star. A random graph over leaders is refined: in each round a
+leader goes to all its neighbours; those that meet there are neighbours of neighbours and are compared. The measure is
+the angle less both radii, so edges within the threshold are all that may hold links. Lists whose last neighbour is
+still such an edge are saturated and get twice the room; a descent ends when none is and little changes. Edges are then
+links for all members, for none, or their members are compared in blocks. The links of a sample of rows are counted
+among all rows; where the descent has found too few, it goes on from more projections.
 """
 
 from __future__ import annotations
@@ -16,38 +19,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import bound_batches, materialise
-from causeway.llm.components import components
-from causeway.llm.vectors import distinct_vectors, matrix, usable
+from causeway.llm.common import bound_batches, discard, groups_of, join_classes, materialise
+from causeway.llm.vectors import by_id, matrix, unit, usable
+from causeway.operators.components import components
 
-#: Neighbours a vector, projection tables, rows of a block, rounds of the descent.
-NEIGHBOURS, TABLES, BLOCK, ROUNDS = 12, 4, 256, 4
-#: Rows and bytes of vectors of a tile, in which all rows meet.
-TILE, TILE_BYTES = 2048, 4 << 20
-#: A round that changes less than this share of the lists is the last.
+#: Neighbours a leader at first, projection tables, rows compared with each other in a block, most rounds of a descent.
+NEIGHBOURS, TABLES, BLOCK, ROUNDS = 12, 4, 256, 10
+#: A round after the first that adds less than this share of edges within the threshold is the last, if no list is saturated.
 SETTLED = 0.02
+#: Passes that draw copies together end when leaders fall by less than this share.
+GATHERED = 0.02
+#: Mean share of a sampled row's links that must be found, most rows sampled of each kind, and descents before it is an error.
+RECALL, SAMPLED, DESCENTS = 0.98, 2000, 4
+#: Angles nearer than this are decided by cosines of members.
+MARGIN = 1e-6
+#: Rows that a task of sorted blocks aims at.
+TASK_ROWS = 8192
 
-EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64())])
+EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("s", pa.float64()), ("w", pa.float64())])
+EDGES = "u long, v long, s double, w double"
 
 
-def top_pairs(ids: np.ndarray, unit: np.ndarray, floor: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, cosine): for each row, its best others in this block that beat its list's last, as many as the list has room."""
-    sims = unit @ unit.T
-    np.fill_diagonal(sims, -2)
-    most = min(int(room.max()), len(ids) - 1)
-    if most < 1:
-        return ids[:0], ids[:0], floor[:0]
-    best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-    value = np.take_along_axis(sims, best, axis=1)
-    row, col = np.nonzero(value > floor[:, None])
-    return ids[row], ids[best[row, col]], value[row, col]
+def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
-def blocks(rows: DataFrame, seed: int) -> DataFrame:
-    """Edges between rows that random hyperplanes put into one block; blocks that come out large are dealt at random."""
-    count = rows.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / (BLOCK / 2)))))
-    tables = TABLES if bits else 1
+def sorted_runs(rows: DataFrame, count: int, *keys: str) -> DataFrame:
+    """Rows in ranges of the keys and of the column h, sorted. A key that fills a third of all rows spans several tasks."""
+    return rows.repartitionByRange(max(1, -(-count // TASK_ROWS)), *keys, "h").sortWithinPartitions(*keys, "h")
+
+
+def pieces(borders: np.ndarray) -> list[tuple[int, int]]:
+    """Groups cut into blocks of about BLOCK rows."""
+    out = []
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+        cut = np.linspace(a, b, -(-(b - a) // BLOCK) + 1).astype(int).tolist()
+        out += [(x, y) for x, y in zip(cut, cut[1:]) if y - x > 1]
+    return out
+
+
+def projected(rows: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
+    """id, dim, vector, r, t, code, h: every row once a table, with the sides of random hyperplanes it lies on."""
+    bits = min(60, max(0, int(np.ceil(np.log2(max(1, count) / (BLOCK / 2))))))
+    tables = tables if bits else 1
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,158 +74,267 @@ def blocks(rows: DataFrame, seed: int) -> DataFrame:
                 planes = np.random.default_rng([seed, d]).normal(size=(d, tables * bits))
                 side = (matrix(batch.column("vector").take(pa.array(at))) @ planes > 0).reshape(len(at), tables, bits)
                 code[at] = (side << np.arange(bits)).sum(axis=2) if bits else 0
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("dim"), batch.column("vector"), pa.array(list(code), pa.list_(pa.int64()))], names=["id", "dim", "vector", "codes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "dim", "vector", "r")), pa.array(list(code), pa.list_(pa.int64()))], names=["id", "dim", "vector", "r", "codes"])
+
+    coded = rows.select("id", "dim", "vector", "r").mapInArrow(codes, "id long, dim int, vector array<double>, r double, codes array<long>")
+    return coded.select("id", "dim", "vector", "r", F.posexplode("codes").alias("t", "code"), F.xxhash64("id", F.lit(seed)).alias("h"))
+
+
+def proposals(rows: DataFrame, count: int, most: float, seed: int) -> DataFrame:
+    """id, to: rows that lie within the angle most of another of their block, and the one that takes them."""
+
+    def work(batch: pa.RecordBatch, borders: np.ndarray) -> pa.RecordBatch:
+        ids, points = batch.column("id").to_numpy(), matrix_of_equal(batch)
+        out, to = [], []
+        for a, b in pieces(borders):
+            near = angles(points[a:b], points[a:b]) <= most
+            open_ = np.ones(b - a, "?")
+            for i in range(b - a):
+                if open_[i]:
+                    open_[i] = False
+                    taken = np.flatnonzero(near[i] & open_)
+                    open_[taken] = False
+                    out += ids[a + taken].tolist()
+                    to += [int(ids[a + i])] * len(taken)
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(to, pa.int64())], names=["id", "to"])
+
+    runs = sorted_runs(projected(rows, count, 1, seed), count, "dim", "t", "code")
+    return runs.select("dim", "t", "code", "id", "vector").mapInArrow(lambda batches: groups_of(batches, ("dim", "t", "code"), work), "id long, to long")
+
+
+def matrix_of_equal(batch: pa.RecordBatch) -> np.ndarray:
+    """Vectors as a matrix; those of fewer dimensions than the batch's longest are filled up with zeros."""
+    dims = batch.column("dim").to_numpy()
+    if dims.min() == dims.max():
+        return matrix(batch.column("vector"))
+    out = np.zeros((len(dims), dims.max()))
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        out[at, :d] = matrix(batch.column("vector").take(pa.array(at)))
+    return out
+
+
+def gathered(rows: DataFrame, count: int, most: float) -> DataFrame:
+    """id, leader, angle (to the leader, at most `most`) for every row of rows (id, dim, vector).
+
+    Blocks propose; a leader goes to another one with all its members, each measured against the new one, or stays.
+    """
+    held = materialise(rows.select("id", F.col("id").alias("leader"), F.lit(0.0).alias("angle")), "members")
+    left = count
+    for pass_ in range(64):
+        leaders = rows.join(held.where("id = leader").select("id"), "id").withColumn("r", F.lit(0.0))
+        wanted = materialise(proposals(leaders, left, most, 101 + pass_), "proposals")
+        if not wanted.limit(1).count():
+            discard(wanted)
+            break
+        moving = held.join(wanted.withColumnRenamed("id", "leader"), "leader").join(rows.select("id", "vector"), "id")
+        moving = moving.join(rows.select(F.col("id").alias("to"), F.col("vector").alias("other")), "to")
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                far = np.zeros(batch.num_rows)
+                size = batch.column("dim").to_numpy()
+                for d in np.unique(size):
+                    at = np.flatnonzero(size == d)
+                    x, y = (matrix(batch.column(c).take(pa.array(at))) for c in ("vector", "other"))
+                    far[at] = np.arccos(np.clip(np.einsum("ij,ij->i", x, y), -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("leader"), batch.column("to"), pa.array(far)], names=["id", "leader", "to", "far"])
+
+        measured = materialise(moving.select("id", "leader", "to", F.size("vector").alias("dim"), "vector", "other").mapInArrow(measure, "id long, leader long, to long, far double"), "measured")
+        fits = measured.groupBy("leader").agg(F.max("far").alias("m")).where(F.col("m") <= most).select("leader")
+        moved = measured.join(fits, "leader").select("id", F.col("to").alias("__to"), "far")
+        new = held.join(moved, "id", "left").select("id", F.coalesce("__to", "leader").alias("leader"), F.coalesce("far", "angle").alias("angle"))
+        new = materialise(new, "members")
+        now = new.where("id = leader").count()
+        discard(held, wanted, measured)
+        held, before, left = new, left, now
+        if before - now <= GATHERED * before:
+            break
+    return held
+
+
+def top_pairs(ids: np.ndarray, unit: np.ndarray, r: np.ndarray, floor: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(u, v, s, w): for each row, its best others in this block that beat its list's last, as many as the list has room.
+
+    s is the angle less both radii, negated, and w the sum of the radii.
+    """
+    near = r[:, None] + r - angles(unit, unit)
+    np.fill_diagonal(near, -9)
+    most = min(int(room.max()), len(ids) - 1)
+    best = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    value = np.take_along_axis(near, best, axis=1)
+    row, col = np.nonzero(value > floor[:, None])
+    return ids[row], ids[best[row, col]], value[row, col], r[row] + r[best[row, col]]
 
-    coded = rows.select("id", "dim", "vector").mapInArrow(codes, "id long, dim int, vector array<double>, codes array<long>")
-    spread = materialise(coded.select("id", "dim", "vector", F.posexplode("codes").alias("t", "code")), "codes")
-    sizes = spread.groupBy("dim", "t", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = spread.join(sizes, ["dim", "t", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.col("parts")))
 
-    def compare(part: pa.Table) -> pa.Table:
-        ids = part.column("id").to_numpy()
-        u, v, s = top_pairs(ids, matrix(part.column("vector")), np.full(len(ids), -2.0), np.full(len(ids), NEIGHBOURS))
-        return pa.table([u, v, s], schema=EDGE)
+def compared(batch: pa.RecordBatch, borders: np.ndarray) -> pa.RecordBatch:
+    ids, r, floor, room, dim = (batch.column(c).to_numpy() for c in ("id", "r", "floor", "room", "dim"))
+    unit = matrix_of_equal(batch)
+    found = [top_pairs(ids[a:b], unit[a:b, : dim[a]], r[a:b], floor[a:b], room[a:b]) for a, b in pieces(borders)]
+    columns = [np.concatenate([x[i] for x in found]) if found else np.zeros(0) for i in range(4)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype("i8") if i < 2 else c) for i, c in enumerate(columns)], schema=EDGE)
 
-    return dealt.groupBy("dim", "t", "code", "part").applyInArrow(compare, "u long, v long, s double")
+
+def first_graph(rows: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
+    """Edges between rows that random hyperplanes put into one block."""
+    runs = sorted_runs(projected(rows, count, tables, seed), count * tables, "dim", "t", "code")
+    asked = runs.select("dim", "t", "code", "id", "vector", "r", F.lit(-9.0).alias("floor"), F.lit(NEIGHBOURS).alias("room"))
+    return asked.mapInArrow(lambda batches: groups_of(batches, ("dim", "t", "code"), compared), EDGES)
 
 
 def shortened(edges: DataFrame, rooms: DataFrame | None) -> DataFrame:
     """The best edges of each u: as many as its list has room."""
-    best = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
-    placed = best.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v")))
+    best = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.max("w").alias("w"))
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v")))
     if rooms is None:
-        return placed.where(F.col("r") <= NEIGHBOURS).withColumn("room", F.lit(NEIGHBOURS))
-    return placed.join(rooms, "u", "left").withColumn("room", F.coalesce("room", F.lit(NEIGHBOURS))).where("r <= room")
-
-
-def descent_round(rows: DataFrame, graph: DataFrame, least: float, round_: int) -> DataFrame:
-    """The graph after vectors have met at their neighbours; hubs are dealt to blocks of bounded size."""
-    lists = graph.groupBy("u").agg(F.min("s").alias("floor"), F.count(F.lit(1)).alias("n"), F.max("room").alias("room"), F.collect_list("v").alias("at"))
-    full = F.col("n") >= F.col("room")
-    rooms = lists.select("u", F.when(full & (F.col("floor") >= least), F.col("room") * 2).otherwise(F.col("room")).alias("room"), F.when(full & (F.col("floor") < least), F.col("floor")).otherwise(F.lit(-2.0)).alias("floor"), "at")
-    rooms = materialise(rooms, "lists")
-    sent = rows.join(rooms.withColumnRenamed("u", "id"), "id").select("id", "vector", "floor", "room", F.explode(F.concat("at", F.array("id"))).alias("pivot"))
-    counts = rooms.select(F.explode(F.concat("at", F.array("u"))).alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = sent.join(counts, "pivot").withColumn("part", F.pmod(F.xxhash64("id", F.lit(round_)), F.col("parts")))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-
-        def compared(table: pa.RecordBatch) -> pa.RecordBatch:
-            pivot, part, ids, floor, room = (table.column(c).to_numpy() for c in ("pivot", "part", "id", "floor", "room"))
-            unit = matrix(table.column("vector"))
-            cut = np.flatnonzero((pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])) + 1
-            found = [top_pairs(ids[a:b], unit[a:b], floor[a:b], room[a:b]) for a, b in zip([0, *cut], [*cut, len(ids)]) if b - a > 1]
-            u, v, s = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, "f8" if i == 2 else "i8") for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], schema=EDGE)
+        return placed.where(F.col("place") <= NEIGHBOURS).withColumn("room", F.lit(NEIGHBOURS)).drop("place")
+    kept = placed.join(rooms, "u", "left").withColumn("room", F.coalesce("room", F.lit(NEIGHBOURS))).where("place <= room")
+    return kept.select("u", "v", "s", "w", "room")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            same = (batch.column("pivot").to_numpy() == batch.column("pivot")[-1].as_py()) & (batch.column("part").to_numpy() == batch.column("part")[-1].as_py())
-            other = np.flatnonzero(~same)
-            start = int(other[-1]) + 1 if len(other) else 0
-            if start:
-                yield compared(pa.Table.from_batches([*waiting, batch.slice(0, start)]).combine_chunks().to_batches()[0])
-                waiting = []
-            elif waiting and (waiting[0].column("pivot")[-1] != batch.column("pivot")[0] or waiting[0].column("part")[-1] != batch.column("part")[0]):
-                yield compared(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
-                waiting = []
-            waiting.append(batch.slice(start))
-        if waiting:
-            yield compared(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
-
-    met = dealt.repartition("pivot", "part").sortWithinPartitions("pivot", "part").mapInArrow(meet, "u long, v long, s double")
-    return materialise(shortened(graph.select("u", "v", "s").union(met), rooms.select("u", "room")), "graph")
-
-
-def tiles(rows: DataFrame, merged: DataFrame) -> DataFrame:
-    """dim, tile and up to about TILE rows each, packed: ids, components so far, copies and vectors."""
-    held = rows.join(merged.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "dim", "vector")
-    room = F.greatest(F.lit(64), F.least(F.lit(TILE), F.floor(TILE_BYTES / (8 * F.col("dim")))))
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / room).alias("parts"))
-    dealt = held.join(F.broadcast(sizes), "dim").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    packed = pa.schema([("dim", pa.int32()), ("tile", pa.int32()), *((c, pa.binary()) for c in ("ids", "components", "copies", "vectors"))])
-
-    def pack(key: tuple, part: pa.Table) -> pa.Table:
-        data = {"dim": [key[0].as_py()], "tile": [key[1].as_py()], "vectors": [matrix(part.column("vector")).tobytes()]}
-        return pa.table(data | {name: [part.column(c).to_numpy().astype("i8").tobytes()] for name, c in (("ids", "id"), ("components", "component"), ("copies", "n"))}, schema=packed)
-
-    return dealt.groupBy("dim", "tile").applyInArrow(pack, "dim int, tile int, ids binary, components binary, copies binary, vectors binary")
-
-
-def bridges(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of components that join all those of a (rows) and b (columns) between which near has links."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label, left, right = np.arange(len(names)), at[: len(a)], at[len(a) :]
-    cross = near & (left[:, None] != right)
-    for i in np.flatnonzero(cross.any(axis=1)):
-        met = np.unique(np.append(label[right[cross[i]]], label[left[i]]))
-        if len(met) > 1:
-            label[np.isin(label, met)] = met[0]
-    moved = np.flatnonzero(label != np.arange(len(names)))
-    return names[moved], names[label[moved]]
-
-
-def every_link(rows: DataFrame, merged: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(id, n_links) of every row that has links, and (u, v): links between the components of merged that join them.
-
-    All rows of a length of vectors meet, tile by tile, whatever the descent has found; only counts and bridges leave a
-    pair of tiles.
-    """
-    bound_batches(rows.sparkSession)
-    packed = materialise(tiles(rows, merged), "tiles")
-    names = ("tile", "ids", "components", "copies", "vectors")
-    left, right = (packed.select("dim" if side == "x" else F.col("dim").alias("dim_y"), *(F.col(c).alias(f"{c}_{side}") for c in names)) for side in "xy")
-    pairs = left.join(right.hint("shuffle_replicate_nl"), F.expr("dim = dim_y AND tile_x <= tile_y"))
+
+def descent(rows: DataFrame, count: int, graph: DataFrame, theta: float, seed: int) -> DataFrame:
+    """The graph after rounds in which leaders have met at their neighbours; hubs are cut into blocks."""
+    for round_ in range(ROUNDS):
+        lists = graph.groupBy("u").agg(F.min("s").alias("last"), F.count(F.lit(1)).alias("n"), F.max("room").alias("room"), F.collect_list("v").alias("at"))
+        full = F.col("n") >= F.col("room")
+        saturated = full & (F.col("last") >= -theta)
+        lists = materialise(lists.select(F.col("u").alias("id"), F.when(saturated, F.col("room") * 2).otherwise(F.col("room")).alias("room"), F.when(full & ~saturated, F.col("last")).otherwise(F.lit(-9.0)).alias("floor"), saturated.alias("saturated"), "at"), "lists")
+        sums = lists.agg(F.count_if("saturated").alias("saturated"), F.sum(F.size("at") + 1).alias("sent")).first()
+        sent = rows.join(lists, "id").select("id", "dim", "vector", "r", "floor", "room", F.explode(F.concat("at", F.array("id"))).alias("pivot"), F.xxhash64("id", F.lit(seed + round_)).alias("h"))
+        runs = sorted_runs(sent, sums["sent"] or 0, "pivot").select("pivot", "id", "dim", "vector", "r", "floor", "room")
+        met = runs.mapInArrow(lambda batches: groups_of(batches, ("pivot",), compared), EDGES)
+        new = materialise(shortened(graph.select("u", "v", "s", "w").union(met), lists.select(F.col("id").alias("u"), "room")), "graph")
+        near = new.where(F.col("s") >= -theta)
+        fresh, total = near.join(graph, ["u", "v"], "left_anti").count(), near.count()
+        discard(graph, lists)
+        graph = new
+        if round_ and not sums["saturated"] and fresh <= SETTLED * total:
+            break
+    return graph
+
+
+def packed(members: DataFrame, count: int) -> DataFrame:
+    """leader and up to BLOCK of its members in a row: ids, copies, vectors."""
+    schema = pa.schema([("leader", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())])
+
+    def work(batch: pa.RecordBatch, borders: np.ndarray) -> pa.RecordBatch:
+        leader, ids, n = (batch.column(c).to_numpy() for c in ("leader", "id", "n"))
+        out: list[tuple] = []
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            for x in range(a, b, BLOCK):
+                y = min(b, x + BLOCK)
+                out.append((int(leader[a]), ids[x:y].astype("i8").tobytes(), n[x:y].astype("i8").tobytes(), matrix(batch.column("vector").slice(x, y - x)).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], schema.field(i).type) for i in range(4)], schema=schema)
+
+    runs = sorted_runs(members.withColumn("h", F.xxhash64("id")), count, "leader").select("leader", "id", "n", "vector")
+    return runs.mapInArrow(lambda batches: groups_of(batches, ("leader",), work), "leader long, ids binary, copies binary, vectors binary")
+
+
+def links_of(graph: DataFrame, rows: DataFrame, held: DataFrame, leaders: DataFrame, least: float, theta: float) -> tuple[DataFrame, DataFrame]:
+    """(id, links) beyond a row's own leader for rows that have any, (u, v): leaders whose members are linked."""
+    pairs = graph.where(F.col("s") >= -theta - MARGIN).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "s", "w").dropDuplicates(["u", "v"])
+    pairs = materialise(pairs.withColumn("sure", 2 * F.col("w") - F.col("s") <= theta - MARGIN), "pairs")
+    sure, open_ = pairs.where("sure").select("u", "v"), pairs.where("NOT sure").select("u", "v")
+    both = sure.union(sure.select("v", "u"))
+    by_leader = both.join(leaders.select(F.col("id").alias("v"), "size"), "v").groupBy("u").agg(F.sum("size").alias("links"))
+    whole = held.join(by_leader.withColumnRenamed("u", "leader"), "leader").select("id", "links")
+    asked = open_.select(F.explode(F.array("u", "v")).alias("leader")).distinct()
+    members = held.join(asked, "leader").join(rows, "id").select("leader", "id", "n", "vector")
+    blocks = materialise(packed(members, held.count()), "blocks")
+    left, right = (blocks.select(F.col("leader").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("ids", "copies", "vectors"))) for k in "uv")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
-                (ids, a, n, x), (others, b, m, y) = ([np.frombuffer(row[f"{c}_{side}"].as_buffer(), t) for c, t in (("ids", "i8"), ("components", "i8"), ("copies", "i8"), ("vectors", "f8"))] for side in "xy")
+                (ids, n, x), (others, m, y) = ([np.frombuffer(row[f"{c}_{k}"].as_buffer(), t) for c, t in (("ids", "i8"), ("copies", "i8"), ("vectors", "f8"))] for k in "uv")
+                if len(x) * len(others) != len(y) * len(ids):
+                    continue
                 near = x.reshape(len(ids), -1) @ y.reshape(len(others), -1).T >= least
-                same = row["tile_x"] == row["tile_y"]
-                if same:
-                    np.fill_diagonal(near, False)
-                u, v = bridges(near, a, b)
-                at, links = ids, near @ m
-                if not same:
-                    at, links = np.append(ids, others), np.append(links, n @ near)
+                at, links = np.append(ids, others), np.append(near @ m, n @ near)
                 at, links = at[links > 0], links[links > 0]
-                columns = [pa.array(np.append(at, u)), pa.array(np.append(np.zeros_like(at), v), mask=np.arange(len(at) + len(u)) < len(at)), pa.array(np.append(links, np.zeros_like(u)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "n_links"])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["u"].as_py())), pa.array(np.full(len(at), row["v"].as_py())), pa.array(at), pa.array(links)], names=["u", "v", "id", "links"])
+
+    met = open_.join(left, "u").join(right, "v").select("u", "v", "ids_u", "copies_u", "vectors_u", "ids_v", "copies_v", "vectors_v")
+    found = materialise(met.mapInArrow(compare, "u long, v long, id long, links long"), "links")
+    links = whole.union(found.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
+    return links, sure.union(found.select("u", "v").distinct())
 
-    found = materialise(pairs.mapInArrow(compare, "u long, v long, n_links long"), "links")
-    counts = found.where("v IS NULL").groupBy(F.col("u").alias("id")).agg(F.sum("n_links").alias("n_links"))
-    return counts, found.where("v IS NOT NULL").select("u", "v").distinct()
+
+def audit(rows: DataFrame, links: DataFrame, count: int, least: float, seed: int) -> float | None:
+    """The mean share of its links that a sampled row's `links` (id, n_links) has, or None if no sampled row has links.
+
+    Rows are taken by a hash, some of all rows and some of those with links found, more of a larger table; every row of the
+    table is compared with them.
+    """
+    most = min(SAMPLED, 200 + int(count**0.5))
+    order = F.xxhash64("id", F.lit(seed))
+    known = rows.join(links, "id", "left").select("id", "dim", "vector", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # At most 2 * SAMPLED vectors reach the driver and go to the tasks.
+    picked = {r["id"]: r for part in (known, known.where("n_links > 0")) for r in part.orderBy(order, "id").limit(most).collect()}
+    asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d in {r["dim"] for r in picked.values()}:
+        of = [r for r in picked.values() if r["dim"] == d]
+        asked[d] = np.array([r["id"] for r in of]), np.array([r["vector"] for r in of])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {d: np.zeros(len(ids), "i8") for d, (ids, _) in asked.items()}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for d in np.intersect1d(np.unique(dims), list(asked)):
+                at = pa.array(np.flatnonzero(dims == d))
+                near = matrix(batch.column("vector").take(at)) @ asked[d][1].T >= least
+                near &= batch.column("id").take(at).to_numpy()[:, None] != asked[d][0]
+                total[d] += batch.column("n").take(at).to_numpy() @ near
+        for d, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[d][0]), pa.array(n)], names=["id", "n"])
+
+    sums = rows.select("id", "n", "dim", "vector").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    true = {r["id"]: r["n"] for r in sums.where("n > 0").collect()} if asked else {}
+    return float(np.mean([min(1.0, picked[i]["n_links"] / n) for i, n in true.items()])) if true else None
 
 
 def near_duplicates(table: DataFrame, least: float = 0.95, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """<id>, n_links, component_id, kept for every row of table.
 
-    Rows are linked where the cosine of their vectors is at least `least`. Vectors that are null, empty, zero or hold
-    null or non-finite components have no links and are their own component; so have rows with a null id, whose
+    Rows are linked where the cosine of their vectors is at least `least` (above 0). Vectors that are null, empty, zero or
+    hold null or non-finite components have no links and are their own component; so have rows with a null id, whose
     component is null and which aren't kept. Vectors of different lengths aren't compared. Copies are one row of the
-    graph, with their number; repeated rows of an id count as one vector.
+    graph, with their number; repeated rows of an id count as one vector, its smallest. Only the two named columns are
+    read, so others may have any name. A descent whose audit fails DESCENTS times is an error, never a result.
     """
-    found = usable(table, id, vector).dropDuplicates(["id"])
-    classes = distinct_vectors(found, 1).select("vector", F.col("ids")[0].alias("id"), "n", "dim")
-    classes = materialise(classes, "classes")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    rows = materialise(classes.withColumn("norm", norm).select("id", "n", "dim", F.transform("vector", lambda x: x / F.col("norm")).alias("vector")), "units")
-    graph = materialise(shortened(blocks(rows, 11), None), "graph")
-    for round_ in range(ROUNDS):
-        before, graph = graph, descent_round(rows, graph, least, round_)
-        new = graph.join(before, ["u", "v"], "left_anti").count()
-        if new <= SETTLED * graph.count():
+    spark = table.sparkSession
+    bound_batches(spark, 4096)
+    theta = float(np.arccos(least))
+    found = materialise(by_id(usable(table, id, vector)), "vectors")
+    classes = materialise(found.groupBy("vector", "dim").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    rows = materialise(unit(classes), "units")
+    count = rows.count()
+    held = gathered(rows, count, (theta - MARGIN) / 2)
+    sizes = held.join(rows.select("id", "n"), "id").groupBy(F.col("leader").alias("id")).agg(F.sum("n").alias("size"), F.max("angle").alias("r"))
+    leaders = materialise(sizes.join(rows.select("id", "dim", "vector"), "id").withColumn("r", F.when(F.col("r") > 0, F.col("r") + MARGIN).otherwise(0.0)), "leaders")
+    n_leaders = leaders.count()
+    graph = materialise(shortened(first_graph(leaders, n_leaders, TABLES, 11), None), "graph")
+    for attempt in range(DESCENTS):
+        graph = descent(leaders, n_leaders, graph, theta, 1000 * attempt)
+        links, edges = links_of(graph, rows, held, leaders, least, theta)
+        own = held.join(leaders.select(F.col("id").alias("leader"), "size"), "leader").join(links, "id", "left")
+        links = materialise(own.select("id", (F.col("size") + F.coalesce("links", F.lit(0))).alias("size")).join(rows.select("id", "n"), "id").select("id", (F.col("size") - F.col("n")).alias("n_links")), "counts")
+        recall = audit(rows, links, count, least, 7 + attempt)
+        if recall is None or recall >= RECALL:
             break
-    merged = components(graph.where(F.col("s") >= least), "u", "v")
-    links, more = every_link(rows, merged, least)
-    merged = components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "u", "v")
-    named = classes.join(links, "id", "left").join(merged.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("vector", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("c"))
-    of = found.join(named, "vector").select(F.col("id").alias("i"), "links", "c")
+        more = first_graph(leaders, n_leaders, TABLES * 2 ** (attempt + 1), 12 + attempt)
+        rooms = graph.groupBy("u").agg(F.max("room").alias("room"))
+        graph = materialise(shortened(graph.select("u", "v", "s", "w").union(more), rooms), "graph")
+    else:
+        raise RuntimeError(f"the descent finds {recall:.3f} of a sampled row's links, fewer than {RECALL}")
+    merged = components(edges, "u", "v").withColumnsRenamed({"node": "leader", "component": "c"})
+    named = held.join(merged, "leader", "left").select("id", F.coalesce("c", "leader").alias("c"))
+    least_id = named.groupBy("c").agg(F.min("id").alias("component"))
+    named = named.join(least_id, "c").join(links, "id").join(classes.select("id", "n", "vector"), "id")
+    named = materialise(named.select("vector", "n", (F.col("n_links") + F.col("n") - 1).alias("links"), F.col("component").alias("c")), "named")
+    of = join_classes(found.drop("dim"), named, "vector").select(F.col("id").alias("i"), "links", "c")
     all_rows = table.select(F.col(id).cast("long").alias("i")).join(of, "i", "left")
     component = F.coalesce("c", "i")
     return all_rows.select(F.col("i").alias(id), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("i") == component, F.lit(False)).alias("kept"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,6 +21,11 @@ def usable(table: DataFrame, id: str = "vec_id", vector: str = "embedding") -> D
     return picked.where(F.col("id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size("vector"))
 
 
+def by_id(rows: DataFrame) -> DataFrame:
+    """One row an id: of different vectors, the smallest."""
+    return rows.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+
+
 def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
     """vector, dim, ids (the smallest `ids` of the rows that share it), n: a row for each distinct vector.
 
@@ -38,3 +45,21 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if not len(flat):
         return np.zeros((0, 0))
     return flat.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(flat), -1)
+
+
+def unit(rows: DataFrame) -> DataFrame:
+    """id, n, dim, vector with vectors scaled to length 1; the largest component comes out first, so tiny and huge ones neither vanish nor overflow."""
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("vector")
+            sizes = np.diff(column.offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            if len(sizes):
+                flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), starts), sizes)
+                flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts)), sizes)
+            vectors = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "dim")), vectors], names=["id", "n", "dim", "vector"])
+
+    return rows.select("id", "n", "dim", "vector").mapInArrow(scale, "id long, n long, dim int, vector array<double>")

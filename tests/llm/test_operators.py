@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from causeway.llm import ann, bpe, counts, htmltext, idfile, minhash, mixing, nndescent, toxicity, urlfilter
-from causeway.llm.components import components
+from causeway.operators.components import components
 from causeway.llm.queries import BYTE_BPE, WORD_BPE, tokenizer
 from tests.llm import brute
 
@@ -147,15 +147,35 @@ def test_near_vectors_of_two_lobes(spark):
 
 
 def test_near_vectors_after_a_poor_descent(spark, monkeypatch):
-    """A descent without any edge loses no link."""
-    first = nndescent.blocks
-    monkeypatch.setattr(nndescent, "blocks", lambda rows, seed: first(rows, seed).where("false"))
-    monkeypatch.setattr(nndescent, "TILE", 64)
+    """The audit sees that a descent has found nothing; one from more projections follows, or an error."""
+    first = nndescent.first_graph
     rng = np.random.default_rng(6)
-    rows = list(enumerate((np.repeat(rng.normal(size=(30, 8)), 20, axis=0) + rng.normal(size=(600, 8)) * 0.1).tolist()))
+    rows = list(enumerate((np.repeat(rng.normal(size=(15, 8)), 10, axis=0) + rng.normal(size=(150, 8)) * 0.1).tolist()))
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nndescent, "gathered", lambda rows, count, most: rows.selectExpr("id", "id AS leader", "0D AS angle"))
+    monkeypatch.setattr(nndescent, "first_graph", lambda rows, count, tables, seed: first(rows, count, tables, seed).where(str(tables > nndescent.TABLES)))
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(table).collect()}
     assert got == brute.near_vectors(rows, 0.95)
+    monkeypatch.setattr(nndescent, "first_graph", lambda rows, count, tables, seed: first(rows, count, tables, seed).where("false"))
+    monkeypatch.setattr(nndescent, "DESCENTS", 2)
+    with pytest.raises(RuntimeError, match="links"):
+        nndescent.near_duplicates(table)
+
+
+def test_near_vectors_of_large_groups(spark):
+    """Groups of 2,000 near and 500 exact copies in 256 dimensions among unlike vectors, repeated ids, tiny and huge values."""
+    rng = np.random.default_rng(12)
+    unlike, base = rng.normal(size=(700, 256)), rng.normal(size=(3, 256))
+    near = base[0] + rng.normal(size=(2000, 256)) * 0.12
+    wide = base[1] + rng.normal(size=(300, 256)) * np.linspace(0.05, 0.6, 300)[:, None]
+    made = np.concatenate([unlike, near, wide, np.repeat(base[2:], 500, axis=0), unlike[:5] * 1e-200, unlike[:5] * 1e200])
+    rows = list(enumerate(made.tolist()))
+    table = spark.createDataFrame([*rows, rows[3], rows[900]], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(table).collect()}
+    scaled = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    want = brute.near_vectors(scaled, 0.95)
+    assert sum(got[i][0] for i in got) / sum(n for n, _ in want.values()) >= 0.99
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.99 and all(got[i][0] <= want[i][0] for i in want)
 
 
 def test_nearest_vectors(spark):
@@ -171,6 +191,34 @@ def test_nearest_vectors(spark):
     assert ann.search(table.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.3, 5.0])
+def test_nearest_in_several_shards(spark, monkeypatch, spread):
+    """Small shards and query blocks, clusters and none, repeated ids, ties: exact scores, ranks in order, recall of 0.95."""
+    for name, value in (("SHARD_ROWS", 150), ("QUERY_BLOCK", 32), ("AUDITED", 40)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(3)
+    made = (np.repeat(rng.normal(size=(30, 24)) * 5, 50, axis=0) + rng.normal(size=(1500, 24)) * spread).round(2)
+    made[100:140] = made[100]
+    made[7] *= 1e25
+    rows = list(enumerate(made.tolist()))
+    table = spark.createDataFrame([*rows, rows[105], rows[105], (None, rows[0][1])], "vec_id long, embedding array<double>")
+    asked = [i for i in range(0, 1500, 5)]
+    want = brute.nearest(rows, asked, 10)
+    found: dict = {}
+    for r in ann.search(table, table.where("vec_id % 5 = 0")).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    assert set(found) == set(asked)
+    recall = []
+    for q in asked:
+        got = [x[1:] for x in sorted(found[q])]
+        assert got == sorted(got) and len({i for _, i in got}) == 10 and q not in {i for _, i in got}
+        exact = np.sqrt(((made[[i for _, i in got]] - made[q]) ** 2).sum(axis=1))
+        assert np.allclose([d for d, _ in got], exact, rtol=1e-12)
+        recall.append(len({i for _, i in got} & {i for _, i in want[q]}) / 10)
+    assert np.mean(recall) >= 0.95
+    assert [i for _, i in sorted(x[1:] for x in found[110])] == [i for i in range(100, 111) if i != 110]
+
+
 @pytest.mark.parametrize("jitter", [1e-3, 1e-4, 1e-5])
 def test_nearest_in_tight_groups(jitter):
     """Rounding in the graph doesn't decide which near copies are found, wherever the group lies."""
@@ -179,7 +227,7 @@ def test_nearest_in_tight_groups(jitter):
     graph, hits = ann.Graph(x).build(), 0
     for i in range(0, 600, 10):
         exact = ((x - x[i]) ** 2).sum(axis=1)
-        found = graph.ask(x[i], 11)
+        found = graph.ask(x[i], ann.ASK_BREADTH)
         assert len(found) >= ann.ASK_BREADTH
         hits += len(set(found[np.argsort(exact[found])][:11]) & set(np.argsort(exact)[:11]))
     assert hits >= 0.97 * 60 * 11
