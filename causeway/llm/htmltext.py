@@ -1,10 +1,12 @@
-"""Main text of web pages by tree scoring.
-
-A page becomes a tree of elements. Parts that by tag, role or name are never main text (menus, footers, adverts, forms,
-comments, ...) are cut out. Every block of text passes points for its length and commas to the elements around it, half
-as many at each step up; an element's points are discounted by the share of its text inside links. The element with
-most points is the container, or the outermost article or main around it, whose wanted blocks are all kept; siblings
-that earn enough, and plain blocks and text beside it, are kept with it.
+"""Main text of web pages by tree scoring, in time that grows with a page's length, however it is formed.
+
+A page becomes a list of elements, parents first, and a list of blocks of text. Elements that are never main text by
+their kind (menus, footers, scripts, ...) have no blocks. Those that probably aren't by their names or role (adverts,
+comments, forms, ...) are left out unless they wrap the page's heading, its article or all its text. Every other block
+passes points for its length and commas to the elements around it, half as many at each step up; an element's points are
+discounted by the share of its text inside links. The element with most points is the container, or the outermost article
+or main around it, whose wanted blocks are all kept; siblings that earn enough, and plain blocks and text beside it, are
+kept with it. Points, lengths and membership are each one pass over the elements, up or down.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from causeway.llm.common import bound_batches, small_batches
 # HTML elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-NEVER = frozenset("head nav footer aside form script style noscript template iframe svg math canvas audio video object embed button select textarea input title dialog menu noembed noframes".split())
+NEVER = frozenset("head nav footer aside script style noscript template iframe svg math canvas audio video object embed button select textarea input title dialog menu noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div body td blockquote html".split())
 # An open element (left) ends when one of these (right) starts.
@@ -40,208 +42,247 @@ CLOSES = {
 }
 # Beyond these no start tag ends anything.
 SCOPE = frozenset("table ul ol dl div section article main body html blockquote td th".split())
-# Words in class and id names of parts that aren't main text, and of parts that are.
+# Words in class and id names of parts that aren't main text, words that may stand beside them, and words of parts that are.
 BAD_NAME = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disqus footer header masthead menu menus nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars social sponsor sponsored subscribe toolbar topbar widget widgets disclaimer gdpr modal overlay signup login skyscraper recommended recommendations".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menus nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar topbar widget widgets disclaimer gdpr modal overlay signup login skyscraper recommended recommendations".split()
 )
+BESIDE_NAME = frozenset("area bar block bottom box btn button buttons col column container content form global group holder inner item items left link links list main page panel post posts primary reader right row secondary section site slot stories text top unit user wrap wrapper".split())
 GOOD_NAME = frozenset("article body content entry hentry main page post story text".split())
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar alert form".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME_PARTS = re.compile(r"[a-z]+")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"']*")
+INVISIBLE = re.compile(r"display\s*:\s*none")
+RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
+#: Open elements that a start tag ends, the other way round than CLOSES.
+ENDED_BY: dict[str, list[str]] = {t: [s for s, ends in CLOSES.items() if t in ends] for t in frozenset().union(*CLOSES.values())}
 
+SURE, SUSPECT, NOT = 2, 1, 0
 
-class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points")
-
-    def __init__(self, tag: str, attributes: str = "", parent: Node | None = None):
-        self.tag, self.attributes, self.parent, self.points = tag, attributes, parent, 0.0
-        self.children: list[Node | str] = []
 
-    def names(self) -> tuple[frozenset[str], frozenset[str]]:
-        """(words in class and id, words in role and hidden state)."""
-        if not self.attributes:
-            return frozenset(), frozenset()
-        found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(self.attributes)}
-        hidden = {"hidden"} if found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", self.attributes) else set()
-        return frozenset(NAME_PARTS.findall(found.get("class", "") + " " + found.get("id", ""))), frozenset({found.get("role", "")} | hidden)
+class Page:
+    """Elements as parallel lists, parents before children: tag, parent, unwanted; and blocks (owner, text, characters in links)."""
 
+    def __init__(self) -> None:
+        self.tag, self.parent, self.unwanted, self.good = ["#top"], [-1], [NOT], [False]
+        self.blocks: list[tuple[int, str, int]] = []
+        self.stack, self.open, self.scopes, self.links = [0], {}, [], 0
+        self.never = self.articles = 0
+        self.block_owners: list[int] = []
+        self.parts: list[str] = []
+        self.linked: list[str] = []
 
-def parse(page: str) -> Node:
-    """The tree of a page, however badly it is formed; character references are left for later."""
-    top = Node("#top")
-    stack, at, n = [top], 0, len(page)
-    lower = None
+    def flush(self) -> None:
+        """Ends the current block."""
+        if self.parts:
+            text = clean_text(self.parts)
+            if text:
+                owner = self.block_owners[-1] if self.block_owners else 0
+                self.blocks.append((owner, text, min(len(text), len(clean_text(self.linked))) if self.linked else 0))
+            self.parts, self.linked = [], []
+
+    def text(self, piece: str) -> None:
+        if not self.never:
+            self.parts.append(piece)
+            if self.links:
+                self.linked.append(piece)
+
+    def add(self, tag: str, attributes: str) -> int:
+        node = len(self.tag)
+        kind, good = judged(tag, attributes, self.articles > 0)
+        self.tag.append(tag)
+        self.parent.append(self.stack[-1])
+        self.unwanted.append(kind)
+        self.good.append(good)
+        return node
+
+    def push(self, node: int) -> None:
+        tag = self.tag[node]
+        if tag in BLOCK:
+            self.flush()
+            self.block_owners.append(node)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.links += tag == "a"
+        self.never += self.unwanted[node] == SURE
+        self.articles += tag in ("article", "main")
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        """Ends the open elements from a place of the stack on."""
+        while len(self.stack) > place:
+            node = self.stack[-1]
+            tag = self.tag[node]
+            if tag in BLOCK:
+                self.flush()
+                self.block_owners.pop()
+            self.open[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.links -= tag == "a"
+            self.never -= self.unwanted[node] == SURE
+            self.articles -= tag in ("article", "main")
+            self.stack.pop()
+
+    def start(self, tag: str, attributes: str) -> None:
+        scope = self.scopes[-1] if self.scopes else 0
+        place = max((self.open[s][-1] for s in ENDED_BY.get(tag, ()) if self.open.get(s)), default=-1)
+        if place >= max(scope, 1):
+            self.cut(place)
+        if tag in ("br", "hr"):
+            self.text(" ")
+            if tag == "hr":
+                self.flush()
+            return
+        node = self.add(tag, attributes)
+        if tag in BLOCK and (tag in VOID or attributes.endswith("/")):
+            self.flush()
+        elif tag not in VOID and tag not in RAW and not attributes.endswith("/"):
+            self.push(node)
+
+    def end(self, tag: str) -> None:
+        places = self.open.get(tag)
+        # The end of an inline element doesn't end the blocks it is in.
+        if places and (tag in BLOCK or places[-1] > (self.scopes[-1] if self.scopes else 0)):
+            self.cut(places[-1])
+
+
+def judged(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """(whether an element is unwanted for sure, suspected, or not; whether its names speak for it)."""
+    if tag in NEVER or (tag == "header" and not inside):
+        return SURE, False
+    kind, good = SUSPECT if tag == "form" else NOT, False
+    if attributes:
+        found: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attributes):
+            found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
+        if "hidden" in found or found.get("aria-hidden") == "true" or INVISIBLE.search(found.get("style", "")):
+            return SURE, False
+        names = [NAME_PARTS.findall(x) for x in (found.get("class", "") + " " + found.get("id", "")).split()]
+        good = any(p in GOOD_NAME for x in names for p in x)
+        bad = any(x and not BAD_NAME.isdisjoint(x) and all(p in BAD_NAME or p in BESIDE_NAME for p in x) for x in names)
+        if tag not in ("html", "body", "article", "main") and (bad or found.get("role") in BAD_ROLE):
+            kind = SUSPECT
+    return kind, good
+
+
+def parse(page: str) -> Page:
+    """The elements and blocks of a page, however badly it is formed. Every step goes on in the page, so time is linear."""
+    out = Page()
+    at, n = 0, len(page)
+    last = {q: page.rfind(q) for q in ("\"", "'", ">")}
     while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            stack[-1].children.append(page[at:])
+        found = page.find("<", at)
+        if found < 0 or found > last[">"]:  # no tag can end any more
+            out.text(page[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in SCOPE:
-                    break  # the end of an inline element doesn't end the blocks it is in
-            continue
-        if tag in CLOSES["p"] or any(tag in x for x in CLOSES.values()):
-            for k in range(len(stack) - 1, 0, -1):
-                if tag in CLOSES.get(stack[k].tag, ()):
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE:
-                    break
-        node = Node(tag, m[3], stack[-1])
-        stack[-1].children.append(node)
-        if tag in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{tag}", at) if len(lower) == n else page.find(f"</{tag}", at)
+        if found > at:
+            out.text(page[at:found])
+        at = found
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2 if page.startswith("<!-->", at) else at + 4)
+            at = n if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
             end = n if end < 0 else end
-            if tag == "noscript":
-                node.children.append(page[at:end])
-            at = page.find(">", end) + 1 or n
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    return top
-
-
-def unwanted(node: Node, in_article: bool) -> bool:
-    if node.tag in NEVER:
-        return True
-    if node.tag == "header":
-        return not in_article
-    names, roles = node.names()
-    if roles & BAD_ROLE or "hidden" in roles:
-        return True
-    return bool(names & BAD_NAME) and node.tag not in ("html", "body", "article", "main") and not (node.tag in CONTAINER and names & GOOD_NAME and not names & {"comment", "comments", "ad", "ads", "sidebar", "nav", "menu", "footer", "related"})
+            out.text(page[at + 9 : end].replace("&", "&amp;"))
+            at = end + 3
+        elif page.startswith(("<!", "<?"), at):
+            at = page.find(">", at) + 1
+        else:
+            closing = page.startswith("</", at)
+            name = TAG_NAME.match(page, at + 1 + closing)
+            if not name:
+                out.text("<")
+                at += 1
+                continue
+            stop = name.end()
+            while True:
+                stop = PLAIN.match(page, stop).end()
+                if stop >= n or page[stop] == ">":
+                    break
+                quote = page[stop]
+                stop = page.find(quote, stop + 1) + 1 if stop < last[quote] else stop + 1
+            tag, attributes, at = name[0].lower(), page[name.end() : stop], min(n, stop + 1)
+            if closing:
+                out.end(tag)
+                continue
+            out.start(tag, attributes)
+            if tag in RAW:
+                end = RAW_ENDS[tag].search(page, at)
+                at = n if not end else (page.find(">", end.end()) + 1 or n)
+    out.cut(1)
+    out.flush()
+    return out
 
 
 def clean_text(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-class Block:
-    """A run of inline content between block borders."""
-
-    __slots__ = ("parts", "linked", "owner")
-
-    def __init__(self, owner: Node):
-        self.parts: list[str] = []
-        self.linked: list[str] = []
-        self.owner = owner
-
-
-def blocks_of(top: Node) -> list[tuple[Block, str]]:
-    """The page's blocks of wanted text in order, with their text; iterative, as pages can be nested deeply."""
-    out: list[Block] = []
-    current = Block(top)
-    # (node, position among its children, whether in a link, whether in an article, block owner)
-    work: list[tuple[Node, int, bool, bool, Node]] = [(top, 0, False, False, top)]
-    while work:
-        node, k, link, inside, owner = work.pop()
-        children = node.children
-        opened = False
-        while k < len(children):
-            child = children[k]
-            k += 1
-            if isinstance(child, str):
-                if current.owner is not owner:
-                    out.append(current)
-                    current = Block(owner)
-                current.parts.append(child)
-                if link:
-                    current.linked.append(child)
-            elif child.tag == "br" or child.tag == "hr":
-                current.parts.append(" ")
-            elif not unwanted(child, inside):
-                block = child.tag in BLOCK
-                if block:
-                    out.append(current)
-                    current = Block(child)
-                work.append((node, k, link, inside, owner))
-                work.append((child, 0, link or child.tag == "a", inside or child.tag in ("article", "main"), child if block else owner))
-                opened = True
-                break
-        if not opened and node.tag in BLOCK:
-            out.append(current)
-            current = Block(node.parent or top)
-    out.append(current)
-    return [(b, text) for b in out if (text := clean_text(b.parts))]
-
-
-def within(node: Node | None, ancestors: set[int]) -> bool:
-    while node is not None:
-        if id(node) in ancestors:
-            return True
-        node = node.parent
-    return False
-
-
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by line feeds; empty for a null or empty page, or one without text."""
     if not page:
         return ""
-    found = blocks_of(parse(page))
-    if not found:
+    tree = parse(page)
+    blocks, tag, parent, n = tree.blocks, tree.tag, tree.parent, len(tree.tag)
+    if not blocks:
+        return ""
+    points = [(1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text)) for _, text, links in blocks]
+
+    # Up: text in and below each element, and whether it holds a heading or an article. Down: what is left out.
+    held, marked = [0] * n, [t in ("h1", "article", "main") for t in tag]
+    for owner, text, _ in blocks:
+        held[owner] += len(text)
+    for i in range(n - 1, 0, -1):
+        held[parent[i]] += held[i]
+        if marked[i] and not tree.unwanted[i]:
+            marked[parent[i]] = True
+    out = [False] * n
+    for i in range(1, n):
+        wraps = marked[i] or held[i] == held[0]
+        out[i] = out[parent[i]] or (tree.unwanted[i] == SUSPECT and not wraps)
+
+    # Up: points at half a step, lengths of text and of links.
+    flow, length, linked = [0.0] * n, [0] * n, [0] * n
+    for (owner, text, links), p in zip(blocks, points):
+        if not out[owner]:
+            flow[owner if tag[owner] in CONTAINER or owner == 0 else parent[owner]] += p
+            length[owner] += len(text)
+            linked[owner] += links
+    for i in range(n - 1, 0, -1):
+        up = parent[i]
+        flow[up] += flow[i] / 2
+        length[up] += length[i]
+        linked[up] += linked[i]
+
+    def score(i: int) -> float:
+        bonus = 5.0 if tag[i] in ("article", "main") else 2.0 if tree.good[i] else 0.0
+        return (flow[i] + bonus) * (1 - linked[i] / max(1, length[i]))
+
+    candidates = [i for i in range(n) if length[i] and (tag[i] in CONTAINER or i == 0)]
+    if not candidates:
         return ""
-    nodes: dict[int, Node] = {}
-    length: dict[int, int] = {}
-    linked: dict[int, int] = {}
-    for block, text in found:
-        links = min(len(text), len(clean_text(block.linked))) if block.linked else 0
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        points *= 1 - links / len(text)
-        node, share = block.owner, 1.0
-        if node.tag not in CONTAINER:
-            node = node.parent or node
-        while node is not None:
-            nodes[id(node)] = node
-            node.points += points * share
-            share /= 2
-            node = node.parent
-        node = block.owner
-        while node is not None:
-            length[id(node)] = length.get(id(node), 0) + len(text)
-            linked[id(node)] = linked.get(id(node), 0) + links
-            node = node.parent
-
-    def score(node: Node) -> float:
-        names = node.names()[0]
-        bonus = 25.0 if node.tag in ("article", "main") else 5.0 if names & GOOD_NAME else 0.0
-        return (node.points + bonus) * (1 - linked.get(id(node), 0) / max(1, length.get(id(node), 1)))
-
-    candidates = [x for x in nodes.values() if x.tag in CONTAINER or x.tag == "#top"] or list(nodes.values())
-    best = max(candidates, key=score)
-    node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-        node = node.parent
-    keep, beside = {id(best)}, None
-    if best.parent is not None and best.tag not in ("body", "html", "#top"):
-        beside = best.parent
+    best = i = max(candidates, key=score)
+    while i > 0:
+        if tag[i] in ("article", "main"):
+            best = i
+        i = parent[i]
+    keep, beside = [False] * n, -1
+    keep[best] = True
+    if best and tag[best] not in ("body", "html"):
+        beside = parent[best]
         least = max(2.0, score(best) * 0.2)
-        for other in best.parent.children:
-            if isinstance(other, Node) and other is not best and length.get(id(other)):
-                density = linked[id(other)] / length[id(other)]
-                plain = (other.tag in BLOCK - CONTAINER or other.tag == best.tag == "section") and density < 0.25
-                if plain or (other.tag in CONTAINER and other.points and score(other) >= least):
-                    keep.add(id(other))
-
-    def loose(block: Block, text: str) -> bool:
-        return block.owner is beside and len(clean_text(block.linked)) < 0.25 * len(text)
-
-    return "\n".join(text for block, text in found if within(block.owner, keep) or loose(block, text))
+        for i in range(1, n):
+            if parent[i] == beside and i != best and length[i] and not out[i]:
+                plain = (tag[i] in BLOCK - CONTAINER or tag[i] == tag[best] == "section") and linked[i] < 0.25 * length[i]
+                keep[i] = plain or (tag[i] in CONTAINER and flow[i] > 0 and score(i) >= least)
+    for i in range(1, n):
+        keep[i] = keep[i] or keep[parent[i]]
+    return "\n".join(text for owner, text, links in blocks if not out[owner] and (keep[owner] or (owner == beside and links < 0.25 * len(text))))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

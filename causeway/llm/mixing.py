@@ -7,6 +7,8 @@ source whose budget exceeds its size is repeated whole, and the last repetition
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,26 +28,42 @@ def weight_of(place: Column, weights: tuple[int, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(place - 1, F.lit(len(weights))) + 1).cast("int"))
 
 
+def running_sums(rows: DataFrame, order: list[Column], sums: dict[str, Column], label: str) -> DataFrame:
+    """rows with, for each name of sums, the sum over all rows before it in the order, which has no ties.
+
+    Ranges of the order are sorted and summed in tasks of their own; only a row for each range meets in one task.
+    """
+    names = {f"__o{i}": o for i, o in enumerate(order)}
+    keyed = rows.withColumns(names).repartitionByRange(*names).sortWithinPartitions(*names)
+    keyed = materialise(keyed.withColumns({"__range": F.spark_partition_id(), **{f"__{n}": c for n, c in sums.items()}}), label)
+    totals = keyed.groupBy("__range").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
+    every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as tasks
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(every), F.lit(0)).alias(f"__b_{n}") for n in sums])
+    inside = Window.partitionBy("__range").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    found = keyed.withColumns({n: F.coalesce(F.sum(f"__{n}").over(inside), F.lit(0)) for n in sums}).join(F.broadcast(totals), "__range")
+    return found.select(*rows.columns, *[(F.col(n) + F.col(f"__b_{n}")).cast("long").alias(n) for n in sums])
+
+
 def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """source, source_size, target from source, source_size.
 
     Sources by code point, null last, take weights in turn; together they get the sum of all sizes. No target exceeds
     most times its source's size; the excess is shared out again by weight. Sources at their bound come first in the
-    order of size to weight, so running sums over that order find them all at once. One row a source.
+    order of size to weight, so running sums over that order find them all at once. There may be any number of sources:
+    both orders are cut into ranges.
     """
-    placed = totals.withColumn("w", weight_of(F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")), weights))
-    every = Window.partitionBy()
-    order = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    left = placed.withColumns({
-        "rest": F.sum("source_size").over(every) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0)),
-        "share": F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-    })
-    bound = left.withColumn("bound", F.col("w") * F.col("rest") > most * F.col("source_size") * F.col("share"))
-    free = Window.partitionBy("bound")  # the first row that isn't bound has the level that holds for all after it
-    levels = bound.withColumns({"level_rest": F.max("rest").over(free), "level_share": F.max("share").over(free)})
+    by_name = [F.col("source").isNull(), F.col("source")]
+    placed = running_sums(totals, by_name, {"place": F.lit(1).cast("long")}, "places").withColumn("w", weight_of(F.col("place") + 1, weights)).drop("place")
+    shared = lcm(*weights)
+    order = [F.col("source_size") * (F.lit(shared) / F.col("w")).cast("long"), *by_name]
+    left = running_sums(placed, order, {"n_before": F.col("source_size"), "w_before": F.col("w")}, "ratios")
+    every = F.broadcast(placed.agg(F.sum("source_size").alias("n_all"), F.sum("w").alias("w_all")))  # one row
+    left = left.join(every).withColumns({"rest": F.col("n_all") - most * F.col("n_before"), "share": F.col("w_all") - F.col("w_before")})
+    bound = materialise(left.withColumn("bound", F.col("w") * F.col("rest") > most * F.col("source_size") * F.col("share")).drop("n_all", "w_all", "n_before", "w_before"), "bounds")
+    # The first row that isn't bound has the level that holds for all after it.
+    level = F.broadcast(bound.where("NOT bound").agg(F.max("rest").alias("level_rest"), F.max("share").alias("level_share")))  # one row
     target = F.when(F.col("bound"), (most * F.col("source_size")).cast("double")).otherwise((F.col("w") * F.col("level_rest")).cast("double") / F.col("level_share"))
-    return levels.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
+    return bound.join(level).select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
 
 
 def shuffle_key(doc_id: Column, seed: str) -> Column:

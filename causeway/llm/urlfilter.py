@@ -3,16 +3,21 @@
 Keys are a host (or a domain above it) followed by the beginning of the path. Level 1 holds the keys listed by rules.
 Of all keys that the corpus's URLs have, those that level 1 takes wrongly are held by level 2, listed keys that level 2
 takes are held by level 3, and so on until a level takes nothing wrongly. A key is listed if the number of levels
-passed in a row is odd. All of it is DataFrame expressions; filters are literals whose size follows the rule list.
+passed in a row is odd. A second cascade over the listed keys tells those that block. All of it is DataFrame expressions;
+a filter is one array value, so plans don't grow with the rules.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.llm.common import discard, materialise
+
 #: Bits a key and hash functions of each level.
 BITS_A_KEY, HASHES = 10, 4
 
@@ -72,14 +77,14 @@ def positions(key: Column, bits: int, level: int) -> list[Column]:
 
 @dataclass(frozen=True)
 class Level:
-    """A Bloom filter as 64-bit words."""
+    """A Bloom filter as 64-bit words, held as one array literal."""
 
     number: int
-    words: tuple[int, ...]
+    size: int
+    words: Column
 
     def takes(self, key: Column) -> Column:
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
-        tests = [F.getbit(F.element_at(words, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in positions(key, 64 * len(self.words), self.number)]
+        tests = [F.getbit(F.element_at(self.words, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in positions(key, 64 * self.size, self.number)]
         out = tests[0]
         for t in tests[1:]:
             out = out & t
@@ -90,9 +95,10 @@ def build_level(keys: DataFrame, number: int, count: int) -> Level:
     """The filter of the column key; only its words come to the driver, of which there are as many as the key count asks for."""
     size = max(1, -(-count * BITS_A_KEY // 64))
     at = keys.select(F.explode(F.array(*positions(F.col("key"), 64 * size, number))).alias("p"))
-    words = at.groupBy(F.floor(F.col("p") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(p, 64) AS INT)))").alias("bits")).collect()
-    held = {r["w"]: r["bits"] for r in words}
-    return Level(number, tuple(held.get(w, 0) for w in range(size)))
+    words = at.groupBy(F.floor(F.col("p") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(p, 64) AS INT)))").alias("bits")).toArrow()
+    held = np.zeros(size, "i8")
+    held[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return Level(number, size, F.lit(held))
 
 
 def passes(key: Column, levels: list[Level]) -> Column:
@@ -103,28 +109,48 @@ def passes(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def build_cascade(urls: DataFrame, rules: list[Rule], url: str = "url") -> list[Level]:
-    """Levels for rules over all keys of urls. The rule list is the driver's own; of the corpus only counts and filter words reach it."""
-    spark = urls.sparkSession
-    listed = sorted({r.key for r in rules})
-    if not listed:
-        return []
-    host, path = split_url(F.col(url))
-    universe = urls.select(F.explode(keys_of(host, path, [r.host for r in rules], sorted({len(r.path) for r in rules}))).alias("key"))
-    positive, negative = spark.createDataFrame([(k,) for k in listed], "key string"), universe.where(~F.col("key").isin(listed))
+def listing(spark: SparkSession, keys: list[str]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"key": pa.array(keys, pa.string())}))
+
+
+def cascade(positive: DataFrame, universe: DataFrame, first: int = 0) -> list[Level]:
+    """Levels that tell the keys of positive from all others of universe (both of distinct keys).
+
+    The universe is read once: what level 1 takes of it is stored without the listed keys, and later levels narrow that
+    down. Levels are numbered from first, so that cascades use hashes of their own.
+    """
     levels: list[Level] = []
-    ours = positive
+    ours, other = positive, universe
     while True:
-        ours = ours.distinct()
         count = ours.count()
         if not count:
             return levels
-        levels.append(build_level(ours, len(levels), count))
-        # What the new level takes wrongly: of the other side, those that all levels before it took.
-        other = negative if len(levels) % 2 else positive
-        for level in levels:
-            other = other.where(level.takes(F.col("key")))
-        ours = other
+        levels.append(build_level(ours, first + len(levels), count))
+        taken = other.where(levels[-1].takes(F.col("key")))
+        if len(levels) == 1:
+            taken = taken.distinct().join(positive, "key", "left_anti")
+        taken = materialise(taken, "taken")
+        discard(other)
+        ours, other = taken, ours
+
+
+def build_cascades(urls: DataFrame, rules: list[Rule], url: str = "url") -> tuple[list[Level], list[Level]]:
+    """(levels for the rules' keys over all keys of urls, levels for the blocking ones among the rules' keys).
+
+    The rule list is the driver's own; of the corpus only counts and filter words reach it.
+    """
+    spark = urls.sparkSession
+    verdicts = verdict_of(rules)
+    listed = listing(spark, sorted(verdicts))
+    host, path = split_url(F.col(url))
+    universe = urls.select(F.explode(keys_of(host, path, [r.host for r in rules], sorted({len(r.path) for r in rules}))).alias("key"))
+    levels = cascade(listed, universe)
+    return levels, cascade(listing(spark, sorted(k for k, v in verdicts.items() if v == "block")), listed, 100)
+
+
+def verdict_of(rules: list[Rule]) -> dict[str, str]:
+    """Verdicts by key; where rules repeat a key, the last one counts."""
+    return {r.key: r.verdict for r in rules}
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -133,13 +159,13 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", otherwise: str
     A null URL, or one without '://', has an empty host and path, fits no rule (null) and gets the verdict otherwise.
     Every row is kept, repeated ones too. Columns of those four names are replaced.
     """
-    levels = build_cascade(pages.select(F.col(url).alias("url")), rules)
     host, path = split_url(F.col(url))
     named = pages.withColumns({"host": host, "path": path})
-    if not levels:
+    if not rules:
         return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
+    levels, blocking = build_cascades(pages.select(F.col(url).alias("url")), rules)
     keys = keys_of(F.col("host"), F.col("path"), [r.host for r in rules], sorted({len(r.path) for r in rules}))
     fitting = F.filter(keys, lambda k: passes(k, levels))
     best = F.aggregate(fitting, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
-    verdicts = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.verdict)])
-    return named.withColumn("rule", best).withColumn("verdict", F.coalesce(F.try_element_at(verdicts, F.col("rule")), F.lit(otherwise)))
+    verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(passes(F.col("rule"), blocking), F.lit("block")).otherwise(F.lit("allow"))
+    return named.withColumn("rule", best).withColumn("verdict", verdict)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import zlib
 from collections import defaultdict
@@ -129,3 +130,55 @@ def nearest(rows, queries, k):
             order = np.lexsort((ids, far))
             out[q] = [(float(far[i]), int(ids[i])) for i in order if ids[i] != q][:k]
     return out
+
+
+def article_text(page):
+    """The text of a page's <article> by regular expressions: blocks end where a block element begins or ends."""
+    found = re.search(r"<article>(.*?)</article>", page or "", re.DOTALL)
+    parts = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|article|blockquote|pre|table|tr|td)\b[^>]*>", found[1].replace("<br>", " ")) if found else []
+    return "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in parts) if x)
+
+
+def toxic_score(text, model):
+    """A document's score by loops over words, n-grams and windows."""
+    from causeway.llm import toxicity
+
+    vectors = []
+    for token in (text or "").split():
+        ids, _ = toxicity.features([toxicity.word_of(token)])
+        vectors.append(np.mean([model.vectors[i].astype("f8") for i in ids], axis=0))
+    spans = [vectors[i : i + model.width] for i in range(max(1, len(vectors) - model.width + 1))]
+    z = []
+    for span in spans:
+        mean = np.mean(span, axis=0) if span else np.zeros(model.vectors.shape[1])
+        a, b = (float(mean @ model.weights[:, k] + model.bias[k]) for k in (0, 1))
+        z.append(b - a)
+    weights = np.exp(np.array(z) - max(z))
+    return 1 / (1 + np.exp(-float(weights @ np.array(z) / weights.sum())))
+
+
+def draw_mix(rows, weights=(5, 2, 1), most=3, seed="mix"):
+    """rows: (doc_id, text, source) -> how often the mix takes each, whole documents."""
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    total, w = {s: 0 for s in names}, {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    for n, (_, _, s) in zip(size, rows):
+        total[s] += n
+    bound: set = set()
+    while True:
+        rest, share = sum(total.values()) - most * sum(total[s] for s in bound), sum(w[s] for s in names if s not in bound)
+        more = {s for s in names if s not in bound and w[s] * rest > most * total[s] * share}
+        if not more:
+            break
+        bound |= more
+    taken = [0] * len(rows)
+    for s in names:
+        if not total[s]:
+            continue
+        words = int(np.floor((most * total[s] if s in bound else w[s] * rest / share) + 0.5))
+        epochs, left = divmod(words, total[s])
+        order = sorted((hashlib.md5(f"{seed}:{'null' if d is None else d}".encode()).hexdigest(), size[i], i) for i, (d, _, x) in enumerate(rows) if x == s)
+        for _, n, i in order:
+            taken[i] = epochs + (left > 0 and 2 * left >= n) if n else 0
+            left -= n
+    return taken

@@ -246,7 +246,13 @@ def test_mixing(spark):
         x[1] += r["taken"]
     assert abs(sum(x[0] for x in by.values()) - total) < 1e-6 * max(1, total)
     assert all(abs(x[1] - x[0]) <= 1 and x[0] <= 3 * x[2] for x in by.values())
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(table.repartition(3)).collect())) if None not in by else True
+    again = mixing.mix(table.repartition(3)).collect()
+    key = lambda r: (r["doc_id"], r["size"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    drawn: dict = {}
+    for r in mixing.draw(table).collect():
+        drawn[r["doc_id"]] = drawn.get(r["doc_id"], 0) + 1
+    assert drawn == {i: n for (i, _, _), n in zip(rows, brute.draw_mix([(i, t, s) for i, t, s in rows])) if n}
     assert mixing.mix(table.limit(0)).count() == 0 and mixing.draw(table.limit(0)).count() == 0
 
 
@@ -261,6 +267,26 @@ def test_url_rules(spark):
     assert urlfilter.judge(table.limit(0), rules).count() == 0 and urlfilter.judge(table, []).count() == len(URLS)
 
 
+@pytest.mark.parametrize("bits", [3, 10])
+def test_many_url_rules(spark, monkeypatch, bits):
+    """Thousands of rules, also by filters so small that the cascade has many levels, against plain matching."""
+    monkeypatch.setattr(urlfilter, "BITS_A_KEY", bits)
+    rng = random.Random(4)
+    hosts = [f"h{i}.d{i % 70}.org" for i in range(700)] + ["org"] + [f"d{i}.org" for i in range(70)]
+    rules = {}
+    for _ in range(600):
+        key = (rng.choice(hosts), "/" + "".join(rng.choices("ab", k=rng.randint(0, 3))))
+        rules[key] = rng.choice(["allow", "block"])
+    urls = [f"http://{rng.choice(['', 'x.', 'y.x.'])}{rng.choice(hosts)}/{''.join(rng.choices('abc', k=rng.randint(0, 5)))}" for _ in range(600)]
+    listed = urlfilter.parse_rules([f"{v} {h}{p}" for (h, p), v in rules.items()])
+    got = [(r["rule"], r["verdict"]) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), listed).orderBy("page_id").collect()]
+    for (rule, verdict), url in zip(got, urls):
+        host, slash, path = url[7:].partition("/")
+        fits = [(len(h + p), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and (slash + path).startswith(p)]
+        want = max(fits) if fits else (0, None, "allow")
+        assert (rule, verdict) == want[1:] or (fits and len(rule) == want[0] and verdict == rules[tuple(rule.split("/", 1)[0:1]) + ("/" + rule.split("/", 1)[1],)])
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><header>H</header><nav><a href=x>m</a></nav><div class='ad'>buy, now, here</div><article><h1>Title &amp; more</h1><p>One,\n two <b>three</b><br>four<p>Five</article><div id=comments><p>so, very, nice</p></div><footer>f</footer></body></html>"
     table = spark.createDataFrame([(1, "u", page, 0), (2, "u", None, 0), (3, None, "", 0), (4, "u", "<p>" + "x " * 200000, 0)], "page_id long, url string, html string, text int")
@@ -302,3 +328,103 @@ def test_html_of_long_articles(k):
     assert htmltext.main_text(page % f"<main><div>{inner}</div></main>").split("\n") == want
     assert htmltext.main_text(page % f"<main><article>{inner}</article><article><p>Next</p></article></main>").split("\n") == [*want, "Next"]
     assert htmltext.main_text(page % f"<div><h4>four</h4>Loose text<section>{long}</section><section><p>Short part</p></section></div>").split("\n") == ["four", "Loose text", *want[2:-5]]
+
+
+def test_html_pages():
+    """The pages of the smallest table against an extractor of another kind."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    assert len(pages) and [htmltext.main_text(p) for p in pages] == [brute.article_text(p) for p in pages]
+
+
+HTML = [
+    ("<p>\u0130</p><SCRIPT>x</SCRIPT><article><p>Hello, there</p></article>", "\u0130\nHello, there"),
+    ("<article><div class='related-work'><p>Rel</p></div><p class='notice-of'>Not</p><p>z</p></article>", "Rel\nNot\nz"),
+    ("<div>a<hr>b</div>", "a\nb"),
+    ("<form><input><h1>T</h1><p>Text, more</p><select><option>x</select></form>", "T\nText, more"),
+    ("<body><form>Search <input></form><p>Real</p></body>", "Real"),
+    ("<article><p>Main</p><div class='ad-box'>Buy</div></article><div id=comments><p>so, very, very, long a comment</p></div>", "Main"),
+    ("<article><p title='a hidden > thing'>Seen</p><p hidden>Unseen</p></article>", "Seen"),
+    ("a < b <c", "a < b <c"),
+    ("<p>&amp;lt; &#65;&nbsp;B\n C", "&lt; A B C"),
+    ("<p>one<p>two<div>three</div>four</b>", "one\ntwo\nthree\nfour"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HTML)
+def test_html_probes(page, text):
+    assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize("made", [lambda n: "<a " * n, lambda n: "<div>x" * n, lambda n: '<a "' * n + ">", lambda n: "<b>" * n + "<h1>x</h1>" * n, lambda n: "<div>" * n + "</section>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<a " + "a" * n + ">", lambda n: "<!--" * n, lambda n: "<title>" * n, lambda n: "<" * n + ">"])
+def test_html_in_linear_time(made):
+    import time
+
+    took = []
+    for n in (10_000, 80_000):
+        began = time.perf_counter()
+        htmltext.main_text(made(n))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 0.5 + 24 * took[0]
+
+
+def small_model(width=2):
+    rng = np.random.default_rng(3)
+    return toxicity.Model(rng.normal(size=(toxicity.BUCKETS, 4)), rng.normal(size=(4, 2)), rng.normal(size=2), width)
+
+
+def test_toxicity_gradient():
+    """Gradients by differences: of weights, bias and n-gram vectors, over documents of no, one and several words."""
+    model, words = small_model(), ["alpha", "beta", "gamma", "be"]
+    flat, first = toxicity.gram_lists(words)
+    docs = [np.array(d, "i4") for d in ([0, 1, 2, 1], [], [3], [2, 3])]
+    wrong = np.array([0.5, -1.0, 2.0, 0.25])
+    batch = toxicity.Batch(docs, flat, first, model.width)
+    loss = lambda: float(wrong @ batch.forward(model))
+    loss()
+    by_weights, by_bias, hit, by_vectors = batch.backward(model, wrong)
+    places = [(model.weights, (1, 0), by_weights[1, 0]), (model.weights, (2, 1), by_weights[2, 1]), (model.bias, (0,), by_bias[0]), (model.bias, (1,), by_bias[1])]
+    places += [(model.vectors, (hit[i], d), by_vectors[i, d]) for i in (0, len(hit) // 2, len(hit) - 1) for d in range(4)]
+    for value, at, got in places:
+        old = value[at]
+        value[at] = old + 1e-5
+        up = loss()
+        value[at] = old - 1e-5
+        down = loss()
+        value[at] = old
+        assert abs((up - down) / 2e-5 - got) < 1e-6 * max(1, abs(got))
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_toxicity_scores(width):
+    model = small_model(width)
+    made = ["", None, "one", "One, two!", "a b c d e f g h", "word " * 30, "x \u0130 \ud55c"]
+    scorer = toxicity.Scorer(*model.table(), width)
+    assert np.allclose(scorer.scores(made), [brute.toxic_score(t, model) for t in made], atol=1e-9)
+
+
+def test_toxicity_of_long_texts(spark):
+    """However often a clean text is repeated its score stays; one bad word counts in a long text wherever it stands; ties and repeated rows are kept."""
+    rng = random.Random(1)
+    bad, good = ["grubfink", "snarlpot", "vexhag"], [f"w{i}ord" for i in range(300)]
+    texts = []
+    for i in range(400):
+        words = rng.choices(good, k=rng.randint(3, 80))
+        if i % 4 == 0:
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        texts.append(" ".join(words))
+    model = toxicity.train(texts, [int(i % 4 == 0) for i in range(400)])
+    scorer = toxicity.Scorer(*model.table(), model.width)
+    clean = " ".join(rng.choices(good, k=200))
+    long = rng.choices(good, k=200_000)
+    scores = [float(scorer.scores([t])[0]) for t in (clean, " ".join([clean] * 100), " ".join([clean] * 1000), " ".join(long))]
+    assert max(scores) < 0.1 and max(scores[:3]) - min(scores[:3]) < 0.01
+    marked = rng.choices(good, k=5000)
+    for at in (0, 1, 2, 3333, 4999):
+        assert scorer.scores([" ".join([*marked[:at], "grubfink", *marked[at:]])])[0] >= toxicity.THRESHOLD
+    rows = spark.createDataFrame([(1, clean, "a"), (1, clean, "b"), (2, clean, "a"), (None, clean, "a")], "doc_id long, text string, __text string")
+    got = [r["score"] for r in toxicity.score(rows, model).collect()]
+    assert len(got) == 4 and len(set(got)) == 1
+    twice = toxicity.fit(rows.union(rows), spark.createDataFrame([(1, 0), (2, 1), (2, 1)], "doc_id long, toxic int"))
+    assert isinstance(twice, toxicity.Model)
