@@ -3,9 +3,11 @@
 Documents with equal shingle sets are one class first; its smallest doc_id stands for it. Minima are banded, and what
 shares a bucket is compared in three rounds, each of which confirms links on full shingle sets and merges components:
 (1) every member with the bucket centre it meets most often; (2) the members of a block of each document's largest
-bucket; (3) all pairs of different components that share a bucket, block by block. In a block, pairs are taken by
-falling estimate and need no look once confirmed links join them, so a block gives fewer links than it has members, and
-a large group of copies costs stars. Pairs inside a component are never formed.
+bucket; (3) all pairs of different components that share a bucket, block by block. Blocks are searched by minima first;
+only documents with a promising pair come again with their full sets. Then pairs are taken by falling estimate and need no
+look once confirmed links join them, so a block gives fewer links than it has members, and a large group of copies costs
+stars. Pairs inside a component are never formed. What round (3) sends grows with the square of the unlike components that
+share one bucket, over BLOCK; six equal minima of unlike documents are what makes such a bucket.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import bound_batches, materialise, small_batches
+from causeway.llm.common import bound_batches, groups_of, join_classes, materialise, small_batches
 from causeway.operators.components import components
 
 #: Hash minima: BANDS bands of ROWS each. At similarity 0.8 a pair shares no bucket with probability 6e-5.
@@ -121,24 +123,29 @@ def sketches(docs: DataFrame, width: int, text: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int, text: str) -> DataFrame:
-    """doc_id, set (hashes as bytes) of the documents in ids."""
+    """doc_id, set (hashes as bytes) of the documents in ids (doc_id, key): of an id's texts the one whose set has the key."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("__text"))
     small = ids.count() <= BROADCAST_IDS
-    picked = picked.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    picked = picked.join(F.broadcast(ids) if small else ids, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(width)
         for batch in small_batches(batches, "__text"):
             sets = [sketcher.shingles(t).tobytes() for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+            right = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, batch.column("key").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "set"]).filter(right)
 
     return picked.mapInArrow(run, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs u, v whose full sets are similar enough; u is the side that may repeat a v many times."""
-    left = pairs.join(sets.withColumnsRenamed({"doc_id": "u", "set": "set_u"}), "u")
-    both = left.join(sets.withColumnsRenamed({"doc_id": "v", "set": "set_v"}), "v")
+    """The pairs u, v whose full sets are similar enough; a v that many u share is dealt to parts of BLOCK rows."""
+    parts = materialise(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts")
+    hot = F.broadcast(parts.where("parts > 1"))  # at most one in BLOCK pairs
+    dealt = pairs.join(hot, "v", "left").withColumn("part", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = sets.withColumnsRenamed({"doc_id": "v", "set": "set_v"}).join(parts, "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = dealt.join(sets.withColumnsRenamed({"doc_id": "u", "set": "set_u"}), "u")
+    both = left.join(copies, ["v", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -171,8 +178,8 @@ def estimated(pairs: DataFrame, reps: DataFrame, least: float, percent: int) ->
     return near.select("u", "v", "bytes_u", "bytes_v").mapInArrow(run, "u long, v long, agree int")
 
 
-def cells(members: DataFrame, classes: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """bucket, x, y, rest, doc_id, component, n, bytes, bands, set: the blocks of buckets with several components.
+def cells(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, x, y, rest, doc_id, component: the blocks of buckets with several components.
 
     The component of a bucket's centre is its main one, the others are the rest. A block of main members meets each
     block of the rest, and blocks of the rest meet each other.
@@ -188,92 +195,89 @@ def cells(members: DataFrame, classes: DataFrame, reps: DataFrame, sets: DataFra
     rest_cells = F.transform(rests, lambda j: F.struct((-1 - F.least(F.col("block"), j)).alias("x"), F.greatest(F.col("block"), j).alias("y")))
     main_cells = F.transform(rests, lambda j: F.struct(F.col("block").alias("x"), j.alias("y")))
     spread = placed.withColumn("at", F.explode(F.when(F.col("rest"), F.concat(mixed_cells, rest_cells)).otherwise(main_cells)))
-    return spread.select("bucket", "at.x", "at.y", "rest", "doc_id", "component").join(reps, "doc_id").join(sets, "doc_id")
+    return spread.select("bucket", "at.x", "at.y", "rest", "doc_id", "component")
 
 
-def own_cells(members: DataFrame, classes: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+def own_cells(members: DataFrame, classes: DataFrame) -> DataFrame:
     """As cells(), but each document of a bucket with several components is in one block of its largest such bucket alone."""
     named = members.join(classes.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     largest = named.join(sizes, "bucket").groupBy("doc_id", "component").agg(F.max(F.struct("size", "bucket")).alias("b"))
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("b.size") / BLOCK)).cast("int")
-    return largest.select(F.col("b.bucket").alias("bucket"), (-1 - block).alias("x"), block.alias("y"), F.lit(True).alias("rest"), "doc_id", "component").join(reps, "doc_id").join(sets, "doc_id")
+    return largest.select(F.col("b.bucket").alias("bucket"), (-1 - block).alias("x"), block.alias("y"), F.lit(True).alias("rest"), "doc_id", "component")
 
 
-def cell_links(spread: DataFrame, least: float, percent: int, everywhere: bool) -> DataFrame:
+def cell_links(spread: DataFrame, reps: DataFrame, sets: DataFrame, least: float, percent: int, everywhere: bool) -> DataFrame:
     """u, v: links confirmed on full sets that join components inside each cell.
 
     A cell's promising pairs of different components are taken by falling estimate, and passed over only if confirmed
     links of the cell join them already. Where a pair shares several buckets, all but the first band are spared
-    (everywhere).
+    (everywhere). Sets are sent only for documents with a promising pair in the cell.
     """
-
-    def links(bucket: int, rest: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, data: np.ndarray, bands: np.ndarray, sets: list[bytes], apart: bool) -> list[tuple[int, int]]:
-        found: list[tuple[int, int, int]] = []
-        band = int(np.argmax(bands[0] == bucket))
-        for i in np.flatnonzero(rest):
-            ok = (component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            ok &= ~rest if apart else ids > ids[i]
-            at = np.flatnonzero(ok)
-            if everywhere and band and len(at):
-                at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
-            if len(at):
-                agree = (data[at] == data[i]).sum(axis=1)
-                found += [(int(s), int(i), int(j)) for s, j in zip(agree, at) if s >= least]
-        top: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while top.setdefault(x, x) != x:
-                top[x] = x = top[top[x]]
-            return x
-
-        out, full = [], {}
-        for _, i, j in sorted(found, reverse=True):
-            x, y = root(int(component[i])), root(int(component[j]))
-            if x == y:
-                continue
-            for k in (i, j):
-                if k not in full:
-                    full[k] = np.frombuffer(sets[k], "u8")
-            shared = len(np.intersect1d(full[i], full[j], assume_unique=True))
-            if 100 * shared >= percent * (len(full[i]) + len(full[j]) - shared):
-                top[x] = y
-                out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-
-        def done() -> pa.RecordBatch:
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            cell = np.stack([table.column(c).to_numpy() for c in ("bucket", "x", "y")], axis=1)
-            cut = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
-            rest = table.column("rest").to_numpy()
-            ids, component, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "n"))
-            data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), "u1").reshape(-1, BANDS * ROWS)
-            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            out: list[tuple[int, int]] = []
-            for a, b in zip([0, *cut], [*cut, len(rest)]):
-                if b - a > 1:
-                    out += links(int(cell[a, 0]), rest[a:b], ids[a:b], component[a:b], n[a:b], data[a:b], bands[a:b], table.column("set")[a:b].to_pylist(), bool(cell[a, 1] >= 0))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = np.stack([batch.column(c).to_numpy() for c in ("bucket", "x", "y")], axis=1)
-            other = np.flatnonzero((cell != cell[-1]).any(axis=1))
-            start = int(other[-1]) + 1 if len(other) else 0
-            if start or waiting and any(waiting[-1].column(c)[-1] != batch.column(c)[0] for c in ("bucket", "x", "y")):
-                waiting.append(batch.slice(0, start))
-                yield done()
-                waiting = []
-            waiting.append(batch.slice(start))
-        if waiting:
-            yield done()
-
-    dealt = spread.select("bucket", "x", "y", "rest", "doc_id", "component", "n", "bytes", "bands", "set").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(run, "u long, v long")
+    keys = ("bucket", "x", "y")
+
+    class Cells:
+        """Columns of a batch of whole cells."""
+
+        def __init__(self, batch: pa.RecordBatch):
+            self.bucket, self.x, self.ids, self.component, self.n = (batch.column(c).to_numpy() for c in ("bucket", "x", "doc_id", "component", "n"))
+            self.rest = batch.column("rest").to_numpy(zero_copy_only=False)
+            self.data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), "u1").reshape(-1, BANDS * ROWS)
+            self.bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+
+        def promising(self, a: int, b: int) -> list[tuple[int, int, int]]:
+            """(equal bytes, i, j) of pairs of different components of one cell that may be similar enough."""
+            found: list[tuple[int, int, int]] = []
+            rest, ids, component, n, data, bands = (c[a:b] for c in (self.rest, self.ids, self.component, self.n, self.data, self.bands))
+            apart, band = self.x[a] >= 0, int(np.argmax(bands[0] == self.bucket[a]))
+            for i in np.flatnonzero(rest):
+                ok = (component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                ok &= ~rest if apart else ids > ids[i]
+                at = np.flatnonzero(ok)
+                if everywhere and band and len(at):
+                    at = at[~(bands[at, :band] == bands[i, :band]).any(axis=1)]
+                if len(at):
+                    agree = (data[at] == data[i]).sum(axis=1)
+                    found += [(int(s), a + int(i), a + int(j)) for s, j in zip(agree, at) if s >= least]
+            return found
+
+    def search(batch: pa.RecordBatch, borders: np.ndarray) -> pa.RecordBatch:
+        held, wanted = Cells(batch), set()
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            if b - a > 1:
+                wanted.update(k for _, i, j in held.promising(a, b) for k in (i, j))
+        return batch.select([*keys, "doc_id"]).take(pa.array(sorted(wanted), pa.int64()))
+
+    def confirm(batch: pa.RecordBatch, borders: np.ndarray) -> pa.RecordBatch:
+        held, out = Cells(batch), []
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+            top: dict[int, int] = {}
+            full: dict[int, np.ndarray] = {}
+
+            def root(x: int) -> int:
+                while top.setdefault(x, x) != x:  # noqa: B023
+                    top[x] = x = top[top[x]]  # noqa: B023
+                return x
+
+            for _, i, j in sorted(held.promising(a, b), reverse=True) if b - a > 1 else ():
+                x, y = root(int(held.component[i])), root(int(held.component[j]))
+                if x == y:
+                    continue
+                for k in (i, j):
+                    if k not in full:
+                        full[k] = np.frombuffer(batch.column("set")[k].as_buffer(), "u8")
+                shared = len(np.intersect1d(full[i], full[j], assume_unique=True))
+                if 100 * shared >= percent * (len(full[i]) + len(full[j]) - shared):
+                    top[x] = y
+                    out.append((int(max(held.ids[i], held.ids[j])), int(min(held.ids[i], held.ids[j]))))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["u", "v"])
+
+    columns = (*keys, "rest", "doc_id", "component", "n", "bytes", "bands")
+    dealt = spread.join(reps, "doc_id").select(*columns).repartition(*keys).sortWithinPartitions(*keys)
+    found = materialise(dealt.mapInArrow(lambda batches: groups_of(batches, keys, search), "bucket long, x int, y int, doc_id long"), "promising")
+    again = spread.join(found, [*keys, "doc_id"], "left_semi").join(reps, "doc_id").join(sets, "doc_id")
+    again = again.select(*columns, "set").repartition(*keys).sortWithinPartitions(*keys)
+    return again.mapInArrow(lambda batches: groups_of(batches, keys, confirm), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -282,30 +286,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     Documents are linked where 100 * shared shingles >= percent * all shingles of both. component_id is the smallest
     doc_id reachable over links; kept says whether that is the row's own. Null and empty texts, and those without words,
     have no shingles and are linked with nothing. Rows with a null doc_id have a null component_id and aren't kept.
-    Repeated rows of a doc_id count as one document and are returned as often as they come. Only doc_id and the text
+    Repeated rows of a doc_id count as one document and are returned as often as they come; where their texts differ, each
+    row has its own set, and a document stands for others by the set of smallest digest. Only doc_id and the text
     are read, so other columns may have any name.
     """
     least = BANDS * ROWS * (percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5)
     drawn = materialise(sketches(docs, width, text), "sketches")
-    classes = drawn.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = drawn.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes, "classes")
-    reps = drawn.join(classes.select(F.col("rep").alias("doc_id"), F.col("key").alias("k")), "doc_id").where("key = k").select("doc_id", "n", "bands", "bytes").dropDuplicates(["doc_id"])
+    chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("key").alias("key"))
+    reps = drawn.join(chosen, ["doc_id", "key"]).select("doc_id", "key", "n", "bands", "bytes").dropDuplicates(["doc_id"])
     reps = materialise(reps, "reps")
     banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").drop("last")
     members = materialise(banded.join(shared, "bucket"), "buckets")
-    sets = materialise(shingle_sets(docs, members.select("doc_id").distinct(), width, text), "sets")
+    sets = materialise(shingle_sets(docs, members.select("doc_id").distinct().join(reps.select("doc_id", "key"), "doc_id"), width, text), "sets")
 
+    reps = reps.drop("key")
     met = members.where("doc_id != centre").groupBy(F.col("doc_id").alias("u"), F.col("centre").alias("v")).agg(F.count(F.lit(1)).alias("bands"))
     best = met.groupBy("u").agg(F.max(F.struct("bands", (-F.col("v")).alias("v"))).alias("b")).select("u", (-F.col("b.v")).alias("v"))
     best = estimated(best, reps, least, percent).select("u", "v")
     links = materialise(confirmed(best, sets, percent), "links")
     merged = components(links, "u", "v")
     for cut, everywhere in ((own_cells, False), (cells, True)):
-        more = cell_links(cut(members, merged, reps, sets), least, percent, everywhere)
+        more = cell_links(materialise(cut(members, merged), "cells"), reps, sets, least, percent, everywhere)
         links = materialise(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "links")
         merged = components(links, "u", "v")
-    named = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
-    rows = drawn.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
+    named = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("c"))
+    short = drawn.select("doc_id", "key", F.col("n").alias("n_shingles"))
+    rows = join_classes(short.where("key IS NOT NULL AND doc_id IS NOT NULL"), materialise(named, "named"), "key").select("doc_id", "n_shingles", "c")
+    alone = short.where("key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("c"))
+    rows = rows.unionByName(alone)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

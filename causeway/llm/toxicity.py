@@ -136,8 +136,11 @@ class Batch:
         return np.stack([-by_weight, by_weight], axis=1), np.array([-dz.sum(), dz.sum()]), hit, pull[hit, None] * (model.weights[:, 1] - model.weights[:, 0])
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 64, rate: float = 0.3, seed: int = 7, width: int = WINDOW) -> Model:
-    """Fits all parts of the model together by AdaGrad; both labels weigh the same in the loss."""
+def train(texts: list[str], labels: list[int], epochs: int = 5, steps: int = 240, batch: int = 64, rate: float = 0.3, seed: int = 7, width: int = WINDOW) -> Model:
+    """Fits all parts of the model together by AdaGrad; both labels weigh the same in the loss.
+
+    There are `epochs` passes over the rows, or as many as `steps` batches take where rows are few.
+    """
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-0.1, 0.1, (BUCKETS, DIMENSIONS)).astype("f4"), rng.normal(0, 0.5, (DIMENSIONS, 2)).astype("f4"), np.zeros(2, "f4"), width)
     number: dict[str, int] = {}
@@ -153,7 +156,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 64,
     flat, first = gram_lists(list(number))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     past_v, past_w, past_b = np.full(model.vectors.shape, 1e-5, "f4"), np.full(model.weights.shape, 1e-3, "f4"), np.full(2, 1e-3, "f4")
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(docs)))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             picked = order[at : at + batch]

@@ -1,4 +1,8 @@
-"""A corpus pipeline: toxic documents go, one of each near-duplicate group stays, sources are mixed, texts become ids."""
+"""A corpus pipeline: toxic documents go, one of each near-duplicate group stays, sources are mixed, texts become ids.
+
+Stages read the columns of documents alone; others, whatever their names, are dropped. Null, empty and very long texts,
+rows without id or source, repeated rows and empty tables pass through every stage as its docstring says.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +17,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold, by a model fitted on the labels of this stage's input."""
+    """Documents scored below the threshold, by a model fitted on the labels of this stage's input.
+
+    Null and empty texts get the score of an empty bag. Every row is judged by its own whole text, so repeated rows stay or
+    go together. Where labels lack one of both values, or there are no rows, the model is untrained and scores everything
+    near one half: nothing goes.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=COLUMNS).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group on five-word shingles with a similarity of 0.8 or more; rows without id stay."""
+    """The smallest doc_id of each group on five-word shingles with a similarity of 0.8 or more.
+
+    Rows without id and texts without words, null and empty ones among them, stay. Repeated rows of an id that is kept stay
+    all; those of one that isn't go all.
+    """
     found = minhash.near_duplicates(docs, width=5, percent=80)
     gone = materialise(found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct(), "gone")
     small = gone.count() <= minhash.BROADCAST_IDS
@@ -27,12 +40,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; one that the cut goes through is taken once more if half of it fits."""
+    """Every document as often as the mix takes it; one that the cut goes through is taken once more if half of it fits.
+
+    Null is a source of its own. Texts without words have no size and aren't taken. Rows that repeat an id share its place in
+    the order.
+    """
     return mixing.draw(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document with digests of ids and of the text decoded from them."""
+    """Ids of every row with digests of ids and of the text decoded from them; a null or empty text has none."""
     encoded = bpe.roundtrip(docs, tokenizer(BYTE_BPE), keep=("doc_id", "source"))
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
@@ -40,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("minhash_near_dedup", drop_near_copies), ("source_mixing", mix_sources), ("bpe_encoding", encode)]
 
-#: The stages' learnt scores, minima and ids can't be expressed in SQL; no test holds run() against a brute-force version yet.
+#: The stages' learnt scores, minima and ids can't be expressed in SQL; tests/llm/test_pipeline.py holds run() and each stage against plain versions.
 ORACLE_SQL = None
 
 

@@ -106,6 +106,28 @@ def test_near_documents_without_rows(spark):
     assert [r["kept"] for r in minhash.near_duplicates(docs(spark, [(None, "a b c d e f")])).collect()] == [False]
 
 
+def test_near_documents_of_large_groups(spark, monkeypatch):
+    """Hot classes by broadcast, parts of a hot star, repeated rows, and an id with two texts."""
+    monkeypatch.setattr("causeway.llm.common.HOT_ROWS", 20)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(2)
+    base, words = [f"b{i}" for i in range(120)], [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=60))) for i in range(40)]
+    rows += [(100 + i, " ".join(base)) for i in range(60)]
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(120)] = rng.choice(words)
+        rows.append((200 + i, " ".join(copy)))
+    want = brute.near_documents(rows, 4, 80)
+    table = docs(spark, [*rows, rows[3], rows[50], (None, rows[50][1]), (5, rows[6][1])])
+    found = minhash.near_duplicates(table, width=4).collect()
+    assert len(found) == len(rows) + 4
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found if r["doc_id"] is not None and r["doc_id"] not in (5, 6)}
+    assert got == {i: x for i, x in want.items() if i not in (5, 6)}
+    assert {r["component_id"] for r in found if r["doc_id"] in (5, 6)} == {5}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
