@@ -331,8 +331,8 @@ def near_duplicates(table: DataFrame, least: float = 0.95, id: str = "vec_id", v
         raise RuntimeError(f"the descent finds {recall:.3f} of a sampled row's links, fewer than {RECALL}")
     merged = components(edges, "u", "v").withColumnsRenamed({"node": "leader", "component": "c"})
     named = held.join(merged, "leader", "left").select("id", F.coalesce("c", "leader").alias("c"))
-    least_id = named.groupBy("c").agg(F.min("id").alias("component"))
-    named = named.join(least_id, "c").join(links, "id").join(classes.select("id", "n", "vector"), "id")
+    least_id = materialise(named.groupBy("c").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")), "least")
+    named = join_classes(named, least_id, "c").drop("n").join(links, "id").join(classes.select("id", "n", "vector"), "id")
     named = materialise(named.select("vector", "n", (F.col("n_links") + F.col("n") - 1).alias("links"), F.col("component").alias("c")), "named")
     of = join_classes(found.drop("dim"), named, "vector").select(F.col("id").alias("i"), "links", "c")
     all_rows = table.select(F.col(id).cast("long").alias("i")).join(of, "i", "left")
