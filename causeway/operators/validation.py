@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram
 from causeway.plans.storage import literal, stored, stored_with
 
 
-def issue(rows: DataFrame, stage: str, kind: str, record: str | F.Column) -> DataFrame:
+def issue(rows: DataFrame, stage: str, kind: str, record: str | F.Column, with_module: bool = False) -> DataFrame:
     record = F.col(record) if isinstance(record, str) else record
-    return rows.select("inst", F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), record.cast("string").alias("record"))
+    return rows.select("inst", *(["module"] if with_module else []), F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), record.cast("string").alias("record"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -22,7 +24,11 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def structural_issues(tables: dict[str, DataFrame], library: Library, scope: list[str], stage: str) -> DataFrame:
-    """Broken arrows, missing or illegal attributes, unknown codes and positions; scope names the columns that bound ids (inst, module)."""
+    """Broken arrows, missing or illegal attributes, unknown codes and positions; scope names the columns that bound ids (inst, module).
+
+    With a module in scope, issues name it, so that what follows can pass over broken modules alone.
+    """
+    own = "module" in scope
     spark = tables["Var"].sparkSession
     if set(tables) != set(SORTS):
         return literal(spark, [("", stage, "entity_tables", ",".join(sorted(tables)))], "inst string, stage string, kind string, record string")
@@ -31,14 +37,14 @@ def structural_issues(tables: dict[str, DataFrame], library: Library, scope: lis
         rows = tables[sort]
         for column, to in ARROWS[sort].items():
             target = tables[to].select(*scope, F.col("rid").alias(column))
-            parts.append(issue(rows.join(target, [*scope, column], "left_anti"), stage, "structural_reference", F.concat_ws(".", "rid", F.lit(column))))
+            parts.append(issue(rows.join(target, [*scope, column], "left_anti"), stage, "structural_reference", F.concat_ws(".", "rid", F.lit(column)), own))
         for column in ATTRIBUTES[sort]:
-            parts.append(issue(rows.where(F.col(column).isNull()), stage, "missing_attribute", F.concat_ws(".", "rid", F.lit(column))))
+            parts.append(issue(rows.where(F.col(column).isNull()), stage, "missing_attribute", F.concat_ws(".", "rid", F.lit(column)), own))
     bad = ~F.col("type").isin(*DOMAINS) | ~F.col("role").isin("exo", "endo")
-    parts.append(issue(tables["Var"].where(bad), stage, "variable_attribute", "rid"))
+    parts.append(issue(tables["Var"].where(bad), stage, "variable_attribute", "rid", own))
     known = F.broadcast(library.codes_table(spark).select("code"))  # a row for each declared code
-    parts.append(issue(tables["Mech"].where("code IS NOT NULL").join(known, "code", "left_anti"), stage, "unknown_code", "rid"))
-    parts.append(issue(tables["Input"].where("pos < 1"), stage, "input_position", "rid"))
+    parts.append(issue(tables["Mech"].where("code IS NOT NULL").join(known, "code", "left_anti"), stage, "unknown_code", "rid", own))
+    parts.append(issue(tables["Input"].where("pos < 1"), stage, "input_position", "rid", own))
     return union(parts)
 
 
@@ -80,13 +86,52 @@ def model_issues(tables: dict[str, DataFrame], library: Library, scope: list[str
     return union(parts)
 
 
+#: Edges of a scope that one task orders.
+SCOPE_EDGES = 2_000_000
+
+
 def levels(found: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:
-    """scope, rid, level by peeling: a node's level is one more than its highest cause's. Nodes on or after a cycle have none.
+    """scope, rid, level: a node's level is one more than its highest cause's. Nodes on or after a cycle have none.
 
-    One round a level; each works on the nodes that are left.
+    Scopes of up to SCOPE_EDGES edges are ordered each in one task, however deep; larger ones by peeling, a round a level.
     """
-    found = stored(found, "edges")
-    nodes = stored(nodes.distinct(), "nodes")
+    found, nodes = stored(found.select(*scope, "cause", "effect"), "edges"), stored(nodes.select(*scope, "rid").distinct(), "nodes")
+    most = found.groupBy(*scope).count().agg(F.max("count").alias("n")).first()["n"]
+    if (most or 0) > SCOPE_EDGES:
+        return peeled(found, nodes, scope)
+    arcs = found.groupBy(*scope).agg(F.collect_list(F.struct("cause", "effect")).alias("arcs"))
+    whole = nodes.groupBy(*scope).agg(F.collect_list("rid").alias("rids")).join(arcs, scope, "left").select(*scope, "rids", "arcs")
+    kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in scope)
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                rids = batch.column("rids")[row].as_py()
+                causes, effects = dict.fromkeys(rids, 0), {}
+                for e in batch.column("arcs")[row].as_py() or ():
+                    if e["effect"] in causes:
+                        causes[e["effect"]] += 1
+                        effects.setdefault(e["cause"], []).append(e["effect"])
+                # A cause that isn't a node of the scope holds nothing back.
+                for cause in [c for c in effects if c not in causes]:
+                    for e in effects.pop(cause):
+                        causes[e] -= 1
+                level = {r: 0 for r, n in causes.items() if not n}
+                ready = list(level)
+                for node in ready:
+                    for e in effects.get(node, ()):
+                        causes[e] -= 1
+                        level[e] = max(level.get(e, 0), level[node] + 1)
+                        if not causes[e]:
+                            ready.append(e)
+                names = [pa.repeat(batch.column(c)[row], len(ready)) for c in scope]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(ready, pa.string()), pa.array([level[r] for r in ready], pa.int32())], names=[*scope, "rid", "level"])
+
+    return stored(whole.mapInArrow(order, f"{kinds}, rid string, level int"), "levels")
+
+
+def peeled(found: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:
+    """levels() of large scopes: each round works on the nodes that are left."""
     done, level = None, 0
     while True:
         left = nodes if done is None else nodes.join(done, [*scope, "rid"], "left_anti")
@@ -98,21 +143,48 @@ def levels(found: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:
         level += 1
 
 
-def cycle_cores(found: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:
-    """Edges that remain after peeling from both ends: those on cycles or between them; every witness lies among them."""
-    for a, b in (("cause", "effect"), ("effect", "cause")):
-        ranked = levels(found.select(*scope, F.col(a).alias("cause"), F.col(b).alias("effect")), nodes, scope).drop("level")
-        for column in (a, b):
-            found = found.join(ranked.withColumnRenamed("rid", column), [*scope, column], "left_anti")
-        found = stored(found, "core")
-    return found
+def cycle_witnesses(tables: dict[str, DataFrame], scope: list[str]) -> DataFrame:
+    """scope, path, inputs: one closed path for each scope that has a cycle, and the smallest Input behind each of its edges.
+
+    Peeling from causes leaves nodes on or after cycles; each has a cause that is left, and walking to the smallest one
+    from the smallest node ends in a cycle. The walk is one task a scope, over an edge for each node.
+    """
+    outputs = tables["Mech"].select(*scope, F.col("rid").alias("mech"), F.col("output").alias("effect"))
+    named = tables["Input"].join(outputs, [*scope, "mech"]).groupBy(*scope, F.col("var").alias("cause"), "effect").agg(F.min("rid").alias("input"))
+    named = stored(named, "named")
+    ranked = levels(named, tables["Var"].select(*scope, "rid"), scope).drop("level")
+    core = named
+    for column in ("cause", "effect"):
+        core = core.join(ranked.withColumnRenamed("rid", column), [*scope, column], "left_anti")
+    back = core.groupBy(*scope, "effect").agg(F.min(F.struct("cause", "input")).alias("b"))
+    steps = back.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("effect", "b.cause", "b.input"))).alias("steps"))
+    kinds = ", ".join(f"{c} {steps.schema[c].dataType.simpleString()}" for c in scope)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, inputs = [], []
+            for steps in batch.column("steps").to_pylist():
+                by = {s["effect"]: s for s in steps}
+                node, seen = steps[0]["effect"], {}
+                trail: list[str] = []
+                while node not in seen:
+                    seen[node] = len(trail)
+                    trail.append(node)
+                    node = by[node]["cause"]
+                loop = [*trail[seen[node] :], node][::-1]  # causes come first
+                paths.append(loop)
+                inputs.append([by[e]["input"] for e in loop[1:]])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in scope), pa.array(paths, pa.list_(pa.string())), pa.array(inputs, pa.list_(pa.string()))], names=[*scope, "path", "inputs"])
+
+    return steps.select(*scope, "steps").mapInArrow(walk, f"{kinds}, path array<string>, inputs array<string>")
 
 
 def diagram_issues(diagram: Diagram, library: Library) -> DataFrame:
     """Issues of modules and interfaces; a check that an earlier failure makes meaningless skips what failed."""
     scope = ["inst", "module"]
     structural = stored(structural_issues(diagram.records, library, scope, "local_module"), "issues")
-    sound = {s: t.join(structural.select("inst").distinct(), "inst", "left_anti") for s, t in diagram.records.items()}
+    sound = {s: t.join(structural.select(*scope).distinct(), scope, "left_anti") for s, t in diagram.records.items()}
+    structural = structural.drop("module")
     parts = [structural, model_issues(sound, library, scope, "local_module", closed=False)]
     names = diagram.faces.groupBy("inst", "iface").count().where("count > 1")
     parts.append(issue(names, "interface", "interface_name", "iface"))
