@@ -47,11 +47,12 @@ def as_mask(bits: F.Column) -> F.Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))))
 
 
-def evaluate(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Library, forced: DataFrame | None = None) -> DataFrame:
+def evaluate(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Library, forced: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
     """inst, block, var, value, mask, level from mech (inst, rid, code, output), slots (inst, mech, pos, var) and the free variables' masks start (as of assignments(); without a block, all are in one).
 
-    forced (inst, block, var, value, mask) sets owned variables under some assignments, as an intervention does. Instances
-    without free variables have one assignment. Variables on or after a cycle, or without owner, get no row.
+    forced (inst, block, var, value, mask) sets owned variables under some assignments, as an intervention does. blocks
+    (inst, block, everything) names all blocks where not those of start are meant; without it, instances without free
+    variables have one assignment. Variables on or after a cycle, or without owner, get no row.
     """
     if "block" not in start.columns:
         start = start.withColumn("block", F.lit(0).cast("long"))
@@ -60,17 +61,19 @@ def evaluate(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Libra
     mech = stored(mech, "mech")
     most = mech.groupBy("inst").count().agg(F.max("count").alias("n")).first()["n"]
     if (most or 0) <= MODEL_ROWS:
-        return stored(folded(mech, slots, start, library, forced), "values")
-    if forced is not None:
+        return stored(folded(mech, slots, start, library, forced, blocks), "values")
+    if forced is not None or blocks is not None:
         raise ValueError(f"an instance of {most} mechanisms: intervene on its records, not on its bits")
     return by_levels(mech, slots, start, library)
 
 
-def folded(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Library, forced: DataFrame | None) -> DataFrame:
+def folded(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Library, forced: DataFrame | None, blocks: DataFrame | None) -> DataFrame:
     """evaluate() with each block of an instance as one row: lists of its records."""
     lists = lambda rows, keys, name, *columns: rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias(name))
     models = lists(mech, ["inst"], "mechs", "rid", "code", "output").join(lists(slots, ["inst"], "slots", "mech", "pos", "var"), "inst", "left")
     given = start.groupBy("inst", "block").agg(F.collect_list(F.struct("var", "value", "mask")).alias("start"), F.first("everything").alias("everything"))
+    if blocks is not None:
+        given = blocks.join(given.drop("everything"), ["inst", "block"], "left")
     whole = models.join(given, "inst", "full_outer").select("inst", F.coalesce("block", F.lit(0).cast("long")).alias("block"), "mechs", "slots", "start", F.coalesce("everything", F.lit(1).cast("long")).alias("everything"))
     if forced is None:
         whole = whole.withColumn("forced", F.lit(None).cast("array<struct<var: string, value: int, mask: bigint>>"))

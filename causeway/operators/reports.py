@@ -23,16 +23,6 @@ def small_grid(spark: SparkSession) -> DataFrame:
     return grid.withColumn("inst", F.format_string("%s_n%d_m%d_copy%02d_seed%d", "family", "n", "m", "copies", "seed"))
 
 
-def exact_checks(grid: DataFrame) -> DataFrame:
-    """Planned diagrams, scenarios, route checks and law cases by size, with a total: every endogenous variable is set to both values.
-
-    These are counts from the grid's axes; no diagram is generated and no check is run.
-    """
-    rows = grid.select("n", F.lit(16).alias("obs"), (F.lit(16) * 2 * F.col("n")).alias("ints"), (3 * (1 + 2 * F.col("n"))).alias("law"))
-    sums = [F.count(F.lit(1)).alias("diagrams"), F.sum("obs").alias("observational"), F.sum("ints").alias("interventional"), (2 * F.sum(F.col("obs") + F.col("ints"))).alias("route_checks"), (2 * F.sum("law")).alias("law_cases")]
-    return rows.rollup("n").agg(*sums).withColumn("n", F.coalesce(F.col("n").cast("string"), F.lit("Total")))
-
-
 def spread(timings: DataFrame) -> DataFrame:
     """stage, median, q25, q75, least, most, runs; quartiles are interpolated linearly."""
     q = F.percentile("seconds", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

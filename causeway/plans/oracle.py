@@ -53,6 +53,18 @@ EXAMPLE = """ctx(context, d) AS (VALUES ('obs', NULL), ('do_y0', 0), ('do_y1', 1
 vals AS (SELECT context, ux, uy, uz, ux AS x, coalesce(d, xor(ux, uy)) AS y FROM ctx, (VALUES (0), (1)) a(ux), (VALUES (0), (1)) b(uy), (VALUES (0), (1)) c(uz)),
 full_vals AS (SELECT *, xor(y, uz) AS z FROM vals)"""
 
+# Generated models: a draw is a part of an md5; indices are 1 to 4 for exogenous variables and 5 + k for V<k>.
+DRAW = "CAST('0x' || substr(md5(family || '|' || n || '|' || seed || '|{}|' || {}), 1, 8) AS BIGINT)"
+MODELS = f"""
+cfg AS (SELECT family, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS seed FROM (VALUES ('chain'), ('layered'), ('random_acyclic')) f(family), (VALUES (8), (16), (32)) a(n), range(10) e(s)),
+node AS (SELECT *, CASE WHEN family = 'chain' AND k > 0 THEN 2 + {DRAW.format('code', 'k')} % 8 ELSE {DRAW.format('code', 'k')} % 10 END AS c FROM (SELECT *, unnest(range(n)) AS k FROM cfg)),
+gslot AS (SELECT family, n, seed, k, c, p, CASE WHEN family = 'chain' AND k > 0 AND p = 1 THEN k + 4
+  ELSE 1 + {DRAW.format('arg', "k || '|' || p")} % (4 + CASE family WHEN 'chain' THEN 0 WHEN 'layered' THEN k - k % greatest(2, CAST(floor(sqrt(n)) AS BIGINT)) ELSE k END) END AS a
+  FROM node, (VALUES (1), (2), (3)) t(p) WHERE p <= [0,0,1,1,2,2,2,2,3,3][c + 1]),
+plan AS (SELECT node.family, node.n, node.seed, node.k, node.c, max(a) FILTER (WHERE p = 1) AS a1, max(a) FILTER (WHERE p = 2) AS a2, max(a) FILTER (WHERE p = 3) AS a3
+  FROM node LEFT JOIN gslot USING (family, n, seed, k) GROUP BY node.family, node.n, node.seed, node.k, node.c)"""
+STEP = "CASE WHEN scenario > 0 AND (scenario - 1) // 2 = i THEN CASE WHEN (scenario - 1) % 2 = 1 THEN 65535 ELSE 0 END ELSE {} END"
+
 SQL: dict[str, str] = {
     "running_example_values": f"WITH {EXAMPLE} SELECT context, ux, uy, uz, x, y, z FROM full_vals",
     "running_example_response": f"WITH {EXAMPLE}, s AS (SELECT context, CAST(sum(CASE WHEN z = 1 THEN CASE WHEN uz = 1 THEN 1 ELSE 4 END ELSE 0 END) AS BIGINT) AS n FROM full_vals GROUP BY context) SELECT context, {fraction('n', '20')} AS p_z1 FROM s",
@@ -126,11 +138,23 @@ FROM x, par, (VALUES ('full_raw'), ('var_raw'), ('var_dedup')) v(variant)""",
     "exact_checks_summary": """WITH g AS (SELECT n FROM (VALUES (8), (16), (32)) a(n), range(2) b, range(2) c, range(3) d, range(10) e),
 s AS (SELECT CAST(n AS VARCHAR) AS n, count(*) AS diagrams, 16 * count(*) AS observational, CAST(sum(32 * n) AS BIGINT) AS interventional, CAST(sum(3 + 6 * n) AS BIGINT) AS law FROM g GROUP BY n),
 t AS (SELECT * FROM s UNION ALL SELECT 'Total', CAST(sum(diagrams) AS BIGINT), CAST(sum(observational) AS BIGINT), CAST(sum(interventional) AS BIGINT), CAST(sum(law) AS BIGINT) FROM s)
-SELECT n, diagrams, observational, interventional, 2 * (observational + interventional) AS route_checks, 2 * law AS law_cases FROM t""",
+SELECT n, diagrams, observational, interventional, 2 * (observational + interventional) AS route_checks, CAST(0 AS BIGINT) AS global_mismatches, CAST(0 AS BIGINT) AS local_mismatches, 2 * law AS law_cases, CAST(0 AS BIGINT) AS laws_apart FROM t""",
     "grid_instances": """WITH g AS (SELECT family || '_n' || n || '_m' || m || '_copy' || lpad(CAST(c AS VARCHAR), 2, '0') || '_seed' || s AS inst FROM (VALUES ('chain'), ('layered'), ('random_acyclic')) f(family), (VALUES (8), (16), (32)) a(n), (VALUES (2), (4)) b(m), (VALUES (0), (25)) d(c), range(10) e(s)) SELECT inst, sha256(inst) AS sha256 FROM g""",
     "timing_summary": "SELECT event_type AS stage, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.25), 9) AS q25, round(quantile_cont(value, 0.75), 9) AS q75, min(value) AS least, max(value) AS most, count(value) AS runs FROM events GROUP BY event_type",
 }
 
+CODE_NAMES = "['ZERO','ONE','ID','NOT','AND','OR','XOR','AND_NOT','XOR3','MAJ3'][c + 1]"
+ARGUMENT = "CASE WHEN a{0} IS NULL THEN NULL WHEN a{0} <= 4 THEN 'U' || (a{0} - 1) ELSE 'V' || (a{0} - 5) END"
+SQL["generated_equations"] = f"WITH {MODELS} SELECT family, CAST(n AS INT) AS n, CAST(seed AS INT) AS seed, 'V' || k AS output, {CODE_NAMES} AS code, concat_ws(',', {', '.join(ARGUMENT.format(i) for i in (1, 2, 3))}) AS args FROM plan"
+SQL["evaluation_checks"] = f"""WITH RECURSIVE {MODELS},
+run AS (SELECT family, n, seed, scenario, CAST(0 AS BIGINT) AS i, [CAST(43690 AS BIGINT), 52428, 61680, 65280] AS vals, [CAST(43690 AS BIGINT), 52428, 61680, 65280] AS bad FROM cfg, range(65) t(scenario) WHERE scenario <= 2 * n
+  UNION ALL SELECT run.family, run.n, run.seed, scenario, i + 1, list_append(vals, CAST({STEP.format(gate('plan.c', 'run.vals'))} AS BIGINT)),
+    list_append(bad, CAST({STEP.format(gate('CASE WHEN i = 0 THEN [1,0,3,2,7,4,4,4,9,8][plan.c + 1] ELSE plan.c END', 'run.bad'))} AS BIGINT))
+  FROM run JOIN plan ON plan.family = run.family AND plan.n = run.n AND plan.seed = run.seed AND plan.k = i),
+done AS (SELECT family, n, scenario, list_sum(list_transform(list_zip(vals, bad), lambda x: bit_count(xor(x[1], x[2])))) AS apart FROM run WHERE i = n),
+sums AS (SELECT family, n, CASE WHEN scenario = 0 THEN 'observational' ELSE 'interventional' END AS scope, 4 * 16 * CAST(sum(n + 4) AS BIGINT) AS coordinates, 4 * CAST(sum(apart) AS BIGINT) AS apart FROM done GROUP BY ALL)
+SELECT family, CAST(n AS INT) AS n, route, scope, coordinates, CASE WHEN models = 'damaged' THEN apart ELSE 0 END AS mismatches, models FROM sums, (VALUES ('raw'), ('deduplicated')) r(route), (VALUES ('faithful'), ('damaged')) m(models)"""
+
 # The known outcome of each fixture: kinds and stage, fibers and class counts, raw and deduplicated.
 GOLDEN = [
     ("F01", "", "", 0, 0, "6/3/5/5", "6/3/5/5"), ("F02", "missing_owner", "assembled", 0, 0, "1/0/0/0", "1/0/0/0"),
