@@ -26,6 +26,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 #: Distinct words kept with their ids in a Python worker; beyond it, the cache starts anew.
 CACHED_WORDS = 200_000
+#: Answers about pairs of tokens, and tokens that end a text, kept in a worker.
+ANSWERS = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -77,7 +79,7 @@ class Vocabulary:
             else:
                 answer = True
                 break
-        if len(self._apart) > 1_000_000:
+        if len(self._apart) > ANSWERS:
             self._apart.clear()
         self._apart[key] = answer
         return answer
@@ -106,7 +108,7 @@ class Vocabulary:
         """(length, token) of the tokens that tail ends with, longest first."""
         found = self._suffixes.get(tail)
         if found is None:
-            if len(self._suffixes) > 400_000:
+            if len(self._suffixes) > ANSWERS:
                 self._suffixes.clear()
             found = [(len(tail) - k, t) for k in range(len(tail)) if (t := self.by_bytes.get(tail[k:])) is not None and self.reachable(t)]
             self._suffixes[tail] = found

@@ -33,7 +33,7 @@ DEVIATIONS = 4.0
 BLOCK = 256
 #: Ids broadcast at most (16 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
-CACHED_WORDS, CACHED_SETS = 200_000, 10_000
+CACHED_WORDS, CACHED_SETS = 100_000, 10_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

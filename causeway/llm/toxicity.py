@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(table, bias, width)
-        for batch in small_batches(batches, "__text"):
+        for batch in small_batches(batches, "__text", 500_000):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scorer.scores(batch.column("__text").to_pylist()), pa.float64())], names=[*keep, "score"])
 
     return picked.mapInArrow(run, T.StructType(fields))
