@@ -7,7 +7,7 @@ from causeway.functions.mechanisms import Library
 from causeway.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["truth_table", "library_totality", "conflict_codes", "model_sizes", "module_records", "interface_pairs", "supplied_sizes", "law_masses", "exact_checks_summary", "grid_instances", "timing_summary", "surgery_sizes", "corrupted_issues", "corrupted_models", "levels", "evaluate_all", "running_example_response", "diagnostics", "reconstruction_checks", "local_mismatches"]
+FAST = ["truth_table", "library_totality", "conflict_codes", "model_sizes", "module_records", "interface_pairs", "supplied_sizes", "law_masses", "grid_instances", "generated_equations", "evaluation_checks", "exact_checks_summary", "timing_summary", "surgery_sizes", "corrupted_issues", "corrupted_models", "levels", "evaluate_all", "running_example_response", "diagnostics", "reconstruction_checks", "local_mismatches"]
 
 
 def test_every_query_has_sql():
