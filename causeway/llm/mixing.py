@@ -57,13 +57,13 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     shared = lcm(*weights)
     order = [F.col("source_size") * (F.lit(shared) / F.col("w")).cast("long"), *by_name]
     left = running_sums(placed, order, {"n_before": F.col("source_size"), "w_before": F.col("w")}, "ratios")
-    every = F.broadcast(placed.agg(F.sum("source_size").alias("n_all"), F.sum("w").alias("w_all")))  # one row
-    left = left.join(every).withColumns({"rest": F.col("n_all") - most * F.col("n_before"), "share": F.col("w_all") - F.col("w_before")})
-    bound = materialise(left.withColumn("bound", F.col("w") * F.col("rest") > most * F.col("source_size") * F.col("share")).drop("n_all", "w_all", "n_before", "w_before"), "bounds")
+    every = placed.agg(F.sum("source_size").alias("n"), F.sum("w").alias("w")).first()
+    left = left.withColumns({"rest": F.lit(every["n"] or 0) - most * F.col("n_before"), "share": F.lit(every["w"] or 0) - F.col("w_before")})
+    bound = materialise(left.withColumn("bound", F.col("w") * F.col("rest") > most * F.col("source_size") * F.col("share")).drop("n_before", "w_before"), "bounds")
     # The first row that isn't bound has the level that holds for all after it.
-    level = F.broadcast(bound.where("NOT bound").agg(F.max("rest").alias("level_rest"), F.max("share").alias("level_share")))  # one row
-    target = F.when(F.col("bound"), (most * F.col("source_size")).cast("double")).otherwise((F.col("w") * F.col("level_rest")).cast("double") / F.col("level_share"))
-    return bound.join(level).select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
+    level = bound.where("NOT bound").agg(F.max("rest").alias("rest"), F.max("share").alias("share")).first()
+    target = F.when(F.col("bound"), (most * F.col("source_size")).cast("double")).otherwise((F.col("w") * F.lit(level["rest"] or 0)).cast("double") / F.lit(level["share"] or 1))
+    return bound.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
 
 
 def shuffle_key(doc_id: Column, seed: str) -> Column:
