@@ -30,6 +30,16 @@ class Diagram:
         """The diagram with interfaces on these sorts alone."""
         return replace(self, spans=self.spans.where(F.col("sort").isin(*sorts)), overlaps={s: d.where(F.lit(s in sorts)) for s, d in self.overlaps.items()})
 
+    def among(self, chosen: DataFrame, suffix: str) -> Diagram:
+        """The instances in chosen (inst), under their names with a suffix."""
+        take = lambda t: t.join(chosen.select("inst").distinct(), "inst", "left_semi").withColumn("inst", F.concat("inst", F.lit(suffix)))
+        return Diagram({s: take(t) for s, t in self.records.items()}, take(self.faces), take(self.spans), {s: take(t) for s, t in self.overlaps.items()})
+
+    def beside(self, other: Diagram) -> Diagram:
+        """Both diagrams' instances; names must differ."""
+        by_sort = lambda a, b: {s: a[s].unionByName(b[s]) for s in a}
+        return Diagram(by_sort(self.records, other.records), self.faces.unionByName(other.faces), self.spans.unionByName(other.spans), by_sort(self.overlaps, other.overlaps))
+
 
 def from_equations(variables: DataFrame, equations: DataFrame) -> dict[str, DataFrame]:
     """Record tables from variables (inst, module, rid, type, role, is_boundary) and equations (inst, module, output, code, args).

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators import evaluation
 from causeway.operators.assembly import Assembly, arrows_to_classes, classes, tags
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram, overlaps_from_left
 from causeway.operators.validation import edges, levels, union
-from causeway.plans.storage import literal
+from causeway.plans.storage import literal, stored
 
 
 def small_grid(spark: SparkSession) -> DataFrame:
@@ -87,6 +88,26 @@ def reconstruction(qmap: DataFrame, grounds: DataFrame, target: DataFrame) -> Da
     return by_class.join(by_ground, "sort")
 
 
+def unrecovered(glued: Assembly, origin: dict[str, DataFrame], grounds: dict[str, DataFrame], sorts: tuple[str, ...]) -> DataFrame:
+    """inst, flaw, n: where classes and ground records of these sorts (closed under arrows) don't correspond one to one with attributes and arrows.
+
+    origin: by sort, inst, module, rid, ground. grounds: by sort, the whole models' records of the same instances.
+    """
+    named = {s: stored(glued.qmap.where(F.col("sort") == s).join(origin[s], ["inst", "module", "rid"]).select("inst", "cid", "ground").distinct(), "named") for s in sorts}
+    flaws = []
+    for s in sorts:
+        flaws.append(named[s].groupBy("inst", "cid").count().where("count > 1").select("inst", F.lit("ambiguous").alias("flaw")))
+        flaws.append(named[s].groupBy("inst", "ground").count().where("count > 1").select("inst", F.lit("doubled").alias("flaw")))
+        flaws.append(grounds[s].join(named[s].withColumnRenamed("ground", "rid"), ["inst", "rid"], "left_anti").select("inst", F.lit("missing").alias("flaw")))
+        rows = glued.tables[s]
+        for column, to in {"rid": s, **ARROWS[s]}.items():
+            rows = rows.join(named[to].withColumnsRenamed({"cid": column, "ground": "__to"}), ["inst", column], "left").withColumn(column, F.col("__to")).drop("__to")
+        same = [F.col(f"c.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("inst", "rid", *ATTRIBUTES[s], *ARROWS[s])]
+        differ = rows.alias("c").join(grounds[s].alias("g"), reduce(Column.__and__, same), "left_anti")
+        flaws.append(differ.select("inst", F.lit("differing").alias("flaw")))
+    return union(flaws).groupBy("inst", "flaw").agg(F.count(F.lit(1)).alias("n"))
+
+
 def surgery_on_diagram(diagram: Diagram, targets: DataFrame) -> Diagram:
     """Surgery on every module and interface: targets (inst, var, code) name the variable in each module that has it; spans keep what survives."""
     records = evaluation.intervene(diagram.records, targets)

@@ -155,6 +155,21 @@ done AS (SELECT family, n, scenario, list_sum(list_transform(list_zip(vals, bad)
 sums AS (SELECT family, n, CASE WHEN scenario = 0 THEN 'observational' ELSE 'interventional' END AS scope, 4 * 16 * CAST(sum(n + 4) AS BIGINT) AS coordinates, 4 * CAST(sum(apart) AS BIGINT) AS apart FROM done GROUP BY ALL)
 SELECT family, CAST(n AS INT) AS n, route, scope, coordinates, CASE WHEN models = 'damaged' THEN apart ELSE 0 END AS mismatches, models FROM sums, (VALUES ('raw'), ('deduplicated')) r(route), (VALUES ('faithful'), ('damaged')) m(models)"""
 
+# Sizes that gluing leaves, counted from equations and copies; a model is as its ground where its counts are.
+DUPLICATION = f"""{MODELS},
+turn AS (SELECT family, n, seed, k, row_number() OVER (PARTITION BY family, n, seed ORDER BY {DRAW.format('copy', 'k')}, k) <= n // 4 AS copied FROM node),
+first_copy AS (SELECT family, n, seed, min('m:V' || k) AS hit FROM turn WHERE copied GROUP BY family, n, seed),
+sized AS (SELECT t.family, t.n, t.seed, count(s.p) AS slots, count(s.p) FILTER (WHERE copied) AS copied_slots, count(s.p) FILTER (WHERE 'm:V' || t.k = hit) AS hit_slots, count(DISTINCT t.k || ':' || s.a) AS arcs, count(DISTINCT t.k) FILTER (WHERE copied) AS copied
+  FROM turn t JOIN first_copy USING (family, n, seed) LEFT JOIN gslot s ON s.family = t.family AND s.n = t.n AND s.seed = t.seed AND s.k = t.k GROUP BY t.family, t.n, t.seed),
+cases AS (SELECT *, family || '_n' || n || '_m' || m || '_copy' || lpad(CAST(copies AS VARCHAR), 2, '0') || '_seed' || seed AS inst, CASE WHEN copies = 0 THEN 0 ELSE 1 END AS has
+  FROM sized, (VALUES (2), (4)) m(m), (VALUES (0), (25)) c(copies), (VALUES ('faithful', 0), ('equation_conflict', 1)) v(variant, bad), (VALUES ('raw', 1), ('deduplicated', 0)) w(mode, raw) WHERE copies > 0 OR bad = 0),
+counted AS (SELECT *, CASE WHEN raw = 1 THEN has * copied ELSE bad END AS extra, CASE WHEN raw = 1 THEN has * copied_slots ELSE bad * hit_slots END AS extra_slots FROM cases),
+compared AS (SELECT inst, copies, variant, mode, extra + extra_slots = 0 AND bad = 0 AS accepted, n + extra = n AND bad = 0 AS recovered, CAST(extra AS BIGINT) AS duplicate_owners, bad = 1 AS different_codes,
+  CAST(n + 4 AS BIGINT) AS output_var, CAST(n + extra AS BIGINT) AS output_mech, CAST(slots + extra_slots AS BIGINT) AS output_input, CAST(CASE WHEN raw = 1 THEN slots + extra_slots ELSE arcs END AS BIGINT) AS output_dep FROM counted)"""
+SQL["duplication_comparison"] = f"WITH {DUPLICATION} SELECT * EXCLUDE (copies) FROM compared"
+SQL["duplication_summary"] = f"WITH {DUPLICATION} SELECT variant, CAST(copies AS INT) AS copies, mode, count(*) AS diagrams, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE recovered) AS recovered, count(*) FILTER (WHERE duplicate_owners > 0) AS owner_failures, count(*) FILTER (WHERE different_codes) AS conflict_witnesses FROM compared GROUP BY variant, copies, mode"
+SQL["duplicate_acceptance"] = f"WITH {DUPLICATION} SELECT CASE WHEN variant = 'equation_conflict' THEN 'Conflicting codes' WHEN copies = 0 THEN 'No copies' ELSE 'Identical copies' END AS condition, count(*) FILTER (WHERE accepted AND mode = 'raw') AS raw, count(*) FILTER (WHERE accepted AND mode = 'deduplicated') AS deduplicated FROM compared GROUP BY condition"
+
 # The known outcome of each fixture: kinds and stage, fibers and class counts, raw and deduplicated.
 GOLDEN = [
     ("F01", "", "", 0, 0, "6/3/5/5", "6/3/5/5"), ("F02", "missing_owner", "assembled", 0, 0, "1/0/0/0", "1/0/0/0"),

@@ -404,6 +404,72 @@ def evaluation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.groupBy("family", "n", "route", scope.alias("scope"), "models").agg(F.sum("coordinates").alias("coordinates"), F.sum("mismatches").alias("mismatches"))
 
 
+CONFLICT = "_conflict"
+
+
+def duplication_rows(spark: SparkSession) -> DataFrame:
+    """A row for each diagram of the small grid, variant (faithful, equation_conflict) and mode, with n, m, copies, family and seed.
+
+    Both modes glue the same tables along variables alone. accepted: no issue in modules, interfaces and the assembled model.
+    recovered: classes of Var, Mech and Input are the ground model's records; Deps are left out, as merging parallel ones is
+    what elimination does.
+    """
+    library = Library()
+    grid = stored(reports.small_grid(spark), "grid")
+    eq = stored(generated.equations(grid, EXOGENOUS), "equations")
+    diagram, origin = generated.fragmented(grid, eq, EXOGENOUS)
+    diagram = diagram.only(("Var",))
+    other, chosen = generated.in_conflict(diagram, origin["Mech"], replacements(library, spark), CONFLICT)
+    both = diagram.beside(other)
+    both = Diagram({s: stored(t, "records") for s, t in both.records.items()}, stored(both.faces, "faces"), stored(both.spans, "spans"), {s: stored(t, "overlap") for s, t in both.overlaps.items()})
+    twice = lambda t: t.unionByName(t.join(chosen.select("inst"), "inst", "left_semi").withColumn("inst", F.concat("inst", F.lit(CONFLICT))))
+    origins = {s: stored(twice(t), "origin") for s, t in origin.items()}
+    cases = stored(twice(grid), "cases")
+    models = cases.select("inst", F.concat_ws("_", "family", "n", "seed").alias("model"))
+    grounds = {s: stored(t.withColumnRenamed("inst", "model").join(models, "model").drop("model"), "ground") for s, t in generated.ground(eq, EXOGENOUS).items()}
+    early = stored(validation.diagram_issues(both, library), "issues")
+    parts = []
+    for mode, dedup in (("raw", False), ("deduplicated", True)):
+        glued = assembly.assemble(both, dedup)
+        issues = early.unionByName(validation.model_issues(glued.tables, library, ["inst"], "assembled", closed=True))
+        found = issues.groupBy("inst").agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("kind") == "duplicate_owner").alias("duplicate_owners"))
+        apart = glued.tables["Mech"].groupBy("inst", "output").agg(F.countDistinct("code").alias("n")).groupBy("inst").agg((F.max("n") > 1).alias("different_codes"))
+        flaws = reports.unrecovered(glued, origins, grounds, ("Var", "Mech", "Input")).groupBy("inst").agg(F.sum("n").alias("flaws"))
+        size = assembly.sizes(glued.tables).groupBy("inst").pivot("sort", list(SORTS)).agg(F.first("n"))
+        rows = cases
+        for part in (found, apart, flaws, size):
+            rows = rows.join(part, "inst", "left")
+        rows = rows.fillna(0, ["issues", "duplicate_owners", "flaws", *SORTS]).fillna(False, ["different_codes"])
+        variant = F.when(F.endswith("inst", F.lit(CONFLICT)), "equation_conflict").otherwise("faithful")
+        outputs = [F.col(s).alias(f"output_{s.lower()}") for s in SORTS]
+        parts.append(rows.select("inst", "n", "m", "copies", "family", "seed", variant.alias("variant"), F.lit(mode).alias("mode"), (F.col("issues") == 0).alias("accepted"), (F.col("flaws") == 0).alias("recovered"), "duplicate_owners", "different_codes", *outputs))
+    return stored(union(parts), "comparison")
+
+
+@query
+def duplication_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gluing with and without elimination of duplicates, on the same diagrams: faithful ones, and ones with a conflicting copy."""
+    return duplication_rows(spark).withColumn("inst", F.regexp_replace("inst", f"{CONFLICT}$", "")).drop("n", "m", "copies", "family", "seed")
+
+
+def summed(rows: DataFrame, *keys: str) -> DataFrame:
+    count = lambda c, name: F.count_if(c).alias(name)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("diagrams"), count(F.col("accepted"), "accepted"), count(F.col("recovered"), "recovered"), count(F.col("duplicate_owners") > 0, "owner_failures"), count(F.col("different_codes"), "conflict_witnesses"))
+
+
+@query
+def duplication_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summed(duplication_rows(spark), "variant", "copies", "mode")
+
+
+@query
+def duplicate_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted diagrams by condition and mode."""
+    label = F.when(F.col("variant") == "equation_conflict", "Conflicting codes").when(F.col("copies") == 0, "No copies").otherwise("Identical copies")
+    rows = duplication_rows(spark).withColumn("condition", label)
+    return rows.groupBy("condition").pivot("mode", ["raw", "deduplicated"]).agg(F.count_if("accepted"))
+
+
 @query
 def generated_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generated.equations(reports.small_grid(spark), EXOGENOUS)
