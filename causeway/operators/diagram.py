@@ -30,6 +30,11 @@ class Diagram:
         """The diagram with interfaces on these sorts alone."""
         return replace(self, spans=self.spans.where(F.col("sort").isin(*sorts)), overlaps={s: d.where(F.lit(s in sorts)) for s, d in self.overlaps.items()})
 
+    def renamed(self, inst: F.Column) -> Diagram:
+        """The diagram under other instance names; an exploded array of names makes a copy for each."""
+        take = lambda t: t.withColumn("inst", inst)
+        return Diagram({s: take(t) for s, t in self.records.items()}, take(self.faces), take(self.spans), {s: take(t) for s, t in self.overlaps.items()})
+
     def among(self, chosen: DataFrame, suffix: str) -> Diagram:
         """The instances in chosen (inst), under their names with a suffix."""
         take = lambda t: t.join(chosen.select("inst").distinct(), "inst", "left_semi").withColumn("inst", F.concat("inst", F.lit(suffix)))

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.operators import evaluation
-from causeway.operators.assembly import Assembly, arrows_to_classes, classes, tags
+from causeway.operators.assembly import Assembly
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram, overlaps_from_left
-from causeway.operators.validation import edges, levels, union
-from causeway.plans.storage import literal, stored
+from causeway.operators.validation import union
+from causeway.plans.storage import stored
 
 
 def small_grid(spark: SparkSession) -> DataFrame:
@@ -55,31 +55,6 @@ def mutilated(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables | {"Mech": mech.where(k % 71 != 3).unionByName(twice), "Input": kept.unionByName(again)}
 
 
-def certificate(diagram: Diagram, glued: Assembly, qmap: DataFrame) -> DataFrame:
-    """check, violations, from the class map alone: tags are total, pairs generate the classes, interfaces are respected, rows descend, ranks ascend."""
-    every = tags(diagram)
-    total = every.join(qmap.select("inst", "sort", "tag"), ["inst", "sort", "tag"], "left_anti").select(F.lit("tags_total").alias("check"))
-    generated = classes(every, glued.pairs).select("inst", "sort", "tag", F.col("cid").alias("own"))
-    differ = qmap.join(generated, ["inst", "sort", "tag"]).where("cid != own").select(F.lit("pairs_generate").alias("check"))
-    held = diagram.spans.join(diagram.faces, ["inst", "iface"])
-    for side in ("left", "right"):
-        own = qmap.select("inst", "sort", F.col("module").alias(side), F.col("rid").alias(f"{side}_rid"), F.col("cid").alias(f"{side}_cid"))
-        held = held.join(own, ["inst", "sort", side, f"{side}_rid"])
-    torn = held.where("left_cid != right_cid").select(F.lit("interfaces_respected").alias("check"))
-    descend = []
-    for s in SORTS:
-        rows = arrows_to_classes(diagram, qmap, s).select("inst", "cid", *ATTRIBUTES[s], *ARROWS[s]).distinct()
-        descend.append(rows.groupBy("inst", "cid").count().where("count > 1").select(F.lit("rows_descend").alias("check")))
-    ranks = levels(edges(glued.tables, ["inst"]), glued.tables["Var"].select("inst", "rid"), ["inst"])
-    ordered = edges(glued.tables, ["inst"])
-    for column in ("cause", "effect"):
-        ordered = ordered.join(ranks.select("inst", F.col("rid").alias(column), F.col("level").alias(f"{column}_rank")), ["inst", column], "left")
-    back = ordered.where("NOT coalesce(cause_rank < effect_rank, false)").select(F.lit("ranks_ascend").alias("check"))
-    found = union([total, differ, torn, *descend, back]).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
-    names = literal(diagram.faces.sparkSession, [(c,) for c in ("tags_total", "pairs_generate", "interfaces_respected", "rows_descend", "ranks_ascend")], "check string")
-    return names.join(found, "check", "left").select("check", F.coalesce("n", F.lit(0)).alias("violations"))
-
-
 def reconstruction(qmap: DataFrame, grounds: DataFrame, target: DataFrame) -> DataFrame:
     """sort, classes, ambiguous (classes of several ground records), doubled (ground records of several classes), missing."""
     held = qmap.join(grounds, ["inst", "sort", "module", "rid"]).select("sort", "cid", "ground").distinct()

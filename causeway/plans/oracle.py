@@ -120,16 +120,27 @@ x AS (SELECT 'missing_owner' AS kind FROM eq LEFT JOIN me ON me.k = eq.k WHERE m
   UNION ALL SELECT 'duplicate_input' FROM sl GROUP BY k, p HAVING count(*) > 1
   UNION ALL SELECT 'dependency_mismatch' WHERE EXISTS (SELECT * FROM d EXCEPT SELECT * FROM e) OR EXISTS (SELECT * FROM e EXCEPT SELECT * FROM d))
 SELECT kind, count(*) AS issues FROM x GROUP BY kind""",
-    "certificate_violations": f"""WITH {EQ}, v AS (SELECT v FROM hvar WHERE o = 1 AND v >= 4 AND (v - 4) % 12 = 0),
-own_class AS (SELECT v.v FROM v WHERE EXISTS (SELECT 1 FROM hvar h WHERE h.v = v.v AND h.o = 0)),
-torn AS (SELECT count(*) AS n FROM hvar h JOIN own_class c ON c.v = h.v WHERE h.o <> 1),
-mech AS (SELECT count(*) AS n FROM eq WHERE k % 12 = 0),
-moved AS (SELECT k + 4 AS v FROM eq WHERE k % 12 = 0),
-gen AS (SELECT count(*) AS n FROM own_class),
-inp AS (SELECT count(*) AS n FROM (SELECT k, p FROM hslot JOIN own_class c ON c.v = hslot.cause GROUP BY k, p HAVING min(o) <> max(o) AND max(CASE WHEN o = 1 THEN 1 ELSE 0 END) = 1)),
-dep AS (SELECT count(*) AS n FROM (SELECT k, cause FROM hslot WHERE (k % 12 = 0) OR cause IN (SELECT v FROM own_class) GROUP BY k, cause HAVING min(o) <> max(o) AND max(CASE WHEN o = 1 THEN 1 ELSE 0 END) = 1))
-SELECT certificate, "check", CAST(CASE WHEN certificate = 'true' THEN 0 WHEN "check" = 'pairs_generate' THEN gen.n WHEN "check" = 'interfaces_respected' THEN torn.n WHEN "check" = 'rows_descend' THEN mech.n + inp.n + dep.n ELSE 0 END AS BIGINT) AS violations
-FROM gen, torn, mech, inp, dep, (VALUES ('true'), ('false')) c(certificate), (VALUES ('tags_total'), ('pairs_generate'), ('interfaces_respected'), ('rows_descend'), ('ranks_ascend')) k("check")""",
+    "certificate_violations": f"""WITH {EQ}, moved AS (SELECT k + 4 AS v FROM eq WHERE k % 12 = 0),
+c AS (SELECT (SELECT count(*) FROM moved) AS moved,
+  (SELECT count(*) FROM hvar h JOIN moved ON moved.v = h.v WHERE h.o <> 1) AS pairs,
+  (SELECT count(*) FROM hslot WHERE o = 1 AND cause IN (SELECT v FROM moved)) AS inputs,
+  (SELECT count(*) FROM (SELECT DISTINCT k, cause FROM hslot WHERE o = 1 AND (k % 12 = 0 OR cause IN (SELECT v FROM moved)))) AS deps,
+  (SELECT count(*) FROM eq WHERE k % 50 = 0) AS forged,
+  (SELECT count(*) FROM eq WHERE k % 24 = 0) AS lost,
+  (SELECT count(*) FROM (SELECT k, cause FROM slot GROUP BY k, cause HAVING count(*) > 1)) AS parallel)
+SELECT certificate, "check", CAST(CASE certificate || '.' || "check"
+  WHEN 'torn_class.classes_tabled' THEN moved WHEN 'torn_class.forest_generates' THEN moved WHEN 'torn_class.interfaces_respected' THEN pairs WHEN 'torn_class.rows_descend' THEN 2 * moved + inputs + deps
+  WHEN 'forged_edge.forest_justified' THEN forged WHEN 'forged_edge.forest_generates' THEN CASE WHEN forged > 0 THEN 1 ELSE 0 END
+  WHEN 'lost_edges.forest_generates' THEN lost WHEN 'unmerged.duplicates_merged' THEN parallel ELSE 0 END AS BIGINT) AS violations
+FROM c, (VALUES ('sound'), ('torn_class'), ('forged_edge'), ('lost_edges'), ('unmerged')) x(certificate),
+  (VALUES ('tags_total'), ('classes_tabled'), ('forest_justified'), ('forest_generates'), ('interfaces_respected'), ('duplicates_merged'), ('rows_descend'), ('ranks_ascend')) y("check")""",
+    "failure_witness_checks": f"""WITH {EQ}, x AS (SELECT 'missing_owner' AS kind, count(*) AS n FROM eq WHERE k % 71 = 3
+  UNION ALL SELECT 'duplicate_owner', count(*) FROM eq WHERE k % 67 = 2 AND k % 71 <> 3
+  UNION ALL SELECT 'duplicate_input', count(*) FROM slot WHERE k % 59 = 5 AND p = 1 UNION ALL SELECT 'cycle', 1)
+SELECT witness, kind, n AS witnesses, CASE witness WHEN 'found' THEN 0 ELSE n END AS refuted FROM x, (VALUES ('found'), ('forged')) w(witness) WHERE n > 0""",
+    "interface_witness_checks": f"""WITH {EQ}, x AS (SELECT 'attribute_mismatch' AS kind, 'code' AS field, count(*) AS n FROM eq WHERE k % 12 = 0
+  UNION ALL SELECT 'naturality', 'var', count(*) FROM slot WHERE k % 36 = 0 AND p = 1)
+SELECT witness, kind, field, n AS witnesses, CASE witness WHEN 'found' THEN 0 ELSE n END AS refuted FROM x, (VALUES ('found'), ('swapped')) w(witness) WHERE n > 0""",
     "reconstruction_checks": f"""WITH {EQ}, x AS (SELECT 'Var' AS sort, 4 + count(*) AS n, 0 AS copied FROM eq UNION ALL SELECT 'Mech', count(*), count(*) FILTER (WHERE k % 12 = 0) FROM eq UNION ALL SELECT s, count(*), count(*) FILTER (WHERE k % 12 = 0) FROM slot, (VALUES ('Input'), ('Dep')) t(s) GROUP BY s),
 par AS (SELECT count(*) AS pairs, coalesce(sum(n), 0) AS slots FROM (SELECT k, cause, count(*) AS n FROM slot GROUP BY k, cause HAVING count(*) > 1))
 SELECT variant, sort, CAST(CASE WHEN variant = 'var_raw' THEN n + copied WHEN variant = 'var_dedup' AND sort = 'Dep' THEN n - par.slots + par.pairs ELSE n END AS BIGINT) AS classes, CAST(CASE WHEN variant = 'var_dedup' AND sort = 'Dep' THEN par.pairs ELSE 0 END AS BIGINT) AS ambiguous, CAST(CASE WHEN variant = 'var_raw' THEN copied ELSE 0 END AS BIGINT) AS doubled, CAST(0 AS BIGINT) AS missing

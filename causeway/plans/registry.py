@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions.mechanisms import Library, fraction, replacements, totality
-from causeway.operators import assembly, evaluation, reports, semantics, validation
+from causeway.operators import assembly, certificates, evaluation, reports, semantics, validation
 from causeway.operators.diagram import SORTS, Diagram
 from causeway.plans.oracle import SQL
 from causeway.plans.storage import literal, stored
@@ -299,14 +300,70 @@ def corrupted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("issues"))
 
 
+CLAIMS = ("sound", "torn_class", "forged_edge", "lost_edges")
+
+
 @query
 def certificate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of each part of the certificate, for the assembly and for one whose class map was falsified by rule."""
+    """Violations that each check finds in a sound certificate and in ones damaged by rule.
+
+    torn_class: some copies in m1 are put into classes of their own. forged_edge: the forest claims interface pairs that no
+    interface has. lost_edges: the forest lacks the edges of some copies. unmerged: raw gluing passed off as deduplicated.
+    """
     whole = derived.diagram(spark, sf_dir)
-    glued = assembly.assemble(whole, deduplicate=True)
-    false_map = glued.qmap.withColumn("cid", F.when((F.col("sort") == "Var") & (F.col("module") == "m1") & (F.regexp_extract("rid", r"_V(\d+)$", 1).try_cast("int") % 12 == 0), F.col("tag")).otherwise(F.col("cid")))
-    parts = [reports.certificate(whole, glued, m).withColumn("certificate", F.lit(n)) for n, m in (("true", glued.qmap), ("false", stored(false_map, "false")))]
-    return union(parts).select("certificate", "check", "violations")
+    many = whole.renamed(F.explode(F.array(*map(F.lit, CLAIMS))))
+    many = Diagram({s: stored(t, "records") for s, t in many.records.items()}, many.faces, stored(many.spans, "spans"), {s: stored(t, "overlap") for s, t in many.overlaps.items()})
+    glued = assembly.assemble(many, deduplicate=True)
+    k = F.regexp_extract("rid", r"_V(\d+)$", 1).try_cast("int")
+    alone = (F.col("inst") == "torn_class") & (F.col("sort") == "Var") & (F.col("module") == "m1") & (k % 12 == 0)
+    qmap = stored(glued.qmap.withColumn("cid", F.when(alone, F.col("tag")).otherwise(F.col("cid"))), "claimed")
+    tree = stored(certificates.forest(certificates.evidence(many, glued.qmap, deduplicated=True)), "forest")
+    m1 = lambda c: (F.split_part(F.col(c), F.lit("|"), F.lit(1)) == "m1") & (F.regexp_extract(c, r"_V(\d+)$", 1).try_cast("int") % 24 == 0)
+    lost = (F.col("inst") == "lost_edges") & (F.col("sort") == "Var") & (F.coalesce(m1("a"), F.lit(False)) | F.coalesce(m1("b"), F.lit(False)))
+    owned = many.records["Var"].where((F.col("inst") == "forged_edge") & (F.col("module") == F.concat(F.lit("m"), k % 4)) & (k % 50 == 0))
+    forged = owned.select("inst", F.lit("Var").alias("sort"), assembly.tag("module", "rid").alias("a"), F.lit("m0|m0_U0").alias("b"), F.lit("interface").alias("kind"), F.lit("m0-m1").alias("iface"), F.concat(F.lit("o:Var:V"), k).alias("record"))
+    found = certificates.violations(many, qmap, glued.tables, stored(tree.where(~lost).unionByName(forged), "claimed"), deduplicated=True)
+    one = whole.renamed(F.lit("unmerged"))
+    raw = assembly.assemble(one, deduplicate=False)
+    bare = certificates.forest(certificates.evidence(one, raw.qmap, deduplicated=False))
+    found = found.unionByName(certificates.violations(one, raw.qmap, raw.tables, stored(bare, "forest"), deduplicated=True))
+    every = literal(spark, [(c, k) for c in (*CLAIMS, "unmerged") for k in certificates.CHECKS], "inst string, check string")
+    return every.join(found, ["inst", "check"], "left").select(F.col("inst").alias("certificate"), "check", F.coalesce("n", F.lit(0)).alias("violations"))
+
+
+@query
+def failure_witness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Witnesses of the failures of a mutilated and of a circular model, and how many are refuted, as found and after a record of each was changed."""
+    tables = reports.mutilated(derived.ground(spark, sf_dir))
+    circular = assembly.assemble(fixtures.diagram(spark, ("F06",)), deduplicate=False).tables
+    tables = {s: stored(t.unionByName(circular[s], allowMissingColumns=True), s) for s, t in tables.items()}
+    found = stored(certificates.failure_witnesses(tables), "witnesses")
+    forged = found.withColumn("records", F.concat(F.array(F.lit("U0")), F.slice("records", 2, 1 << 20))).withColumn("subject", F.when(F.col("kind") == "missing_owner", "V0").otherwise(F.col("subject")))
+    parts = []
+    for name, rows in (("found", found), ("forged", forged)):
+        refuted = certificates.refuted(rows, tables).groupBy("kind").agg(F.count(F.lit(1)).alias("refuted"))
+        counted = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("witnesses")).join(refuted, "kind", "left")
+        parts.append(counted.select(F.lit(name).alias("witness"), "kind", "witnesses", F.coalesce("refuted", F.lit(0)).alias("refuted")))
+    return union(parts)
+
+
+@query
+def interface_witness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Witnesses against interfaces whose copies conflict or whose arrows don't commute, and how many are refuted, as found and with the sides swapped."""
+    whole = derived.diagram(spark, sf_dir, conflict=True)
+    turn = (F.col("sort") == "Input") & (reports.number("rid") % 36 == 0) & (F.col("iface") == "m0-m1")
+    spans = whole.spans.withColumn("right_rid", F.when(turn, F.regexp_replace("right_rid", r":1$", ":9")).otherwise(F.col("right_rid")))
+    first = whole.records["Input"].where((F.col("module") == "m1") & (reports.number("rid") % 36 == 0) & (F.col("pos") == 1))
+    strange = first.withColumns({"rid": F.regexp_replace("rid", r":1$", ":9"), "var": F.lit("m1_strange")})
+    odd = replace(whole, spans=stored(spans, "spans"), records=whole.records | {"Input": stored(whole.records["Input"].unionByName(strange), "records")})
+    found = stored(certificates.interface_witnesses(odd), "witnesses")
+    swapped = found.withColumn("side", F.when(F.col("side") == "left", "right").otherwise("left"))
+    parts = []
+    for name, rows in (("found", found), ("swapped", swapped)):
+        refuted = certificates.refuted_interface(rows, odd).groupBy("kind", "field").agg(F.count(F.lit(1)).alias("refuted"))
+        counted = rows.groupBy("kind", "field").agg(F.count(F.lit(1)).alias("witnesses")).join(refuted, ["kind", "field"], "left")
+        parts.append(counted.select(F.lit(name).alias("witness"), "kind", "field", "witnesses", F.coalesce("refuted", F.lit(0)).alias("refuted")))
+    return union(parts)
 
 
 @query

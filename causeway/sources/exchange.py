@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from causeway.functions.mechanisms import DOMAINS, Library
+from causeway.operators import certificates as proofs
 from causeway.operators import validation
 from causeway.operators.assembly import Assembly
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram
@@ -98,12 +99,13 @@ def diagram_of(rows: DataFrame) -> Diagram:
     return Diagram(records, faces.select("inst", "iface", "left", "right"), spans, {s: described_records(faces, "iface", s) for s in SORTS})
 
 
-def certificates(glued: Assembly, library: Library, mode: str) -> DataFrame:
+def certificates(diagram: Diagram, glued: Assembly, library: Library, mode: str) -> DataFrame:
     """inst, document: what is needed to check an assembly, as compact JSON with sorted keys.
 
-    classes (tag and class of every record), pairs (that generate the classes), tables (rows of the quotient; members that
-    disagree give several), issues, valid, mode, and rank: each variable's place in an order where causes come first;
-    variables on or after a cycle have none.
+    classes (tag and class of every record), forest (edges that join each class without a circle, each with its evidence: an
+    interface's record, or equal keys), tables (rows of the quotient; members that disagree give several), issues, witnesses
+    (records that show a failure), valid, mode (raw or deduplicated), and rank: each variable's place in an order where
+    causes come first; variables on or after a cycle have none.
     """
     out = glued.qmap.select("inst").distinct()
 
@@ -113,7 +115,9 @@ def certificates(glued: Assembly, library: Library, mode: str) -> DataFrame:
         out = out.join(lists, "inst", "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
 
     add(glued.qmap.withColumn("class", F.col("cid")), "classes", "sort", "tag", "class")
-    add(glued.pairs, "pairs", "sort", "a", "b")
+    tree = proofs.forest(proofs.evidence(diagram, glued.qmap, mode == "deduplicated"))
+    add(tree.withColumn("evidence", F.struct("kind", F.col("iface").alias("interface"), "record")), "forest", "sort", "a", "b", "evidence")
+    add(proofs.failure_witnesses(glued.tables), "witnesses", "kind", "subject", "records", "others")
     for sort in SORTS:
         add(glued.tables[sort], sort, "rid", *FIELDS[sort])
     add(validation.model_issues(glued.tables, library, ["inst"], "assembled", closed=True), "issues", "stage", "kind", "record")
@@ -122,7 +126,7 @@ def certificates(glued: Assembly, library: Library, mode: str) -> DataFrame:
     ranked = ranks.withColumn("rank", place).groupBy("inst").agg(entries(F.lit(True), "rid", "rank").alias("rank"))
     whole = out.join(ranked, "inst", "left").withColumn("rank", F.coalesce("rank", F.create_map().cast("map<string, int>")))
     tables = F.struct(*sorted(SORTS)).alias("tables")
-    fields = F.struct("classes", "issues", F.lit(mode).alias("mode"), "pairs", "rank", tables, (F.size("issues") == 0).alias("valid"))
+    fields = F.struct("classes", "forest", "issues", F.lit(mode).alias("mode"), "rank", tables, (F.size("issues") == 0).alias("valid"), "witnesses")
     return whole.select("inst", F.to_json(fields, KEPT_NULLS).alias("document"))
 
 

@@ -27,14 +27,17 @@ def test_lines_roundtrip(spark, tmp_path):
 
 
 def test_certificates(spark):
-    glued = assembly.assemble(fixtures.diagram(spark, ("F01", "F02", "F05", "F06")), deduplicate=True)
-    one = {r["inst"]: json.loads(r["document"]) for r in exchange.certificates(glued, fixtures.library(), "deduplicated").collect()}
+    whole = fixtures.diagram(spark, ("F01", "F02", "F05", "F06"))
+    glued = assembly.assemble(whole, deduplicate=True)
+    one = {r["inst"]: json.loads(r["document"]) for r in exchange.certificates(whole, glued, fixtures.library(), "deduplicated").collect()}
     assert {i: c["valid"] for i, c in one.items()} == {"F01": True, "F02": False, "F05": False, "F06": False}
     found = one["F01"]
-    assert sorted(found["rank"].values()) == list(range(6)) and len(found["tables"]["Mech"]) == 3 and len(found["pairs"]) == 1
+    assert sorted(found["rank"].values()) == list(range(6)) and len(found["tables"]["Mech"]) == 3 and found["witnesses"] == []
+    assert found["forest"] == [{"sort": "Var", "a": "upstream|Y", "b": "downstream|Y", "evidence": {"kind": "interface", "interface": "i0", "record": "o:Var:Y"}}]
     mech = {m["rid"]: m["output"] for m in found["tables"]["Mech"]}
     assert all(found["rank"][x["var"]] < found["rank"][mech[x["mech"]]] for x in found["tables"]["Input"])
     assert one["F06"]["rank"] == {} and {x["kind"] for x in one["F06"]["issues"]} == {"cycle"}
+    assert {i: [w["kind"] for w in one[i]["witnesses"]] for i in ("F02", "F05", "F06")} == {"F02": ["missing_owner"], "F05": ["duplicate_owner"], "F06": ["cycle"]}
 
 
 def test_not_a_document(spark):
