@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -18,13 +19,23 @@ class Diagram:
     """records: by sort, (inst, module, rid, attributes, arrows), Var with is_boundary.
 
     faces: inst, iface, left, right. spans: inst, iface, sort, rid, left_rid, right_rid. overlaps: by sort, the
-    interfaces' own records (inst, iface, rid, attributes, arrows).
+    interfaces' own records (inst, iface, rid, attributes, arrows). What tables can't show is given beside them, where a
+    source has it: names, the name a module gives itself (inst, module, name); maps, the sorts of each map (inst, iface,
+    side, sort); strays, boundary ids that no Var has (inst, module, rid).
     """
 
     records: dict[str, DataFrame]
     faces: DataFrame
     spans: DataFrame
     overlaps: dict[str, DataFrame]
+    names: DataFrame | None = None
+    maps: DataFrame | None = None
+    strays: DataFrame | None = None
+
+    def each(self, change: Callable[[DataFrame], DataFrame]) -> Diagram:
+        """The diagram with every table changed alike."""
+        by_sort = lambda tables: {s: change(t) for s, t in tables.items()}
+        return Diagram(by_sort(self.records), change(self.faces), change(self.spans), by_sort(self.overlaps), *(t if t is None else change(t) for t in (self.names, self.maps, self.strays)))
 
     def only(self, sorts: tuple[str, ...]) -> Diagram:
         """The diagram with interfaces on these sorts alone."""
@@ -32,18 +43,16 @@ class Diagram:
 
     def renamed(self, inst: F.Column) -> Diagram:
         """The diagram under other instance names; an exploded array of names makes a copy for each."""
-        take = lambda t: t.withColumn("inst", inst)
-        return Diagram({s: take(t) for s, t in self.records.items()}, take(self.faces), take(self.spans), {s: take(t) for s, t in self.overlaps.items()})
+        return self.each(lambda t: t.withColumn("inst", inst))
 
     def among(self, chosen: DataFrame, suffix: str) -> Diagram:
         """The instances in chosen (inst), under their names with a suffix."""
-        take = lambda t: t.join(chosen.select("inst").distinct(), "inst", "left_semi").withColumn("inst", F.concat("inst", F.lit(suffix)))
-        return Diagram({s: take(t) for s, t in self.records.items()}, take(self.faces), take(self.spans), {s: take(t) for s, t in self.overlaps.items()})
+        return self.each(lambda t: t.join(chosen.select("inst").distinct(), "inst", "left_semi").withColumn("inst", F.concat("inst", F.lit(suffix))))
 
     def beside(self, other: Diagram) -> Diagram:
         """Both diagrams' instances; names must differ."""
         by_sort = lambda a, b: {s: a[s].unionByName(b[s]) for s in a}
-        return Diagram(by_sort(self.records, other.records), self.faces.unionByName(other.faces), self.spans.unionByName(other.spans), by_sort(self.overlaps, other.overlaps))
+        return Diagram(by_sort(self.records, other.records), self.faces.unionByName(other.faces), self.spans.unionByName(other.spans), by_sort(self.overlaps, other.overlaps), *(b if a is None else a if b is None else a.unionByName(b) for a, b in ((self.names, other.names), (self.maps, other.maps), (self.strays, other.strays))))
 
 
 def from_equations(variables: DataFrame, equations: DataFrame) -> dict[str, DataFrame]:

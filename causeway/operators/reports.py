@@ -12,7 +12,7 @@ from causeway.operators import evaluation
 from causeway.operators.assembly import Assembly
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram, overlaps_from_left
 from causeway.operators.validation import union
-from causeway.plans.storage import stored
+from causeway.plans.storage import literal, stored
 
 
 def small_grid(spark: SparkSession) -> DataFrame:
@@ -55,6 +55,41 @@ def mutilated(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables | {"Mech": mech.where(k % 71 != 3).unionByName(twice), "Input": kept.unionByName(again)}
 
 
+#: Instances of broken(), a kind of damage each.
+BROKEN = ("owners", "types", "roles", "strays", "names", "repeated", "targets", "sorts", "totality", "injectivity", "references", "overlaps")
+
+
+def broken(whole: Diagram) -> Diagram:
+    """Copies of a diagram derived from parts, each damaged in one way by rule, as issues of modules and interfaces want it."""
+    many = whole.renamed(F.explode(F.array(*map(F.lit, BROKEN))))
+    k, spark = number("rid"), whole.faces.sparkSession
+
+    def where(inst: str, condition: Column, column: str, value: Column) -> Column:
+        return F.when((F.col("inst") == inst) & condition, value).otherwise(F.col(column))
+
+    def var(t: DataFrame) -> DataFrame:
+        return t.withColumns({"type": where("types", k % 45 == 3, "type", F.lit("tri")), "role": where("roles", k % 50 == 4, "role", F.lit("exo"))})
+
+    records, overlaps, own = dict(many.records), dict(many.overlaps), many.records["Var"]
+    records["Var"] = var(own)
+    overlaps["Var"] = var(overlaps["Var"]).withColumn("role", where("overlaps", (F.col("iface") == "m0-m2") & (k % 30 == 9), "role", F.lit("odd")))
+    more = own.where((F.col("inst") == "owners") & F.col("is_boundary") & (k % 40 == 1)).select("inst", "module", F.concat(F.lit("m:"), "rid").alias("rid"), F.lit("ZERO").alias("code"), F.col("rid").alias("output"))
+    records["Mech"] = records["Mech"].unionByName(more)
+    faces = many.faces.withColumn("right", where("targets", F.col("iface") == "m0-m3", "right", F.lit("m9")))
+    faces = faces.unionByName(faces.where("inst = 'repeated' AND iface = 'm2-m3'"))
+    at = lambda iface, rest: (F.col("sort") == "Var") & (F.col("iface") == iface) & (k % 30 == rest)
+    spans = many.spans.where(~F.coalesce((F.col("inst") == "totality") & at("m1-m2", 6), F.lit(False)))
+    spans = spans.withColumn("right_rid", where("injectivity", at("m2-m3", 7), "right_rid", F.lit("m3_V3")))
+    spans = spans.withColumn("right_rid", where("references", at("m1-m3", 8), "right_rid", F.concat(F.lit("gone_"), k)))
+    owned = whole.records["Var"].where((k % 60 == 5) & ~F.col("is_boundary"))
+    strays = owned.select(F.lit("strays").alias("inst"), "module", F.concat(F.lit("lost_"), k).alias("rid"))
+    names = literal(spark, [("names", f"m{i}", "other" if i == 2 else f"m{i}") for i in range(4)], "inst string, module string, name string")
+    maps = many.faces.select("inst", "iface", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side")).select("*", F.explode(F.array(*map(F.lit, SORTS))).alias("sort"))
+    maps = maps.where("NOT (inst = 'sorts' AND iface = 'm0-m1' AND side = 'left' AND sort = 'Dep')")
+    kept = Diagram(records, faces, spans, overlaps, names, maps, strays)
+    return kept.each(lambda t: stored(t, "broken"))
+
+
 def reconstruction(qmap: DataFrame, grounds: DataFrame, target: DataFrame) -> DataFrame:
     """sort, classes, ambiguous (classes of several ground records), doubled (ground records of several classes), missing."""
     held = qmap.join(grounds, ["inst", "sort", "module", "rid"]).select("sort", "cid", "ground").distinct()

@@ -186,15 +186,27 @@ def diagram_issues(diagram: Diagram, library: Library) -> DataFrame:
     sound = {s: t.join(structural.select(*scope).distinct(), scope, "left_anti") for s, t in diagram.records.items()}
     structural = structural.drop("module")
     parts = [structural, model_issues(sound, library, scope, "local_module", closed=False)]
+    if diagram.names is not None:
+        parts.append(issue(diagram.names.where(~F.col("module").eqNullSafe(F.col("name"))), "local_module", "object_name", "module"))
+    if diagram.strays is not None:
+        known = sound["Var"].select(*scope).distinct()
+        parts.append(issue(diagram.strays.join(known, scope, "left_semi"), "local_module", "boundary_definition", "rid"))
+    parts.append(structural_issues(diagram.overlaps, library, ["inst", "iface"], "interface"))
     names = diagram.faces.groupBy("inst", "iface").count().where("count > 1")
     parts.append(issue(names, "interface", "interface_name", "iface"))
+    once = diagram.faces.join(names, ["inst", "iface"], "left_anti")
     modules = diagram.records["Var"].select("inst", "module").union(diagram.records["Mech"].select("inst", "module")).distinct()
     for side in ("left", "right"):
         known = modules.withColumnRenamed("module", side)
-        parts.append(issue(diagram.faces.join(known, ["inst", side], "left_anti"), "interface", "interface_target", F.concat_ws(".", "iface", F.lit(side))))
-        faces = diagram.faces.join(known, ["inst", side], "left_semi")
+        parts.append(issue(once.join(known, ["inst", side], "left_anti"), "interface", "interface_target", F.concat_ws(".", "iface", F.lit(side))))
+        faces = once.join(known, ["inst", side], "left_semi")
+        if diagram.maps is not None:
+            lists = diagram.maps.where(F.col("side") == side).groupBy("inst", "iface").agg(F.array_sort(F.collect_set("sort")).alias("sorts"))
+            lists = faces.join(lists, ["inst", "iface"], "left").withColumn("odd", ~F.col("sorts").eqNullSafe(F.array(*map(F.lit, sorted(SORTS)))))
+            parts.append(issue(lists.where("odd"), "interface", "map_sorts", F.concat_ws(".", "iface", F.lit(side))))
+            faces = faces.join(lists.where("odd").select("inst", "iface"), ["inst", "iface"], "left_anti")
         for sort in SORTS:
-            leg = diagram.spans.where(F.col("sort") == sort).join(faces, ["inst", "iface"]).withColumn("image", F.col(f"{side}_rid"))
+            leg = diagram.spans.where(F.col("sort") == sort).join(faces, ["inst", "iface"]).withColumn("image", F.col(f"{side}_rid")).where("image IS NOT NULL")
             own = diagram.overlaps[sort].join(faces.select("inst", "iface"), ["inst", "iface"])
             keys = ["inst", "iface", "rid"]
             missing = own.select(*keys).exceptAll(leg.select(*keys)).union(leg.select(*keys).exceptAll(own.select(*keys)))

@@ -120,6 +120,22 @@ x AS (SELECT 'missing_owner' AS kind FROM eq LEFT JOIN me ON me.k = eq.k WHERE m
   UNION ALL SELECT 'duplicate_input' FROM sl GROUP BY k, p HAVING count(*) > 1
   UNION ALL SELECT 'dependency_mismatch' WHERE EXISTS (SELECT * FROM d EXCEPT SELECT * FROM e) OR EXISTS (SELECT * FROM e EXCEPT SELECT * FROM d))
 SELECT kind, count(*) AS issues FROM x GROUP BY kind""",
+    "broken_diagram_issues": f"""WITH {EQ}, shared AS (SELECT a.v - 4 AS k, a.o AS l, b.o AS r FROM hvar a JOIN hvar b ON a.v = b.v AND a.o < b.o WHERE a.v >= 4),
+x AS (SELECT 'owners' AS damage, 'local_module' AS stage, 'unexpected_owner' AS kind, count(*) AS n FROM hvar WHERE own = 0 AND v >= 4 AND (v - 4) % 40 = 1
+  UNION ALL SELECT 'types', 'local_module', 'output_type', count(*) FROM held WHERE k % 45 = 3
+  UNION ALL SELECT 'types', 'local_module', 'input_type', count(*) FROM hslot WHERE cause >= 4 AND (cause - 4) % 45 = 3
+  UNION ALL SELECT 'roles', 'local_module', 'boundary_definition', count(*) FROM hvar WHERE own = 0 AND v >= 4 AND (v - 4) % 50 = 4
+  UNION ALL SELECT 'roles', 'local_module', 'unexpected_owner', count(*) FROM held WHERE k % 50 = 4
+  UNION ALL SELECT 'strays', 'local_module', 'boundary_definition', count(*) FROM held WHERE k % 60 = 5
+  UNION ALL SELECT 'names', 'local_module', 'object_name', 1 UNION ALL SELECT 'repeated', 'interface', 'interface_name', 1
+  UNION ALL SELECT 'targets', 'interface', 'interface_target', 1 UNION ALL SELECT 'sorts', 'interface', 'map_sorts', 1
+  UNION ALL SELECT 'totality', 'interface', 'map_totality', CASE WHEN count(*) > 0 THEN 2 ELSE 0 END FROM shared WHERE l = 1 AND r = 2 AND k % 30 = 6
+  UNION ALL SELECT 'injectivity', 'interface', 'map_injectivity', CASE WHEN count(*) > 1 AND count(*) FILTER (WHERE k % 30 = 7) > 0 THEN 1 ELSE 0 END FROM shared WHERE l = 2 AND r = 3 AND (k % 30 = 7 OR k = 3)
+  UNION ALL SELECT 'references', 'interface', 'map_reference', count(*) FROM shared WHERE l = 1 AND r = 3 AND k % 30 = 8
+  UNION ALL SELECT 'overlaps', 'interface', 'variable_attribute', count(*) FROM shared WHERE l = 0 AND r = 2 AND k % 30 = 9
+  UNION ALL SELECT 'overlaps', 'interface', 'attribute_mismatch', 2 * count(*) FROM shared WHERE l = 0 AND r = 2 AND k % 30 = 9
+  UNION ALL SELECT 'tables', 'local_module', 'entity_tables', 1)
+SELECT damage, stage, kind, CAST(n AS BIGINT) AS issues FROM x WHERE n > 0""",
     "certificate_violations": f"""WITH {EQ}, moved AS (SELECT k + 4 AS v FROM eq WHERE k % 12 = 0),
 c AS (SELECT (SELECT count(*) FROM moved) AS moved,
   (SELECT count(*) FROM hvar h JOIN moved ON moved.v = h.v WHERE h.o <> 1) AS pairs,

@@ -300,6 +300,15 @@ def corrupted_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("issues"))
 
 
+@query
+def broken_diagram_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of diagrams damaged in one way each, and of a model that lacks a table."""
+    found = validation.diagram_issues(reports.broken(derived.diagram(spark, sf_dir)), Library())
+    ground = derived.ground(spark, sf_dir)
+    lacking = validation.structural_issues({s: t for s, t in ground.items() if s != "Dep"}, Library(), ["inst"], "local_module").withColumn("inst", F.lit("tables"))
+    return found.unionByName(lacking).groupBy(F.col("inst").alias("damage"), "stage", "kind").agg(F.count(F.lit(1)).alias("issues"))
+
+
 CLAIMS = ("sound", "torn_class", "forged_edge", "lost_edges")
 
 

@@ -70,8 +70,10 @@ def documents(diagram: Diagram) -> DataFrame:
     modules = described.groupBy("inst").agg(F.map_from_entries(named).alias("modules"))
     overlaps = {s: d.select("inst", "iface", "rid", *FIELDS[s]) for s, d in diagram.overlaps.items()}
     faces = descriptions(overlaps, diagram.faces.select("inst", "iface"), "iface").join(diagram.faces, ["inst", "iface"])
-    sides = [F.struct(*[entries(F.col("sort") == s, "rid", f"{side}_rid").alias(s) for s in sorted(SORTS)]).alias(f"{side}_map") for side in ("left", "right")]
+    sides = [F.struct(*[entries((F.col("sort") == s) & F.col(f"{side}_rid").isNotNull(), "rid", f"{side}_rid").alias(s) for s in sorted(SORTS)]).alias(f"{side}_map") for side in ("left", "right")]
     faces = faces.join(diagram.spans.groupBy("inst", "iface").agg(*sides), ["inst", "iface"], "left")
+    bare = F.struct(*[F.create_map().cast("map<string, string>").alias(s) for s in sorted(SORTS)])
+    faces = faces.withColumns({f"{side}_map": F.coalesce(f"{side}_map", bare) for side in ("left", "right")})
     face = F.struct("description", "left", "left_map", F.col("iface").alias("name"), "right", "right_map")
     interfaces = faces.groupBy("inst").agg(F.array_sort(F.collect_list(face), by_name).alias("interfaces"))
     both = modules.join(interfaces, "inst", "left").withColumn("interfaces", F.coalesce("interfaces", F.array().cast(interfaces.schema["interfaces"].dataType)))
@@ -92,11 +94,17 @@ def diagram_of(rows: DataFrame) -> Diagram:
     faces = parsed.select("inst", F.explode("d.interfaces").alias("f")).select("inst", F.col("f.name").alias("iface"), "f.left", "f.right", "f.description", "f.left_map", "f.right_map")
     spans = None
     for sort in SORTS:
-        legs = faces.select("inst", "iface", F.col(f"right_map.{sort}").alias("to"), F.explode(f"left_map.{sort}").alias("rid", "left_rid"))
-        part = legs.select("inst", "iface", F.lit(sort).alias("sort"), "rid", "left_rid", F.try_element_at("to", F.col("rid")).alias("right_rid"))
+        empty = F.create_map().cast("map<string, string>")
+        legs = faces.select("inst", "iface", *[F.coalesce(f"{side}_map.{sort}", empty).alias(side) for side in ("left", "right")])
+        legs = legs.select("*", F.explode(F.array_union(F.map_keys("left"), F.map_keys("right"))).alias("rid"))
+        part = legs.select("inst", "iface", F.lit(sort).alias("sort"), "rid", *[F.try_element_at(side, F.col("rid")).alias(f"{side}_rid") for side in ("left", "right")])
         spans = part if spans is None else spans.unionByName(part)
     records = {s: described_records(modules, "module", s) for s in SORTS}
-    return Diagram(records, faces.select("inst", "iface", "left", "right"), spans, {s: described_records(faces, "iface", s) for s in SORTS})
+    names = modules.select("inst", "module", F.col("description.name").alias("name"))
+    legs = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(s).alias("sort"), F.col(f"{side}_map.{s}").isNotNull().alias("given")) for side in ("left", "right") for s in SORTS])).alias("leg")
+    maps = faces.select("inst", "iface", legs).where("leg.given").select("inst", "iface", "leg.side", "leg.sort")
+    strays = modules.select("inst", "module", F.explode("description.boundary").alias("rid")).join(records["Var"].select("inst", "module", "rid"), ["inst", "module", "rid"], "left_anti")
+    return Diagram(records, faces.select("inst", "iface", "left", "right"), spans, {s: described_records(faces, "iface", s) for s in SORTS}, names, maps, strays)
 
 
 def certificates(diagram: Diagram, glued: Assembly, library: Library, mode: str) -> DataFrame:
