@@ -196,13 +196,13 @@ def evaluate_tables(tables: dict[str, DataFrame], library: Library, closed: bool
 
 
 def intervene(tables: dict[str, DataFrame], targets: DataFrame) -> dict[str, DataFrame]:
-    """Surgery: the mechanisms of targets (inst, var, code) get the new code, and lose their Inputs and their effect's Deps."""
-    hit = targets.select("inst", F.col("var").alias("output"), F.col("code").alias("do_code"))
-    mech = tables["Mech"].join(hit, ["inst", "output"], "left").withColumn("code", F.coalesce("do_code", "code")).drop("do_code")
-    cut = tables["Mech"].join(hit, ["inst", "output"], "left_semi")
-    key = ["inst", "module"] if "module" in tables["Mech"].columns else ["inst"]
-    slots = tables["Input"].join(cut.select(*key, F.col("rid").alias("mech")), [*key, "mech"], "left_anti")
-    deps = tables["Dep"].join(hit.select("inst", F.col("output").alias("effect")), ["inst", "effect"], "left_anti")
+    """Surgery: the mechanisms of targets (inst, var, code, and module where tables have it) get the new code, and lose their Inputs and their effect's Deps."""
+    own = ["inst", "module"] if "module" in tables["Mech"].columns else ["inst"]
+    hit = targets.select(*own, F.col("var").alias("output"), F.col("code").alias("do_code"))
+    mech = tables["Mech"].join(hit, [*own, "output"], "left").withColumn("code", F.coalesce("do_code", "code")).drop("do_code")
+    cut = tables["Mech"].join(hit, [*own, "output"], "left_semi")
+    slots = tables["Input"].join(cut.select(*own, F.col("rid").alias("mech")), [*own, "mech"], "left_anti")
+    deps = tables["Dep"].join(hit.select(*own, F.col("output").alias("effect")), [*own, "effect"], "left_anti")
     return {"Var": tables["Var"], "Mech": mech.select(*tables["Mech"].columns), "Input": slots, "Dep": deps}
 
 

@@ -118,8 +118,23 @@ def unrecovered(glued: Assembly, origin: dict[str, DataFrame], grounds: dict[str
     return union(flaws).groupBy("inst", "flaw").agg(F.count(F.lit(1)).alias("n"))
 
 
+def copies_of(qmap: DataFrame, targets: DataFrame) -> DataFrame:
+    """inst, module, var, code: every record of the variable classes in targets (inst, cid, code)."""
+    return qmap.where("sort = 'Var'").join(targets, ["inst", "cid"]).select("inst", "module", F.col("rid").alias("var"), "code")
+
+
+def not_commuting(glued: Assembly, operated: dict[str, DataFrame], again: Assembly) -> DataFrame:
+    """inst, flaw, n: where surgery before gluing (again) and after it (operated, the tables of glued after surgery) aren't one model.
+
+    Records that surgery keeps bear their tags through both, and so name the class of one in the other: that must be one to
+    one, onto, and keep attributes and arrows.
+    """
+    before = {s: glued.qmap.where(F.col("sort") == s).select("inst", "module", "rid", F.col("cid").alias("ground")) for s in SORTS}
+    return unrecovered(again, before, operated, SORTS)
+
+
 def surgery_on_diagram(diagram: Diagram, targets: DataFrame) -> Diagram:
-    """Surgery on every module and interface: targets (inst, var, code) name the variable in each module that has it; spans keep what survives."""
+    """Surgery on every module and interface: targets (inst, module, var, code) name the variable in each module that has it; spans keep what survives."""
     records = evaluation.intervene(diagram.records, targets)
     alive = union([t.select("inst", F.lit(s).alias("sort"), "module", "rid") for s, t in records.items()])
     spans = diagram.spans.join(diagram.faces, ["inst", "iface"])

@@ -161,7 +161,13 @@ SELECT witness, kind, field, n AS witnesses, CASE witness WHEN 'found' THEN 0 EL
 par AS (SELECT count(*) AS pairs, coalesce(sum(n), 0) AS slots FROM (SELECT k, cause, count(*) AS n FROM slot GROUP BY k, cause HAVING count(*) > 1))
 SELECT variant, sort, CAST(CASE WHEN variant = 'var_raw' THEN n + copied WHEN variant = 'var_dedup' AND sort = 'Dep' THEN n - par.slots + par.pairs ELSE n END AS BIGINT) AS classes, CAST(CASE WHEN variant = 'var_dedup' AND sort = 'Dep' THEN par.pairs ELSE 0 END AS BIGINT) AS ambiguous, CAST(CASE WHEN variant = 'var_raw' THEN copied ELSE 0 END AS BIGINT) AS doubled, CAST(0 AS BIGINT) AS missing
 FROM x, par, (VALUES ('full_raw'), ('var_raw'), ('var_dedup')) v(variant)""",
-    "commutation": f"WITH {EQ} SELECT 4 + count(*) AS variables, CAST(0 AS BIGINT) AS mismatches FROM eq",
+    "commutation": f"""WITH RECURSIVE {EQ}, {run('zero', 'WHEN plan.k = 12 THEN 0')}, {run('one', 'WHEN plan.k = 12 THEN 65535')},
+moved AS (SELECT count(*) FILTER (WHERE x <> y) AS n FROM (SELECT unnest(a.vals) AS x, unnest(b.vals) AS y FROM zero_last a, one_last b)),
+s(surgery, hit) AS (VALUES ('do_V10', 10), ('do_V12', 12), ('do_V25', 25), ('other_value', 12), ('one_copy', 12)),
+c AS (SELECT surgery, hit, (SELECT 4 + count(*) FROM eq) AS var, (SELECT count(*) FROM eq) AS mech, (SELECT count(*) FROM slot WHERE k <> hit) AS inputs, (SELECT count(DISTINCT (k, cause)) FROM slot WHERE k <> hit) AS deps,
+  (SELECT count(*) FROM slot WHERE k = hit) AS own, (SELECT count(DISTINCT cause) FROM slot WHERE k = hit) AS own_deps FROM s)
+SELECT surgery, 'records' AS part, var + mech + inputs + deps AS compared, CAST(CASE surgery WHEN 'other_value' THEN 1 WHEN 'one_copy' THEN 1 + own + own_deps ELSE 0 END AS BIGINT) AS differing FROM c
+UNION ALL SELECT surgery, 'values', var, CAST(CASE surgery WHEN 'other_value' THEN n ELSE 0 END AS BIGINT) FROM c, moved WHERE surgery <> 'one_copy'""",
     "exact_checks_summary": """WITH g AS (SELECT n FROM (VALUES (8), (16), (32)) a(n), range(2) b, range(2) c, range(3) d, range(10) e),
 s AS (SELECT CAST(n AS VARCHAR) AS n, count(*) AS diagrams, 16 * count(*) AS observational, CAST(sum(32 * n) AS BIGINT) AS interventional, CAST(sum(3 + 6 * n) AS BIGINT) AS law FROM g GROUP BY n),
 t AS (SELECT * FROM s UNION ALL SELECT 'Total', CAST(sum(diagrams) AS BIGINT), CAST(sum(observational) AS BIGINT), CAST(sum(interventional) AS BIGINT), CAST(sum(law) AS BIGINT) FROM s)
@@ -210,4 +216,4 @@ GOLDEN_ROWS = [(f, m, kinds, stages, a if m == "raw" else b, x if m == "raw" els
 GOLDEN_ROWS += [("F03", "raw", "duplicate_owner", "assembled", 0, "1/2/0/0"), ("F03", "deduplicated", "", "", 0, "1/1/0/0"), ("F04", "raw", "duplicate_input", "assembled", 0, "2/1/2/1"), ("F04", "deduplicated", "", "", 0, "2/1/1/1")]
 SQL["diagnostics"] = "SELECT fixture, mode, kinds = '' AS valid, stages, kinds, CAST(fibers AS BIGINT) AS fibers, sizes FROM (VALUES " + ", ".join(map(str, GOLDEN_ROWS)) + ") t(fixture, mode, kinds, stages, fibers, sizes)"
 SQL["diagnostic_summary"] = "WITH g AS (" + SQL["diagnostics"] + ") SELECT fixture, bool_or(valid) FILTER (WHERE mode = 'raw') AS raw, bool_or(valid) FILTER (WHERE mode = 'deduplicated') AS deduplicated, true AS as_expected, CASE WHEN CAST(substr(fixture, 2) AS INT) <= 15 THEN 'primary' ELSE 'supporting' END AS scope FROM g GROUP BY fixture"
-SQL["json_roundtrip"] = "WITH m AS (" + SQL["module_records"] + ") SELECT sort, CAST(sum(n) AS BIGINT) AS n, CAST(0 AS BIGINT) AS differing FROM m GROUP BY sort"
+SQL["json_roundtrip"] = f"WITH m AS ({SQL['module_records']}), x AS (SELECT count(*) AS changed FROM ({'WITH ' + EQ + 'SELECT * FROM held WHERE c = 8'})) SELECT document, sort, CAST(sum(n) AS BIGINT) AS n, CAST(CASE WHEN document = 'changed' AND sort = 'Mech' THEN 2 * any_value(changed) ELSE 0 END AS BIGINT) AS differing FROM m, x, (VALUES ('written'), ('changed')) d(document) GROUP BY document, sort"

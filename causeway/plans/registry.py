@@ -383,21 +383,38 @@ def reconstruction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union([reports.reconstruction(a.qmap, grounds, target).select(F.lit(n).alias("variant"), "sort", "classes", "ambiguous", "doubled", "missing") for n, _, a in assembled(spark, sf_dir) if n != "full_dedup"])
 
 
+#: Surgeries compared before and after gluing: name, variable, value after gluing, value before it, modules it reaches before it.
+SURGERIES = (("do_V10", "V10", 1, 1, None), ("do_V12", "V12", 0, 0, None), ("do_V25", "V25", 1, 1, None), ("other_value", "V12", 0, 1, None), ("one_copy", "V12", 0, 0, "m0"))
+
+
 @query
 def commutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surgery after gluing against surgery on every copy before gluing: variables compared and values that differ."""
-    whole = derived.diagram(spark, sf_dir)
+    """Surgery after gluing against surgery on every copy of the variable's class before gluing: values and records compared, and those that differ.
+
+    Two twins are wrong: other_value sets another value before gluing, one_copy leaves out copies (its records disagree, so it
+    has no values).
+    """
+    one = derived.diagram(spark, sf_dir)
+    names = [n for n, *_ in SURGERIES]
+    whole = one.renamed(F.explode(F.array(*map(F.lit, names)))).each(lambda t: stored(t, "copies"))
     glued = assembly.assemble(whole, deduplicate=True)
-    library = do_library((TARGET, 1))
-    code = F.lit(f"DO::{TARGET}::1").alias("code")
-    is_target = F.substring_index("rid", "_", -1) == TARGET
-    after = evaluation.intervene(glued.tables, glued.tables["Var"].where(is_target).select("inst", F.col("rid").alias("var"), code))
-    before = reports.surgery_on_diagram(whole, whole.records["Var"].where(is_target).select("inst", F.col("rid").alias("var"), code))
-    again = assembly.assemble(before, deduplicate=True)
-    x = evaluation.evaluate_tables(after, library).where("value = 1").select("var", "mask")
-    y = evaluation.evaluate_tables(again.tables, library).where("value = 1").select("var", F.col("mask").alias("other"))
-    both = x.join(y, "var", "full_outer")
-    return both.agg(F.count(F.lit(1)).alias("variables"), F.sum((~F.col("mask").eqNullSafe(F.col("other"))).cast("long")).alias("mismatches"))
+    plans = literal(spark, [(n, v, f"DO::{v}::{x}", f"DO::{v}::{y}", m) for n, v, x, y, m in SURGERIES], "inst string, name string, late string, early string, only string")
+    classes = glued.tables["Var"].withColumn("name", F.substring_index("rid", "_", -1)).join(F.broadcast(plans), ["inst", "name"])
+    classes = stored(classes.select("inst", F.col("rid").alias("cid"), "late", "early", "only"), "targets")
+    after = evaluation.intervene(glued.tables, classes.select("inst", F.col("cid").alias("var"), F.col("late").alias("code")))
+    after = {s: stored(t, "operated") for s, t in after.items()}
+    copies = reports.copies_of(glued.qmap, classes.select("inst", "cid", F.col("early").alias("code"))).join(classes.select("inst", "only"), "inst")
+    before = reports.surgery_on_diagram(whole, copies.where("only IS NULL OR only = module").drop("only"))
+    again = assembly.assemble(before.each(lambda t: stored(t, "operated")), deduplicate=True)
+    flaws = reports.not_commuting(glued, after, again).groupBy("inst").agg(F.sum("n").alias("differing"))
+    rows = counts(after, "inst").groupBy("inst").agg(F.sum("n").alias("compared")).join(flaws, "inst", "left")
+    library = do_library(*{(v, x) for _, v, *both, _ in SURGERIES for x in both})
+    x, y = (evaluation.evaluate_tables({s: t.where("inst != 'one_copy'") for s, t in tables.items()}, library).where("value = 1") for tables in (after, again.tables))
+    # Classes are named by their smallest tags, which are variables' own, so both name a variable alike.
+    both = x.select("inst", "var", "mask").join(y.select("inst", "var", F.col("mask").alias("other")), ["inst", "var"], "full_outer")
+    values = both.groupBy("inst").agg(F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("mask").eqNullSafe(F.col("other"))).alias("differing"))
+    parts = [part.select(F.col("inst").alias("surgery"), F.lit(kind).alias("part"), "compared", F.coalesce("differing", F.lit(0)).alias("differing")) for kind, part in (("records", rows), ("values", values))]
+    return union(parts)
 
 
 EXOGENOUS = 4
@@ -554,8 +571,12 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the derived diagram, and those that differ after it went through a JSON document."""
+    """Records of the derived diagram, and rows that differ after it went through a JSON document: as written, and with a code changed in the text."""
     whole = derived.diagram(spark, sf_dir)
-    again = exchange.diagram_of(stored(exchange.documents(whole), "documents"))
-    found = exchange.differing(whole, again)
-    return found.where("startswith(part, 'records_')").select(F.substring_index("part", "_", -1).alias("sort"), "n", "differing")
+    text = stored(exchange.documents(whole), "documents")
+    changed = text.withColumn("document", F.replace("document", F.lit('"code":"XOR3"'), F.lit('"code":"MAJ3"')))
+    parts = []
+    for name, rows in (("written", text), ("changed", changed)):
+        found = exchange.differing(whole, exchange.diagram_of(rows)).where("startswith(part, 'records_')")
+        parts.append(found.select(F.lit(name).alias("document"), F.substring_index("part", "_", -1).alias("sort"), "n", "differing"))
+    return union(parts)
