@@ -224,13 +224,37 @@ def masses(values: DataFrame, law: DataFrame) -> DataFrame:
     return values.crossJoin(F.broadcast(law)).where(hit).groupBy("inst", "law", "var", "value", "den").agg(F.sum("num").alias("num")).select("inst", "law", "var", "value", "num", "den")
 
 
+#: Lists of variables that an instance's atoms are digested in, so that no task holds all of a large model's.
+ATOM_LISTS = 1024
+
+
 def assignment_atoms(values: DataFrame, count: int = 16) -> DataFrame:
-    """inst, u_mask, atom: the values of all variables in name order under each assignment, as one digest."""
-    u = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    rows = values.where("value > 0").groupBy("inst", "var").agg(F.collect_list(F.struct("value", "mask")).alias("v")).withColumn("u_mask", u)
-    digit = F.aggregate("v", F.lit(0), lambda a, x: F.when(F.call_function("getbit", x["mask"], F.col("u_mask")) == 1, x["value"]).otherwise(a))
-    part = F.conv(F.substring(F.md5(F.concat_ws("=", "var", digit.cast("string"))), 1, 12), 16, 10).cast("long")
-    return rows.groupBy("inst", "u_mask").agg(F.sum(part).alias("atom"))
+    """inst, u_mask, atom: the values of all variables in name order under each assignment, as a SHA-256 digest of digests."""
+    digit = lambda v: F.aggregate(v, F.lit(0), lambda a, x: F.when(F.call_function("getbit", x["mask"], F.col("u_mask")) == 1, x["value"]).otherwise(a))
+    held = values.where("value > 0").groupBy("inst", "var").agg(F.collect_list(F.struct("value", "mask")).alias("v"))
+    lists = held.groupBy("inst", F.pmod(F.xxhash64("var"), F.lit(ATOM_LISTS)).alias("at")).agg(F.array_sort(F.collect_list(F.struct("var", "v"))).alias("all"))
+    lists = lists.withColumn("u_mask", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    text = F.array_join(F.transform("all", lambda x: F.concat_ws("=", x["var"], digit(x["v"]).cast("string"))), ";")
+    parts = lists.select("inst", "u_mask", "at", F.sha2(text.cast("binary"), 256).alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
+    return parts.groupBy("inst", "u_mask").agg(F.sha2(whole.cast("binary"), 256).alias("atom"))
+
+
+def local_distance(start: DataFrame, local: DataFrame, pulled: DataFrame, law: DataFrame) -> DataFrame:
+    """inst, law, n, den: twice the exact distance n/den, for each module, between what it makes of the law of its free variables and the law pulled back to it.
+
+    start: values (inst, var, value, mask) of free variables; local: those that follow from them; pulled: those of the whole
+    model. Masses are summed by the atoms of free variables first; each such atom is evaluated once, at its first assignment.
+    """
+    out, law = assignment_atoms(local), F.broadcast(law)  # 48 rows
+    asked = out.select("inst", "u_mask").join(assignment_atoms(start), ["inst", "u_mask"], "left").fillna("", ["atom"])
+    first = asked.groupBy("inst", "atom").agg(F.min("u_mask").alias("u_mask"))
+    induced = asked.join(law, "u_mask").groupBy("inst", "atom", "law", "den").agg(F.sum("num").alias("num"))
+    made = induced.join(first, ["inst", "atom"]).drop("atom").join(out, ["inst", "u_mask"])
+    given = assignment_atoms(pulled).join(law, "u_mask")
+    both = made.select("inst", "law", "den", "atom", "num").unionByName(given.select("inst", "law", "den", "atom", (-F.col("num")).alias("num")))
+    apart = both.groupBy("inst", "law", "den", "atom").agg(F.sum("num").alias("d"))
+    return apart.groupBy("inst", "law", "den").agg(F.sum(F.abs("d")).alias("n")).select("inst", "law", "n", (2 * F.col("den")).alias("den"))
 
 
 def total_variation(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -65,6 +65,12 @@ plan AS (SELECT node.family, node.n, node.seed, node.k, node.c, max(a) FILTER (W
   FROM node LEFT JOIN gslot USING (family, n, seed, k) GROUP BY node.family, node.n, node.seed, node.k, node.c)"""
 STEP = "CASE WHEN scenario > 0 AND (scenario - 1) // 2 = i THEN CASE WHEN (scenario - 1) % 2 = 1 THEN 65535 ELSE 0 END ELSE {} END"
 
+LOCAL = f"""swapped AS (SELECT k, c, [1,0,3,2,7,4,4,4,9,8][c + 1] AS c2 FROM eq WHERE k % 12 = 0),
+own AS (SELECT plan.k, coalesce(w.c2, plan.c) AS c, plan.a1, plan.a2, plan.a3, h.k IS NOT NULL AS mine FROM plan LEFT JOIN (SELECT k FROM held WHERE o = 1) h ON h.k = plan.k LEFT JOIN swapped w ON w.k = plan.k),
+f(n, vals) AS (SELECT CAST(0 AS BIGINT), [CAST(43690 AS BIGINT), 52428, 61680, 65280]
+  UNION ALL SELECT n + 1, list_append(f.vals, CAST(CASE WHEN NOT plan.mine THEN obs_last.vals[n + 5] ELSE {gate('plan.c', 'f.vals')} END AS BIGINT)) FROM f JOIN own plan ON plan.k = n, obs_last),
+d AS (SELECT unnest(range(len(a.vals))) AS v, unnest(a.vals) AS x, unnest(b.vals) AS y FROM obs_last a, (SELECT vals FROM f ORDER BY n DESC LIMIT 1) b)"""
+
 SQL: dict[str, str] = {
     "running_example_values": f"WITH {EXAMPLE} SELECT context, ux, uy, uz, x, y, z FROM full_vals",
     "running_example_response": f"WITH {EXAMPLE}, s AS (SELECT context, CAST(sum(CASE WHEN z = 1 THEN CASE WHEN uz = 1 THEN 1 ELSE 4 END ELSE 0 END) AS BIGINT) AS n FROM full_vals GROUP BY context) SELECT context, {fraction('n', '20')} AS p_z1 FROM s",
@@ -101,12 +107,16 @@ w AS (SELECT pair, law, den, atom, sum(w) AS w FROM (
   SELECT pair, law, den, obs AS atom, num AS w FROM st, (VALUES ('obs_do0'), ('obs_do1'), ('obs_assembled')) t(pair) UNION ALL SELECT 'obs_do0', law, den, do0, -num FROM st UNION ALL SELECT 'obs_do1', law, den, do1, -num FROM st UNION ALL SELECT 'obs_assembled', law, den, obs, -num FROM st) GROUP BY pair, law, den, atom),
 t AS (SELECT pair, law, 2 * den AS d, CAST(sum(abs(w)) AS BIGINT) AS n FROM w GROUP BY pair, law, den) SELECT pair, law, CASE WHEN n = 0 THEN '0' ELSE {fraction('n', 'd')} END AS tv FROM t""",
     "local_mismatches": f"""WITH RECURSIVE {EQ}, {OBS},
-swapped AS (SELECT k, c, [1,0,3,2,7,4,4,4,9,8][c + 1] AS c2 FROM eq WHERE k % 12 = 0),
-own AS (SELECT plan.k, coalesce(w.c2, plan.c) AS c, plan.a1, plan.a2, plan.a3, h.k IS NOT NULL AS mine FROM plan LEFT JOIN (SELECT k FROM held WHERE o = 1) h ON h.k = plan.k LEFT JOIN swapped w ON w.k = plan.k),
-f(n, vals) AS (SELECT CAST(0 AS BIGINT), [CAST(43690 AS BIGINT), 52428, 61680, 65280]
-  UNION ALL SELECT n + 1, list_append(f.vals, CAST(CASE WHEN NOT plan.mine THEN obs_last.vals[n + 5] ELSE {gate('plan.c', 'f.vals')} END AS BIGINT)) FROM f JOIN own plan ON plan.k = n, obs_last),
-d AS (SELECT unnest(range(len(a.vals))) AS v, unnest(a.vals) AS x, unnest(b.vals) AS y FROM obs_last a, (SELECT vals FROM f ORDER BY n DESC LIMIT 1) b)
+{LOCAL}
 SELECT copies, 'm' || hvar.o AS module, count(*) AS variables, CAST(sum(CASE WHEN copies = 'conflict' AND hvar.o = 1 AND x <> y THEN 1 ELSE 0 END) AS BIGINT) AS mismatches FROM hvar JOIN d ON d.v = hvar.v, (VALUES ('identical'), ('conflict')) t(copies) GROUP BY copies, hvar.o""",
+    "distribution_checks": f"""WITH RECURSIVE {EQ}, {OBS}, {LAWS},
+{LOCAL},
+st AS (SELECT copies, o, law, den, num, u_mask, string_agg((x >> u_mask) & 1, '' ORDER BY v) AS pulled, string_agg(((CASE WHEN copies = 'conflict' AND o = 1 THEN y ELSE x END) >> u_mask) & 1, '' ORDER BY v) AS own
+  FROM hvar JOIN d USING (v), laws, (VALUES ('identical'), ('conflict')) t(copies) GROUP BY copies, o, law, den, num, u_mask),
+w AS (SELECT copies, o, law, den, atom, sum(w) AS w FROM (SELECT copies, o, law, den, pulled AS atom, num AS w FROM st UNION ALL SELECT copies, o, law, den, own, -num FROM st) GROUP BY ALL),
+t AS (SELECT copies, law, 2 * den AS d, CAST(sum(abs(w)) AS BIGINT) AS n FROM w GROUP BY copies, o, law, den),
+g AS (SELECT copies, law, d, max(n) AS n, count(*) AS modules FROM t GROUP BY copies, law, d)
+SELECT copies, law, modules, CASE WHEN n = 0 THEN '0' ELSE {fraction('n', 'd')} END AS max_local_tv FROM g""",
     "corrupted_issues": f"""WITH {EQ}, x AS (SELECT 'missing_attribute' AS kind FROM eq WHERE k % 89 = 2 UNION ALL SELECT 'variable_attribute' FROM eq WHERE k % 83 = 1 UNION ALL SELECT 'unknown_code' FROM eq WHERE k % 101 = 5
   UNION ALL SELECT 'structural_reference' FROM slot WHERE k % 97 = 3 AND p = 1 UNION ALL SELECT 'input_position' FROM slot WHERE k % 79 = 4 AND p = 2) SELECT kind, count(*) AS issues FROM x GROUP BY kind""",
     "corrupted_models": f"""WITH {EQ}, me AS (SELECT k, arity, 0 AS twin FROM eq WHERE k % 71 <> 3 UNION ALL SELECT k, arity, 1 FROM eq WHERE k % 67 = 2),

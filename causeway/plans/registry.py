@@ -232,12 +232,11 @@ def total_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(parts)
 
 
-@query
-def local_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each module evaluated from the global values of its free variables, against the pull-back; conflicting copies differ."""
+def local_runs(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, DataFrame, DataFrame]]:
+    """(copies, pulled, start, local): values pulled back to modules, those of their free variables, and what modules make of these; conflicting copies differ."""
     glued = assembly.assemble(derived.diagram(spark, sf_dir), deduplicate=True)
     values = stored(evaluation.evaluate_tables(glued.tables, Library()), "values")
-    parts = []
+    out = []
     for conflict in (False, True):
         records = derived.modules(spark, sf_dir, conflict)[0]
         qmap = glued.qmap.where("sort = 'Var'").select("module", F.col("rid").alias("var"), F.col("cid"))
@@ -246,11 +245,31 @@ def local_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
         start = pulled.join(free, ["inst", "var"]).withColumn("everything", F.lit(65535).cast("long"))
         own = {s: t.drop("inst").withColumnRenamed("module", "inst") for s, t in records.items()}
         local = evaluation.evaluate(own["Mech"], own["Input"], start, Library())
+        out.append(("conflict" if conflict else "identical", pulled, start, local))
+    return out
+
+
+@query
+def local_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each module evaluated from the global values of its free variables, against the pull-back; conflicting copies differ."""
+    parts = []
+    for copies, pulled, _, local in local_runs(spark, sf_dir):
         both = pulled.where("value = 1").join(local.where("value = 1").select("inst", "var", F.col("mask").alias("own")), ["inst", "var"], "left")
-        parts.append(both.groupBy(F.col("inst").alias("module")).agg(F.count(F.lit(1)).alias("variables"), F.sum((~F.col("mask").eqNullSafe(F.col("own"))).cast("long")).alias("mismatches")).withColumn("copies", F.lit("conflict" if conflict else "identical")))
+        parts.append(both.groupBy(F.col("inst").alias("module")).agg(F.count(F.lit(1)).alias("variables"), F.sum((~F.col("mask").eqNullSafe(F.col("own"))).cast("long")).alias("mismatches")).withColumn("copies", F.lit(copies)))
     return union(parts).select("copies", "module", "variables", "mismatches")
 
 
+@query
+def distribution_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest exact distance, over modules, between the law a module makes of its free variables' law and the law pulled back."""
+    parts = []
+    for copies, pulled, start, local in local_runs(spark, sf_dir):
+        apart = evaluation.local_distance(start, local, pulled, evaluation.laws(spark))
+        found = apart.groupBy("law", "den").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("modules"))
+        parts.append(found.select(F.lit(copies).alias("copies"), "law", "modules", fraction(F.col("n"), F.col("den")).alias("max_local_tv")))
+    return union(parts)
+
+
 def diagnostic_rows(spark: SparkSession) -> DataFrame:
     """fixture, mode, valid, stages, kinds, fibers for the fixtures, raw and deduplicated."""
     library = fixtures.library()
