@@ -194,7 +194,7 @@ def diagram_issues(diagram: Diagram, library: Library) -> DataFrame:
     parts.append(structural_issues(diagram.overlaps, library, ["inst", "iface"], "interface"))
     names = diagram.faces.groupBy("inst", "iface").count().where("count > 1")
     parts.append(issue(names, "interface", "interface_name", "iface"))
-    once = diagram.faces.join(names, ["inst", "iface"], "left_anti")
+    once = stored(diagram.faces.join(names, ["inst", "iface"], "left_anti"), "faces")
     modules = diagram.records["Var"].select("inst", "module").union(diagram.records["Mech"].select("inst", "module")).distinct()
     for side in ("left", "right"):
         known = modules.withColumnRenamed("module", side)
