@@ -19,7 +19,7 @@ __all__ = ["bound_batches", "discard", "groups_of", "join_classes", "materialise
 HOT_ROWS = 20_000
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, key: str | list[str]) -> DataFrame:
     """rows joined to classes, which have a row for each key and in n how many rows share it.
 
     Hot keys are joined where the rows lie; as each has HOT_ROWS rows, at most one in HOT_ROWS rows is broadcast.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import ann, bpe, counts, htmltext, idfile, minhash, mixing, nndescent, toxicity, urlfilter
+from causeway.llm import ann, bpe, counts, htmltext, idfile, kmeans, linededup, minhash, mixing, nndescent, toxicity, urlfilter
 
 #: Rules judged by op4_url_filter.
 RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
@@ -71,9 +71,19 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kmeans.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.drop_shared_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ann_search, op2_html_extraction, op3_bpe_roundtrip, op4_url_filter, op5_token_files, op6_token_counts, op7_toxicity, op8_source_mixing, op9_embedding_dedup, op10_minhash_dedup)
+    for f in (op1_ann_search, op2_html_extraction, op3_bpe_roundtrip, op4_url_filter, op5_token_files, op6_token_counts, op7_toxicity, op8_source_mixing, op9_embedding_dedup, op10_minhash_dedup, op11_centroid_clustering, op12_line_dedup)
 }
 
 OP4_SQL = r"""
@@ -121,4 +131,57 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """
 
-SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op8_source_mixing": OP8_SQL}
+
+def op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """Plain rounds of assignment and update, component by component; a table for each."""
+    apart = "CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT)"
+
+    def assigned(r: int) -> str:
+        far = f"SELECT v.vec_id, c.n, {apart} AS d FROM long v JOIN c{r} c ON c.j = v.j GROUP BY v.vec_id, c.n"
+        return f"a{r} AS MATERIALIZED (SELECT vec_id, n, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, n) AS o FROM ({far})) WHERE o = 1)"
+
+    def updated(r: int) -> str:
+        sums = f"SELECT a.n, v.j, CAST(sum(v.x) AS BIGINT) AS s, count(*) AS m FROM a{r} a JOIN long v ON v.vec_id = a.vec_id GROUP BY a.n, v.j"
+        mean = "CASE WHEN s.m IS NULL THEN c.x ELSE (s.s - ((s.s % s.m) + s.m) % s.m) // s.m END"
+        return f"c{r + 1} AS MATERIALIZED (SELECT c.n, c.j, CAST({mean} AS BIGINT) AS x FROM c{r} c LEFT JOIN ({sums}) s ON s.n = c.n AND s.j = c.j)"
+
+    steps = ",\n".join(f"{assigned(r)},\n{updated(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64
+), long AS MATERIALIZED (
+  SELECT vec_id, unnest(range(1, 65)) AS j, unnest(v) AS x FROM kept
+), first AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS n FROM kept QUALIFY n < {k}
+), c0 AS MATERIALIZED (
+  SELECT n, j, x FROM first JOIN long USING (vec_id)
+),
+{steps},
+{assigned(rounds)},
+digest AS (
+  SELECT n, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY n
+)
+SELECT vec_id, CAST(n AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN digest USING (n)
+"""
+
+
+OP12_SQL = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), each AS (
+  SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM rows
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each
+), shared AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS gone FROM keyed k LEFT JOIN shared s ON s.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op8_source_mixing": OP8_SQL, "op11_centroid_clustering": op11_sql(), "op12_line_dedup": OP12_SQL}
