@@ -200,6 +200,38 @@ def test_near_vectors_of_large_groups(spark):
     assert np.mean([got[i] == want[i] for i in want]) >= 0.99 and all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_near_vectors_of_dense_groups(spark, monkeypatch, caplog):
+    """Groups about the threshold are neither cliques nor apart: tiles count their links, and no row stands for a link."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(3, 48))
+    made = np.concatenate([base[i] + rng.normal(size=(n, 48)) * w for i, n, w in ((0, 700, 0.22), (1, 200, 0.3), (2, 60, 0.1))])
+    made = np.concatenate([made, made[:20], rng.normal(size=(150, 48))])
+    rows = list(enumerate(made.tolist()))
+    monkeypatch.setattr(nndescent, "TILE_ROWS", 64)
+    seen = []
+    whole = nndescent.counted
+    monkeypatch.setattr(nndescent, "counted", lambda met, least, theta: seen.append(met) or whole(met, least, theta))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with caplog.at_level("INFO"):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(table).collect()}
+    want = brute.near_vectors(rows, 0.95)
+    assert got == want and "recall of links 1.0" in caplog.text
+    assert sum(n for n, _ in want.values()) > 50 * sum(m.count() for m in seen)
+
+
+def test_nearest_hubs_are_audited(spark):
+    """A graph without edges finds none of the nearest hubs, though no two are linked; the graph of nearest ones finds all."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hubs = spark.createDataFrame([(i, 6, v.tolist(), 0.0) for i, v in enumerate(x)], "id long, dim int, vector array<double>, r double")
+    far = nndescent.angles(x, x) + 9 * np.eye(40)
+    graph = spark.createDataFrame([(i, int(far[i].argmin()), -float(far[i].min())) for i in range(40)], "u long, v long, s double")
+    assert nndescent.nearest_found(hubs, graph, 40, 1) == 1.0
+    assert nndescent.nearest_found(hubs, graph.where("false"), 40, 1) == 0.0
+    assert nndescent.nearest_found(hubs.limit(0), graph, 0, 1) is None
+
+
 def test_nearest_vectors(spark):
     rows = [r for r in vectors() if r[0] != 6]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, rank int")
