@@ -30,3 +30,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == seen or not mark[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
         seen = mark
+
+
+def components_by_minima(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component as components() gives them, by another algorithm that shares nothing with it: hash-to-min.
+
+    Every node holds a cluster, at first itself and its neighbours. In each round it sends its cluster to the cluster's
+    smallest node and that node's name to all of the cluster; what arrives is the new cluster. In the end the smallest
+    node of a component holds all of it and every other node that one alone. Clusters are rows, so none is gathered whole.
+    """
+    pairs = edges.where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("member"))
+    both = pairs.union(pairs.select("member", "node"))
+    held, seen = stored(both.union(both.select("node", "node")).distinct(), "clusters"), None
+    while True:
+        least = held.groupBy("node").agg(F.min("member").alias("least"))
+        known = held.join(least, "node").select("least", "member")
+        before = held
+        sent = known.select(F.col("least").alias("node"), "member").union(known.select(F.col("member").alias("node"), F.col("least").alias("member")))
+        held, mark = stored_with(sent.distinct(), "clusters", F.expr("bit_xor(xxhash64(node, member))"))
+        discard(before)
+        if mark == seen or not mark[0]:
+            return held.groupBy("node").agg(F.min("member").alias("component"))
+        seen = mark

@@ -1,24 +1,18 @@
 """Exhaustive evaluation: for each variable and value, the set of assignments that give it, as bits of integers.
 
 Assignments come in blocks of 64, a bit each, so an instance may have any number of them. A truth row holds where its
-arguments' sets meet, and a value where one of its rows holds. Instances of up to MODEL_ROWS mechanisms are folded each in
-one task a block, in topological order, however deep they are; larger ones in rounds that follow the levels of the
-model, each one join and two aggregates for all instances and blocks.
+arguments' sets meet, and a value where one of its rows holds. Models are folded in topological order, small ones whole in
+one task and large ones cell by cell, as topology has it; interventions force bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.mechanisms import DOMAINS, Library, domain_table, fraction
-from causeway.plans.storage import stored, stored_with
+from causeway.operators.topology import settled
 
-#: Mechanisms of an instance that one task evaluates, at about 1 kB each.
-MODEL_ROWS = 500_000
 BITS = 64
 
 
@@ -52,137 +46,40 @@ def evaluate(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Libra
 
     forced (inst, block, var, value, mask) sets owned variables under some assignments, as an intervention does. blocks
     (inst, block, everything) names all blocks where not those of start are meant; without it, instances without free
-    variables have one assignment. Variables on or after a cycle, or without owner, get no row.
+    variables have one assignment. A variable with several owners has every value that one of them gives, and what depends
+    on it comes after all of them. Variables on or after a cycle, without owner, or with an owner of unknown code or of
+    other positions than its code's get no row; a free variable's owners don't count.
     """
     if "block" not in start.columns:
         start = start.withColumn("block", F.lit(0).cast("long"))
-    mech, slots = mech.select("inst", "rid", "code", "output"), slots.select("inst", "mech", "pos", "var")
-    start = stored(start.select("inst", "block", "var", "value", "mask", "everything"), "start")
-    mech = stored(mech, "mech")
-    most = mech.groupBy("inst").count().agg(F.max("count").alias("n")).first()["n"]
-    if (most or 0) <= MODEL_ROWS:
-        return stored(folded(mech, slots, start, library, forced, blocks), "values")
-    if forced is not None or blocks is not None:
-        raise ValueError(f"an instance of {most} mechanisms: intervene on its records, not on its bits")
-    return by_levels(mech, slots, start, library)
-
-
-def folded(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Library, forced: DataFrame | None, blocks: DataFrame | None) -> DataFrame:
-    """evaluate() with each block of an instance as one row: lists of its records."""
-    lists = lambda rows, keys, name, *columns: rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias(name))
-    models = lists(mech, ["inst"], "mechs", "rid", "code", "output").join(lists(slots, ["inst"], "slots", "mech", "pos", "var"), "inst", "left")
-    given = start.groupBy("inst", "block").agg(F.collect_list(F.struct("var", "value", "mask")).alias("start"), F.first("everything").alias("everything"))
+    keyed = lambda rows: rows.withColumnRenamed("inst", "key")
+    mech, spans = keyed(mech.select("inst", "rid", "code", "output")), start.select("inst", "block", "everything").distinct() if blocks is None else blocks.select("inst", "block", "everything")
+    start = keyed(start.groupBy("inst", "block", "var", "value").agg(F.bit_or("mask").alias("mask")).withColumn("level", F.lit(0)))
     if blocks is not None:
-        given = blocks.join(given.drop("everything"), ["inst", "block"], "left")
-    whole = models.join(given, "inst", "full_outer").select("inst", F.coalesce("block", F.lit(0).cast("long")).alias("block"), "mechs", "slots", "start", F.coalesce("everything", F.lit(1).cast("long")).alias("everything"))
-    if forced is None:
-        whole = whole.withColumn("forced", F.lit(None).cast("array<struct<var: string, value: int, mask: bigint>>"))
-    else:
-        whole = whole.join(lists(forced, ["inst", "block"], "forced", "var", "value", "mask"), ["inst", "block"], "left")
-    codes, low = library.codes, (1 << BITS) - 1
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                given = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                every = given["everything"] & low
-                known: dict[str, list[int]] = {}
-                level: dict[str, int] = {}
-                for s in given["start"] or ():
-                    known.setdefault(s["var"], [0, 0, 0])[s["value"]] |= s["mask"] & low
-                    level[s["var"]] = 0
-                for f in (forced := given["forced"] or ()):
-                    f["mask"] &= low
-                fixed: dict[str, list] = {}
-                for f in forced:
-                    fixed.setdefault(f["var"], []).append(f)
-                args: dict[str, dict[int, str]] = {}
-                count: dict[str, int] = {}
-                for s in given["slots"] or ():
-                    args.setdefault(s["mech"], {})[s["pos"]] = s["var"]
-                    count[s["mech"]] = count.get(s["mech"], 0) + 1
-                waits: dict[str, list] = {}
-                missing: dict[str, int] = {}
-                ready: list = []
-                for m in given["mechs"] or ():
-                    own = args.get(m["rid"], {})
-                    if m["code"] not in codes or len(own) != len(codes[m["code"]][0]) or count.get(m["rid"], 0) != len(own):
-                        continue
-                    open_ = {v for v in own.values() if v not in known}
-                    missing[m["rid"]] = len(open_)
-                    for v in open_:
-                        waits.setdefault(v, []).append(m)
-                    if not open_:
-                        ready.append(m)
-                while ready:
-                    m = ready.pop()
-                    output, (signature, kind, table) = m["output"], codes[m["code"]]
-                    if output in level and level[output] == 0:
-                        continue
-                    own = [args[m["rid"]].get(p) for p in range(1, len(signature) + 1)] if signature else []
-                    if None in own:
-                        continue
-                    masks = [0, 0, 0]
-                    for values, value in table.items():
-                        hit = every
-                        for v, x in zip(own, values):
-                            hit &= known[v][x]
-                        masks[value] |= hit
-                    for f in fixed.get(output, ()):
-                        for x in range(3):
-                            masks[x] = masks[x] | f["mask"] if x == f["value"] else masks[x] & ~f["mask"]
-                    first = output not in known
-                    # Several owners of a variable: each one's values hold.
-                    known[output] = masks if first else [a | b for a, b in zip(known[output], masks)]
-                    level[output] = max([level.get(output, 1), *(level[v] + 1 for v in own)])
-                    if first:
-                        for w in waits.get(output, ()):
-                            missing[w["rid"]] -= 1
-                            if not missing[w["rid"]]:
-                                ready.append(w)
-                kinds = {m["output"]: codes[m["code"]][1] for m in given["mechs"] or () if m["code"] in codes}
-                free: dict[str, set] = {}
-                for s in given["start"] or ():
-                    free.setdefault(s["var"], set()).add(s["value"])
-                out = [(v, x, m[x]) for v, m in known.items() for x in (sorted(free[v]) if v in free else DOMAINS[kinds[v]])]
-                n = len(out)
-                signed = [m - (1 << BITS) if m >> (BITS - 1) else m for _, _, m in out]
-                columns = [pa.array([given["inst"]] * n, pa.string()), pa.array([given["block"]] * n, pa.int64()), pa.array([v for v, _, _ in out], pa.string()), pa.array([x for _, x, _ in out], pa.int32()), pa.array(signed, pa.int64()), pa.array([level[v] for v, _, _ in out], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["inst", "block", "var", "value", "mask", "level"])
-
-    return whole.mapInArrow(fold, "inst string, block long, var string, value int, mask long, level int")
-
-
-def by_levels(mech: DataFrame, slots: DataFrame, start: DataFrame, library: Library) -> DataFrame:
-    """evaluate() of large models: a round of joins for each level."""
-    spark = mech.sparkSession
-    # The library has a few rows for each declared code.
-    tables = (library.codes_table(spark), library.truth(spark).select("code", "row", "value"), library.truth_slots(spark), domain_table(spark))
-    codes, rows, needs, domains = map(F.broadcast, tables)
-    key = ["inst", "block"]
-    everything = start.select(*key, "everything").distinct()
-    slots = stored(slots, "slots")
-    mech = mech.join(codes, "code").join(everything, "inst", "left").withColumns({"everything": F.coalesce("everything", F.lit(1).cast("long")), "block": F.coalesce("block", F.lit(0).cast("long"))})
-    mech = stored(mech, "mech")
-    values = stored(start.select(*key, "var", "value", "mask", F.lit(0).alias("level")), "values")
-    level = 0
-    while True:
-        level += 1
-        known = values.select(*key, "var").distinct()
-        pending = mech.join(known.withColumnRenamed("var", "output"), [*key, "output"], "left_anti")
-        have = slots.join(known, ["inst", "var"]).groupBy(*key, F.col("mech").alias("rid")).agg(F.count(F.lit(1)).alias("have"))
-        ready = pending.join(have, [*key, "rid"], "left").where(F.coalesce("have", F.lit(0)) == F.col("arity"))
-        asked = ready.select(*key, F.col("rid").alias("mech"), "code").join(slots, ["inst", "mech"]).join(needs, ["code", "pos"])
-        met = asked.join(values.select(*key, "var", F.col("value").alias("required"), "mask"), [*key, "var", "required"])
-        met = met.groupBy(*key, F.col("mech").alias("rid"), "row").agg(F.bit_and("mask").alias("mask"))
-        held = ready.join(rows, "code").join(met, [*key, "rid", "row"], "left").withColumn("mask", F.coalesce("mask", "everything"))
-        held = held.groupBy(*key, "output", "output_type").agg(F.collect_list(F.struct("value", "mask")).alias("held"))
-        both = held.join(domains, F.col("output_type") == F.col("type"))
-        mask = F.aggregate(F.filter("held", lambda x: x["value"] == F.col("value")), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["mask"]))
-        new, (count,) = stored_with(both.select(*key, F.col("output").alias("var"), "value", mask.alias("mask"), F.lit(level).alias("level")), "values")
-        if not count:
-            return values
-        values = values.unionByName(new)
+        start = start.join(keyed(spans), ["key", "block"], "left_semi")
+    named = mech.select("key").distinct().join(keyed(spans), "key", "left")
+    spans = named.select("key", F.coalesce("block", F.lit(0).cast("long")).alias("block"), F.coalesce("everything", F.lit(1).cast("long")).alias("everything"))
+    lists = keyed(slots).groupBy("key", F.col("mech").alias("rid")).agg(F.array_sort(F.collect_list(F.struct("pos", "var"))).alias("all"))
+    places = F.transform(F.coalesce("all", F.array().cast("array<struct<pos: int, var: string>>")), lambda x: x["pos"])
+    in_order = F.forall(F.transform(places, lambda p, i: p.eqNullSafe(i + 1)), lambda ok: ok)
+    args = F.when(in_order, F.coalesce(F.transform("all", lambda x: x["var"]), F.array().cast("array<string>")))
+    owned = mech.join(start.select("key", F.col("var").alias("output")).distinct(), ["key", "output"], "left_anti")
+    items = owned.join(lists, ["key", "rid"], "left").select("key", "code", F.col("output").alias("node"), args.alias("args"))
+    codes = library.codes
+
+    def masks(code: str | None, given: list[list[int]], every: int) -> list[int] | None:
+        if code not in codes or len(codes[code][0]) != len(given):
+            return None
+        out = [0, 0, 0]
+        for values, value in codes[code][2].items():
+            hit = every
+            for known, x in zip(given, values):
+                hit &= known[x]
+            out[value] |= hit
+        return out
+
+    found = settled(items, spans, start, masks, lambda code: DOMAINS[codes[code][1]], None if forced is None else keyed(forced))
+    return start.select("key", "block", "var", "value", "mask", "level").unionByName(found).withColumnRenamed("key", "inst")
 
 
 def free_variables(tables: dict[str, DataFrame], closed: bool) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from causeway.functions.mechanisms import DOMAINS, Library
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram
-from causeway.plans.storage import literal, stored, stored_with
+from causeway.operators.topology import settled
+from causeway.plans.storage import literal, stored
 
 
 def issue(rows: DataFrame, stage: str, kind: str, record: str | F.Column, with_module: bool = False) -> DataFrame:
@@ -86,61 +87,22 @@ def model_issues(tables: dict[str, DataFrame], library: Library, scope: list[str
     return union(parts)
 
 
-#: Edges of a scope that one task orders.
-SCOPE_EDGES = 2_000_000
-
-
 def levels(found: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:
     """scope, rid, level: a node's level is one more than its highest cause's. Nodes on or after a cycle have none.
 
-    Scopes of up to SCOPE_EDGES edges are ordered each in one task, however deep; larger ones by peeling, a round a level.
+    A cause that isn't a node of the scope holds nothing back. Scopes may be of any size and depth, as topology has it.
     """
-    found, nodes = stored(found.select(*scope, "cause", "effect"), "edges"), stored(nodes.select(*scope, "rid").distinct(), "nodes")
-    most = found.groupBy(*scope).count().agg(F.max("count").alias("n")).first()["n"]
-    if (most or 0) > SCOPE_EDGES:
-        return peeled(found, nodes, scope)
-    arcs = found.groupBy(*scope).agg(F.collect_list(F.struct("cause", "effect")).alias("arcs"))
-    whole = nodes.groupBy(*scope).agg(F.collect_list("rid").alias("rids")).join(arcs, scope, "left").select(*scope, "rids", "arcs")
-    kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in scope)
-
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                rids = batch.column("rids")[row].as_py()
-                causes, effects = dict.fromkeys(rids, 0), {}
-                for e in batch.column("arcs")[row].as_py() or ():
-                    if e["effect"] in causes:
-                        causes[e["effect"]] += 1
-                        effects.setdefault(e["cause"], []).append(e["effect"])
-                # A cause that isn't a node of the scope holds nothing back.
-                for cause in [c for c in effects if c not in causes]:
-                    for e in effects.pop(cause):
-                        causes[e] -= 1
-                level = {r: 0 for r, n in causes.items() if not n}
-                ready = list(level)
-                for node in ready:
-                    for e in effects.get(node, ()):
-                        causes[e] -= 1
-                        level[e] = max(level.get(e, 0), level[node] + 1)
-                        if not causes[e]:
-                            ready.append(e)
-                names = [pa.repeat(batch.column(c)[row], len(ready)) for c in scope]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(ready, pa.string()), pa.array([level[r] for r in ready], pa.int32())], names=[*scope, "rid", "level"])
-
-    return stored(whole.mapInArrow(order, f"{kinds}, rid string, level int"), "levels")
-
-
-def peeled(found: DataFrame, nodes: DataFrame, scope: list[str]) -> DataFrame:
-    """levels() of large scopes: each round works on the nodes that are left."""
-    done, level = None, 0
-    while True:
-        left = nodes if done is None else nodes.join(done, [*scope, "rid"], "left_anti")
-        blocked = found.join(left.withColumnRenamed("rid", "cause"), [*scope, "cause"], "left_semi").select(*scope, F.col("effect").alias("rid"))
-        free, (count,) = stored_with(left.join(blocked, [*scope, "rid"], "left_anti").withColumn("level", F.lit(level)), "level")
-        if not count:
-            return free if done is None else done
-        done = free if done is None else done.unionByName(free)
-        level += 1
+    key = F.to_json(F.struct(*scope)).alias("key")
+    nodes = stored(nodes.select(key, "rid").distinct(), "nodes")
+    arcs = found.select(key, F.col("cause").alias("rid"), F.col("effect").alias("node")).distinct().join(nodes, ["key", "rid"], "left_semi")
+    caused = arcs.groupBy("key", "node").agg(F.collect_list("rid").alias("args")).join(nodes.withColumnRenamed("rid", "node"), ["key", "node"], "left_semi")
+    caused = stored(caused.withColumn("code", F.lit(None).cast("string")), "caused")
+    first = nodes.join(caused.withColumnRenamed("node", "rid"), ["key", "rid"], "left_anti").select("key", F.lit(0).cast("long").alias("block"), F.col("rid").alias("var"), F.lit(0).alias("value"), F.lit(0).cast("long").alias("mask"), F.lit(0).alias("level"))
+    spans = caused.select("key").distinct().select("key", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("everything"))
+    later = settled(caused, spans, first, lambda code, given, every: [0], lambda code: (0,))
+    kinds = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in scope)
+    named = first.unionByName(later).select(F.from_json("key", kinds).alias("s"), F.col("var").alias("rid"), "level")
+    return named.select(*[F.col(f"s.{c}").alias(c) for c in scope], "rid", "level")
 
 
 def cycle_witnesses(tables: dict[str, DataFrame], scope: list[str]) -> DataFrame:

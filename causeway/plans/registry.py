@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions.mechanisms import Library, fraction, replacements, totality
-from causeway.operators import assembly, certificates, evaluation, reports, semantics, validation
+from causeway.operators import assembly, certificates, evaluation, interventions, reports, semantics, validation
+from causeway.operators.components import components, components_by_minima
 from causeway.operators.diagram import SORTS, Diagram
 from causeway.plans.oracle import SQL
 from causeway.plans.storage import literal, stored
@@ -359,6 +360,24 @@ def certificate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, ["inst", "check"], "left").select(F.col("inst").alias("certificate"), "check", F.coalesce("n", F.lit(0)).alias("violations"))
 
 
+@query
+def components_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the derived diagram's identifications by alternating stars against hash-to-min, and those that differ; the twin's second algorithm lacks the pairs of some copies in m1."""
+    pairs = stored(assembly.identifications(derived.diagram(spark, sf_dir)).select("inst", "sort", "a", "b"), "pairs")
+    key = lambda c: F.concat_ws("#", "inst", "sort", c)
+    edges = stored(pairs.select("sort", key("a").alias("a"), key("b").alias("b")), "edges")
+    lost = F.lit(False)
+    for c in ("a", "b"):
+        lost = lost | (F.col(c).contains("#m1|") & F.coalesce(reports.number(c) % 24 == 0, F.lit(False)) & (F.col("sort") == "Var"))
+    by_stars = stored(components(edges), "stars")
+    parts = []
+    for claim, used in (("sound", edges), ("torn", edges.where(~lost))):
+        other = components_by_minima(used).select("node", F.col("component").alias("other"))
+        both = by_stars.join(other, "node", "full_outer").withColumn("sort", F.split_part("node", F.lit("#"), F.lit(2)))
+        parts.append(both.groupBy("sort").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("component").alias("classes"), F.count_if(~F.col("component").eqNullSafe(F.col("other"))).alias("differing")).withColumn("claim", F.lit(claim)))
+    return union(parts).select("claim", "sort", "nodes", "classes", "differing")
+
+
 @query
 def failure_witness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Witnesses of the failures of a mutilated and of a circular model, and how many are refuted, as found and after a record of each was changed."""
@@ -506,6 +525,56 @@ def evaluation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.groupBy("family", "n", "route", scope.alias("scope"), "models").agg(F.sum("coordinates").alias("coordinates"), F.sum("mismatches").alias("mismatches"))
 
 
+ONE_COPY = "one_copy"
+
+
+@query
+def intervention_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every single intervention on all diagrams of the small grid: gluing after surgery on every copy against surgery after gluing.
+
+    isomorphic counts worlds whose records correspond one to one; mismatches are values, over all assignments, that differ
+    from the whole model's under the intervention, after either surgery. Two twins are wrong: other_value sets the other
+    value before gluing, one_copy leaves out the last copy of targets that have several (and has no values).
+    """
+    library = Library()
+    grid = stored(reports.small_grid(spark), "grid")
+    eq = stored(generated.equations(grid, EXOGENOUS), "equations")
+    models = grid.select(F.concat_ws("_", "family", "n", "seed").alias("model"), "inst", "n")
+    truth = stored(semantics.scenarios(models.select(F.col("model").alias("inst"), "n").distinct()), "planned")
+    want = semantics.expected(generated.ground(eq, EXOGENOUS), truth, EXOGENOUS, library).join(truth.where("target IS NOT NULL"), ["inst", "block"])
+    full = (1 << semantics.ASSIGNMENTS) - 1
+    bits = F.call_function("shiftrightunsigned", F.col("bits"), (F.col("place") * semantics.ASSIGNMENTS).cast("int")).bitwiseAND(full)
+    want = stored(want.select(F.col("inst").alias("model"), "target", "value", "ground", bits.alias("want")).join(models, "model").drop("model", "n"), "want")
+    diagram, origin = generated.fragmented(grid, eq, EXOGENOUS)
+    one = grid.select("inst", F.lit(0).cast("long").alias("block"), F.lit(0).alias("place"))
+    start = semantics.inputs(one, EXOGENOUS).select("inst", F.col("var").alias("ground"), "value", "mask", "everything")
+    parts = []
+    for route, used, dedup in (("raw", diagram, False), ("deduplicated", diagram.only(("Var",)), True)):
+        glued = assembly.assemble(used, dedup)
+        named = stored(glued.qmap.where("sort = 'Var'").join(origin["Var"], ["inst", "module", "rid"]).select("inst", "cid", "ground").distinct(), "named")
+        planned = stored(interventions.worlds(glued, named), "worlds")
+        owners = interventions.touched(used, glued, planned).where("sort = 'Mech'").groupBy("world").agg(F.max("module").alias("module"), F.count(F.lit(1)).alias("n"))
+        free = start.join(named, ["inst", "ground"]).select("inst", F.col("cid").alias("var"), "value", "mask", "everything")
+        for claim, early, missed in (("sound", None, None), ("other_value", 1 - F.col("value"), None), (ONE_COPY, None, owners.where("n > 1").drop("n"))):
+            flaws, again = interventions.isomorphism(used, glued, planned, dedup, early, missed)
+            rows = planned.select("world", "inst").join(flaws, "world", "left").select("world", "inst", (F.col("flaws").isNull()).cast("long").alias("isomorphic"))
+            if claim == ONE_COPY:
+                rows = rows.withColumns({"coordinates": F.lit(0).cast("long"), "mismatches": F.lit(0).cast("long")})
+            else:
+                late = planned.select("world", interventions.code_of(F.col("value")).alias("code"))
+                found = [interventions.values_in_worlds(glued, planned, free, codes) for codes in ((late, again) if early is None else (again,))]
+                of_world = planned.select("world", "inst", "target", "value").join(want, ["inst", "target", "value"])
+                apart, each = F.lit(0).cast("long"), of_world.join(named, ["inst", "ground"])
+                for i, got in enumerate(found):
+                    each = each.join(got.withColumnRenamed("bits", f"got{i}"), ["world", "cid"], "left")
+                    apart = apart + F.coalesce(F.bit_count(F.col(f"got{i}").bitwiseXOR(F.col("want")).bitwiseAND(full)), F.lit(semantics.ASSIGNMENTS))
+                sums = each.groupBy("world").agg((F.count(F.lit(1)) * semantics.ASSIGNMENTS).alias("coordinates"), F.sum(apart).alias("mismatches"))
+                rows = rows.join(sums, "world")
+            parts.append(rows.withColumns({"route": F.lit(route), "claim": F.lit(claim)}))
+    counted = union(parts).join(F.broadcast(grid.select("inst", "family", "n", "m", "copies")), "inst")  # a row for each diagram of the grid
+    return counted.groupBy("family", "n", "m", "copies", "route", "claim").agg(F.count(F.lit(1)).alias("worlds"), *[F.sum(c).alias(c) for c in ("isomorphic", "coordinates", "mismatches")])
+
+
 CONFLICT = "_conflict"
 
 

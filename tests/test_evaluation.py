@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions.mechanisms import Library
-from causeway.operators import assembly, evaluation, reports, validation
+from causeway.operators import assembly, evaluation, reports, topology, validation
 from causeway.operators.diagram import from_equations
 from causeway.plans.registry import EXOGENOUS
 from causeway.sources import fixtures, generated
@@ -30,10 +30,9 @@ def plain(names, equations, assignment):
     return known
 
 
-@pytest.mark.parametrize(("exogenous", "folded"), [(6, True), (6, False), (7, True), (7, False), (10, True)])
-def test_many_assignments(spark, monkeypatch, exogenous, folded):
-    if not folded:
-        monkeypatch.setattr(evaluation, "MODEL_ROWS", 0)
+@pytest.mark.parametrize(("exogenous", "rows"), [(6, 100_000), (6, 1), (7, 100_000), (7, 3), (10, 100_000)])
+def test_many_assignments(spark, monkeypatch, exogenous, rows):
+    monkeypatch.setattr(topology, "CELL_ROWS", rows)
     rng = random.Random(exogenous)
     names, equations = [f"U{i:02d}" for i in range(exogenous)], [("A", "ZERO", []), ("B", "ONE", [])]
     for i in range(12):
@@ -46,23 +45,71 @@ def test_many_assignments(spark, monkeypatch, exogenous, folded):
             assert got[v, a // 64] >> (a % 64) & 1 == x
 
 
-def test_deep_chain(spark):
-    """A chain of 10,000 negations is evaluated and ordered in one pass."""
+@pytest.mark.parametrize("rows", [100_000, 1500])
+def test_deep_chain(spark, monkeypatch, rows):
+    """A chain of 10,000 negations is evaluated and ordered in one pass, or in a round for each cell."""
+    monkeypatch.setattr(topology, "CELL_ROWS", rows)
+    folds = []
+    monkeypatch.setattr(topology, "fold_with", lambda *a, whole=topology.fold_with: folds.append(1) or whole(*a))
     equations = [("V0", "NOT", ["U00"]), *((f"V{i}", "NOT", [f"V{i - 1}"]) for i in range(1, 10_000))]
     _, tables = model(spark, 1, equations)
     got = {r["var"]: (r["mask"], r["level"]) for r in evaluation.evaluate_tables(tables, Library()).where("value = 1").collect()}
     assert all(got[f"V{i}"] == (1 if i % 2 == 0 else 2, i + 1) for i in range(10_000))
+    assert len(folds) <= 1 if rows > 10_000 else 7 <= len(folds) <= 9
     ranks = validation.levels(validation.edges(tables, ["inst"]), tables["Var"].select("inst", "rid"), ["inst"])
     assert {r["rid"]: r["level"] for r in ranks.collect()} == {"U00": 0, **{f"V{i}": i + 1 for i in range(10_000)}}
 
 
-def test_levels_by_peeling(spark, monkeypatch):
-    found = spark.createDataFrame([("i", "a", "b"), ("i", "b", "c"), ("i", "a", "c"), ("i", "d", "e"), ("i", "e", "d"), ("i", "e", "f")], "inst string, cause string, effect string")
-    nodes = spark.createDataFrame([("i", x) for x in "abcdefg"], "inst string, rid string")
-    want = {"a": 0, "b": 1, "c": 2, "g": 0}
-    for most in (100, 0):
-        monkeypatch.setattr(validation, "SCOPE_EDGES", most)
-        assert {r["rid"]: r["level"] for r in validation.levels(found, nodes, ["inst"]).collect()} == want
+@pytest.mark.parametrize("rows", [100_000, 2, 1])
+def test_levels_in_cells(spark, monkeypatch, rows):
+    monkeypatch.setattr(topology, "CELL_ROWS", rows)
+    found = spark.createDataFrame([("i", "a", "b"), ("i", "b", "c"), ("i", "a", "c"), ("i", "d", "e"), ("i", "e", "d"), ("i", "e", "f"), ("i", "gone", "g"), ("i", "a", "nowhere"), (None, "a", "b")], "inst string, cause string, effect string")
+    nodes = spark.createDataFrame([("i", x) for x in "abcdefg"] + [(None, "b"), (None, "a")], "inst string, rid string")
+    want = {("i", "a"): 0, ("i", "b"): 1, ("i", "c"): 2, ("i", "g"): 0, (None, "a"): 0, (None, "b"): 1}
+    assert {(r["inst"], r["rid"]): r["level"] for r in validation.levels(found, nodes, ["inst"]).collect()} == want
+
+
+@pytest.mark.parametrize("rows", [100_000, 1])
+def test_owners_that_come_late(spark, monkeypatch, rows):
+    """Y owned by ZERO and by ID(B) two steps later: it has both values, and Z after it, wherever cells are cut and however rows lie."""
+    monkeypatch.setattr(topology, "CELL_ROWS", rows)
+    equations = [("Z", "ID", ["Y"]), ("Y", "ZERO", []), ("Y", "ID", ["B"]), ("B", "NOT", ["A"]), ("A", "ID", ["U00"]), ("W", "ID", ["X"]), ("X", "ONE", []), ("X", "ID", ["X2"]), ("X2", "ID", ["X2"])]
+    for order in (equations, equations[::-1]):
+        mech = spark.createDataFrame([("i", f"m{i}", code, out) for i, (out, code, _) in enumerate(order)], "inst string, rid string, code string, output string")
+        slots = spark.createDataFrame([("i", f"m{i}", 1, a) for i, (_, _, args) in enumerate(order) for a in args], "inst string, mech string, pos int, var string")
+        start = spark.createDataFrame([("i", "U00", 0, 1, 3), ("i", "U00", 1, 2, 3)], "inst string, var string, value int, mask long, everything long")
+        got = {(r["var"], r["value"]): (r["mask"], r["level"]) for r in evaluation.evaluate(mech, slots, start, Library()).collect()}
+        assert got[("B", 1)] == (1, 2) and got[("Y", 0)] == (3, 3) and got[("Y", 1)] == (1, 3)
+        assert got[("Z", 0)] == (3, 4) and got[("Z", 1)] == (1, 4)
+        assert not {v for v, _ in got} & {"X", "W", "X2"}  # an owner of X waits for a cycle
+
+
+@pytest.mark.parametrize("rows", [100_000, 4])
+def test_forced_values_and_faulty_owners_in_cells(spark, monkeypatch, rows):
+    """Interventions on bits in models of any size; unknown codes, gaps and repeats in positions, blocks without values."""
+    monkeypatch.setattr(topology, "CELL_ROWS", rows)
+    rng = random.Random(3)
+    names, equations = ["U00", "U01"], []
+    for i in range(30):
+        code = rng.choice(list(CODES))
+        equations.append((f"V{i}", code, [rng.choice([*names, *(e[0] for e in equations[-4:])]) for _ in range(CODES[code])]))
+    _, tables = model(spark, 2, equations)
+    bad = [("i", "b1", "BOGUS", "X1"), ("i", "b2", "AND", "X2"), ("i", "b3", "AND", "X3"), ("i", "b4", "ID", "X4"), ("i", "b5", "NOT", "X5")]
+    mech = tables["Mech"].select("inst", "rid", "code", "output").union(spark.createDataFrame(bad, "inst string, rid string, code string, output string"))
+    more = [("i", "b2", 1, "U00"), ("i", "b2", 3, "U01"), ("i", "b3", 1, "U00"), ("i", "b3", 1, "U01"), ("i", "b4", 1, "X1"), ("i", "b5", 1, "U00")]
+    slots = tables["Input"].select("inst", "mech", "pos", "var").union(spark.createDataFrame(more, "inst string, mech string, pos int, var string"))
+    start = spark.createDataFrame([("i", 7, f"U0{i}", x, m, 15) for i, x, m in ((0, 0, 5), (0, 1, 10), (1, 0, 3), (1, 1, 12))], "inst string, block long, var string, value int, mask long, everything long")
+    forced = spark.createDataFrame([("i", 7, "V5", 1, 6)], "inst string, block long, var string, value int, mask long")
+    blocks = spark.createDataFrame([("i", 7, 15), ("i", 9, 15)], "inst string, block long, everything long")
+    got = {(r["block"], r["var"]): r["mask"] for r in evaluation.evaluate(mech, slots, start, Library(), forced, blocks).where("value = 1").collect()}
+    known, codes = {"U00": 10, "U01": 12}, Library().codes
+    for out, code, args in equations:
+        known[out] = sum(codes[code][2][tuple(known[a] >> u & 1 for a in args)] << u for u in range(4))
+        if out == "V5":
+            known[out] |= 6
+    assert {v: m for (b, v), m in got.items() if b == 7} == known | {"X5": 5}
+    constant = {v for v, _, args in equations if not args}
+    assert constant <= {v for b, v in got if b == 9} and not {"U00", "X1", "X2", "X3", "X4", "X5"} & {v for b, v in got if b == 9}
 
 
 def test_cycle_witness(spark):
