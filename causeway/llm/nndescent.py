@@ -37,8 +37,10 @@ GATHERED = 0.02
 RECALL, SAMPLED, DESCENTS = 0.98, 2000, 4
 #: Angles nearer than this are decided by cosines of members.
 MARGIN = 1e-6
-#: Share of sampled hubs' nearest others that the graph should hold; below it a descent is repeated, but isn't an error where links pass.
-NEAREST = 0.8
+#: Share of sampled hubs' nearest others, of those within NEAR times the threshold's angle, that the graph should hold; below it a descent is repeated, but isn't an error where links pass.
+NEAREST, NEAR = 0.9, 2.0
+#: Counts that a task adds up before it gives them.
+ADDED = 200_000
 #: Rows that a task of sorted blocks aims at.
 TASK_ROWS = 8192
 #: Rows of a tile at most, and bytes of its vectors.
@@ -266,7 +268,19 @@ def counted(met: DataFrame, least: float, theta: float) -> DataFrame:
     Rows without radius are single vectors, decided by their cosine; others are links for all their members, for none, or open.
     """
 
+    def of_kind(kind: int, a: np.ndarray, b: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, "i4")), pa.array(a), pa.array(b), pa.array(links)], names=["kind", "a", "b", "links"])
+
+    def added(counts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        at, place = np.unique(np.concatenate([i for i, _ in counts]), return_inverse=True)
+        links = np.zeros(len(at), "i8")
+        np.add.at(links, place, np.concatenate([c for _, c in counts]))
+        return of_kind(0, at, np.zeros(len(at), "i8"), links)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+        edges: set[tuple[int, int]] = set()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
@@ -290,15 +304,21 @@ def counted(met: DataFrame, least: float, theta: float) -> DataFrame:
                     parts = [(ids, near @ m)]
                 else:
                     parts = [(ids, near @ m), (others, n @ near)]
-                at, links = np.concatenate([i for i, _ in parts]), np.concatenate([c for _, c in parts])
-                at, links = at[links > 0], links[links > 0]
-                kind = np.concatenate([np.zeros(len(at), "i4"), np.ones(int(len(at) > 0), "i4"), np.full(len(open_), 2, "i4")])
-                edge = [row["u"].as_py()] if len(at) else []
-                first = np.concatenate([at, np.array(edge, "i8"), ids[open_[:, 0]]])
-                second = np.concatenate([np.zeros(len(at), "i8"), np.array([row["v"].as_py()] if len(at) else [], "i8"), others[open_[:, 1]]])
-                total = np.concatenate([links, np.zeros(len(kind) - len(at), "i8")])
-                if len(kind):
-                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(first), pa.array(second), pa.array(total)], names=["kind", "a", "b", "links"])
+                for i, c in parts:
+                    if c.any():
+                        counts.append((i[c > 0], c[c > 0]))
+                        edges.add((row["u"].as_py(), row["v"].as_py()))
+                        waiting += len(counts[-1][0])
+                if len(open_):
+                    yield of_kind(2, ids[open_[:, 0]], others[open_[:, 1]], np.zeros(len(open_), "i8"))
+                if waiting > ADDED:
+                    yield added(counts)
+                    counts, waiting = [], 0
+        if counts:
+            yield added(counts)
+        if edges:
+            u, v = np.array(sorted(edges), "i8").T
+            yield of_kind(1, u, v, np.zeros(len(u), "i8"))
 
     return met.mapInArrow(compare, LINKS)
 
@@ -324,8 +344,8 @@ def links_of(graph: DataFrame, rows: DataFrame, held: DataFrame, leaders: DataFr
     return links, edges.union(across.where("u != v")).distinct()
 
 
-def nearest_found(hubs: DataFrame, graph: DataFrame, count: int, seed: int) -> float | None:
-    """The share of sampled hubs whose nearest other hub, by the measure of the graph, is among their neighbours, in either direction; None with fewer than two hubs.
+def nearest_found(hubs: DataFrame, graph: DataFrame, count: int, seed: int, near: float) -> tuple[float | None, float | None]:
+    """The share of sampled hubs whose nearest other hub, by the measure of the graph, is among their neighbours, in either direction: of those whose nearest lies within near, and of all; None where there are none.
 
     At most SAMPLED hubs reach the driver and go to the tasks; each task gives a row for each.
     """
@@ -349,13 +369,14 @@ def nearest_found(hubs: DataFrame, graph: DataFrame, count: int, seed: int) -> f
             yield pa.RecordBatch.from_arrays([pa.array(asked[d][0]), pa.array(to), pa.array(far)], names=["id", "to", "far"])
 
     if not picked:
-        return None
+        return None, None
     top = hubs.select("id", "dim", "r", "vector").mapInArrow(run, "id long, to long, far double").where("to >= 0 OR far < 9").groupBy("id").agg(F.min_by("to", "far").alias("to"), F.min("far").alias("far"))
     both = graph.select("u", "v", "s").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s"))
     kept = top.join(both.groupBy(F.col("u").alias("id")).agg(F.max("s").alias("s")), "id", "left")
     # Ties are as good: the best neighbour known is compared with the nearest there is.
-    sums = kept.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") >= -F.col("far") - 1e-9).alias("found")).first()
-    return sums["found"] / sums["n"] if sums["n"] else None
+    hit, close = F.col("s") >= -F.col("far") - 1e-9, F.col("far") <= near
+    n, found, n_near, found_near = kept.agg(F.count(F.lit(1)), F.count_if(hit), F.count_if(close), F.count_if(hit & close)).first()
+    return found_near / n_near if n_near else None, found / n if n else None
 
 
 def audit(rows: DataFrame, links: DataFrame, count: int, least: float, seed: int) -> float | None:
@@ -421,8 +442,8 @@ def near_duplicates(table: DataFrame, least: float = 0.95, id: str = "vec_id", v
         links, edges = links_of(graph, rows, held, leaders, cells, least, theta)
         own = held.join(leaders.select(F.col("id").alias("leader"), "size"), "leader").join(links, "id", "left")
         links = materialise(own.select("id", (F.col("size") + F.coalesce("links", F.lit(0))).alias("size")).join(rows.select("id", "n"), "id").select("id", (F.col("size") - F.col("n")).alias("n_links")), "counts")
-        recall, nearest = audit(rows, links, count, least, 7 + attempt), nearest_found(hubs, graph, n_hubs, 7 + attempt)
-        log.info("descent %d over %d hubs of %d vectors: recall of links %s, of nearest hubs %s", attempt + 1, n_hubs, count, recall, nearest)
+        recall, (nearest, of_all) = audit(rows, links, count, least, 7 + attempt), nearest_found(hubs, graph, n_hubs, 7 + attempt, NEAR * theta)
+        log.info("descent %d over %d hubs of %d vectors: recall of links %s, of nearest hubs %s, of those however far %s", attempt + 1, n_hubs, count, recall, nearest, of_all)
         missed = recall is not None and recall < RECALL
         if not missed and (nearest is None or nearest >= NEAREST or attempt == DESCENTS - 1):
             break

@@ -227,9 +227,10 @@ def test_nearest_hubs_are_audited(spark):
     hubs = spark.createDataFrame([(i, 6, v.tolist(), 0.0) for i, v in enumerate(x)], "id long, dim int, vector array<double>, r double")
     far = nndescent.angles(x, x) + 9 * np.eye(40)
     graph = spark.createDataFrame([(i, int(far[i].argmin()), -float(far[i].min())) for i in range(40)], "u long, v long, s double")
-    assert nndescent.nearest_found(hubs, graph, 40, 1) == 1.0
-    assert nndescent.nearest_found(hubs, graph.where("false"), 40, 1) == 0.0
-    assert nndescent.nearest_found(hubs.limit(0), graph, 0, 1) is None
+    assert nndescent.nearest_found(hubs, graph, 40, 1, 0.6) == (1.0, 1.0)
+    assert nndescent.nearest_found(hubs, graph.where("s < -0.6"), 40, 1, 0.6) == (0.0, (far.min(axis=1) > 0.6).mean())
+    assert nndescent.nearest_found(hubs, graph, 40, 1, 0.0) == (None, 1.0)
+    assert nndescent.nearest_found(hubs.limit(0), graph, 0, 1, 0.6) == (None, None)
 
 
 def test_nearest_vectors(spark):
