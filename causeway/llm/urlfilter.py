@@ -5,11 +5,16 @@ Of all keys that the corpus's URLs have, those that level 1 takes wrongly are he
 takes are held by level 3, and so on until a level takes nothing wrongly. A key is listed if the number of levels
 passed in a row is odd. A second cascade over the listed keys tells those that block. All of it is DataFrame expressions;
 a filter is one array value, so plans don't grow with the rules.
+
+Level 1 is sized from the universe: its bits a key grow with the logarithm of how many keys the corpus may have for each
+listed one, so that it takes about as many keys wrongly as are listed, and all later levels, which hold those, are of the
+size of the rule list, not of the corpus.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +23,10 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import discard, materialise
 
-#: Bits a key and hash functions of each level.
-BITS_A_KEY, HASHES = 10, 4
+#: Bits a key of a cascade's first level at least, of its later levels, and the share of keys that a bit a key leaves of false ones.
+BITS_A_KEY, LATER_BITS, LEFT = 10, 2, 0.6185
+#: Bytes of a filter at most, as its words come to the driver and go to every task; more rules than that are an error.
+MOST_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -71,8 +78,8 @@ def keys_of(host: Column, path: Column, hosts: list[str], lengths: list[int]) ->
     return F.flatten(F.transform(domains, lambda d: F.transform(begins, lambda p: F.concat(d, p))))
 
 
-def positions(key: Column, bits: int, level: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level * HASHES + i)), F.lit(bits).cast("long")) for i in range(HASHES)]
+def positions(key: Column, bits: int, level: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level * 1000 + i)), F.lit(bits).cast("long")) for i in range(hashes)]
 
 
 @dataclass(frozen=True)
@@ -81,24 +88,27 @@ class Level:
 
     number: int
     size: int
+    hashes: int
     words: Column
 
     def takes(self, key: Column) -> Column:
-        tests = [F.getbit(F.element_at(self.words, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in positions(key, 64 * self.size, self.number)]
+        tests = [F.getbit(F.element_at(self.words, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1 for p in positions(key, 64 * self.size, self.number, self.hashes)]
         out = tests[0]
         for t in tests[1:]:
             out = out & t
         return out
 
 
-def build_level(keys: DataFrame, number: int, count: int) -> Level:
-    """The filter of the column key; only its words come to the driver, of which there are as many as the key count asks for."""
-    size = max(1, -(-count * BITS_A_KEY // 64))
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), 64 * size, number))).alias("p"))
+def build_level(keys: DataFrame, number: int, count: int, bits: int) -> Level:
+    """The filter of the column key with bits a key; only its words come to the driver."""
+    size, hashes = max(1, -(-count * bits // 64)), max(1, round(bits * log(2)))
+    if 8 * size > MOST_BYTES:
+        raise ValueError(f"a filter of {8 * size} bytes for {count} keys, over {MOST_BYTES}")
+    at = keys.select(F.explode(F.array(*positions(F.col("key"), 64 * size, number, hashes))).alias("p"))
     words = at.groupBy(F.floor(F.col("p") / 64).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(p, 64) AS INT)))").alias("bits")).toArrow()
     held = np.zeros(size, "i8")
     held[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    return Level(number, size, F.lit(held))
+    return Level(number, size, hashes, F.lit(held))
 
 
 def passes(key: Column, levels: list[Level]) -> Column:
@@ -113,11 +123,17 @@ def listing(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.createDataFrame(pa.table({"key": pa.array(keys, pa.string())}))
 
 
-def cascade(positive: DataFrame, universe: DataFrame, first: int = 0) -> list[Level]:
-    """Levels that tell the keys of positive from all others of universe (both of distinct keys).
+def first_bits(listed: int, others: int) -> int:
+    """Bits a key with which a filter of listed keys takes about as many of others wrongly."""
+    return max(BITS_A_KEY, ceil(log(max(1.0, others / max(1, listed))) / -log(LEFT)))
+
+
+def cascade(positive: DataFrame, universe: DataFrame, others: int, first: int = 0) -> list[Level]:
+    """Levels that tell the keys of positive from all others of universe (of distinct keys, others at most).
 
     The universe is read once: what level 1 takes of it is stored without the listed keys, and later levels narrow that
-    down. Levels are numbered from first, so that cascades use hashes of their own.
+    down; the only join is that of keys taken with the rule list. Levels are numbered from first, so that cascades use
+    hashes of their own.
     """
     levels: list[Level] = []
     ours, other = positive, universe
@@ -125,7 +141,7 @@ def cascade(positive: DataFrame, universe: DataFrame, first: int = 0) -> list[Le
         count = ours.count()
         if not count:
             return levels
-        levels.append(build_level(ours, first + len(levels), count))
+        levels.append(build_level(ours, first + len(levels), count, LATER_BITS if levels else first_bits(count, others)))
         taken = other.where(levels[-1].takes(F.col("key")))
         if len(levels) == 1:
             taken = taken.distinct().join(positive, "key", "left_anti")
@@ -143,9 +159,11 @@ def build_cascades(urls: DataFrame, rules: list[Rule], url: str = "url") -> tupl
     verdicts = verdict_of(rules)
     listed = listing(spark, sorted(verdicts))
     host, path = split_url(F.col(url))
-    universe = urls.select(F.explode(keys_of(host, path, [r.host for r in rules], sorted({len(r.path) for r in rules}))).alias("key"))
-    levels = cascade(listed, universe)
-    return levels, cascade(listing(spark, sorted(k for k, v in verdicts.items() if v == "block")), listed, 100)
+    lengths = sorted({len(r.path) for r in rules})
+    universe = urls.select(F.explode(keys_of(host, path, [r.host for r in rules], lengths)).alias("key"))
+    most = urls.count() * len({r.host.count(".") for r in rules}) * len(lengths)
+    levels = cascade(listed, universe, most)
+    return levels, cascade(listing(spark, sorted(k for k, v in verdicts.items() if v == "block")), listed, len(verdicts), 100)
 
 
 def verdict_of(rules: list[Rule]) -> dict[str, str]:

@@ -342,6 +342,23 @@ def test_many_url_rules(spark, monkeypatch, bits):
         assert (rule, verdict) == want[1:] or (fits and len(rule) == want[0] and verdict == rules[tuple(rule.split("/", 1)[0:1]) + ("/" + rule.split("/", 1)[1],)])
 
 
+def test_url_filters_dont_grow_with_the_urls(spark):
+    """Twenty times the URLs make each filter a few bits a rule larger, and later levels no larger; too many rules are an error."""
+    rules = urlfilter.parse_rules([f"block h{i}.org/a" for i in range(2000)] + ["allow org/b"])
+    sizes = []
+    for n in (20_000, 400_000):
+        urls = spark.range(n).selectExpr("concat('http://x', id, '.h', id, '.org/', substring('abc', 1 + id % 3, 2)) AS url")
+        levels, blocking = urlfilter.build_cascades(urls, rules)
+        sizes.append([level.size for level in levels])
+        assert all(level.size * 64 <= 2 * urlfilter.LATER_BITS * 2001 for level in levels[1:]) and len(blocking) >= 1
+    assert sizes[1][0] < 1.9 * sizes[0][0] and sum(sizes[1][1:]) < 2 * 2001 * urlfilter.LATER_BITS * 2 / 64
+    got = urlfilter.judge(urls, rules).groupBy("verdict").count().collect()
+    # Of h0 to h1999, those whose path begins with a.
+    assert {r["verdict"]: r["count"] for r in got} == {"block": len([i for i in range(2000) if i % 3 == 0]), "allow": 400_000 - 667}
+    with pytest.raises(ValueError, match="bytes"):
+        urlfilter.build_level(urls, 0, 1 << 33, 10)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><header>H</header><nav><a href=x>m</a></nav><div class='ad'>buy, now, here</div><article><h1>Title &amp; more</h1><p>One,\n two <b>three</b><br>four<p>Five</article><div id=comments><p>so, very, nice</p></div><footer>f</footer></body></html>"
     table = spark.createDataFrame([(1, "u", page, 0), (2, "u", None, 0), (3, None, "", 0), (4, "u", "<p>" + "x " * 200000, 0)], "page_id long, url string, html string, text int")
