@@ -240,3 +240,23 @@ SELECT family, CAST(n AS INT) AS n, m, copies, route, claim, 20 * n AS worlds,
   CASE claim WHEN 'sound' THEN 20 * n WHEN 'other_value' THEN 0 ELSE 20 * n - CASE WHEN copies > 0 THEN 20 * (n // 4) ELSE 0 END END AS isomorphic,
   CASE claim WHEN 'one_copy' THEN 0 ELSE 320 * n * (n + 4) END AS coordinates, CASE claim WHEN 'other_value' THEN 2 * apart ELSE 0 END AS mismatches
 FROM swaps, (VALUES (2), (4)) a(m), (VALUES (0), (25)) b(copies), (VALUES ('raw'), ('deduplicated')) r(route), (VALUES ('sound'), ('other_value'), ('one_copy')) c(claim)"""
+SQL["semantic_twins"] = f"""WITH RECURSIVE {MODELS},
+run AS (SELECT family, n, seed, scenario, CAST(0 AS BIGINT) AS i, [CAST(43690 AS BIGINT), 52428, 61680, 65280] AS vals, [CAST(43690 AS BIGINT), 52428, 61680, 65280] AS bad FROM cfg, range(65) t(scenario) WHERE scenario <= 2 * n
+  UNION ALL SELECT run.family, run.n, run.seed, scenario, i + 1, list_append(vals, CAST({STEP.format(gate('plan.c', 'run.vals'))} AS BIGINT)),
+    list_append(bad, CAST({STEP.format(gate('CASE WHEN i = 0 THEN [1,0,3,2,7,4,4,4,9,8][plan.c + 1] ELSE plan.c END', 'run.bad'))} AS BIGINT))
+  FROM run JOIN plan ON plan.family = run.family AND plan.n = run.n AND plan.seed = run.seed AND plan.k = i),
+done AS MATERIALIZED (SELECT family, n, seed, scenario, vals, bad FROM run WHERE i = n),
+laws_of AS (SELECT family, n, CAST(count(*) AS BIGINT) AS scenarios, count(*) FILTER (WHERE d <> 0) AS any_apart, count(*) FILTER (WHERE d & 32769 <> 0) AS ends_apart
+  FROM (SELECT family, n, list_bit_or(list_transform(list_zip(vals, bad), lambda x: xor(x[1], x[2]))) AS d FROM done) GROUP BY family, n),
+turns AS (SELECT *, row_number() OVER (PARTITION BY family, n, seed ORDER BY {DRAW.format('own', 'k')}, k) - 1 AS place, row_number() OVER (PARTITION BY family, n, seed ORDER BY {DRAW.format('copy', 'k')}, k) AS turn, {DRAW.format('alt', 'k')} AS alt FROM node),
+dealt AS (SELECT family, n, seed, k, m, copies, place % m AS owner, turn <= n * copies // 100 AS copied, (place % m + 1 + alt % (m - 1)) % m AS other FROM turns, (VALUES (2), (4)) a(m), (VALUES (0), (25)) b(copies)),
+mine AS MATERIALIZED (SELECT family, n, seed, k, m, copies, owner AS o FROM dealt UNION ALL SELECT family, n, seed, k, m, copies, other FROM dealt WHERE copied),
+seen AS (SELECT family, n, seed, m, copies, o, k + 5 AS v FROM mine UNION SELECT x.family, x.n, x.seed, m, copies, o, s.a FROM mine x JOIN gslot s ON s.family = x.family AND s.n = x.n AND s.seed = x.seed AND s.k = x.k UNION SELECT family, n, seed, m, copies, 0, u FROM dealt, range(1, 5) t(u)),
+step AS MATERIALIZED (SELECT p.*, m, copies, o, EXISTS (SELECT * FROM mine x WHERE x.family = p.family AND x.n = p.n AND x.seed = p.seed AND x.m = q.m AND x.copies = q.copies AND x.o = q.o AND x.k = p.k) AS own FROM plan p JOIN (SELECT DISTINCT family, n, seed, m, copies, o FROM mine) q USING (family, n, seed)),
+local AS (SELECT d.family, d.n, d.seed, d.scenario, q.m, q.copies, q.o, CAST(0 AS BIGINT) AS i, bad, [CAST(43690 AS BIGINT), 52428, 61680, 65280] AS vals FROM done d JOIN (SELECT DISTINCT family, n, seed, m, copies, o FROM mine) q USING (family, n, seed)
+  UNION ALL SELECT l.family, l.n, l.seed, l.scenario, l.m, l.copies, l.o, i + 1, bad, list_append(l.vals, CAST(CASE WHEN plan.own THEN {STEP.format(gate('plan.c', 'l.vals'))} ELSE l.bad[i + 5] END AS BIGINT))
+  FROM local l JOIN step plan ON plan.family = l.family AND plan.n = l.n AND plan.seed = l.seed AND plan.m = l.m AND plan.copies = l.copies AND plan.o = l.o AND plan.k = i),
+apart AS (SELECT family, n, CAST(sum(list_sum(list_transform(list_zip(vals, bad), lambda x: bit_count(xor(x[1], x[2]))))) AS BIGINT) AS mismatches FROM local WHERE i = n GROUP BY family, n),
+held AS (SELECT family, n, count(*) * 16 * (1 + 2 * n) AS coordinates FROM seen GROUP BY family, n)
+SELECT family, CAST(n AS INT) AS n, route, models, 12 * scenarios AS law_cases, CASE models WHEN 'faithful' THEN 0 ELSE 4 * (2 * any_apart + ends_apart) END AS laws_apart, coordinates AS local_coordinates, CASE models WHEN 'faithful' THEN 0 ELSE mismatches END AS local_mismatches
+FROM laws_of JOIN apart USING (family, n) JOIN held USING (family, n), (VALUES ('raw'), ('deduplicated')) r(route), (VALUES ('faithful'), ('damaged')) t(models)"""

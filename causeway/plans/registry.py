@@ -525,6 +525,16 @@ def evaluation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.groupBy("family", "n", "route", scope.alias("scope"), "models").agg(F.sum("coordinates").alias("coordinates"), F.sum("mismatches").alias("mismatches"))
 
 
+@query
+def semantic_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law cases and module coordinates compared over all diagrams of the small grid, and those that differ, in faithful models and in ones whose V0 has another code after gluing."""
+    checks, cases = route_rows(spark, ("faithful", "damaged"))
+    keys = ("family", "n", "route", "models")
+    local = checks.groupBy(*keys).agg(F.sum("local_coordinates").alias("local_coordinates"), F.sum("local_mismatches").alias("local_mismatches"))
+    laws = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("law_cases"), F.count_if(F.col("apart") > 0).alias("laws_apart"))
+    return local.join(laws, list(keys)).select(*keys, "law_cases", "laws_apart", "local_coordinates", "local_mismatches")
+
+
 ONE_COPY = "one_copy"
 
 
