@@ -24,6 +24,17 @@ def small_grid(spark: SparkSession) -> DataFrame:
     return grid.withColumn("inst", F.format_string("%s_n%d_m%d_copy%02d_seed%d", "family", "n", "m", "copies", "seed"))
 
 
+def supplier_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n, m, copies, family, seed, inst: configurations of a model for each supplier, whose key is the seed and whose nation picks family and size."""
+    key, nation = F.col("s_suppkey").cast("int").alias("seed"), F.col("s_nationkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    models = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(pick((8, 16, 32), F.floor(nation / 3)).alias("n"), pick(("chain", "layered", "random_acyclic"), nation).alias("family"), key).distinct()
+    for name, values in (("m", (2, 4)), ("copies", (0, 25))):
+        models = models.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    inst = F.format_string("%s_n%d_m%d_copy%02d_seed%d", "family", "n", "m", "copies", "seed").alias("inst")
+    return models.select("n", "m", "copies", "family", "seed", inst)
+
+
 def spread(timings: DataFrame) -> DataFrame:
     """stage, median, q25, q75, least, most, runs; quartiles are interpolated linearly."""
     q = F.percentile("seconds", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

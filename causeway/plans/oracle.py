@@ -55,8 +55,9 @@ full_vals AS (SELECT *, xor(y, uz) AS z FROM vals)"""
 
 # Generated models: a draw is a part of an md5; indices are 1 to 4 for exogenous variables and 5 + k for V<k>.
 DRAW = "CAST('0x' || substr(md5(family || '|' || n || '|' || seed || '|{}|' || {}), 1, 8) AS BIGINT)"
+CFG = "cfg AS (SELECT DISTINCT ['chain', 'layered', 'random_acyclic'][s_nationkey % 3 + 1] AS family, CAST([8, 16, 32][(s_nationkey // 3) % 3 + 1] AS BIGINT) AS n, CAST(s_suppkey AS BIGINT) AS seed FROM supplier)"
 MODELS = f"""
-cfg AS (SELECT family, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS seed FROM (VALUES ('chain'), ('layered'), ('random_acyclic')) f(family), (VALUES (8), (16), (32)) a(n), range(10) e(s)),
+{CFG},
 node AS (SELECT *, CASE WHEN family = 'chain' AND k > 0 THEN 2 + {DRAW.format('code', 'k')} % 8 ELSE {DRAW.format('code', 'k')} % 10 END AS c FROM (SELECT *, unnest(range(n)) AS k FROM cfg)),
 gslot AS (SELECT family, n, seed, k, c, p, CASE WHEN family = 'chain' AND k > 0 AND p = 1 THEN k + 4
   ELSE 1 + {DRAW.format('arg', "k || '|' || p")} % (4 + CASE family WHEN 'chain' THEN 0 WHEN 'layered' THEN k - k % greatest(2, CAST(floor(sqrt(n)) AS BIGINT)) ELSE k END) END AS a
@@ -178,11 +179,11 @@ c AS (SELECT surgery, hit, (SELECT 4 + count(*) FROM eq) AS var, (SELECT count(*
   (SELECT count(*) FROM slot WHERE k = hit) AS own, (SELECT count(DISTINCT cause) FROM slot WHERE k = hit) AS own_deps FROM s)
 SELECT surgery, 'records' AS part, var + mech + inputs + deps AS compared, CAST(CASE surgery WHEN 'other_value' THEN 1 WHEN 'one_copy' THEN 1 + own + own_deps ELSE 0 END AS BIGINT) AS differing FROM c
 UNION ALL SELECT surgery, 'values', var, CAST(CASE surgery WHEN 'other_value' THEN n ELSE 0 END AS BIGINT) FROM c, moved WHERE surgery <> 'one_copy'""",
-    "exact_checks_summary": """WITH g AS (SELECT n FROM (VALUES (8), (16), (32)) a(n), range(2) b, range(2) c, range(3) d, range(10) e),
+    "exact_checks_summary": f"""WITH {CFG}, g AS (SELECT n FROM cfg, range(4) b),
 s AS (SELECT CAST(n AS VARCHAR) AS n, count(*) AS diagrams, 16 * count(*) AS observational, CAST(sum(32 * n) AS BIGINT) AS interventional, CAST(sum(3 + 6 * n) AS BIGINT) AS law FROM g GROUP BY n),
 t AS (SELECT * FROM s UNION ALL SELECT 'Total', CAST(sum(diagrams) AS BIGINT), CAST(sum(observational) AS BIGINT), CAST(sum(interventional) AS BIGINT), CAST(sum(law) AS BIGINT) FROM s)
 SELECT n, diagrams, observational, interventional, 2 * (observational + interventional) AS route_checks, CAST(0 AS BIGINT) AS global_mismatches, CAST(0 AS BIGINT) AS local_mismatches, 2 * law AS law_cases, CAST(0 AS BIGINT) AS laws_apart FROM t""",
-    "grid_instances": """WITH g AS (SELECT family || '_n' || n || '_m' || m || '_copy' || lpad(CAST(c AS VARCHAR), 2, '0') || '_seed' || s AS inst FROM (VALUES ('chain'), ('layered'), ('random_acyclic')) f(family), (VALUES (8), (16), (32)) a(n), (VALUES (2), (4)) b(m), (VALUES (0), (25)) d(c), range(10) e(s)) SELECT inst, sha256(inst) AS sha256 FROM g""",
+    "grid_instances": f"""WITH {CFG}, g AS (SELECT family || '_n' || n || '_m' || m || '_copy' || lpad(CAST(c AS VARCHAR), 2, '0') || '_seed' || seed AS inst FROM cfg, (VALUES (2), (4)) b(m), (VALUES (0), (25)) d(c)) SELECT inst, sha256(inst) AS sha256 FROM g""",
     "timing_summary": "SELECT event_type AS stage, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.25), 9) AS q25, round(quantile_cont(value, 0.75), 9) AS q75, min(value) AS least, max(value) AS most, count(value) AS runs FROM events GROUP BY event_type",
 }
 
@@ -236,10 +237,10 @@ run AS (SELECT family, n, seed, scenario, CAST(0 AS BIGINT) AS i, [CAST(43690 AS
   FROM run JOIN plan ON plan.family = run.family AND plan.n = run.n AND plan.seed = run.seed AND plan.k = i),
 done AS (SELECT family, n, seed, scenario, vals FROM run WHERE i = n),
 swaps AS (SELECT a.family, a.n, CAST(sum(list_sum(list_transform(list_zip(a.vals, b.vals), lambda x: bit_count(xor(x[1], x[2]))))) AS BIGINT) AS apart FROM done a JOIN done b ON a.family = b.family AND a.n = b.n AND a.seed = b.seed AND b.scenario = a.scenario + 1 WHERE a.scenario % 2 = 1 GROUP BY a.family, a.n)
-SELECT family, CAST(n AS INT) AS n, m, copies, route, claim, 20 * n AS worlds,
-  CASE claim WHEN 'sound' THEN 20 * n WHEN 'other_value' THEN 0 ELSE 20 * n - CASE WHEN copies > 0 THEN 20 * (n // 4) ELSE 0 END END AS isomorphic,
-  CASE claim WHEN 'one_copy' THEN 0 ELSE 320 * n * (n + 4) END AS coordinates, CASE claim WHEN 'other_value' THEN 2 * apart ELSE 0 END AS mismatches
-FROM swaps, (VALUES (2), (4)) a(m), (VALUES (0), (25)) b(copies), (VALUES ('raw'), ('deduplicated')) r(route), (VALUES ('sound'), ('other_value'), ('one_copy')) c(claim)"""
+SELECT family, CAST(n AS INT) AS n, m, copies, route, claim, 2 * models * n AS worlds,
+  CASE claim WHEN 'sound' THEN 2 * models * n WHEN 'other_value' THEN 0 ELSE 2 * models * n - CASE WHEN copies > 0 THEN 2 * models * (n // 4) ELSE 0 END END AS isomorphic,
+  CASE claim WHEN 'one_copy' THEN 0 ELSE 32 * models * n * (n + 4) END AS coordinates, CASE claim WHEN 'other_value' THEN 2 * apart ELSE 0 END AS mismatches
+FROM swaps JOIN (SELECT family, n, count(*) AS models FROM cfg GROUP BY family, n) USING (family, n), (VALUES (2), (4)) a(m), (VALUES (0), (25)) b(copies), (VALUES ('raw'), ('deduplicated')) r(route), (VALUES ('sound'), ('other_value'), ('one_copy')) c(claim)"""
 SQL["semantic_twins"] = f"""WITH RECURSIVE {MODELS},
 run AS (SELECT family, n, seed, scenario, CAST(0 AS BIGINT) AS i, [CAST(43690 AS BIGINT), 52428, 61680, 65280] AS vals, [CAST(43690 AS BIGINT), 52428, 61680, 65280] AS bad FROM cfg, range(65) t(scenario) WHERE scenario <= 2 * n
   UNION ALL SELECT run.family, run.n, run.seed, scenario, i + 1, list_append(vals, CAST({STEP.format(gate('plan.c', 'run.vals'))} AS BIGINT)),

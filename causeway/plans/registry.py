@@ -458,14 +458,14 @@ def commutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXOGENOUS = 4
 
 
-def route_rows(spark: SparkSession, kinds: tuple[str, ...] = ("faithful",), laws: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """(checks of each kind, route, instance and scenario; law cases of each) over all diagrams of the small grid, with n.
+def route_rows(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ("faithful",), laws: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(checks of each kind, route, instance and scenario; law cases of each) over all diagrams of the suppliers' grid, with n.
 
     The raw route glues all shared records; the other one glues variables and eliminates duplicates. In damaged models V0
     has another code when they are evaluated.
     """
     library = Library()
-    grid = stored(reports.small_grid(spark), "grid")
+    grid = stored(reports.supplier_grid(spark, sf_dir), "grid")
     eq = stored(generated.equations(grid, EXOGENOUS), "equations")
     models = grid.select(F.concat_ws("_", "family", "n", "seed").alias("model"), "inst", "n", "family")
     truth = stored(semantics.scenarios(models.select(F.col("model").alias("inst"), "n").distinct()), "planned")
@@ -501,7 +501,7 @@ def damaged(glued: assembly.Assembly, origin: DataFrame) -> assembly.Assembly:
 @query
 def exact_checks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted from the rows of checks that were run: all assignments under no and every single intervention, both routes."""
-    checks, cases = route_rows(spark)
+    checks, cases = route_rows(spark, sf_dir)
     raw, size = F.col("route") == "raw", F.lit(semantics.ASSIGNMENTS).cast("long")
     sums = [
         F.countDistinct("inst").alias("diagrams"),
@@ -520,15 +520,15 @@ def exact_checks_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def evaluation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates compared by family, size and route without intervention, and those that differ, in faithful and in damaged models."""
-    checks, _ = route_rows(spark, ("faithful", "damaged"), laws=False)
+    checks, _ = route_rows(spark, sf_dir, ("faithful", "damaged"), laws=False)
     scope = F.when(F.col("target").isNull(), "observational").otherwise("interventional")
     return checks.groupBy("family", "n", "route", scope.alias("scope"), "models").agg(F.sum("coordinates").alias("coordinates"), F.sum("mismatches").alias("mismatches"))
 
 
 @query
 def semantic_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law cases and module coordinates compared over all diagrams of the small grid, and those that differ, in faithful models and in ones whose V0 has another code after gluing."""
-    checks, cases = route_rows(spark, ("faithful", "damaged"))
+    """Law cases and module coordinates compared over all diagrams of the suppliers' grid, and those that differ, in faithful models and in ones whose V0 has another code after gluing."""
+    checks, cases = route_rows(spark, sf_dir, ("faithful", "damaged"))
     keys = ("family", "n", "route", "models")
     local = checks.groupBy(*keys).agg(F.sum("local_coordinates").alias("local_coordinates"), F.sum("local_mismatches").alias("local_mismatches"))
     laws = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("law_cases"), F.count_if(F.col("apart") > 0).alias("laws_apart"))
@@ -540,14 +540,14 @@ ONE_COPY = "one_copy"
 
 @query
 def intervention_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every single intervention on all diagrams of the small grid: gluing after surgery on every copy against surgery after gluing.
+    """Every single intervention on all diagrams of the suppliers' grid: gluing after surgery on every copy against surgery after gluing.
 
     isomorphic counts worlds whose records correspond one to one; mismatches are values, over all assignments, that differ
     from the whole model's under the intervention, after either surgery. Two twins are wrong: other_value sets the other
     value before gluing, one_copy leaves out the last copy of targets that have several (and has no values).
     """
     library = Library()
-    grid = stored(reports.small_grid(spark), "grid")
+    grid = stored(reports.supplier_grid(spark, sf_dir), "grid")
     eq = stored(generated.equations(grid, EXOGENOUS), "equations")
     models = grid.select(F.concat_ws("_", "family", "n", "seed").alias("model"), "inst", "n")
     truth = stored(semantics.scenarios(models.select(F.col("model").alias("inst"), "n").distinct()), "planned")
@@ -588,15 +588,15 @@ def intervention_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFLICT = "_conflict"
 
 
-def duplication_rows(spark: SparkSession) -> DataFrame:
-    """A row for each diagram of the small grid, variant (faithful, equation_conflict) and mode, with n, m, copies, family and seed.
+def duplication_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each diagram of the suppliers' grid, variant (faithful, equation_conflict) and mode, with n, m, copies, family and seed.
 
     Both modes glue the same tables along variables alone. accepted: no issue in modules, interfaces and the assembled model.
     recovered: classes of Var, Mech and Input are the ground model's records; Deps are left out, as merging parallel ones is
     what elimination does.
     """
     library = Library()
-    grid = stored(reports.small_grid(spark), "grid")
+    grid = stored(reports.supplier_grid(spark, sf_dir), "grid")
     eq = stored(generated.equations(grid, EXOGENOUS), "equations")
     diagram, origin = generated.fragmented(grid, eq, EXOGENOUS)
     diagram = diagram.only(("Var",))
@@ -630,7 +630,7 @@ def duplication_rows(spark: SparkSession) -> DataFrame:
 @query
 def duplication_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gluing with and without elimination of duplicates, on the same diagrams: faithful ones, and ones with a conflicting copy."""
-    return duplication_rows(spark).withColumn("inst", F.regexp_replace("inst", f"{CONFLICT}$", "")).drop("n", "m", "copies", "family", "seed")
+    return duplication_rows(spark, sf_dir).withColumn("inst", F.regexp_replace("inst", f"{CONFLICT}$", "")).drop("n", "m", "copies", "family", "seed")
 
 
 def summed(rows: DataFrame, *keys: str) -> DataFrame:
@@ -640,26 +640,26 @@ def summed(rows: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def duplication_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summed(duplication_rows(spark), "variant", "copies", "mode")
+    return summed(duplication_rows(spark, sf_dir), "variant", "copies", "mode")
 
 
 @query
 def duplicate_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted diagrams by condition and mode."""
     label = F.when(F.col("variant") == "equation_conflict", "Conflicting codes").when(F.col("copies") == 0, "No copies").otherwise("Identical copies")
-    rows = duplication_rows(spark).withColumn("condition", label)
+    rows = duplication_rows(spark, sf_dir).withColumn("condition", label)
     return rows.groupBy("condition").pivot("mode", ["raw", "deduplicated"]).agg(F.count_if("accepted"))
 
 
 @query
 def generated_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generated.equations(reports.small_grid(spark), EXOGENOUS)
+    rows = generated.equations(reports.supplier_grid(spark, sf_dir), EXOGENOUS)
     return rows.select("family", "n", "seed", "output", "code", F.array_join("args", ",").alias("args"))
 
 
 @query
 def grid_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.small_grid(spark).select("inst", F.sha2("inst", 256).alias("sha256"))
+    return reports.supplier_grid(spark, sf_dir).select("inst", F.sha2("inst", 256).alias("sha256"))
 
 
 @query
