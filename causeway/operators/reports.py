@@ -109,6 +109,18 @@ def reconstruction(qmap: DataFrame, grounds: DataFrame, target: DataFrame) -> Da
     return by_class.join(by_ground, "sort")
 
 
+def partition_digests(qmap: DataFrame) -> DataFrame:
+    """inst, sort, records, classes, digest: two partitions of the same records have equal digests if and only if (but for collisions of 128 bits) they have the same classes.
+
+    A class is digested from its members' tags in any order, and a partition from its classes' in any order, so neither
+    names of classes nor the order of rows matter, and no class or partition is gathered.
+    """
+    mix = lambda seed, *columns: F.expr(f"bit_xor(xxhash64({seed}, {', '.join(columns)}))")
+    by_class = qmap.groupBy("inst", "sort", "cid").agg(F.count(F.lit(1)).alias("n"), mix(1, "tag").alias("x"), mix(2, "tag").alias("y"))
+    whole = by_class.groupBy("inst", "sort").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("classes"), mix(3, "n", "x", "y").alias("x"), mix(4, "n", "x", "y").alias("y"))
+    return whole.select("inst", "sort", "records", "classes", F.concat(F.hex("x"), F.hex("y")).alias("digest"))
+
+
 def unrecovered(glued: Assembly, origin: dict[str, DataFrame], grounds: dict[str, DataFrame], sorts: tuple[str, ...]) -> DataFrame:
     """inst, flaw, n: where classes and ground records of these sorts (closed under arrows) don't correspond one to one with attributes and arrows.
 

@@ -261,3 +261,12 @@ apart AS (SELECT family, n, CAST(sum(list_sum(list_transform(list_zip(vals, bad)
 held AS (SELECT family, n, count(*) * 16 * (1 + 2 * n) AS coordinates FROM seen GROUP BY family, n)
 SELECT family, CAST(n AS INT) AS n, route, models, 12 * scenarios AS law_cases, CASE models WHEN 'faithful' THEN 0 ELSE 4 * (2 * any_apart + ends_apart) END AS laws_apart, coordinates AS local_coordinates, CASE models WHEN 'faithful' THEN 0 ELSE mismatches END AS local_mismatches
 FROM laws_of JOIN apart USING (family, n) JOIN held USING (family, n), (VALUES ('raw'), ('deduplicated')) r(route), (VALUES ('faithful'), ('damaged')) t(models)"""
+SQL["shuffle_checks"] = f"""WITH {EQ}, r AS (SELECT o, 'Var' AS sort, CAST(v AS VARCHAR) AS id FROM hvar UNION ALL SELECT o, 'Mech', CAST(k AS VARCHAR) FROM held UNION ALL SELECT o, s, k || ':' || p FROM hslot, (VALUES ('Input'), ('Dep')) t(s)),
+c AS (SELECT sort, CAST(sum(n) AS BIGINT) AS records, count(*) AS classes, count(*) FILTER (WHERE sort = 'Var' AND n = 2 AND low = 0 AND high = 1 AND CAST(split_part(id, ':', 1) AS BIGINT) >= 4 AND (CAST(split_part(id, ':', 1) AS BIGINT) - 4) % 36 = 0) AS split
+  FROM (SELECT sort, id, count(*) AS n, min(o) AS low, max(o) AS high FROM r GROUP BY sort, id) GROUP BY sort)
+SELECT diagram, sort, records, CASE diagram WHEN 'damaged' THEN classes + split ELSE classes END AS classes, diagram <> 'damaged' OR split = 0 AS same FROM c, (VALUES ('given'), ('shuffle1'), ('shuffle2'), ('shuffle3'), ('damaged')) t(diagram)"""
+SQL["release_manifest"] = f"""WITH {MODELS},
+texts AS (SELECT family, n, seed, k, family || ' n' || n || ' seed' || seed || ' V' || k || ' = ' || {CODE_NAMES} || '(' || concat_ws(', ', {', '.join(ARGUMENT.format(i) for i in (1, 2, 3))}) || ')' AS line FROM plan
+  UNION ALL SELECT family, n, seed, -1, '# made by s' || seed || '@example.org' FROM cfg WHERE seed % 100 = 3),
+files AS (SELECT seed // 50 AS shard, string_agg(line || chr(10), '' ORDER BY seed, family, n, k) AS content, bool_or(k = -1) AS identifying FROM texts GROUP BY seed // 50)
+SELECT shard, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256, identifying FROM files"""

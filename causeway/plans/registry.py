@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,8 +14,8 @@ from causeway.operators import assembly, certificates, evaluation, interventions
 from causeway.operators.components import components, components_by_minima
 from causeway.operators.diagram import SORTS, Diagram
 from causeway.plans.oracle import SQL
-from causeway.plans.storage import literal, stored
-from causeway.sources import derived, exchange, fixtures, generated
+from causeway.plans.storage import literal, shared_dir, stored
+from causeway.sources import derived, exchange, fixtures, generated, release
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 __all__ = ["QUERIES", "SQL"]
@@ -378,6 +379,39 @@ def components_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(parts).select("claim", "sort", "nodes", "classes", "differing")
 
 
+SHUFFLES = ("given", "shuffle1", "shuffle2", "shuffle3", "damaged")
+
+
+@query
+def shuffle_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived diagram glued as given, with all rows of all tables in three other orders, and without some pairs of m0 and m1: records, classes, and whether the partition is the given one.
+
+    Partitions are compared by digests that names of classes don't enter.
+    """
+    copies = derived.diagram(spark, sf_dir).renamed(F.explode(F.array(*map(F.lit, SHUFFLES))))
+    mixed = lambda t: stored(t.repartition(13, F.xxhash64("inst", *[c for c in t.columns if c != "inst"])).sortWithinPartitions(F.xxhash64(*t.columns)), "mixed")
+    whole = copies.each(mixed)
+    lost = (F.col("inst") == "damaged") & (F.col("iface") == "m0-m1") & (F.col("sort") == "Var") & F.coalesce(reports.number("rid") % 36 == 0, F.lit(False))
+    glued = assembly.assemble(replace(whole, spans=whole.spans.where(~lost)), deduplicate=False)
+    found = stored(reports.partition_digests(glued.qmap), "digests")
+    given = found.where("inst = 'given'").select("sort", F.col("digest").alias("want"))
+    return found.join(given, "sort").select(F.col("inst").alias("diagram"), "sort", "records", "classes", F.col("digest").eqNullSafe(F.col("want")).alias("same"))
+
+
+@query
+def release_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of the suppliers' grid released as text files in shards, one shard released again in place, and the manifest of the files; some models name their maker."""
+    eq = generated.equations(reports.supplier_grid(spark, sf_dir), EXOGENOUS)
+    lines = release.lines_of(eq)
+    maker = F.concat(F.lit("# made by s"), "seed", F.lit("@example.org"))
+    signed = lines.where("seed % 100 = 3 AND k = 0").withColumns({"k": F.lit(-1), "line": maker})
+    lines = stored(lines.unionByName(signed), "lines")
+    folder = f"{shared_dir(spark)}/release-{uuid.uuid4().hex}"
+    release.write_shards(lines, folder)
+    release.write_shards(lines.where("shard = 0"), folder)
+    return release.manifest(spark, folder)
+
+
 @query
 def failure_witness_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Witnesses of the failures of a mutilated and of a circular model, and how many are refuted, as found and after a record of each was changed."""
