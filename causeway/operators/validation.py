@@ -33,14 +33,13 @@ def structural_issues(tables: dict[str, DataFrame], library: Library, scope: lis
     spark = tables["Var"].sparkSession
     if set(tables) != set(SORTS):
         return literal(spark, [("", stage, "entity_tables", ",".join(sorted(tables)))], "inst string, stage string, kind string, record string")
-    parts = []
-    for sort in SORTS:
-        rows = tables[sort]
-        for column, to in ARROWS[sort].items():
-            target = tables[to].select(*scope, F.col("rid").alias(column))
-            parts.append(issue(rows.join(target, [*scope, column], "left_anti"), stage, "structural_reference", F.concat_ws(".", "rid", F.lit(column)), own))
-        for column in ATTRIBUTES[sort]:
-            parts.append(issue(rows.where(F.col(column).isNull()), stage, "missing_attribute", F.concat_ws(".", "rid", F.lit(column)), own))
+    long = fields(tables, [*scope])
+    ids = union([tables[sort].select(*scope, F.lit(sort).alias("to"), F.col("rid").alias("value")) for sort in SORTS]).distinct()
+    name = F.concat_ws(".", "rid", "field")
+    parts = [
+        issue(long.where("to IS NOT NULL").join(ids, [*scope, "to", "value"], "left_anti"), stage, "structural_reference", name, own),
+        issue(long.where("to IS NULL AND value IS NULL"), stage, "missing_attribute", name, own),
+    ]
     bad = ~F.col("type").isin(*DOMAINS) | ~F.col("role").isin("exo", "endo")
     parts.append(issue(tables["Var"].where(bad), stage, "variable_attribute", "rid", own))
     known = F.broadcast(library.codes_table(spark).select("code"))  # a row for each declared code
@@ -49,6 +48,16 @@ def structural_issues(tables: dict[str, DataFrame], library: Library, scope: lis
     return union(parts)
 
 
+def fields(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """keys, sort, rid, field, value, to: every attribute and arrow of every record as a row; to is the sort that an arrow points to, null for attributes."""
+    parts = []
+    for sort in SORTS:
+        named = [(c, None) for c in ATTRIBUTES[sort]] + list(ARROWS[sort].items())
+        held = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"), F.lit(to).cast("string").alias("to")) for c, to in named]))
+        parts.append(tables[sort].select(*keys, F.lit(sort).alias("sort"), "rid", held.alias("f")).select(*keys, "sort", "rid", "f.field", "f.value", "f.to"))
+    return union(parts)
+
+
 def edges(tables: dict[str, DataFrame], scope: list[str]) -> DataFrame:
     """scope, cause, effect from Inputs, distinct."""
     outputs = tables["Mech"].select(*scope, F.col("rid").alias("mech"), F.col("output").alias("effect"))
@@ -158,33 +167,35 @@ def diagram_issues(diagram: Diagram, library: Library) -> DataFrame:
     parts.append(issue(names, "interface", "interface_name", "iface"))
     once = stored(diagram.faces.join(names, ["inst", "iface"], "left_anti"), "faces")
     modules = diagram.records["Var"].select("inst", "module").union(diagram.records["Mech"].select("inst", "module")).distinct()
-    for side in ("left", "right"):
-        known = modules.withColumnRenamed("module", side)
-        parts.append(issue(once.join(known, ["inst", side], "left_anti"), "interface", "interface_target", F.concat_ws(".", "iface", F.lit(side))))
-        faces = once.join(known, ["inst", side], "left_semi")
-        if diagram.maps is not None:
-            lists = diagram.maps.where(F.col("side") == side).groupBy("inst", "iface").agg(F.array_sort(F.collect_set("sort")).alias("sorts"))
-            lists = faces.join(lists, ["inst", "iface"], "left").withColumn("odd", ~F.col("sorts").eqNullSafe(F.array(*map(F.lit, sorted(SORTS)))))
-            parts.append(issue(lists.where("odd"), "interface", "map_sorts", F.concat_ws(".", "iface", F.lit(side))))
-            faces = faces.join(lists.where("odd").select("inst", "iface"), ["inst", "iface"], "left_anti")
-        for sort in SORTS:
-            leg = diagram.spans.where(F.col("sort") == sort).join(faces, ["inst", "iface"]).withColumn("image", F.col(f"{side}_rid")).where("image IS NOT NULL")
-            own = diagram.overlaps[sort].join(faces.select("inst", "iface"), ["inst", "iface"])
-            keys = ["inst", "iface", "rid"]
-            missing = own.select(*keys).exceptAll(leg.select(*keys)).union(leg.select(*keys).exceptAll(own.select(*keys)))
-            parts.append(issue(missing.select("inst", "iface").distinct(), "interface", "map_totality", F.concat_ws(".", "iface", F.lit(side), F.lit(sort))))
-            leg = leg.join(missing.select("inst", "iface").distinct(), ["inst", "iface"], "left_anti")
-            parts.append(issue(leg.groupBy("inst", "iface", "image").count().where("count > 1"), "interface", "map_injectivity", F.concat_ws(".", "iface", F.lit(side), "image")))
-            target = diagram.records[sort].withColumnsRenamed({"module": side, "rid": "image"}).drop("is_boundary")
-            parts.append(issue(leg.join(target, ["inst", side, "image"], "left_anti"), "interface", "map_reference", F.concat_ws(".", "iface", F.lit(side), "rid")))
-            columns = [*ATTRIBUTES[sort], *ARROWS[sort]]
-            image = target.withColumnsRenamed({c: f"image_{c}" for c in columns})
-            both = leg.select("inst", "iface", "rid", side, "image").join(own.select(*keys, *columns), keys).join(image, ["inst", side, "image"])
-            for column in ATTRIBUTES[sort]:
-                differ = both.where(~F.col(column).eqNullSafe(F.col(f"image_{column}")))
-                parts.append(issue(differ, "interface", "attribute_mismatch", F.concat_ws(".", "iface", F.lit(side), "rid", F.lit(column))))
-            for column, to in ARROWS[sort].items():
-                over = diagram.spans.where(F.col("sort") == to).select("inst", "iface", F.col("rid").alias(column), F.col(f"{side}_rid").alias("over"))
-                square = both.join(over, ["inst", "iface", column], "left").where(~F.col("over").eqNullSafe(F.col(f"image_{column}")))
-                parts.append(issue(square, "interface", "naturality", F.concat_ws(".", "iface", F.lit(side), "rid", F.lit(column))))
+    # Both sides and all sorts go through each check together.
+    sides = lambda t, *rest: t.select("inst", "iface", *rest, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("at")) for s, c in (("left", "left"), ("right", "right"))])).alias("s")).select("inst", "iface", *rest, "s.side", F.col("s.at").alias("module"))
+    ends = stored(sides(once), "ends")
+    parts.append(issue(ends.join(modules, ["inst", "module"], "left_anti"), "interface", "interface_target", F.concat_ws(".", "iface", "side")))
+    ends = ends.join(modules, ["inst", "module"], "left_semi")
+    if diagram.maps is not None:
+        lists = diagram.maps.groupBy("inst", "iface", "side").agg(F.array_sort(F.collect_set("sort")).alias("sorts"))
+        lists = ends.join(lists, ["inst", "iface", "side"], "left").withColumn("odd", ~F.col("sorts").eqNullSafe(F.array(*map(F.lit, sorted(SORTS)))))
+        parts.append(issue(lists.where("odd"), "interface", "map_sorts", F.concat_ws(".", "iface", "side")))
+        ends = lists.where("NOT odd").select("inst", "iface", "side", "module")
+    ends = stored(ends, "ends")
+    legs = sides(diagram.spans.withColumnsRenamed({"left_rid": "left", "right_rid": "right"}), "sort", "rid").withColumnRenamed("module", "image")
+    legs = stored(legs, "legs")
+    used = legs.where("image IS NOT NULL").join(ends, ["inst", "iface", "side"])
+    own = union([t.select("inst", "iface", F.lit(sort).alias("sort"), "rid") for sort, t in diagram.overlaps.items()])
+    asked = own.join(ends.select("inst", "iface", "side"), ["inst", "iface"])
+    key = ["inst", "iface", "side", "sort"]
+    both = asked.select(*key, "rid", F.lit(1).alias("n")).unionByName(used.select(*key, "rid", F.lit(-1).alias("n")))
+    missing = stored(both.groupBy(*key, "rid").agg(F.sum("n").alias("n")).where("n != 0").select(*key).distinct(), "missing")
+    parts.append(issue(missing, "interface", "map_totality", F.concat_ws(".", "iface", "side", "sort")))
+    used = stored(used.join(missing, key, "left_anti"), "used")
+    parts.append(issue(used.groupBy(*key, "image").count().where("count > 1"), "interface", "map_injectivity", F.concat_ws(".", "iface", "side", "image")))
+    targets = union([t.select("inst", "module", F.lit(sort).alias("sort"), F.col("rid").alias("image")) for sort, t in diagram.records.items()]).distinct()
+    parts.append(issue(used.join(targets, ["inst", "module", "sort", "image"], "left_anti"), "interface", "map_reference", F.concat_ws(".", "iface", "side", "rid")))
+    image = fields(diagram.records, ["inst", "module"]).withColumnsRenamed({"rid": "image", "value": "image_value"}).drop("to")
+    met = used.join(fields(diagram.overlaps, ["inst", "iface"]), ["inst", "iface", "sort", "rid"]).join(image, ["inst", "module", "sort", "image", "field"])
+    over = legs.select("inst", "iface", "side", F.col("sort").alias("to"), F.col("rid").alias("value"), F.col("image").alias("over"))
+    met = met.join(over, ["inst", "iface", "side", "to", "value"], "left")
+    differ = stored(met.where(~F.when(F.col("to").isNull(), F.col("value")).otherwise(F.col("over")).eqNullSafe(F.col("image_value"))), "differ")
+    record = F.concat_ws(".", "iface", "side", "rid", "field")
+    parts += [issue(differ.where("to IS NULL"), "interface", "attribute_mismatch", record), issue(differ.where("to IS NOT NULL"), "interface", "naturality", record)]
     return union(parts)
