@@ -1,12 +1,15 @@
 """Main text of web pages by tree scoring, in time that grows with a page's length, however it is formed.
 
 A page becomes a list of elements, parents first, and a list of blocks of text. Elements that are never main text by
-their kind (menus, footers, scripts, ...) have no blocks. Those that probably aren't by their names or role (adverts,
-comments, forms, ...) are left out unless they wrap the page's heading, its article or all its text. Every other block
-passes points for its length and commas to the elements around it, half as many at each step up; an element's points are
-discounted by the share of its text inside links. The element with most points is the container, or the outermost article
-or main around it, whose wanted blocks are all kept; siblings that earn enough, and plain blocks and text beside it, are
-kept with it. Points, lengths and membership are each one pass over the elements, up or down.
+their kind (menus, footers, scripts, ...) have no blocks. Others are doubted from 0 to 1: by words of their names (a name of
+adverts or comments alone counts fully, words of other kinds beside them dilute it), by their role, by the heading they
+begin with, and, where these leave it open, by links, repeated like-shaped parts and calls to act. Doubt discounts the
+points of all inside. Much doubt leaves an element out, less does so only outside the main article, and neither does where
+it wraps the page's article, its only heading of level one, or all its text. Every block passes points for its length and
+commas to the elements around it, half as many at each step up; an element's points are discounted by the share of its text
+inside links. The element with most points is the container, or the outermost article or main around it, whose wanted
+blocks are all kept; siblings that earn enough, and plain blocks and text beside it, are kept with it. Points, lengths,
+doubt and membership are each one pass over the elements, up or down.
 """
 
 from __future__ import annotations
@@ -42,16 +45,31 @@ CLOSES = {
 }
 # Beyond these no start tag ends anything.
 SCOPE = frozenset("table ul ol dl div section article main body html blockquote td th".split())
-# Words in class and id names of parts that aren't main text, words that may stand beside them, and words of parts that are.
-BAD_NAME = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menus nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies respond share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar topbar widget widgets disclaimer gdpr modal overlay signup login skyscraper recommended recommendations".split()
+# Words in class and id names. These name parts that aren't main text, whatever stands beside them, ...
+STRONG_NAME = frozenset(
+    "ad ads adsbygoogle adsense advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment commentlist comments disqus gdpr login masthead menu menus modal nav navbar navigation newsletter outbrain pager pagination popup promo promoted promotion replies respond sidebar sidebars signup skyscraper sponsor sponsored subscribe subscription taboola toolbar topbar".split()
 )
-BESIDE_NAME = frozenset("area bar block bottom box btn button buttons col column container content form global group holder inner item items left link links list main page panel post posts primary reader right row secondary section site slot stories text top unit user wrap wrapper".split())
+# ... these do alone or with words of place and form, ...
+WEAK_NAME = frozenset("consent cookie cookies disclaimer footer header notice notices overlay recommendations recommended related share sharing social widget widgets".split())
+# ... these only beside the main article, ...
+SLIGHT_NAME = frozenset("discussion discussions feedback reactions responses reviews thread threads".split())
+# ... these are words of place and form, which count for nothing, ...
+BESIDE_NAME = frozenset(
+    "area article bar block bottom box btn button buttons col column container content entry form global group holder inner item items left link links list main page panel policy post posts primary privacy reader right row secondary section site slot stories story text this top unit user wrap wrapper".split()
+)
+# ... these make a name say what an element has or is about, not what it is, ...
+STATE_NAME = frozenset("about category closed has hide is no not open show tag topic type with without".split())
+# ... and these name main text.
 GOOD_NAME = frozenset("article body content entry hentry main page post story text".split())
+# Heads and feet of these belong to them.
+OWN_NAME = frozenset("article chapter entry post section story".split())
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar alert form".split())
+# Headings of parts that aren't main text, and calls to act.
+HEADING = re.compile(r"(?:\d+ |all |reader |readers' |user )?(?:comments?|replies|responses|reactions)(?: ?\(\d+\))?:?|(?:leave|post|add) a (?:comment|reply)|join the (?:discussion|conversation)|related (?:articles?|posts?|stories|links)|you (?:may|might) also like|recommended(?: for you)?|more from .{1,40}|share (?:this|on).{0,30}|advertisement|sponsored(?: content)?|(?:our )?newsletter|most (?:read|popular)", re.IGNORECASE)
+CALL = re.compile(r"\b(?:subscribe|sign up|log in|buy now|shop now|click here|follow us|share this|accept (?:all )?cookies|learn more|read more)\b", re.IGNORECASE)
 
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-NAME_PARTS = re.compile(r"[a-z]+")
+NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 PLAIN = re.compile(r"[^>\"']*")
 INVISIBLE = re.compile(r"display\s*:\s*none")
@@ -59,14 +77,19 @@ RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
 #: Open elements that a start tag ends, the other way round than CLOSES.
 ENDED_BY: dict[str, list[str]] = {t: [s for s, ends in CLOSES.items() if t in ends] for t in frozenset().union(*CLOSES.values())}
 
-SURE, SUSPECT, NOT = 2, 1, 0
+#: Doubts: from the first on, an element is left out anywhere; from the second on, outside the main article; from the third on, its content is looked at.
+LEAVE, LEAVE_BESIDE, LOOK = 0.55, 0.45, 0.35
+#: What each sign in an element's content adds to its doubt.
+SIGN = 0.2
+#: A call to act counts in a text up to this long.
+CALL_CHARS = 200
 
 
 class Page:
-    """Elements as parallel lists, parents before children: tag, parent, unwanted; and blocks (owner, text, characters in links)."""
+    """Elements as parallel lists, parents before children: tag, parent, barred (never main text), doubt, good, shape; and blocks (owner, text, characters in links)."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.unwanted, self.good = ["#top"], [-1], [NOT], [False]
+        self.tag, self.parent, self.barred, self.doubt, self.good, self.shape = ["#top"], [-1], [False], [0.0], [False], [""]
         self.blocks: list[tuple[int, str, int]] = []
         self.stack, self.open, self.scopes, self.links = [0], {}, [], 0
         self.never = self.articles = 0
@@ -91,11 +114,13 @@ class Page:
 
     def add(self, tag: str, attributes: str) -> int:
         node = len(self.tag)
-        kind, good = judged(tag, attributes, self.articles > 0)
+        barred, doubt, good, shape = judged(tag, attributes, self.articles > 0)
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
-        self.unwanted.append(kind)
+        self.barred.append(barred)
+        self.doubt.append(doubt)
         self.good.append(good)
+        self.shape.append(shape)
         return node
 
     def push(self, node: int) -> None:
@@ -107,7 +132,7 @@ class Page:
         if tag in SCOPE:
             self.scopes.append(len(self.stack))
         self.links += tag == "a"
-        self.never += self.unwanted[node] == SURE
+        self.never += self.barred[node]
         self.articles += tag in ("article", "main")
         self.stack.append(node)
 
@@ -123,7 +148,7 @@ class Page:
             if tag in SCOPE:
                 self.scopes.pop()
             self.links -= tag == "a"
-            self.never -= self.unwanted[node] == SURE
+            self.never -= self.barred[node]
             self.articles -= tag in ("article", "main")
             self.stack.pop()
 
@@ -150,23 +175,34 @@ class Page:
             self.cut(places[-1])
 
 
-def judged(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
-    """(whether an element is unwanted for sure, suspected, or not; whether its names speak for it)."""
+def name_doubt(parts: list[str]) -> float:
+    """How far the words of one class or id name speak against main text; single letters and digits say nothing."""
+    words = [p for p in parts if len(p) > 1]
+    if not STATE_NAME.isdisjoint(words):
+        return 0.0
+    own = not OWN_NAME.isdisjoint(words)
+    against = sum(1.0 if w in STRONG_NAME else 0.6 if w in WEAK_NAME else 0.5 if w in SLIGHT_NAME else 0.0 for w in words if not (own and w in ("header", "footer")))
+    other = sum(w not in STRONG_NAME and w not in WEAK_NAME and w not in SLIGHT_NAME and w not in BESIDE_NAME and w not in GOOD_NAME for w in words)
+    return min(1.0, against) / (1 + 0.4 * other)
+
+
+def judged(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool, str]:
+    """(whether an element is never main text, doubt of its names and role, whether its names speak for it, its shape)."""
     if tag in NEVER or (tag == "header" and not inside):
-        return SURE, False
-    kind, good = SUSPECT if tag == "form" else NOT, False
+        return True, 0.0, False, tag
+    doubt, good, shape = 0.7 if tag == "form" else 0.0, False, tag
     if attributes:
         found: dict[str, str] = {}
         for m in ATTRIBUTE.finditer(attributes):
-            found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
-        if "hidden" in found or found.get("aria-hidden") == "true" or INVISIBLE.search(found.get("style", "")):
-            return SURE, False
-        names = [NAME_PARTS.findall(x) for x in (found.get("class", "") + " " + found.get("id", "")).split()]
-        good = any(p in GOOD_NAME for x in names for p in x)
-        bad = any(x and not BAD_NAME.isdisjoint(x) and all(p in BAD_NAME or p in BESIDE_NAME for p in x) for x in names)
-        if tag not in ("html", "body", "article", "main") and (bad or found.get("role") in BAD_ROLE):
-            kind = SUSPECT
-    return kind, good
+            found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or INVISIBLE.search(found.get("style", "").lower()):
+            return True, 0.0, False, tag
+        names = [[p.lower() for p in NAME_PARTS.findall(x)] for x in (found.get("class", "") + " " + found.get("id", "")).split()]
+        shape = f"{tag}.{found.get('class', '')}"
+        if tag not in ("html", "body", "main"):
+            doubt = max(doubt, 0.8 if found.get("role", "").lower() in BAD_ROLE else 0.0, max(map(name_doubt, names), default=0.0))
+        good = doubt < LEAVE_BESIDE and any(p in GOOD_NAME for x in names for p in x)
+    return False, doubt, good, shape
 
 
 def parse(page: str) -> Page:
@@ -223,6 +259,56 @@ def clean_text(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
+def doubts(tree: Page, held: list[int], within: list[int], first: list[int]) -> list[float]:
+    """Doubt of each element by name, role and first heading, raised by signs in its content where these leave it open."""
+    tag, parent, doubt, rest = tree.tag, tree.parent, list(tree.doubt), list(held)
+    for i in range(1, len(tag)):
+        if tag[i] in ("div", "section") and first[i] < len(tree.blocks):
+            owner, text, _ = tree.blocks[first[i]]
+            if parent[owner] == i and tag[owner] in ("h2", "h3", "h4", "h5", "h6") and HEADING.fullmatch(text):
+                doubt[i] = max(doubt[i], 0.5)
+                rest[i] -= len(text)
+    unsure = {i: {} for i, d in enumerate(doubt) if LOOK <= d < LEAVE}
+    for i in range(1, len(tag)):
+        if tag[i] in ("li", "article") or (tag[i] in CONTAINER and tree.shape[i] != tag[i]):
+            for above in (parent[i], parent[parent[i]]):  # parts may lie in a list
+                if above in unsure:
+                    count, chars = unsure[above].get(tree.shape[i], (0, 0))
+                    unsure[above][tree.shape[i]] = (count + 1, chars + held[i])
+    for i, shapes in unsure.items():
+        repeated = any(count > 1 and chars > 0.6 * rest[i] for count, chars in shapes.values())
+        called = 0 < held[i] <= CALL_CHARS and CALL.search(tree.blocks[first[i]][1]) is not None
+        doubt[i] += SIGN * (repeated + called + (within[i] > 0.5 * rest[i]))
+    return doubt
+
+
+def wrapping(tree: Page, held: list[int], doubt: list[float]) -> list[bool]:
+    """Elements that doubt doesn't leave out: around the page's article, around its only h1, or around all its text.
+
+    The article is the longest one, each discounted by the doubt of what it is in; articles inside much doubt, like comments,
+    count only if there is no other and no main. Full doubt outweighs an h1 where there is an article.
+    """
+    tag, parent, n = tree.tag, tree.parent, len(tree.tag)
+    trust, barred = [1.0] * n, list(tree.barred)
+    for i in range(1, n):
+        trust[i] = trust[parent[i]] * (1 - min(doubt[i], 0.9))
+        barred[i] = barred[i] or barred[parent[i]]
+    articles = [i for i in range(1, n) if tag[i] == "article" and held[i]]
+    mains = [i for i in range(1, n) if tag[i] == "main" and held[i]]
+    chosen = max([i for i in articles if trust[i] > 0.5] or mains or articles, key=lambda i: held[i] * trust[i], default=0)
+    headings = [i for i in range(1, n) if tag[i] == "h1" and not barred[i]]
+    spared = [held[i] == held[0] for i in range(n)]
+    i = chosen
+    while i > 0:
+        spared[i] = True
+        i = parent[i]
+    i = headings[0] if len(headings) == 1 else 0
+    while i > 0:
+        spared[i] = spared[i] or not chosen or doubt[i] < 0.75
+        i = parent[i]
+    return spared
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by line feeds; empty for a null or empty page, or one without text."""
     if not page:
@@ -233,24 +319,28 @@ def main_text(page: str | None) -> str:
         return ""
     points = [(1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text)) for _, text, links in blocks]
 
-    # Up: text in and below each element, and whether it holds a heading or an article. Down: what is left out.
-    held, marked = [0] * n, [t in ("h1", "article", "main") for t in tag]
-    for owner, text, _ in blocks:
+    # Up: text and links in and below each element, and its first block. Then doubt, and what it can't leave out.
+    held, within, first = [0] * n, [0] * n, [len(blocks)] * n
+    for k, (owner, text, links) in enumerate(blocks):
         held[owner] += len(text)
+        within[owner] += links
+        first[owner] = min(first[owner], k)
     for i in range(n - 1, 0, -1):
         held[parent[i]] += held[i]
-        if marked[i] and not tree.unwanted[i]:
-            marked[parent[i]] = True
-    out = [False] * n
+        within[parent[i]] += within[i]
+        first[parent[i]] = min(first[parent[i]], first[i])
+    doubt = doubts(tree, held, within, first)
+    spared = wrapping(tree, held, doubt)
+    out, trust = [False] * n, [1.0] * n
     for i in range(1, n):
-        wraps = marked[i] or held[i] == held[0]
-        out[i] = out[parent[i]] or (tree.unwanted[i] == SUSPECT and not wraps)
+        out[i] = out[parent[i]] or (doubt[i] >= LEAVE and not spared[i])
+        trust[i] = trust[parent[i]] * (1 if spared[i] else 1 - doubt[i])
 
     # Up: points at half a step, lengths of text and of links.
     flow, length, linked = [0.0] * n, [0] * n, [0] * n
     for (owner, text, links), p in zip(blocks, points):
         if not out[owner]:
-            flow[owner if tag[owner] in CONTAINER or owner == 0 else parent[owner]] += p
+            flow[owner if tag[owner] in CONTAINER or owner == 0 else parent[owner]] += p * trust[owner]
             length[owner] += len(text)
             linked[owner] += links
     for i in range(n - 1, 0, -1):
@@ -267,10 +357,23 @@ def main_text(page: str | None) -> str:
     if not candidates:
         return ""
     best = i = max(candidates, key=score)
+    core = 0
     while i > 0:
         if tag[i] in ("article", "main"):
             best = i
+        core = core or (i if tag[i] in ("article", "main") or tree.good[i] else 0)
         i = parent[i]
+    # Down: outside the article, less doubt leaves out.
+    core = core or best
+    inside = [False] * n
+    inside[core] = True
+    around = core
+    while around > 0:
+        spared[around] = True
+        around = parent[around]
+    for i in range(1, n):
+        inside[i] = inside[i] or inside[parent[i]]
+        out[i] = out[i] or out[parent[i]] or (doubt[i] >= LEAVE_BESIDE and not inside[i] and not spared[i])
     keep, beside = [False] * n, -1
     keep[best] = True
     if best and tag[best] not in ("body", "html"):

@@ -139,6 +139,15 @@ def article_text(page):
     return "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in parts) if x)
 
 
+def text_without_parts(page):
+    """What is left of a page without head, menus, footers, scripts, styles and adverts, wherever it stands; parts don't nest alike."""
+    left = re.sub(r"<!--.*?-->|<!DOCTYPE[^>]*>", "", page or "", flags=re.DOTALL)
+    for tag in ("head", "nav", "header", "footer", "script", "style", "aside", 'div class="ad"'):
+        left = re.sub(rf"<{tag}\b[^>]*>.*?</{tag.split()[0]}>" if " " not in tag else rf"<{tag}>.*?</div>", "", left, flags=re.DOTALL)
+    parts = re.split(r"</?(?!b\b|i\b|em\b|a\b|br\b|span\b|strong\b)[a-z][a-z0-9]*\b[^>]*>", left.replace("<br>", " "))
+    return "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in parts) if x)
+
+
 def toxic_score(text, model):
     """A document's score by loops over words, n-grams and windows."""
     from causeway.llm import toxicity

@@ -407,7 +407,8 @@ def test_html_pages():
     import pyarrow.parquet as pq
 
     pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
-    assert len(pages) and [htmltext.main_text(p) for p in pages] == [brute.article_text(p) for p in pages]
+    got = [htmltext.main_text(p) for p in pages]
+    assert len(pages) and got == [brute.article_text(p) for p in pages] == [brute.text_without_parts(p) for p in pages]
 
 
 HTML = [
@@ -421,7 +422,44 @@ HTML = [
     ("a < b <c", "a < b <c"),
     ("<p>&amp;lt; &#65;&nbsp;B\n C", "&lt; A B C"),
     ("<p>one<p>two<div>three</div>four</b>", "one\ntwo\nthree\nfour"),
+    ("<article class='post has-sidebar tag-cookies'><p>Main, text</p><div class=cookie-recipe><p>Bake</p></div></article>", "Main, text\nBake"),
+    ("<article><p>Main, text</p><section class=discussion><h2>Discussion</h2><p>We found, in short, this.</p></section></article>", "Main, text\nDiscussion\nWe found, in short, this."),
+    ("<div class=sidebar-layout><article><p>Main, text</p></article></div><div class=sidebar-layout><p>Side</p></div>", "Main, text"),
+    ("<div class=page-header><h1>Title</h1></div><article><p>Main, text</p></article>", "Main, text"),
+    ("<main><div class=page-header><h1>Title</h1></div><article><p>Main, text</p></article></main>", "Title\nMain, text"),
+    ("<main><article class='sponsored'><p>All, there, is</p></article></main>", "All, there, is"),
 ]
+COMMENTS = "<div class=c1><p>I think, as others do, that this is, well, fine.</p></div>" * 5
+LEFT_OUT = ["comment-thread", "comment-body", "discussion", "fb-comments", "FBComments", "reader-comments-2"]
+INSIDE = ["advert-300x250", "google-ad", "ad-leaderboard", "cookie-policy", "privacy-notice", "promo-x", "share-this", "newsletter-signup-v2", "taboola", "inline-ad", "comment-list"]
+
+
+@pytest.mark.parametrize("name", LEFT_OUT)
+def test_html_comments_beside_the_article(name):
+    part = f"<section class='{name}'>{COMMENTS}</section>"
+    post = "<h1>Title</h1><p>Main, text, of the page.</p><p>More, text.</p>"
+    want = "Title\nMain, text, of the page.\nMore, text."
+    for page in (f"<main><article>{post}</article>{part}</main>", f"<body><div class=post>{post}</div>{part}</body>", f"<article>{post}</article>{part}", f"<body>{part}<div class=post>{post}</div></body>"):
+        assert htmltext.main_text(page) == want, page
+    by_article = "".join(f"<article><p>I think, {k}, that it is, well, fine, and so on, and on.</p></article>" for k in range(4))
+    assert htmltext.main_text(f"<main><div class=post>{post}</div><section class='{name}'>{by_article}</section></main>") == want
+
+
+@pytest.mark.parametrize("name", INSIDE)
+def test_html_parts_inside_the_article(name):
+    page = f"<main><article><h1>Title</h1><p>Main, text</p><div class='{name}'><h2>More</h2><p>Buy, or read, this.</p></div><p>End</p></article><div class='{name}'><h1>Also</h1><p>Other, things</p></div></main>"
+    assert htmltext.main_text(page) == "Title\nMain, text\nEnd"
+
+
+def test_html_parts_known_by_content():
+    """Headings, repeated parts, links and calls tell where no name does."""
+    post = "<h1>Title</h1><p>Main, text, of the page.</p><p>More, text.</p>"
+    want = "Title\nMain, text, of the page.\nMore, text."
+    for part in (f"<section><h3>12 comments</h3>{COMMENTS}</section>", "<div><h4>Related articles</h4><ul><li><a href=x>One, two</a></li><li><a href=y>Three</a></li></ul></div>", "<div class=feedback-x><p>Subscribe now</p></div>"):
+        assert htmltext.main_text(f"<main><article>{post}</article>{part}</main>") == want
+        assert htmltext.main_text(f"<article>{post}{part}</article>") == want
+    kept = "<section><h3>Comments</h3><p>On method, and on data.</p></section>"
+    assert htmltext.main_text(f"<article>{post}{kept}</article>") == f"{want}\nComments\nOn method, and on data."
 
 
 @pytest.mark.parametrize(("page", "text"), HTML)
