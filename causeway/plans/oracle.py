@@ -270,3 +270,12 @@ texts AS (SELECT family, n, seed, k, family || ' n' || n || ' seed' || seed || '
   UNION ALL SELECT family, n, seed, -1, '# made by s' || seed || '@example.org' FROM cfg WHERE seed % 100 = 3),
 files AS (SELECT seed // 50 AS shard, string_agg(line || chr(10), '' ORDER BY seed, family, n, k) AS content, bool_or(k = -1) AS identifying FROM texts GROUP BY seed // 50)
 SELECT shard, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256, identifying FROM files"""
+SQL["library_faults"] = f"""WITH {EQ}, n AS (SELECT code, count(*) AS n FROM eq GROUP BY code),
+f(kind, code, record) AS (VALUES ('missing_row', 'AND', '1,0'), ('missing_row', 'XOR3', '1,1,1'), ('output_domain', 'ID', '1'), ('foreign_row', 'NOT', '2'), ('conflicting_rows', 'OR', '0,1'), ('undeclared_code', 'GONE', ''), ('unknown_type', 'MAJ3', 'odd'))
+SELECT kind, f.code, record, coalesce(n.n, 0) AS mechanisms FROM f LEFT JOIN n ON n.code = f.code"""
+SQL["partial_library_values"] = f"""WITH RECURSIVE {EQ}, {OBS},
+has(n, known, met) AS (SELECT CAST(0 AS BIGINT), [CAST(65535 AS BIGINT), 65535, 65535, 65535], CAST(0 AS BIGINT)
+  UNION ALL SELECT n + 1, list_append(known, m & xor(65535, hit)), m FROM (SELECT n, known, CASE WHEN a1 IS NULL THEN 65535 ELSE known[a1] & known[coalesce(a2, a1)] & known[coalesce(a3, a1)] END AS m,
+    CASE c WHEN 4 THEN vals[a1] & xor(65535, vals[a2]) WHEN 8 THEN vals[a1] & vals[a2] & vals[a3] ELSE 0 END AS hit FROM has JOIN plan ON plan.k = n, obs_last)),
+x AS (SELECT eq.code, xor(65535, known[n + 4]) AS lacking, met & xor(65535, known[n + 4]) AS asked FROM has JOIN eq ON eq.k = n - 1 WHERE n > 0)
+SELECT code, count(*) AS variables, CAST(sum(bit_count(lacking)) AS BIGINT) AS lacking, CAST(sum(bit_count(asked)) AS BIGINT) AS asked, CAST(0 AS BIGINT) AS differing FROM x GROUP BY code"""

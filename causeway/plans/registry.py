@@ -9,7 +9,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.functions import partial
 from causeway.functions.mechanisms import Library, fraction, replacements, totality
+from causeway.functions.partial import LibraryTables
 from causeway.operators import assembly, certificates, evaluation, interventions, reports, semantics, validation
 from causeway.operators.components import components, components_by_minima
 from causeway.operators.diagram import SORTS, Diagram
@@ -701,6 +703,41 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.spread(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))
 
 
+def faulty_library(spark: SparkSession) -> LibraryTables:
+    """The library with faults of each kind: two rows missing, one too many, one with two values, one value outside its domain, a code of an unknown type and rows of no code."""
+    whole = LibraryTables.of(Library(), spark)
+    row = lambda code, *args: (F.col("code") == code) & (F.col("args") == F.array(*map(F.lit, args)))
+    truth = whole.truth.where(~row("AND", 1, 0) & ~row("XOR3", 1, 1, 1)).withColumn("value", F.when(row("ID", 1), 2).otherwise(F.col("value")))
+    more = literal(spark, [("NOT", [2], 0), ("OR", [0, 1], 0), ("GONE", [0], 0)], "code string, args array<int>, value int")
+    signatures = whole.signatures.withColumn("type", F.when(F.expr("code = 'MAJ3' AND pos = 3"), "odd").otherwise(F.col("type")))
+    return LibraryTables(whole.codes, signatures, truth.unionByName(more))
+
+
+@query
+def library_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a damaged library, and how many mechanisms of the derived model use the code that has them."""
+    used = derived.ground(spark, sf_dir)["Mech"].groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    found = faulty_library(spark).faults().join(used, "code", "left")
+    return found.select("kind", "code", "record", F.coalesce("n", F.lit(0)).alias("mechanisms"))
+
+
+@query
+def partial_library_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that the derived model lacks under a library without AND(1, 0) and XOR3(1, 1, 1), by code: variables, (variable, assignment) pairs without a value, those whose own mechanism lacks the row, and values that differ from the whole library's."""
+    tables = derived.ground(spark, sf_dir)
+    whole = LibraryTables.of(Library(), spark)
+    gone = F.expr("(code = 'AND' AND args = array(1, 0)) OR (code = 'XOR3' AND args = array(1, 1, 1))")
+    library = LibraryTables(whole.codes, whole.signatures, whole.truth.where(~gone)).library()
+    values = stored(evaluation.evaluate_tables(tables, library), "values")
+    spans = literal(spark, [("ground", 0, 0xFFFF)], "inst string, block long, everything long")
+    lacking = partial.undefined(tables, values, spans).groupBy("code").agg(F.sum(F.bit_count("lacking")).alias("lacking"), F.sum(F.bit_count("asked")).alias("asked"))
+    full = evaluation.evaluate_tables(tables, Library()).select("inst", "block", "var", "value", F.col("mask").alias("full"))
+    wrong = values.join(full, ["inst", "block", "var", "value"], "left").withColumn("wrong", F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("full", F.lit(0))))))
+    wrong = wrong.join(tables["Mech"].select("inst", "code", F.col("output").alias("var")), ["inst", "var"]).groupBy("code").agg(F.sum("wrong").alias("differing"))
+    out = tables["Mech"].groupBy("code").agg(F.count(F.lit(1)).alias("variables")).join(lacking, "code", "left").join(wrong, "code", "left")
+    return out.select("code", "variables", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("lacking", "asked", "differing")])
+
+
 @query
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the derived diagram, and rows that differ after it went through a JSON document: as written, and with a code changed in the text."""

@@ -7,7 +7,7 @@ from causeway.functions.mechanisms import Library
 from causeway.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["truth_table", "library_totality", "conflict_codes", "model_sizes", "module_records", "interface_pairs", "supplied_sizes", "law_masses", "grid_instances", "generated_equations", "evaluation_checks", "duplication_comparison", "exact_checks_summary", "timing_summary", "surgery_sizes", "corrupted_issues", "corrupted_models", "levels", "evaluate_all", "running_example_response", "diagnostics", "reconstruction_checks", "local_mismatches", "certificate_violations", "failure_witness_checks", "interface_witness_checks", "broken_diagram_issues", "commutation", "distribution_checks", "json_roundtrip", "components_checks", "shuffle_checks", "release_manifest", "semantic_twins", "intervention_checks", "assembly_issues", "diagram_issues", "do_effects", "pushforward", "total_variation", "quotient_sizes", "fibers"]
+FAST = ["truth_table", "library_totality", "conflict_codes", "model_sizes", "module_records", "interface_pairs", "supplied_sizes", "law_masses", "grid_instances", "generated_equations", "evaluation_checks", "duplication_comparison", "exact_checks_summary", "timing_summary", "surgery_sizes", "corrupted_issues", "corrupted_models", "levels", "evaluate_all", "running_example_response", "diagnostics", "reconstruction_checks", "local_mismatches", "certificate_violations", "failure_witness_checks", "interface_witness_checks", "broken_diagram_issues", "commutation", "distribution_checks", "json_roundtrip", "components_checks", "shuffle_checks", "release_manifest", "semantic_twins", "intervention_checks", "assembly_issues", "diagram_issues", "do_effects", "pushforward", "total_variation", "quotient_sizes", "fibers", "library_faults", "partial_library_values"]
 
 
 def test_every_query_has_sql():
