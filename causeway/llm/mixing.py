@@ -66,13 +66,15 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return bound.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
 
 
-def shuffle_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def shuffle_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A row's key from its doc_id, or from its text where it has none, so that rows without id spread over all ranges."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), named).cast("binary"))
 
 
 def placed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
     """doc_id, source, size, key, source_size, target, epochs (whole repetitions) and rest (words the cut leaves for a row and all after it)."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
     sized = materialise(sized, "sizes")
     count, digits = sized.count(), 1
     while 16**digits * RANGE_ROWS < count:
@@ -96,8 +98,9 @@ def placed(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> D
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words the mix takes of the row, repeats counted), a row for each of docs.
 
-    Null texts and texts without words have size 0 and take 0. Null is a source of its own. Keys depend on doc_id and
-    seed alone, so reruns agree; rows that repeat a doc_id share a key and are ordered by size. The sizes are written
+    Null texts and texts without words have size 0 and take 0. Null is a source of its own. Keys depend on seed
+    and doc_id alone (on the text where doc_id is null), so reruns agree; rows that repeat a doc_id share a key and are
+    ordered by size. The sizes are written
     once as a narrow table; texts are never shuffled. Only doc_id, source and text are read.
     """
     taken = F.col("size") * F.col("epochs") + F.greatest(F.lit(0).cast("long"), F.least("size", "rest"))
@@ -115,7 +118,7 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, s
     cuts = rows.groupBy("source").agg(F.max("epochs").alias("__epochs"), F.max(F.when(at_cut, F.col("key"))).alias("__cut"), F.max(F.when(at_cut, 2 * F.col("rest") >= F.col("size"))).alias("__half"))
     cuts = materialise(cuts.withColumnRenamed("source", "__source"), "cuts")
     joined = docs.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts, F.col("source").eqNullSafe(F.col("__source")))
-    key = shuffle_key(F.col("doc_id"), seed)
+    key = shuffle_key(F.col("doc_id"), F.col("text"), seed)
     once_more = F.coalesce((key < F.col("__cut")) | ((key == F.col("__cut")) & F.col("__half")), F.lit(False))
     times = F.when(word_count(F.col("text")) > 0, F.col("__epochs").cast("int") + once_more.cast("int")).otherwise(F.lit(0))
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
