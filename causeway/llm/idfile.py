@@ -8,6 +8,7 @@ gives four lengths, their running sum gives offsets, and shifted bytes give rank
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -57,16 +58,40 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+# Fixed value: the pre-token pattern of a vocabulary of words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def of_words(tokenizer: dict) -> bool:
+    """Whether no pre-token of a tokenizer file crosses a blank or joins a letter or digit to a mark, and no id depends on what stands around a chunk.
+
+    So it is for pre-tokens by WORDS with blanks removed, a normalizer that composes, lower-cases or makes blanks of white
+    space alone, added tokens without blanks that take none beside them, and a model without dropout or unknown ids.
+    """
+    before, after = tokenizer.get("normalizer"), tokenizer.get("pre_tokenizer") or {}
+    steps = before.get("normalizers", [before]) if before else []
+    blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain = all(s.get("type") in ("NFC", "Lowercase") or s == blank for s in steps)
+    cut = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    parts = after.get("pretokenizers", [])
+    split = len(parts) == 2 and parts[0] == cut and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and parts[1].get("use_regex") is False
+    added = all(not any(c.isspace() for c in t["content"]) and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) for t in tokenizer.get("added_tokens", []))
+    model = tokenizer.get("model", {})
+    return plain and split and added and model.get("type", "BPE") == "BPE" and not (model.get("dropout") or model.get("unk_token") or model.get("byte_fallback"))
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library, for vocabularies of words: none of their pre-tokens crosses a blank or joins a letter or digit to a mark.
+    """Ids by the tokenizers library. Vocabularies of words, as of_words() has them, are encoded chunk by chunk, others by whole texts.
 
-    So blank-separated chunks encode alone and are cached, and so are a word and the marks behind it. New chunks go to the
+    Blank-separated chunks of the former encode alone and are cached, and so are a word and the marks behind it. New chunks go to the
     library in one text, MARK between them: its id, which no other character gives, tells where a chunk's ids end.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            self.by_chunks = of_words(json.load(file))
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -95,6 +120,8 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_chunks:
+            return [self.ids(t or "").tobytes() for t in texts]
         # Only these blanks cut; all others the library treats itself.
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
         distinct: set[str] = set()
@@ -184,7 +211,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", to: str | None = None) -> str:
-    """Writes the ids of all documents in ascending doc_id order (null first); returns the folder.
+    """Writes the ids of all documents in ascending doc_id order (null first, rows of one id by length and hash); returns the folder.
 
     blocks: part, seq, start (ids before it in its part), doc_ids, lengths, control, data. ranks: id, rank.
     The rank table has a row per id of the vocabulary at most; that bounds what the driver holds. An empty table gives
@@ -225,7 +252,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", to: s
         if held:
             yield block()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "data")
+    order = ["doc_id", "n", F.xxhash64("data")]  # rows that share an id, or have none, may lie in several ranges
+    ordered = tokens.repartitionByRange(*order).sortWithinPartitions(*order, "data")
     ordered.mapInArrow(run, schema).write.option("parquet.block.size", 16 << 20).parquet(f"{to}/blocks")
     return to
 

@@ -62,6 +62,31 @@ def test_token_files(spark):
     assert idfile.read_ids(spark, idfile.write_ids(docs(spark, EMPTY), tokenizer(WORD_BPE), 1)).count() == 0
 
 
+def test_token_files_of_repeated_and_missing_ids(spark):
+    """Every row comes back, rows without id first, those of one id beside each other, each behind the ids before it."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t in enumerate(texts()[:60])]
+    rows += [(None, f"no id {i % 40} here") for i in range(300)] + [(7, "seven"), (7, "seven"), (7, None), (7, "seven again")]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, n string, data int").repartition(5)
+    got = [(r["doc_id"], r["start"], r["n_tokens"], r["c"]) for r in idfile.read_ids(spark, idfile.write_ids(table, tokenizer(WORD_BPE), 1)).withColumn("c", F.crc32("ids")).collect()]
+    alone = brute.token_file([(k, t) for k, (_, t) in enumerate(rows)], 1)
+    assert sorted((str(i), n, c) for i, _, n, c in got) == sorted((str(i), *alone[k][1:]) for k, (i, _) in enumerate(rows))
+    in_order = sorted(got, key=lambda r: r[1])
+    assert [r[1] for r in in_order] == [sum(x[2] for x in in_order[:k]) for k in range(len(rows))]
+    ids = [r[0] for r in in_order]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+
+
+def test_other_vocabularies_are_encoded_whole():
+    from causeway.llm.queries import BYTE_BPE
+
+    made = [None, "", "two  words ", " a\n\nb, 's <|endoftext|>x", "x" * 500]
+    encoder = idfile.LibraryEncoder(tokenizer(BYTE_BPE))
+    assert not encoder.by_chunks and idfile.LibraryEncoder(tokenizer(WORD_BPE)).by_chunks
+    assert encoder.encode(made) == [np.array(ids, "<u4").tobytes() for ids in brute.library_ids(BYTE_BPE, [t or "" for t in made])]
+
+
 def test_library_encoder_on_odd_characters():
     rng = random.Random(9)
     odd = [*"abZ.,;:!?'0-_ \n\t\r\0\x01\x85", "\u0301", "\u0345", "é", "Å", "İ", "ß", "²", "½", "Ⅳ", "ª", "Ω", "中", "\u2028", "\u3000", "\u200b", "\ufeff", "<|endoftext|>"]
@@ -311,6 +336,27 @@ def test_mixing(spark):
     assert mixing.mix(table.limit(0)).count() == 0 and mixing.draw(table.limit(0)).count() == 0
 
 
+def test_mixing_of_missing_and_repeated_ids(spark, monkeypatch):
+    """Rows without id spread over many keys, reruns agree, and budgets are met to a word."""
+    rng = random.Random(4)
+    rows = [(None if i % 2 else i // 6, " ".join([f"w{i}"] * rng.randint(0, 9)) or None, "ab"[i % 3 == 0]) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    keys = mixing.placed(table, (5, 2, 1), 3, "mix").where("doc_id IS NULL AND size > 0")
+    assert keys.select("key").distinct().count() == keys.count() > 100
+    got = mixing.mix(table).collect()
+    by: dict = {}
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        x = by.setdefault(r["source"], [r["target"], 0])
+        x[1] += r["taken"]
+    assert len(got) == len(rows) and all(abs(target - taken) <= 1 for target, taken in by.values())
+    key = lambda r: (str(r["doc_id"]), r["source"], r["size"], r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, mixing.mix(table.repartition(7)).collect()))
+    drawn = sorted((str(r["doc_id"]), str(r["text"])) for r in mixing.draw(table).collect())
+    assert drawn and drawn == sorted((str(r["doc_id"]), str(r["text"])) for r in mixing.draw(table.repartition(4)).collect())
+
+
 URLS = [None, "", "no scheme", "http://EXAMPLE.org/es/x?y", "http://a.b.example.org/en/17", "https://x.com/fr/", "https://com/de/#q", "http://example.org", "http://notexample.org.net/es/", "http://example.org?/es/", "a://example.org/es", "http://" + "a." * 3000 + "com/de/" + "z" * 9000]
 
 
