@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.plans.storage import discard, shared_dir, stored as materialise
+from causeway.plans.storage import discard, shared_dir, written as materialise
 
 __all__ = ["bound_batches", "discard", "groups_of", "join_classes", "materialise", "shared_dir", "small_batches"]
 
