@@ -1,7 +1,7 @@
 """Models and measurements in files for exchange: JSON documents of diagrams and libraries, lines of records, CSV.
 
-A document holds a whole diagram in one text, as its format demands, so its size bounds the models it suits. Large models
-go as lines, a record each, which any number of tasks write and read.
+A document holds a whole instance in one text, as its format demands, so a large diagram goes in volumes: documents of its
+parts, each with all interfaces and a bounded share of the records. Lines, a record each, suit any model, too.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from causeway.operators import certificates as proofs
 from causeway.operators import validation
 from causeway.operators.assembly import Assembly
 from causeway.operators.diagram import ARROWS, ATTRIBUTES, SORTS, Diagram
+from causeway.plans.storage import stored
 
 FIELDS = {s: tuple(sorted((*ATTRIBUTES[s], *ARROWS[s]))) for s in SORTS}
 KEPT_NULLS = {"ignoreNullFields": "false"}
@@ -59,6 +60,31 @@ def descriptions(tables: dict[str, DataFrame], owners: DataFrame, owner: str) ->
     return out.select("inst", owner, F.struct(boundary, F.col(owner).alias("name"), F.struct(*maps).alias("tables")).alias("description"))
 
 
+#: Rows of a diagram's tables that one document holds, about, at 100 bytes of text each.
+VOLUME_ROWS = 50_000
+VOLUME = "#"
+
+
+def in_volumes(diagram: Diagram, rows: int = VOLUME_ROWS) -> Diagram:
+    """The diagram as instances of about so many rows, named with a number behind VOLUME: records are dealt by module and id, overlaps and spans by interface and id, and each volume has all faces."""
+    tables = [(t, "module") for t in diagram.records.values()] + [(t, "iface") for t in (*diagram.overlaps.values(), diagram.spans)]
+    sizes = validation.union([t.groupBy("inst").agg(F.count(F.lit(1)).alias("n")) for t, _ in tables]).groupBy("inst").agg(F.ceil(F.sum("n") / rows).cast("int").alias("volumes"))
+    sizes = stored(sizes, "volumes")
+
+    def named(t: DataFrame, volume: Column) -> DataFrame:
+        return t.join(sizes, "inst").withColumn("volume", volume).withColumn("inst", F.concat_ws(VOLUME, "inst", "volume")).select(*t.columns)
+
+    dealt = lambda t, owner: named(t, F.pmod(F.xxhash64(owner, "rid"), F.col("volumes")))
+    by_sort = lambda tables, owner: {s: dealt(t, owner) for s, t in tables.items()}
+    return Diagram(by_sort(diagram.records, "module"), named(diagram.faces, F.explode(F.sequence(F.lit(0), F.col("volumes") - 1))), dealt(diagram.spans, "iface"), by_sort(diagram.overlaps, "iface"))
+
+
+def from_volumes(diagram: Diagram) -> Diagram:
+    """The inverse of in_volumes()."""
+    whole = diagram.renamed(F.regexp_replace("inst", f"{VOLUME}[0-9]+$", ""))
+    return Diagram(whole.records, whole.faces.distinct(), whole.spans, whole.overlaps)
+
+
 def documents(diagram: Diagram) -> DataFrame:
     """inst, document: each diagram as compact JSON with sorted keys. An id that a module or an overlap has twice is an error."""
     owners = None

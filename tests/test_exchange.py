@@ -4,7 +4,7 @@ import json
 
 from causeway.functions.mechanisms import Library
 from causeway.operators import assembly
-from causeway.sources import exchange, fixtures
+from causeway.sources import derived, exchange, fixtures
 
 
 def test_documents_roundtrip(spark, tmp_path):
@@ -54,3 +54,16 @@ def test_csv_roundtrip(spark, tmp_path):
     schema = "n int, name string, x double"
     exchange.write_csv(spark.createDataFrame(rows, schema), str(tmp_path / "c"))
     assert sorted(tuple(r) for r in exchange.read_csv(spark, str(tmp_path / "c"), schema, multiline=True).collect()) == [rows[0], (2, None, None), *rows[2:]]
+
+
+def test_large_diagrams_go_in_volumes(spark):
+    """No document holds more than its share, and nothing is lost or doubled; an instance of one volume stays one."""
+    whole = derived.diagram(spark, "/root/testdata/sf0.001")
+    rows = sum(t.count() for name, t in exchange.parts(whole).items() if name != "faces")
+    texts = exchange.documents(exchange.in_volumes(whole, rows // 5)).cache()
+    assert sorted(r["inst"] for r in texts.collect()) == [f"derived#{i}" for i in range(6)]
+    sizes = [len(r["document"]) for r in texts.collect()]
+    assert max(sizes) < sum(sizes) / 3
+    back = exchange.from_volumes(exchange.diagram_of(texts))
+    assert all(r["differing"] == 0 and r["n"] > 0 for r in exchange.differing(whole, back).collect())
+    assert exchange.documents(exchange.in_volumes(whole)).count() == 1
