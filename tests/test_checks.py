@@ -34,6 +34,19 @@ def test_both_algorithms_find_the_components(spark):
         assert algorithm(df.limit(0)).count() == 0
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Pairs that form stars, as copies in two modules do, are written once; a chain takes rounds."""
+    from causeway.operators import components as module
+
+    written, real = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda *a: written.append(1) or real(*a))
+    stars = [("a", "b"), ("c", "a"), ("x", "y"), ("x", "y"), (None, "x")]
+    assert {tuple(r) for r in components(spark.createDataFrame(stars, "a string, b string")).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    assert len(written) == 1
+    assert {r["component"] for r in components(spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "a string, b string")).collect()} == {"n0"}
+    assert len(written) > 2
+
+
 def glued_example(spark):
     diagram = fixtures.diagram(spark, ("F01",))
     glued = assembly.assemble(diagram, deduplicate=True)

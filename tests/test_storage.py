@@ -1,5 +1,8 @@
 """Tables between steps: what their joins send through the driver."""
 
+import pytest
+
+from causeway.plans import storage
 from causeway.plans.storage import stored
 
 
@@ -20,3 +23,14 @@ def test_sides_with_many_rows_are_not_broadcast(spark):
     stored(one.join(few, "id"), "both")
     assert "BroadcastHashJoin" in last_plan(spark)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_steps_that_run_together_leave_the_settings_as_they_were(spark):
+    """Each step marks broadcasts for itself; the last one out sets them back, whatever the order they end in."""
+    before = {key: spark.conf.get(key, None) for key in storage.GUESSES}
+    found = storage.together(spark, {i: lambda i=i: storage.stored(spark.range(10 ** (i % 3 + 1)), "rows").count() for i in range(9)})
+    assert found == {i: 10 ** (i % 3 + 1) for i in range(9)}
+    assert {c: t.count() for c, t in storage.stored_all({"x": spark.range(3), "y": spark.range(4)}, "t").items()} == {"x": 3, "y": 4}
+    with pytest.raises(ZeroDivisionError):
+        storage.together(spark, {"bad": lambda: 1 / 0, "good": lambda: spark.range(2).count()})
+    assert {key: spark.conf.get(key, None) for key in storage.GUESSES} == before and not storage.MARKED
