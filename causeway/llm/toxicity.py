@@ -212,10 +212,12 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", most: int = 2500, most_chars: int = 16_000_000) -> Model:
     """Fits a model on labelled rows that aren't held out.
 
-    At most `most` rows of each label, in the order of a hash of doc_id, and most_chars characters in all, so the driver
-    holds a bounded sample; texts in it are whole. Null labels, texts or ids are left out. Repeated rows of an id count as
-    one: of its labels the largest, of its texts the smallest. Without both labels the model stays untrained.
+    At most `most` rows of each label, in the order of a hash of doc_id, and most_chars characters in all, so the task that
+    fits holds a bounded sample, and the driver none of it; texts in it are whole. Null labels, texts or ids are left out.
+    Repeated rows of an id count as one: of its labels the largest, of its texts the smallest. Without both labels the model
+    stays untrained.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("__y")).where(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("__y").alias("__y"))
     parts = []
@@ -225,14 +227,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     sample = docs.select("doc_id", F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull()).join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # 2 * most rows
     sample = sample.groupBy("doc_id", "__y").agg(F.min("__text").alias("__text"))
     sized = sample.withColumn("__room", F.length("__text"))
-    rows, room = [], most_chars
-    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most).select("doc_id", "__y", "__room", "__text").toLocalIterator():
-        if r["__room"] <= room:
-            rows.append((r["doc_id"], r["__text"], r["__y"]))
-            room -= r["__room"]
-    texts, labels = [r[1] for r in rows], [r[2] for r in rows]
-    del rows
-    return train(texts, labels)
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = sized.orderBy(*order).limit(2 * most).coalesce(1).sortWithinPartitions(*order).select("__y", "__room", "__text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks, left = [], [], most_chars
+        for batch in small_batches(batches, "__text"):
+            for y, room, text in zip(*(batch.column(c).to_pylist() for c in ("__y", "__room", "__text"))):
+                if room <= left:
+                    texts.append(text)
+                    marks.append(y)
+                    left -= room
+        model = train(texts, marks)
+        yield pa.RecordBatch.from_pydict({c: [x.tobytes()] for c, x in (("vectors", model.vectors), ("weights", model.weights), ("bias", model.bias))})
+
+    found = chosen.mapInArrow(run, "vectors binary, weights binary, bias binary").collect()  # one row of fixed size
+    if not found:
+        return train([], [])
+    of = lambda c: np.frombuffer(bytes(found[0][c]), "f4").copy()
+    return Model(of("vectors").reshape(BUCKETS, DIMENSIONS), of("weights").reshape(DIMENSIONS, 2), of("bias"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -584,3 +584,21 @@ def test_toxicity_of_long_texts(spark):
     assert len(got) == 4 and len(set(got)) == 1
     twice = toxicity.fit(rows.union(rows), spark.createDataFrame([(1, 0), (2, 1), (2, 1)], "doc_id long, toxic int"))
     assert isinstance(twice, toxicity.Model)
+
+
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver never holds the sample, so training in its process is an error."""
+    import os
+
+    here, driver = toxicity.train, os.getpid()
+
+    def elsewhere(texts, labels):
+        assert os.getpid() != driver
+        return here(texts, labels)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    rows = [(i, "vile slur" if i % 2 else "kind word") for i in range(40)]
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels)
+    assert model.vectors.shape == (toxicity.BUCKETS, toxicity.DIMENSIONS)
+    assert all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in toxicity.score(table, model).collect())
