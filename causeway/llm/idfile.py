@@ -30,8 +30,8 @@ CACHED_CHUNKS = 2_000_000
 JOINED = 100
 #: The character between them.
 MARK = "\x01"
-#: Marks behind a word that are encoded apart from it.
-MARKS = ".,;:!?"
+#: Marks behind a word that are encoded apart from it, but for those that an added token holds. An apostrophe may begin a pre-token with letters.
+MARKS = ".,;:!?%&*$#+=~^@`|\"()[]{}<>-_/\\"
 #: Lengths of the four ranks that a control byte describes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype("u1") + 1
 
@@ -91,7 +91,10 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            self.by_chunks = of_words(json.load(file))
+            declared = json.load(file)
+        self.by_chunks = of_words(declared)
+        held = {c for t in declared.get("added_tokens", []) for c in t["content"]}
+        self.marks = "".join(c for c in MARKS if c not in held)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -124,16 +127,14 @@ class LibraryEncoder:
             return [self.ids(t or "").tobytes() for t in texts]
         # Only these blanks cut; all others the library treats itself.
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        distinct: set[str] = set()
-        for chunks in split:
-            distinct.update(chunks)
-        new = [c for c in distinct if c not in self.cache]
+        distinct: set[str] = set().union(*split)
+        new = distinct.difference(self.cache)
         if len(self.cache) + len(new) > CACHED_CHUNKS:
             self.cache.clear()
-            new = list(distinct)
+            new = distinct
         cut, needed = {}, set()
         for c in new:
-            word = c.rstrip(MARKS)
+            word = c.rstrip(self.marks)
             # Lower-casing may end in an accent, which joins marks; beyond Latin letters the library may class characters otherwise.
             if word and word != c and word[-1] < "\u0250" and word[-1].lower().isalnum():
                 cut[c] = (word, c[len(word) :])

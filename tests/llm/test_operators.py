@@ -602,3 +602,17 @@ def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
     model = toxicity.fit(table, labels)
     assert model.vectors.shape == (toxicity.BUCKETS, toxicity.DIMENSIONS)
     assert all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in toxicity.score(table, model).collect())
+
+
+def test_marks_behind_words_are_learnt_apart():
+    """A word is learnt once whatever ASCII marks follow it; chunks of added tokens stay whole. Ids are the library's."""
+    import public_tokenizers
+
+    encoder, learnt = idfile.LibraryEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+    real = encoder.learn
+    encoder.learn = lambda chunks: learnt.extend(chunks) or real(chunks)
+    marks = ["%%%", "&&", "$", "###", ")", '"]', "=", "-", "/", "@", "^", "`", "~", "\\", "}", "*_*", "+", "%'s", "'", "'s", ">", "|>", "<"]
+    texts = ["Grubfink" + m + " é" + m + " 7" + m for m in marks] + ["<|endoftext|> x<|endoftext|> <|endoftext|>, ≠ a≠ a= ̸", None, ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [encoder.ids(t or "").tolist() for t in texts]
+    assert learnt.count("Grubfink") == 1 and not any(c in learnt for c in ("Grubfink%%%", "Grubfink&&", "Grubfink)"))
+    assert "<|endoftext|>" in learnt
