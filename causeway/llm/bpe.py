@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,7 @@ class Vocabulary:
         self.by_bytes = {b: i for i, b in self.text.items() if i in self.parts or len(b) == 1}
         self.prefixes = {b[:k] for b in self.by_bytes for k in range(1, len(b) + 1)}
         self._apart: dict[tuple[int, int], bool] = {}
+        self.steps: dict[tuple[bytes, int], tuple[bytes, list[tuple[int, int]]]] = {}
         self._suffixes: dict[bytes, list[tuple[int, int]]] = {}
         self._own: dict[int, bool] = {}
 
@@ -114,6 +116,17 @@ class Vocabulary:
             self._suffixes[tail] = found
         return found
 
+    def step(self, asked: tuple[bytes, int]) -> tuple[bytes, list[tuple[int, int]]]:
+        """(the longest beginning of a token that ends at the next byte, ends() of it) from (that before the byte, the byte)."""
+        before, byte = asked
+        tail = before + bytes((byte,))
+        while tail and tail not in self.prefixes:
+            tail = tail[1:]
+        if len(self.steps) > ANSWERS:
+            self.steps.clear()
+        found = self.steps[asked] = tail, self.ends(tail)
+        return found
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -123,25 +136,30 @@ def vocabulary(path: str) -> Vocabulary:
 def encode_words(vocab: Vocabulary, words: Iterable[bytes]) -> dict[bytes, list[int]]:
     """The ids of each distinct word; every edge of their trie is walked once."""
     out: dict[bytes, list[int]] = {}
-    ends, apart, prefixes = vocab.ends, vocab.apart, vocab.prefixes
-    last, size, tail, before = [-1], [0], [0], b""  # by depth: last token, its length, longest beginning of a token that ends here
+    steps, known, apart, step = vocab.steps, vocab._apart, vocab.apart, vocab.step
+    last, size, tail, before = [-1], [0], [b""], b""  # by depth: last token, its length, longest beginning of a token that ends here
     for word in sorted(set(words)):
         depth, most = 0, min(len(before), len(word))
         while depth < most and before[depth] == word[depth]:
             depth += 1
         del last[depth + 1 :], size[depth + 1 :], tail[depth + 1 :]
+        at = tail[-1]
         for d in range(depth + 1, len(word) + 1):
-            p = tail[-1] + 1
-            while word[d - p : d] not in prefixes:
-                p -= 1
-            for n, token in ends(word[d - p : d]):
-                if n == d or apart(last[d - n], token):
-                    last.append(token)
-                    size.append(n)
+            asked = at, word[d - 1]
+            found = steps.get(asked)
+            at, ends = found if found is not None else step(asked)
+            for n, token in ends:
+                if n == d:
+                    break
+                pair = last[d - n], token
+                stays = known.get(pair)
+                if apart(*pair) if stays is None else stays:
                     break
             else:
                 raise ValueError("the vocabulary lacks a byte")
-            tail.append(p)
+            last.append(token)
+            size.append(n)
+            tail.append(at)
         ids, d = [], len(word)
         while d:
             ids.append(last[d])
@@ -180,10 +198,16 @@ class Encoder:
         if len(cache) + len(new) > CACHED_WORDS and cache:
             cache.clear()
             new = {w: w.encode() for w in words}
-        marks = {w for w in new if w.startswith("\0special:")}
-        known = encode_words(self.vocab, (b for w, b in new.items() if w not in marks))
-        for w, b in new.items():
-            cache[w] = np.array([self.special[w[9:]]] if w in marks and w[9:] in self.special else known[b] if w not in marks else [], "<i4").tobytes()
+        marks = {w for w in new if w.startswith("\0special:")} if self.special else set()
+        for w in marks:
+            cache[w] = np.array([self.special[w[9:]]] if w[9:] in self.special else [], "<i4").tobytes()
+            del new[w]
+        known = encode_words(self.vocab, new.values())
+        ids = [known[b] for b in new.values()]
+        flat, at = np.fromiter(chain.from_iterable(ids), "<i4").tobytes(), 0
+        for w, own in zip(new, ids):
+            end = at + 4 * len(own)
+            cache[w], at = flat[at:end], end
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.words(t) if t else [] for t in texts]

@@ -616,3 +616,20 @@ def test_marks_behind_words_are_learnt_apart():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [encoder.ids(t or "").tolist() for t in texts]
     assert learnt.count("Grubfink") == 1 and not any(c in learnt for c in ("Grubfink%%%", "Grubfink&&", "Grubfink)"))
     assert "<|endoftext|>" in learnt
+
+
+def test_bpe_steps_are_asked_once(monkeypatch):
+    """Suffixes that are tokens are looked for once for each step of the walk, not at each byte of each word, and bounds on what is kept change no ids."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abé") for _ in range(rng.randrange(1, 12))) for _ in range(3000)})
+    library = Tokenizer.from_file(tokenizer(BYTE_BPE))
+    for kept in (bpe.ANSWERS, 3):
+        monkeypatch.setattr(bpe, "ANSWERS", kept)
+        vocab, calls = bpe.Vocabulary(tokenizer(BYTE_BPE)), []
+        monkeypatch.setattr(bpe.Vocabulary, "ends", lambda self, tail, whole=bpe.Vocabulary.ends: calls.append(tail) or whole(self, tail))
+        got = bpe.encode_words(vocab, [w.encode() for w in words])
+        assert all(got[w.encode()] == library.encode(w, add_special_tokens=False).ids for w in words)
+        if kept > 3:
+            assert len(calls) < len(words)  # each has several bytes of its own
