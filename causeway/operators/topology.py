@@ -1,10 +1,11 @@
 """Folding along arrows over many tasks: what a cell can settle is settled in one task, only values at borders move.
 
 Items are nodes with arguments, bounded by a key (an instance, a scope). A key of up to CELL_ROWS items is one cell, so
-however deep it is, one pass settles it. A larger key is cut into cells along the depth of a forest in which each node
-hangs on its first argument, found by pointer doubling; then rounds alternate between folding the cells that have news and
-sending values to the cells that ask for them. A chain takes a round for each of its cells, a shallow model one for each
-level at most. The result doesn't depend on how cells are cut.
+however deep it is, one pass settles it. Of a larger key, nodes that wait for no other are taken off rank by rank while
+that takes off a share worth a round; each item is folded once, in its rank, and each value is sent once to the cells that
+ask for it. What is left, if still large, is cut into cells along the depth of a forest in which each node hangs on its
+first argument, found by pointer doubling; then rounds alternate between folding the cells that have news and sending values
+to the cells that ask for them. A chain takes a round for each of its cells. The result doesn't depend on how cells are cut.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from causeway.plans.storage import discard, stored, stored_with
 CELL_ROWS = 100_000
 #: Ranges of depth of a key at most, from which cells are made.
 RANGES = 4096
+#: Nodes of a key that are left for each that a rank takes off, at most; a thinner rank ends the ranks.
+THIN = 64
+#: Items of a cell of a rank, which needs no others of its rank, so that all cores have some.
+RANK_ROWS = 20_000
 #: Rows that a task gives at once.
 OUT_ROWS = 50_000
 
@@ -146,6 +151,78 @@ def fold_with(compute: Compute, domain: Callable[[str | None], tuple[int, ...]])
     return task
 
 
+def ranks(items: DataFrame) -> tuple[DataFrame | None, list[int]]:
+    """(key, node, rank; by rank, its nodes): rank 0 waits for no node, a later one for nodes of earlier ranks alone, one at least of the last.
+
+    Ranks end where no key has more than CELL_ROWS nodes left, or where the next one is thin; nodes left have no rank.
+    """
+    nodes = items.select("key", "node").distinct()
+    asked = items.select("key", "node", F.explode("args").alias("arg")).distinct()
+    waits = asked.join(nodes.withColumnRenamed("node", "arg"), ["key", "arg"], "left_semi").groupBy("key", "node").agg(F.collect_list("arg").alias("waits"))
+    ready = F.count_if(F.size("waits") == 0)
+    state, (left, found) = stored_with(nodes.join(waits, ["key", "node"], "left").withColumn("waits", F.coalesce("waits", F.array().cast("array<string>"))), "waits", ready)
+    parts, counts = [], []
+    while found and found * THIN >= left:
+        now = state.where("size(waits) = 0").select("key", "node")
+        parts.append(now.withColumn("rank", F.lit(len(parts))))
+        counts.append(found)
+        if left - found <= CELL_ROWS:  # of all keys together, so of each
+            break
+        known = now.select("key", F.col("node").alias("arg"), F.lit(True).alias("known"))
+        each = state.select("key", "node", F.explode("waits").alias("arg")).join(known, ["key", "arg"], "left")
+        still = F.collect_list(F.when(F.col("known").isNull(), F.col("arg")))
+        state, (left, found) = stored_with(each.groupBy("key", "node").agg(still.alias("waits")), "waits", ready)
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out, counts
+
+
+COLUMNS = {"code": "string", "args": "array<string>", "value": "int", "mask": "long", "level": "int"}
+
+
+def filled(rows: DataFrame, kind: int) -> DataFrame:
+    """Rows as fold_with() takes them."""
+    return rows.select("key", "block", "cell", "everything", F.lit(kind).alias("kind"), "var", *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items()])
+
+
+def folded(rows: DataFrame, compute: Compute, domain: Callable[[str | None], tuple[int, ...]]) -> tuple[DataFrame, int]:
+    order = ("key", "block", "cell")
+    new, (count,) = stored_with(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(fold_with(compute, domain), VALUES), "settled")
+    return new, count
+
+
+def ranked(items: DataFrame, spans: DataFrame, start: DataFrame, compute: Compute, domain: Callable[[str | None], tuple[int, ...]], forced: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(items left, values by rank) of large keys, a rank after the other.
+
+    A node is folded once, when all nodes it waits for were, in every block: what has no value then never gets one.
+    """
+    found, counts = ranks(items)
+    if found is None:
+        return items, []
+    parts = F.element_at(F.array(*[F.lit(-(-n // RANK_ROWS)) for n in counts]), F.col("rank") + 1)
+    found = stored(found.withColumn("cell", F.col("rank") * F.lit(1 << 20).cast("long") + F.pmod(F.xxhash64("key", "node"), parts)), "ranks")
+    rest = stored(items.join(found, ["key", "node"], "left_anti"), "items")
+    own = stored(items.join(found, ["key", "node"]).sortWithinPartitions("rank"), "items")
+    asks = own.select("key", "rank", "cell", F.explode("args").alias("var")).distinct()
+    asks = stored(asks.join(found.select("key", F.col("node").alias("var"), F.col("rank").alias("from")), ["key", "var"], "left").withColumn("from", F.coalesce("from", F.lit(-1))).sortWithinPartitions("from"), "asks")
+    sent = [stored(asks.where("from = -1").join(start, ["key", "var"]).drop("from").sortWithinPartitions("rank"), "sent")]
+    values: list[DataFrame] = []
+    for rank in range(len(counts)):
+        here = own.where(F.col("rank") == rank).join(spans, "key")
+        rows = filled(here.withColumnRenamed("node", "var"), 1)
+        got = items.sparkSession.read.schema(sent[0].schema).parquet(*[part.stored_at for part in sent]).where(F.col("rank") == rank)  # one scan, however many
+        rows = rows.unionByName(filled(got.join(spans, ["key", "block"]), 0))
+        if forced is not None:
+            rows = rows.unionByName(filled(here.select("key", "block", "cell", "everything", F.col("node").alias("var")).distinct().join(forced, ["key", "block", "var"]), 2))
+        new, _ = folded(rows, compute, domain)
+        values.append(new.drop("cell"))
+        if rank + 1 < len(counts):
+            sent.append(stored(asks.where(F.col("from") == rank).join(values[-1], ["key", "var"]).select(sent[0].columns).sortWithinPartitions("rank"), "sent"))
+    discard(own, asks, *sent)
+    return rest, values
+
+
 def settled(items: DataFrame, spans: DataFrame, start: DataFrame, compute: Compute, domain: Callable[[str | None], tuple[int, ...]], forced: DataFrame | None = None) -> DataFrame:
     """key, block, var, value, mask, level of every node that follows from start, as a stored table or several.
 
@@ -153,15 +230,21 @@ def settled(items: DataFrame, spans: DataFrame, start: DataFrame, compute: Compu
     everything (the mask of all assignments), a row or more for each key. start: values already known; none of them may be a
     node. forced: key, block, var, value, mask.
     """
-    items, split = in_cells(stored(items, "items"))
+    items, early = stored(items, "items"), []
     start = start.select("key", "block", "var", "value", "mask", "level")
+    sizes = items.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > CELL_ROWS:
+        large = F.broadcast(sizes.where(F.col("n") > CELL_ROWS).select("key"))  # at most one for each CELL_ROWS items
+        rest, early = ranked(stored(items.join(large, "key", "left_semi"), "large"), spans, start, compute, domain, forced)
+        items = rest.unionByName(items.join(large, "key", "left_anti"))
+        for part in early:
+            start = start.unionByName(part)
+    items, split = in_cells(items)
     if split:
         owner = items.select("key", F.col("node").alias("arg"), F.col("cell").alias("home")).distinct()
         asks = items.select("key", "cell", F.explode("args").alias("arg")).distinct()
         border = stored(asks.join(owner, ["key", "arg"]).where("cell != home").select("key", "cell", F.col("arg").alias("var")), "border")
     values, parts, active = start, [], None
-    columns = {"code": "string", "args": "array<string>", "value": "int", "mask": "long", "level": "int"}
-    fill = lambda rows, kind: rows.select("key", "block", "cell", "everything", F.lit(kind).alias("kind"), "var", *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
     while True:
         if active is None:
             open_ = items.join(spans, "key")
@@ -169,18 +252,17 @@ def settled(items: DataFrame, spans: DataFrame, start: DataFrame, compute: Compu
             done = values.select("key", "block", F.col("var").alias("node")).distinct()
             open_ = items.join(F.broadcast(active), ["key", "cell"]).join(spans, ["key", "block"]).join(done, ["key", "block", "node"], "left_anti")  # a row for each cell and block with news
         asked = open_.select("key", "block", "cell", "everything", F.explode("args").alias("var")).distinct()
-        rows = fill(open_.withColumnRenamed("node", "var"), 1).unionByName(fill(asked.join(values, ["key", "block", "var"]), 0))
+        rows = filled(open_.withColumnRenamed("node", "var"), 1).unionByName(filled(asked.join(values, ["key", "block", "var"]), 0))
         if forced is not None:
             own = open_.select("key", "block", "cell", "everything", F.col("node").alias("var")).distinct()
-            rows = rows.unionByName(fill(own.join(forced, ["key", "block", "var"]), 2))
-        order = ("key", "block", "cell")
-        new, (count,) = stored_with(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(fold_with(compute, domain), VALUES), "settled")
-        parts.append(new)
+            rows = rows.unionByName(filled(own.join(forced, ["key", "block", "var"]), 2))
+        new, count = folded(rows, compute, domain)
+        parts.append(new.drop("cell"))
         if not split or not count:
             break
         values = values.unionByName(new.drop("cell"))
         active = stored(new.select("key", "block", "var").join(border, ["key", "var"]).select("key", "block", "cell").distinct(), "active")
     out = parts[0]
-    for part in parts[1:]:
+    for part in (*parts[1:], *early):
         out = out.unionByName(part)
-    return out.drop("cell")
+    return out

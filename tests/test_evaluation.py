@@ -139,3 +139,25 @@ def test_broken_module_alone(spark):
     extra = spark.createDataFrame([("F02", "broken", "x", None, "exo", False)], var.schema)
     found = validation.diagram_issues(type(whole)(whole.records | {"Var": var.unionByName(extra).unionByName(spark.createDataFrame([("F02", "alone", "y", "bool", "endo", False)], var.schema))}, whole.faces, whole.spans, whole.overlaps), Library())
     assert {(r["kind"], r["record"]) for r in found.collect()} == {("missing_attribute", "x.type"), ("missing_owner", "y")}
+
+
+def test_shallow_models_are_folded_by_ranks(spark, monkeypatch):
+    """Each item of a shallow model beyond a cell is folded in one round, its own, not in every round that has news for its cell; small models beside it stay whole."""
+    monkeypatch.setattr(topology, "CELL_ROWS", 20)
+    seen = []
+    monkeypatch.setattr(topology, "filled", lambda rows, kind, whole=topology.filled: (kind == 1 and seen.append(rows.count())) or whole(rows, kind))
+    rng = random.Random(5)
+    names, equations = ["U00", "U01"], []
+    for i in range(120):
+        code = rng.choice(list(CODES))
+        equations.append((f"V{i}", code, [rng.choice([*names, *(e[0] for e in equations)]) for _ in range(CODES[code])]))
+    _, tables = model(spark, 2, equations[::-1])
+    small = {s: t.withColumn("inst", F.lit("small")).where(F.regexp_extract("rid", r"V(\d+)", 1).try_cast("int").isNull() | (F.regexp_extract("rid", r"V(\d+)", 1).try_cast("int") < 10)) for s, t in tables.items()}
+    both = {s: t.unionByName(small[s]) for s, t in tables.items()}
+    got = {(r["inst"], r["var"]): r["mask"] for r in evaluation.evaluate_tables(both, Library()).where("value = 1").collect()}
+    known, codes = {"U00": 10, "U01": 12}, Library().codes
+    for out, code, args in equations:
+        known[out] = sum(codes[code][2][tuple(known[a] >> u & 1 for a in args)] << u for u in range(4))
+    want = {("i", v): m for v, m in known.items()} | {("small", v): m for v, m in known.items() if v[0] == "U" or int(v[1:]) < 10}
+    assert got == want
+    assert len(seen) > 3 and sum(seen) == 130
