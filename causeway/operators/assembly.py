@@ -49,13 +49,15 @@ def arrows_to_classes(diagram: Diagram, qmap: DataFrame, sort: str) -> DataFrame
     return rows
 
 
-def merged(qmap: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The class map after pairs (inst, sort, ca, cb) of classes became one. A class is named by its smallest tag, so the smallest name is right."""
+def merged(qmap: DataFrame, pairs: DataFrame, *sorts: str) -> DataFrame:
+    """The class map after pairs (inst, sort, ca, cb) of classes of these sorts became one. A class is named by its smallest tag, so the smallest name is right."""
     key = lambda c: F.concat_ws("#", "inst", "sort", c)
     found = components(pairs.select(key("ca").alias("a"), key("cb").alias("b")))
     prefix = F.length(F.concat_ws("#", "inst", "sort")) + 2
-    named = qmap.withColumn("node", key("cid")).join(found, "node", "left")
-    return named.withColumn("cid", F.when(F.col("component").isNull(), F.col("cid")).otherwise(F.substr("component", prefix))).drop("node", "component")
+    open_ = F.col("sort").isin(*sorts)
+    named = qmap.where(open_).withColumn("node", key("cid")).join(found, "node", "left")
+    named = named.withColumn("cid", F.when(F.col("component").isNull(), F.col("cid")).otherwise(F.substr("component", prefix)))
+    return named.select(qmap.columns).unionByName(qmap.where(~open_))
 
 
 def duplicate_pairs(diagram: Diagram, qmap: DataFrame) -> DataFrame:
@@ -109,10 +111,10 @@ def class_map(diagram: Diagram, deduplicate: bool, qmap: DataFrame | None = None
     qmap = stored(classes(tags(diagram), pairs), "qmap") if qmap is None else qmap
     if deduplicate:
         mechs = stored(duplicate_pairs(diagram, qmap), "pairs")
-        qmap = stored(merged(qmap, mechs), "qmap")
+        qmap = stored(merged(qmap, mechs, "Mech"), "qmap")
         ends = {"Input": ["mech", "pos", "var"], "Dep": ["cause", "effect"]}
         alike = stored_all({s: same_class_key(arrows_to_classes(diagram, qmap, s), s, key) for s, key in ends.items()}, "pairs")
-        qmap = stored(merged(qmap, alike["Input"].unionByName(alike["Dep"])), "qmap")
+        qmap = stored(merged(qmap, alike["Input"].unionByName(alike["Dep"]), "Input", "Dep"), "qmap")
         for found in (mechs, *alike.values()):
             pairs = pairs.unionByName(found.select("inst", "sort", "a", "b"))
     return qmap, pairs
@@ -133,6 +135,11 @@ def sizes(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def class_sizes(qmap: DataFrame) -> DataFrame:
+    """inst, sort, n: as sizes() of the quotient, which has the classes of a sort as its records."""
+    return qmap.groupBy("inst", "sort", "cid").agg(F.count(F.lit(1)).alias("members")).groupBy("inst", "sort").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fibers(qmap: DataFrame) -> DataFrame:
     """inst, module, sort, cid, n: classes that hold several records of one module (a warning, not an error)."""
     return qmap.groupBy("inst", "module", "sort", "cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -113,3 +113,21 @@ def test_release_in_shards(spark, tmp_path):
 def test_each_sign_of_a_person_is_found(spark, tmp_path, line):
     release.write_shards(spark.createDataFrame([(0, 0, "f", 1, 0, line), (1, 60, "f", 1, 0, "V0 = ID(U0) at home")], "shard long, seed int, family string, n int, k int, line string"), str(tmp_path / "r"))
     assert {r["shard"]: r["identifying"] for r in release.manifest(spark, str(tmp_path / "r")).collect()} == {0: True, 1: False}
+
+
+def test_class_maps_are_found_once_and_quotients_not_at_all(spark, monkeypatch):
+    """Sizes of classes need no quotient table, and variants share the closure of their identifications."""
+    from causeway.plans import registry, storage
+
+    labels = []
+    monkeypatch.setattr(storage, "written", lambda df, label, whole=storage.written: labels.append(label) or whole(df, label))
+    assert registry.QUERIES["quotient_sizes"](spark, "/root/testdata/sf0.001").count() == 16
+    assert labels.count("qmap") == 5 and not [x for x in labels if x.startswith("quotient")]
+
+
+def test_correspondence_of_classes_and_ground_records(spark):
+    """x has two ground records, A two classes, D none, and E is not asked for; records without origin belong to a class all the same."""
+    held = [("Var", "x", "A"), ("Var", "x", "B"), ("Var", "x", "B"), ("Var", "y", "A"), ("Var", "z", "E"), ("Var", "v", "E"), ("Var", "w", None), ("Mech", "x", "A")]
+    target = [("Var", g) for g in "ABD"] + [("Mech", "A")]
+    found = reports.correspondence(spark.createDataFrame(held, "sort string, cid string, ground string"), spark.createDataFrame(target, "sort string, ground string"))
+    assert {r["sort"]: (r["classes"], r["ambiguous"], r["doubled"], r["missing"]) for r in found.collect()} == {"Var": (5, 1, 1, 1), "Mech": (1, 0, 0, 0)}
