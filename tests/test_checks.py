@@ -122,7 +122,7 @@ def test_class_maps_are_found_once_and_quotients_not_at_all(spark, monkeypatch):
     labels = []
     monkeypatch.setattr(storage, "written", lambda df, label, whole=storage.written: labels.append(label) or whole(df, label))
     assert registry.QUERIES["quotient_sizes"](spark, "/root/testdata/sf0.001").count() == 16
-    assert labels.count("qmap") == 5 and not [x for x in labels if x.startswith("quotient")]
+    assert labels.count("qmap") == 5 and not [x for x in labels if x.startswith("quotient-")]
 
 
 def test_correspondence_of_classes_and_ground_records(spark):
@@ -131,3 +131,13 @@ def test_correspondence_of_classes_and_ground_records(spark):
     target = [("Var", g) for g in "ABD"] + [("Mech", "A")]
     found = reports.correspondence(spark.createDataFrame(held, "sort string, cid string, ground string"), spark.createDataFrame(target, "sort string, ground string"))
     assert {r["sort"]: (r["classes"], r["ambiguous"], r["doubled"], r["missing"]) for r in found.collect()} == {"Var": (5, 1, 1, 1), "Mech": (1, 0, 0, 0)}
+
+
+def test_surgeries_share_a_gluing_and_an_evaluation(spark, monkeypatch):
+    """The diagram is glued once before its surgeries, with no copy of it written, and both sides are evaluated at once."""
+    from causeway.plans import registry, storage
+
+    labels = []
+    monkeypatch.setattr(storage, "written", lambda df, label, whole=storage.written: labels.append(label) or whole(df, label))
+    assert registry.QUERIES["commutation"](spark, "/root/testdata/sf0.001").count() == 9
+    assert labels.count("copies") == labels.count("settled") == 1
