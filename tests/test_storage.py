@@ -1,7 +1,9 @@
 """Tables between steps: what their joins send through the driver."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from causeway.operators.components import components
 from causeway.plans import storage
 from causeway.plans.storage import stored
 
@@ -34,3 +36,39 @@ def test_steps_that_run_together_leave_the_settings_as_they_were(spark):
     with pytest.raises(ZeroDivisionError):
         storage.together(spark, {"bad": lambda: 1 / 0, "good": lambda: spark.range(2).count()})
     assert {key: spark.conf.get(key, None) for key in storage.GUESSES} == before and not storage.MARKED
+
+
+def test_instances_in_buckets_are_joined_where_they_lie(spark):
+    """Tables that were stored by instance are joined, grouped, put together and stored again without a shuffle; only the way in has one."""
+    before = {key: spark.conf.get(key) for key in storage.IN_PLACE}
+    rows = spark.range(3000).selectExpr("concat('i', id % 70) AS inst", "sha2(string(id), 256) AS x", "id AS n")
+    with storage.gathered(spark, 3):
+        one, other = stored(rows, "one"), stored(rows.selectExpr("inst", "x", "n * 2 AS m"), "other")
+        both = stored(one.withColumn("m", F.lit(0).cast("long")).unionByName(one.join(other.hint("merge"), ["inst", "x"])), "both")
+        assert "Exchange" not in last_plan(spark)
+        found = storage.together(spark, {"sum": lambda: stored(both.groupBy("inst", "x").agg(F.sum("m").alias("m")), "sum")})["sum"]
+        assert "Exchange" not in last_plan(spark)
+        folded = components(one.select("inst", F.lit("a").alias("a"), "x"), "a", "x", within=("inst",))
+        assert folded.groupBy("inst").agg(F.countDistinct("component").alias("n"), F.count("node").alias("m")).where("n = 1").agg(F.sum("m")).first()[0] == 3070
+    assert {key: spark.conf.get(key) for key in storage.IN_PLACE} == before and not storage.GATHERED
+    assert found.agg(F.sum("m")).first()[0] == 2999 * 3000 and found.count() == 3000
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("causeway")]
+    plain = stored(one.join(other, ["inst", "x"]), "plain")
+    assert plain.count() == 3000 and plain.columns == ["inst", "x", "n", "m"]
+
+
+def test_diagrams_of_the_grid_are_glued_where_they_lie(spark, monkeypatch):
+    """Class maps of many small diagrams are made from stored tables without a shuffle, and their identifications are closed once for both modes."""
+    from causeway.plans import registry
+
+    plans, real = [], storage.written
+
+    def seen(df, label):
+        out = real(df, label)
+        if label == "qmap":
+            plans.append(last_plan(spark))
+        return out
+
+    monkeypatch.setattr(storage, "written", seen)
+    assert registry.QUERIES["duplication_summary"](spark, "/root/testdata/sf0.001").count() == 6
+    assert len(plans) == 3 and not [p for p in plans if "hashpartitioning" in p]
