@@ -72,3 +72,20 @@ def test_diagrams_of_the_grid_are_glued_where_they_lie(spark, monkeypatch):
     monkeypatch.setattr(storage, "written", seen)
     assert registry.QUERIES["duplication_summary"](spark, "/root/testdata/sf0.001").count() == 6
     assert len(plans) == 3 and not [p for p in plans if "hashpartitioning" in p]
+
+
+def test_labelled_diagrams_are_folded_where_they_lie(spark, monkeypatch):
+    """Kinds and routes get their labels once rows are joined: what is compared afterwards moves only what tasks of Python gave."""
+    from causeway.plans import registry
+
+    plans, real = {}, storage.written
+
+    def seen(df, label):
+        out = real(df, label)
+        if label in ("pulled", "qmap", "named", "laws"):
+            plans.setdefault(label, []).append(last_plan(spark))
+        return out
+
+    monkeypatch.setattr(storage, "written", seen)
+    assert registry.QUERIES["semantic_twins"](spark, "/root/testdata/sf0.001").count() == 28
+    assert set(plans) == {"pulled", "qmap", "named", "laws"} and not [p for found in plans.values() for p in found if "hashpartitioning" in p]
