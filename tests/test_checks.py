@@ -78,6 +78,20 @@ def test_interventions_on_the_running_example(spark):
     assert {r["world"].split("#")[1] for r in lost.collect()} >= {"Z"}
 
 
+def test_worlds_share_the_mechanisms_of_their_model(spark, monkeypatch):
+    """All worlds of a model are one fold with a row for each mechanism; a world without code has no values."""
+    diagram, glued, named = glued_example(spark)
+    planned = interventions.worlds(glued, named).cache()
+    sizes, real = [], interventions.settled_whole
+    monkeypatch.setattr(interventions, "settled_whole", lambda items, *rest: sizes.append(items.count()) or real(items, *rest))
+    start = glued.tables["Var"].where("role = 'exo'").select("inst", F.col("rid").alias("var"), F.explode(F.array(F.lit(0), F.lit(1))).alias("value"), F.lit(1).cast("long").alias("everything"))
+    start = start.withColumn("mask", F.when(F.col("value") == 0, 1).otherwise(0).cast("long"))
+    codes = planned.where("NOT (target = 'Y' AND value = 1)").select("world", interventions.code_of(F.col("value")).alias("code"))
+    got = {(r["world"].split("#", 1)[1], r["cid"].split("|")[1]): r["bits"] for r in interventions.values_in_worlds(glued, planned, start, codes).collect()}
+    assert sizes == [3] and {w for w, _ in got} == {"X#0", "X#1", "Y#0", "Z#0", "Z#1"} and len(got) == 5 * 6
+    assert [got[w, "Z"] for w in ("X#0", "X#1", "Y#0", "Z#0", "Z#1")] == [0, 1, 0, 0, 1]
+
+
 def test_partition_digests_ignore_names_and_order(spark):
     diagram, glued, _ = glued_example(spark)
     digest = lambda qmap: {(r["sort"], r["digest"]) for r in reports.partition_digests(qmap).collect()}
